@@ -1,4 +1,4 @@
-"""Column helpers that lex HTML and read elements, all inside the page's own row.
+"""HTML rules as Spark SQL expressions: lexing and reading elements, all inside the page's own row.
 
 `TOKEN_RE` cuts a whole document into comments, raw-text elements with their bodies, tags and text runs; joined again
 the tokens give the document back. Every repetition around a group is possessive: a backtracking one would overflow
@@ -7,10 +7,7 @@ the regex stack on one tag with thousands of attributes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from crawlsift.functions.text import SPACES, decode_entities
+from crawlsift.functions.text import decode_entities, q, q_list
 
 # Elements whose content is text, not markup.
 RAW_TEXT = ["script", "style", "title", "textarea", "noscript", "iframe", "xmp", "noembed", "noframes"]
@@ -28,73 +25,60 @@ TOKEN_RE = (
 )
 _NAME_RE = r"^<(/?[a-zA-Z][^\s/>]*)"
 _RAW_END = rf"(?i)</(?:{'|'.join(RAW_TEXT)})[^>]*>\z"
-_OPEN_RE = rf"(?i)^<[a-z][^\s/>]*+{_ATTRS}>"
+OPEN_RE = rf"(?i)^<[a-z][^\s/>]*+{_ATTRS}>"
 _ATTR_RE = r"""[\s/]*+(=?[^\s/>=]++|=)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+[\s/]*+"""
 
 
-def tokens(html: Column) -> Column:
+def tokens(html: str) -> str:
     """All tokens of a document in order."""
-    return F.regexp_extract_all(html, F.lit(TOKEN_RE), F.lit(0))
+    return f"regexp_extract_all({html}, {q(TOKEN_RE)}, 0)"
 
 
-def marks(toks: Column) -> Column:
-    """Start and end tags as `{pos, name, raw}`; an end tag's name starts with `/`."""
-    named = F.transform(
-        toks, lambda t, i: F.struct(i.alias("pos"), F.lower(F.regexp_extract(t, _NAME_RE, 1)).alias("tag"), t.alias("raw"))
-    )
-    return F.filter(named, lambda m: m.tag != "")
+def marks(toks: str) -> str:
+    """Start and end tags as `{pos, tag, raw}`; an end tag's name starts with `/`."""
+    return (
+        f"filter(transform({toks}, (tk, ti) -> named_struct('pos', ti, 'tag', lower(regexp_extract(tk, {q(_NAME_RE)}, 1)), 'raw', tk)),"
+        f" tm -> tm.tag <> '')")
 
 
-def is_open(m: Column) -> Column:
-    return ~m.tag.startswith("/")
+def parse_attrs(raw: str) -> str:
+    """Attributes of one start tag as `array<struct<k, v>>`, names lowercased, in written order."""
+    opened = f"regexp_extract({raw}, {q(OPEN_RE)}, 0)"
+    body = f"regexp_replace(regexp_replace({opened}, '>$', ''), {q(r'^<[a-zA-Z][^\s/>]*')}, '')"
+    marked = f"regexp_replace({body}, {q(_ATTR_RE)}, '\u0001$1\u0002$2$3$4')"
+    kept = f"slice(split({marked}, '\u0001'), 2, length({raw}))"
+    value = "substring_index(at, '\u0002', -1)"
+    return (f"transform({kept}, at -> named_struct('k', lower(substring_index(at, '\u0002', 1)), 'v', {decode_entities(value)}))")
 
 
-def parse_attrs(raw: Column) -> Column:
-    """Attributes of one start tag as `array<struct<k, v>>`, names lowercased, in written order."""
-    opened = F.regexp_extract(raw, _OPEN_RE, 0)
-    body = F.regexp_replace(F.substr(opened, F.lit(1), F.length(opened) - 1), r"^<[a-zA-Z][^\s/>]*", "")
-    marked = F.regexp_replace(body, _ATTR_RE, "\u0001$1\u0002$2$3$4")
-    return F.transform(
-        F.slice(F.split(marked, "\u0001"), 2, F.length(raw)),
-        lambda a: F.struct(
-            F.lower(F.substring_index(a, "\u0002", 1)).alias("k"),
-            decode_entities(F.substring_index(a, "\u0002", -1)).alias("v"),
-        ),
-    )
-
-
-def attr(attrs: Column, name: str) -> Column:
+def attr(attrs: str, name: str) -> str:
     """Value of an attribute, first one wins; NULL when absent."""
-    return F.get(F.filter(attrs, lambda a: a.k == name), F.lit(0)).v
+    return f"get(filter({attrs}, av -> av.k = '{name}'), 0).v"
 
 
-def attr_map(attrs: Column) -> Column:
+def attr_map(attrs: str) -> str:
     """Attributes as a map, first duplicate wins."""
-    names = F.transform(attrs, lambda a: a.k)
-    firsts = F.filter(attrs, lambda a, i: F.array_position(names, a.k) == i + 1)
-    return F.map_from_entries(firsts)
+    return (
+        f"map_from_entries(filter({attrs}, (am, an) -> an = array_position(transform({attrs}, ak -> ak.k), am.k) - 1))")
 
 
-def raw_body(raw: Column) -> Column:
+def raw_body(raw: str) -> str:
     """Content of a raw-text element token."""
-    return F.regexp_replace(F.regexp_replace(raw, _OPEN_RE, ""), _RAW_END, "")
+    return f"regexp_replace(regexp_replace({raw}, {q(OPEN_RE)}, ''), {q(_RAW_END)}, '')"
 
 
-def spans(all_marks: Column, opens: list[str], bounds: list[str]) -> Column:
-    """`{pos, stop, name, raw}` of each start tag in `opens`, running to the next tag named in `bounds`."""
-    wanted = F.filter(all_marks, lambda m: m.tag.isin(bounds))
-    paired = F.zip_with(
-        wanted, F.slice(wanted, 2, F.size(wanted) + 1),
-        lambda m, nxt: F.struct(m.pos.alias("pos"), nxt.pos.alias("stop"), m.tag.alias("tag"), m.raw.alias("raw")))
-    return F.filter(paired, lambda s: s.tag.isin(opens))
+def spans(all_marks: str, opens: list[str], bounds: list[str]) -> str:
+    """`{pos, stop, tag, raw}` of each start tag in `opens`, running to the next tag named in `bounds`."""
+    wanted = f"filter({all_marks}, sm -> sm.tag IN {q_list(bounds)})"
+    return (
+        f"filter(zip_with({wanted}, slice({wanted}, 2, size({all_marks}) + 1),"
+        f" (s1, s2) -> named_struct('pos', s1.pos, 'stop', s2.pos, 'tag', s1.tag, 'raw', s1.raw)),"
+        f" sp -> sp.tag IN {q_list(opens)})")
 
 
-def inner_text(toks: Column, span: Column) -> Column:
+def inner_text(toks: str, span: str) -> str:
     """Text runs between a span's start tag and its end, decoded."""
-    size = F.coalesce(span.stop, F.size(toks)) - span.pos - 1
-    runs = F.filter(F.slice(toks, span.pos + 2, size), lambda t: ~t.startswith("<") | (t == "<"))
-    return decode_entities(F.array_join(runs, ""))
-
-
-__all__ = ["RAW_TEXT", "SPACES", "TOKEN_RE", "VOID", "attr", "attr_map", "inner_text", "is_open", "marks",
-           "parse_attrs", "raw_body", "spans", "tokens"]
+    runs = (
+        f"filter(slice({toks}, {span}.pos + 2, coalesce({span}.stop, size({toks})) - {span}.pos - 1),"
+        f" ir -> NOT startswith(ir, '<') OR ir = '<')")
+    return decode_entities(f"array_join({runs}, '')")

@@ -1,4 +1,4 @@
-"""Column helpers that parse and resolve URLs by the WHATWG rules, without UDFs.
+"""URL rules as Spark SQL expressions: parsing and resolving the WHATWG way, without UDFs.
 
 Everything works on arrays of URL texts, so the links of a page are resolved inside its row. Each step is a
 `transform` of its own: a lambda body has no common-subexpression elimination, so a parsed part that several later
@@ -7,8 +7,7 @@ fields need is kept in a struct first. `parse_url` and `resolve_url` are the one
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from crawlsift.functions.text import q, q_list
 
 # Schemes whose URLs always have an authority, with their default ports.
 DEFAULT_PORTS = {"http": 80, "https": 443, "ws": 80, "wss": 443, "ftp": 21}
@@ -23,169 +22,141 @@ URL_RE = (
 _SEP = "\u0001"
 _GROUPS = _SEP.join(f"${i}" for i in range(1, 8))
 
-URL_TYPE = (
-    "struct<url:string,scheme:string,host:string,port:int,path:string,query:string,fragment:string>"
-)
+URL_TYPE = "struct<url:string,scheme:string,host:string,port:int,path:string,query:string,fragment:string>"
+
+
+def _clean(e: str) -> str:
+    edges = q(r"^[\x00-\x20]+|[\x00-\x20]+$")
+    return f"regexp_replace(regexp_replace({e}, {edges}, ''), {q('[' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r]')}, '')"
 
 
-def _encode(c: Column, unsafe: str) -> Column:
+def _encode(e: str, unsafe: str) -> str:
     """Percent-encode the characters of the class `unsafe`, and all non-ASCII, as UTF-8."""
-    cls = f"[\\x00-\\x20\\x7f-\\x{{10ffff}}{unsafe}]"
-    chars = F.transform(
-        F.split(c, ""),
-        lambda ch: F.when(ch.rlike(cls), F.replace(F.url_encode(ch), F.lit("+"), F.lit("%20"))).otherwise(ch),
-    )
-    return F.when(c.rlike(cls), F.array_join(chars, "")).otherwise(c)
+    cls = q(rf"[\x00-\x20\x7f-\x{{10ffff}}{unsafe}]")
+    chars = f"transform(split({e}, ''), ch -> CASE WHEN ch RLIKE {cls} THEN replace(url_encode(ch), '+', '%20') ELSE ch END)"
+    return f"CASE WHEN {e} RLIKE {cls} THEN array_join({chars}, '') ELSE {e} END"
 
 
-def _drop_dots(path: Column) -> Column:
+def _drop_dots(path: str) -> str:
     """Remove `.` and `..` segments."""
-    dot, dots = r"^(?i)(\.|%2e)$", r"^(?i)(\.|%2e){2}$"
-    folded = F.aggregate(
-        F.slice(F.split(path, "/"), 2, F.length(path) + 1),
-        F.lit(""),
-        lambda acc, seg: F.when(seg.rlike(dots), F.regexp_replace(acc, "/[^/]*$", ""))
-        .when(seg.rlike(dot), acc)
-        .otherwise(F.concat(acc, F.lit("/"), seg)),
-    )
-    ended = F.when(path.rlike(r"(?i)/(\.|%2e){1,2}$"), F.concat(folded, F.lit("/"))).otherwise(folded)
-    return F.when(path.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), ended).otherwise(path)
-
-
-def _ipv4_number(part: Column) -> Column:
+    fold = (
+        f"aggregate(slice(split({path}, '/'), 2, length({path}) + 1), '', (kept, seg) -> CASE"
+        f" WHEN seg RLIKE {q(r'^(?i)(?:[.]|%2e){2}$')} THEN regexp_replace(kept, '/[^/]*$', '')"
+        f" WHEN seg RLIKE {q(r'^(?i)(?:[.]|%2e)$')} THEN kept ELSE concat(kept, '/', seg) END)")
+    return (
+        f"CASE WHEN {path} RLIKE {q(r'(?i)/(?:[.]|%2e){1,2}(?:/|$)')}"
+        f" THEN concat({fold}, CASE WHEN {path} RLIKE {q(r'(?i)/(?:[.]|%2e){1,2}$')} THEN '/' ELSE '' END) ELSE {path} END")
+
+
+def _ipv4_number(part: str) -> str:
     """One dotted part as a number: decimal, octal with a leading 0, or hexadecimal."""
     return (
-        F.when(part.rlike("^0[xX][0-9a-fA-F]{0,10}$"),
-               F.conv(F.concat(F.lit("0"), F.substr(part, F.lit(3))), 16, 10).try_cast("bigint"))
-        .when(part.rlike("^0[0-7]{1,13}$"), F.conv(part, 8, 10).try_cast("bigint"))
-        .when(part.rlike("^(0|[1-9][0-9]{0,11})$"), part.try_cast("bigint"))
-    )
-
-
-def _ipv4_host(host: Column) -> Column:
-    """Dotted quad of a host that ends in a number; NULL when the number is out of range."""
-    parts = F.split(F.regexp_replace(host, r"\.$", ""), r"\.")
-    nums = F.transform(parts, _ipv4_number)
-    head = F.aggregate(
-        F.slice(nums, 1, F.greatest(F.size(parts) - 1, F.lit(0))),
-        F.lit(0).cast("bigint"),
-        lambda acc, n: F.when(n.between(0, 255), acc * 256 + n),
-    )
-    last = F.element_at(nums, -1)
-    room = F.pow(F.lit(256), 5 - F.size(parts)).cast("bigint")
-    value = F.when((F.size(parts) <= 4) & (last >= 0) & (last < room), head * room + last)
-    octets = [F.pmod(F.shiftright(value, shift), F.lit(256)).cast("string") for shift in (24, 16, 8, 0)]
-    return F.concat_ws(".", *[F.when(value.isNotNull(), o) for o in octets])
-
-
-def _host(host: Column, special: Column) -> Column:
-    """Normalised host, or NULL when it is not allowed."""
-    plain = F.lower(F.when(F.contains(host, F.lit("%")),
-                           F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B")))).otherwise(host))
-    numeric = F.nullif(_ipv4_host(plain), F.lit(""))
+        f"CASE WHEN {part} RLIKE '^0[xX][0-9a-fA-F]{{0,10}}$' THEN try_cast(conv(concat('0', substr({part}, 3)), 16, 10) AS bigint)"
+        f" WHEN {part} RLIKE '^0[0-7]{{1,13}}$' THEN try_cast(conv({part}, 8, 10) AS bigint)"
+        f" WHEN {part} RLIKE '^(0|[1-9][0-9]{{0,11}})$' THEN try_cast({part} AS bigint) END")
+
+
+def ipv4_value(host: str) -> str:
+    """Number of a host written as an IPv4 address in any of its forms; NULL when it is out of range.
+
+    The leading parts are one octet each, the last part fills the rest.
+    """
+    nums = f"transform(split(regexp_replace({host}, '[.]$', ''), '[.]'), ip -> {_ipv4_number('ip')})"
+    fold = (
+        f"aggregate({nums}, CAST(named_struct('n', 0, 'head', 0, 'last', 0) AS struct<n:int,head:bigint,last:bigint>),"
+        f" (acc, num) -> CAST(named_struct('n', acc.n + 1, 'head', CASE WHEN acc.n = 0 THEN 0"
+        f" WHEN acc.last BETWEEN 0 AND 255 AND acc.n < 4 THEN acc.head * 256 + acc.last END, 'last', num) AS struct<n:int,head:bigint,last:bigint>),"
+        f" acc -> CASE WHEN acc.n <= 4 AND acc.last >= 0 AND acc.last < CAST(pow(256, 5 - acc.n) AS bigint)"
+        f" THEN acc.head * CAST(pow(256, 5 - acc.n) AS bigint) + acc.last END)")
+    return fold
+
+
+def _dotted(value: str) -> str:
+    return "concat_ws('.', " + ", ".join(f"pmod(shiftright({value}, {s}), 256)" for s in (24, 16, 8, 0)) + ")"
+
+
+def _parts(texts: str) -> str:
+    """`{t, scheme, special, p}` of each text, where `p` holds the seven groups of URL_RE."""
+    schemed = (
+        f"transform(transform({texts}, ut -> {_clean('ut')}),"
+        f" ut -> named_struct('t', ut, 'scheme', lower(regexp_extract(ut, {q('^([a-zA-Z][a-zA-Z0-9+.-]*):')}, 1))))")
+    slashed = f"regexp_replace(us.t, {q(chr(92) + 'G([^?#' + chr(92) * 2 + ']*)' + chr(92) * 2)}, '$1/')"
     return (
-        F.when(~special, host)
-        .when(plain.rlike(r"^\[[0-9a-f:.]+\]$"), plain)
-        .when(plain.rlike(r"[\x00-\x20#/:<>?@\[\\\]^|%\x7f]"), F.lit(None).cast("string"))
-        .when(plain.rlike(r"(^|\.)(0x[0-9a-f]*|[0-9]+)\.?$"), numeric)
-        .otherwise(plain)
-    )
+        f"transform({schemed}, us -> named_struct('t', us.t, 'scheme', us.scheme, 'special', us.scheme IN {q_list(SPECIAL)},"
+        f" 'p', split(regexp_replace(CASE WHEN us.scheme IN {q_list(SPECIAL)} THEN {slashed} ELSE us.t END,"
+        f" {q(URL_RE)}, '{_GROUPS}'), '{_SEP}')))")
 
 
-def parse_urls(texts: Column) -> Column:
+def parse_urls(texts: str) -> str:
     """Parse an array of absolute URL texts; an element that is no valid URL becomes NULL."""
-    cleaned = F.transform(
-        texts, lambda t: F.regexp_replace(F.regexp_replace(t, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
-    )
-    schemed = F.transform(
-        cleaned, lambda t: F.struct(t.alias("t"), F.lower(F.regexp_extract(t, "^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)).alias("scheme"))
-    )
-    split = F.transform(
-        schemed,
-        lambda s: F.struct(
-            s.t.alias("t"),
-            s.scheme.alias("scheme"),
-            s.scheme.isin(SPECIAL).alias("special"),
-            F.split(
-                F.regexp_replace(
-                    F.when(s.scheme.isin(SPECIAL), F.regexp_replace(s.t, r"\G([^?#\\]*)\\", "$1/")).otherwise(s.t),
-                    URL_RE, _GROUPS),
-                _SEP).alias("p"),
-        ),
-    )
-    hosted = F.transform(
-        split,
-        lambda s: F.struct(
-            s.t.alias("t"), s.scheme.alias("scheme"), s.special.alias("special"), s.p.alias("p"),
-            (s.special | s.t.rlike(SCHEME_RE + "//")).alias("authority"),
-            _host(F.get(s.p, F.lit(2)), s.special).alias("host"),
-            F.when(F.get(s.p, F.lit(3)).rlike("^[0-9]{1,9}$"), F.get(s.p, F.lit(3)).cast("int")).alias("port"),
-            F.when(s.special, _drop_dots(F.concat(F.when(F.get(s.p, F.lit(4)) == "", F.lit("/")).otherwise(F.lit("")),
-                                                  _encode(F.get(s.p, F.lit(4)), r'"<>`{}^'))))
-            .otherwise(F.get(s.p, F.lit(4))).alias("path"),
-            F.when(s.special, _encode(F.get(s.p, F.lit(5)), "\"<>'")).otherwise(F.get(s.p, F.lit(5))).alias("query"),
-            _encode(F.get(s.p, F.lit(6)), '"<>`').alias("fragment"),
-        ),
-    )
-
-    def build(s: Column) -> Column:
-        default = F.coalesce(*[F.when(s.scheme == k, F.lit(v)) for k, v in DEFAULT_PORTS.items()])
-        port = F.when(s.port.eqNullSafe(default), F.lit(None)).otherwise(s.port)
-        user = F.get(s.p, F.lit(1))
-        userinfo = F.when(user == "", F.lit("")).otherwise(F.concat(user, F.lit("@")))
-        href = F.concat(s.scheme, F.lit("://"), userinfo, s.host,
-                        F.coalesce(F.concat(F.lit(":"), port.cast("string")), F.lit("")), s.path, s.query, s.fragment)
-        opaque = F.concat(s.scheme, F.substr(s.t, F.length(s.scheme) + 1))
-        ok = (F.size(s.p) == 7) & s.host.isNotNull() & ((s.host != "") | (s.scheme == "file")) & (
-            (F.get(s.p, F.lit(3)) == "") | (s.port <= 65535))
-        return F.when(
-            s.authority & ok,
-            F.struct(href.alias("url"), s.scheme.alias("scheme"), s.host.alias("host"),
-                     F.coalesce(port, default).alias("port"), s.path.alias("path"), s.query.alias("query"),
-                     s.fragment.alias("fragment")).cast(URL_TYPE),
-        ).when(
-            ~s.authority & (s.scheme != ""),
-            F.struct(opaque.alias("url"), s.scheme.alias("scheme"), F.lit("").alias("host"),
-                     F.lit(None).cast("int").alias("port"), F.lit("").alias("path"), F.lit("").alias("query"),
-                     F.lit("").alias("fragment")).cast(URL_TYPE),
-        )
-
-    return F.transform(hosted, build)
-
-
-def parse_url(text: Column) -> Column:
-    """Parse one absolute URL text."""
-    return F.get(parse_urls(F.array(text)), F.lit(0))
+    named = (
+        f"transform({_parts(texts)}, up -> named_struct('t', up.t, 'scheme', up.scheme, 'special', up.special, 'p', up.p,"
+        f" 'host', lower(CASE WHEN contains(get(up.p, 2), '%') THEN try_url_decode(replace(get(up.p, 2), '+', '%2B')) ELSE get(up.p, 2) END)))")
+    forbidden = q(r"[\x00-\x20#/:<>?@\[\\\]^|%\x7f]")
+    host = (
+        f"CASE WHEN NOT uh.special THEN get(uh.p, 2) WHEN uh.host RLIKE {q(r'^\[[0-9a-f:.]+\]$')} THEN uh.host"
+        f" WHEN uh.host RLIKE {forbidden} THEN NULL"
+        f" WHEN uh.host RLIKE '(^|[.])(0x[0-9a-f]*|[0-9]+)[.]?$' THEN CAST({ipv4_value('uh.host')} AS string)"
+        f" ELSE uh.host END")
+    numeric = "uh.special AND uh.host RLIKE '(^|[.])(0x[0-9a-f]*|[0-9]+)[.]?$' AND NOT startswith(uh.host, '[')"
+    raw_path = "concat(CASE WHEN get(uh.p, 4) = '' THEN '/' ELSE '' END, " + _encode("get(uh.p, 4)", '"<>`{}^') + ")"
+    hosted = (
+        f"transform({named}, uh -> named_struct('t', uh.t, 'scheme', uh.scheme, 'special', uh.special, 'p', uh.p,"
+        f" 'authority', uh.special OR uh.t RLIKE {q(SCHEME_RE + '//')}, 'host', {host}, 'numeric', {numeric},"
+        f" 'port', CASE WHEN get(uh.p, 3) RLIKE '^[0-9]{{1,9}}$' THEN CAST(get(uh.p, 3) AS int) END,"
+        f" 'raw_path', CASE WHEN uh.special THEN {raw_path} ELSE get(uh.p, 4) END,"
+        f" 'query', CASE WHEN uh.special THEN {_encode('get(uh.p, 5)', chr(34) + '<>' + chr(39))} ELSE get(uh.p, 5) END,"
+        f" 'fragment', {_encode('get(uh.p, 6)', chr(34) + '<>`')}))")
+    default = "CASE " + " ".join(f"WHEN ud.scheme = '{k}' THEN {v}" for k, v in DEFAULT_PORTS.items()) + " END"
+    done = (
+        f"transform({hosted}, ud -> named_struct('t', ud.t, 'scheme', ud.scheme, 'p', ud.p, 'authority', ud.authority,"
+        f" 'host', CASE WHEN ud.numeric THEN {_dotted('CAST(ud.host AS bigint)')} ELSE ud.host END,"
+        f" 'ok', size(ud.p) = 7 AND ud.host IS NOT NULL AND (ud.host <> '' OR ud.scheme = 'file')"
+        f" AND (get(ud.p, 3) = '' OR ud.port <= 65535),"
+        f" 'written_port', nullif(ud.port, {default}), 'port', coalesce(ud.port, {default}),"
+        f" 'path', CASE WHEN ud.special THEN {_drop_dots('ud.raw_path')} ELSE ud.raw_path END,"
+        f" 'query', ud.query, 'fragment', ud.fragment))")
+    href = (
+        "concat(ur.scheme, '://', CASE WHEN get(ur.p, 1) = '' THEN '' ELSE concat(get(ur.p, 1), '@') END, ur.host,"
+        " coalesce(concat(':', ur.written_port), ''), ur.path, ur.query, ur.fragment)")
+    fields = "'url', {}, 'scheme', ur.scheme, 'host', {}, 'port', {}, 'path', {}, 'query', {}, 'fragment', {}"
+    return (
+        f"transform({done}, ur -> CASE WHEN ur.authority AND ur.ok"
+        f" THEN CAST(named_struct({fields.format(href, 'ur.host', 'ur.port', 'ur.path', 'ur.query', 'ur.fragment')}) AS {URL_TYPE})"
+        f" WHEN NOT ur.authority AND ur.scheme <> '' THEN CAST(named_struct("
+        + fields.format("concat(ur.scheme, substr(ur.t, length(ur.scheme) + 1))", "''", "NULL", "''", "''", "''")
+        + f") AS {URL_TYPE}) END)")
 
 
-def _origin(base: Column) -> Column:
-    return F.regexp_extract(base.url, r"^[a-z][a-z0-9+.-]*://[^/?#]*", 0)
+def parse_url(text: str) -> str:
+    """Parse one absolute URL text."""
+    return f"get({parse_urls(f'array({text})')}, 0)"
 
 
-def absolute_text(href: Column, base: Column) -> Column:
+def absolute_text(href: str, base: str) -> str:
     """Absolute text of `href` seen from the parsed URL `base`, not yet normalised."""
-    h = F.regexp_replace(F.regexp_replace(href, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
-    origin = _origin(base)
-    # "https:page" next to an https base is a relative reference
-    rel = F.when(
-        base.scheme.isin(SPECIAL) & F.startswith(F.lower(h), F.concat(base.scheme, F.lit(":"))) & ~h.rlike(r"^[a-zA-Z]+:[/\\]"),
-        F.substr(h, F.length(base.scheme) + 2),
-    ).otherwise(h)
+    origin = f"regexp_extract({base}.url, '^[a-z][a-z0-9+.-]*://[^/?#]*', 0)"
     return (
-        F.when(rel.rlike(SCHEME_RE), rel)
-        .when(rel.rlike(r"^[/\\]{2}"), F.concat(base.scheme, F.lit(":"), rel))
-        .when(rel.rlike(r"^[/\\]"), F.concat(origin, rel))
-        .when(rel.startswith("?"), F.concat(origin, base.path, rel))
-        .when((rel == "") | rel.startswith("#"), F.concat(origin, base.path, base.query, rel))
-        .otherwise(F.concat(origin, F.regexp_replace(base.path, "[^/]*$", ""), rel))
-    )
+        f"CASE WHEN {href} RLIKE {q(SCHEME_RE)} THEN {href}"
+        f" WHEN {href} RLIKE {q(r'^[/\\]{2}')} THEN concat({base}.scheme, ':', {href})"
+        f" WHEN {href} RLIKE {q(r'^[/\\]')} THEN concat({origin}, {href})"
+        f" WHEN startswith({href}, '?') THEN concat({origin}, {base}.path, {href})"
+        f" WHEN {href} = '' OR startswith({href}, '#') THEN concat({origin}, {base}.path, {base}.query, {href})"
+        f" ELSE concat({origin}, regexp_replace({base}.path, '[^/]*$', ''), {href}) END")
 
 
-def resolve_urls(hrefs: Column, base: Column) -> Column:
+def resolve_urls(hrefs: str, base: str) -> str:
     """Resolve an array of references against one parsed base URL."""
-    return parse_urls(F.transform(hrefs, lambda h: absolute_text(h, base)))
+    # "https:page" next to an https base is a relative reference
+    short = (
+        f"{base}.scheme IN {q_list(SPECIAL)} AND startswith(lower(rh), concat({base}.scheme, ':'))"
+        f" AND NOT rh RLIKE {q(r'^[a-zA-Z]+:[/\\]')}")
+    relative = (
+        f"transform(transform({hrefs}, rh -> {_clean('rh')}),"
+        f" rh -> CASE WHEN {short} THEN substr(rh, length({base}.scheme) + 2) ELSE rh END)")
+    return parse_urls(f"transform({relative}, rr -> {absolute_text('rr', base)})")
 
 
-def resolve_url(href: Column, base: Column) -> Column:
+def resolve_url(href: str, base: str) -> str:
     """Resolve one reference against one parsed base URL."""
-    return F.get(resolve_urls(F.array(href), base), F.lit(0))
+    return f"get({resolve_urls(f'array({href})', base)}, 0)"

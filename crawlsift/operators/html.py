@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from crawlsift.functions import markup as M
 from crawlsift.functions import urls as U
-from crawlsift.functions.text import present, squish, strip
+from crawlsift.functions.text import decode_entities, present, q, q_list, squish, strip
 
 # List lengths of a page report and of its shorter parts.
 LINK_CAP, IMAGE_CAP, SCRIPT_CAP, STYLESHEET_CAP, SUBHEADING_CAP, TEXT_CAP = 150, 150, 100, 100, 10, 100
@@ -27,165 +27,163 @@ _ATTR_TAGS = ["html", "meta", "link", "img", "script", "source"]
 
 def scan(pages: DataFrame) -> DataFrame:
     """Pages that have a document at all."""
-    return pages.where(F.col("html").isNotNull() & (F.col("html") != ""))
+    return pages.where("html IS NOT NULL AND html <> ''")
 
 
-def lexed(pages: DataFrame) -> DataFrame:
-    """Pages with `base`, `tokens`, `marks` and the attribute-bearing elements `els`."""
+def _mark_rows(pages: DataFrame) -> DataFrame:
     return (
         scan(pages)
-        .withColumns({"base": U.parse_url(F.col("url")), "tokens": M.tokens(F.col("html"))})
-        .withColumn("marks", M.marks(F.col("tokens")))
-        .withColumn("els", F.transform(
-            F.filter("marks", lambda m: m.tag.isin(_ATTR_TAGS)),
-            lambda m: F.struct(m.pos.alias("pos"), m.tag.alias("tag"), M.parse_attrs(m.raw).alias("attrs"),
-                               m.raw.alias("raw"))))
-    )
+        .withColumns({"base": F.expr(U.parse_url("url")), "tokens": F.expr(M.tokens("html"))})
+        .withColumn("marks", F.expr(M.marks("tokens"))))
+
+
+def lexed(pages: DataFrame) -> DataFrame:
+    """Pages with `base`, `tokens`, `marks` and the attribute-bearing elements `els`."""
+    els = (
+        f"transform(filter(marks, lm -> lm.tag IN {q_list(_ATTR_TAGS)}), le -> named_struct('pos', le.pos, 'tag', le.tag,"
+        f" 'attrs', {M.parse_attrs('le.raw')}, 'raw', le.raw))")
+    return _mark_rows(pages).withColumn("els", F.expr(els))
 
 
 def elements(pages: DataFrame) -> DataFrame:
     """Every element in document order with its attributes."""
-    opened = lexed(pages).select("page_id", "url", F.explode(F.filter("marks", M.is_open)).alias("m"))
-    return (
-        opened.select("page_id", "url", "m.pos", F.col("m.tag").alias("tag"), M.parse_attrs(F.col("m.raw")).alias("attrs"))
-        .withColumn("attrs", M.attr_map(F.col("attrs")))
-    )
+    opened = _mark_rows(pages).select("page_id", "url", F.expr("inline_outer(filter(marks, em -> NOT startswith(em.tag, '/')))"))
+    opened = opened.where("pos IS NOT NULL")
+    return opened.select("page_id", "url", "pos", "tag", F.expr(M.parse_attrs("raw")).alias("attrs")).withColumn(
+        "attrs", F.expr(M.attr_map("attrs")))
+
+
+def element_attributes(elems: DataFrame) -> DataFrame:
+    """One row per attribute of every element."""
+    return elems.select("page_id", "pos", "tag", F.explode_outer("attrs").alias("attr", "value")).where("attr IS NOT NULL")
+
 
+def tag_census(pages: DataFrame) -> DataFrame:
+    """Elements and pages per tag."""
+    per_page = _mark_rows(pages).select(
+        "page_id", F.explode_outer(F.expr("transform(filter(marks, em -> NOT startswith(em.tag, '/')), em -> em.tag)")).alias("tag")
+    ).where("tag IS NOT NULL").groupBy("tag", "page_id").agg(F.count("*").alias("n"))
+    return per_page.groupBy("tag").agg(F.sum("n").alias("elements"), F.count("*").alias("pages"))
 
-def _first(els: Column, cond) -> Column:
-    return F.get(F.filter(els, cond), F.lit(0))
 
+def _first(source: str, cond: str) -> str:
+    return f"get(filter({source}, fe -> {cond}), 0)"
 
-def _meta(key: str, value: str) -> Column:
-    hit = _first(F.col("els"), lambda e: (e.tag == "meta") & (F.lower(M.attr(e.attrs, key)) == value))
-    return present(M.attr(hit.attrs, "content"))
 
+def _meta(key: str, value: str) -> str:
+    hit = _first("els", f"fe.tag = 'meta' AND lower({M.attr('fe.attrs', key)}) = '{value}'")
+    return present(M.attr(f"{hit}.attrs", "content"))
 
-def _link(rel: str) -> Column:
-    hit = _first(F.col("els"), lambda e: (e.tag == "link") & (F.lower(M.attr(e.attrs, "rel")) == rel))
-    return present(M.attr(hit.attrs, "href"))
 
+def _link(rel: str) -> str:
+    hit = _first("els", f"fe.tag = 'link' AND lower({M.attr('fe.attrs', 'rel')}) = '{rel}'")
+    return present(M.attr(f"{hit}.attrs", "href"))
 
-def _count(name: str) -> Column:
-    return F.size(F.filter("marks", lambda m: m.tag == name)).cast("bigint")
 
+def _count(tag: str) -> str:
+    return f"CAST(size(filter(marks, cm -> cm.tag = '{tag}')) AS bigint)"
 
-def _is_stylesheet(e: Column) -> Column:
-    return (e.tag == "link") & F.contains(F.lower(M.attr(e.attrs, "rel")), F.lit("stylesheet"))
+
+def _pairs(key: str, prefix: str) -> str:
+    """Key and content of each `prefix*` meta in document order."""
+    name = f"lower({M.attr('oe.attrs', key)})"
+    return (
+        f"filter(transform(filter(els, oe -> oe.tag = 'meta' AND startswith({name}, '{prefix}')),"
+        f" oe -> named_struct('k', substr({name}, {len(prefix) + 1}), 'v', {present(M.attr('oe.attrs', 'content'))})),"
+        f" op -> op.k <> '' AND op.v IS NOT NULL)")
 
 
-def _social(key: str, prefix: str) -> Column:
-    """Map of `prefix*` metas: last value wins, names keep the order of their first appearance."""
-    hits = F.filter(
-        F.transform(
-            F.filter("els", lambda e: (e.tag == "meta") & F.startswith(F.lower(M.attr(e.attrs, key)), F.lit(prefix))),
-            lambda e: F.struct(
-                F.substr(F.lower(M.attr(e.attrs, key)), F.lit(len(prefix) + 1)).alias("k"),
-                present(M.attr(e.attrs, "content")).alias("v"))),
-        lambda kv: (kv.k != "") & kv.v.isNotNull())
-    names = F.array_distinct(F.transform(hits, lambda kv: kv.k))
-    values = F.transform(names, lambda n: F.element_at(F.filter(hits, lambda kv: kv.k == n), -1).v)
-    return F.when(F.size(hits) > 0, F.map_from_arrays(names, values))
+def _last_wins(pairs: str) -> str:
+    """Map of pairs: last value wins, names keep the order of their first appearance; NULL when empty."""
+    names = f"array_distinct(transform({pairs}, wp -> wp.k))"
+    values = f"transform({names}, wn -> element_at(filter({pairs}, wf -> wf.k = wn), -1).v)"
+    return f"CASE WHEN size({pairs}) > 0 THEN map_from_arrays({names}, {values}) END"
 
 
-def _texts(tag: str) -> Column:
+def _texts(tag: str) -> str:
     """Non-empty, whitespace-collapsed texts of one heading level."""
-    found = F.transform(
-        F.filter(M.spans(F.col("marks"), _HEADINGS, _HEADINGS + ["/" + h for h in _HEADINGS]), lambda s: s.tag == tag),
-        lambda s: squish(M.inner_text(F.col("tokens"), s)))
-    return F.filter(found, lambda t: t != "")
+    bounds = _HEADINGS + ["/" + h for h in _HEADINGS]
+    return (
+        f"filter(transform(filter({M.spans('marks', _HEADINGS, bounds)}, hs -> hs.tag = '{tag}'),"
+        f" hs -> {squish(M.inner_text('tokens', 'hs'))}), ht -> ht <> '')")
 
 
-def _title() -> Column:
-    raw = _first(F.col("marks"), lambda m: m.tag == "title").raw
-    return present(M.decode_entities(M.raw_body(raw)))
+def _title() -> str:
+    return present(decode_entities(M.raw_body(_first("marks", "fe.tag = 'title'") + ".raw")))
 
 
 def analyse(pages: DataFrame) -> DataFrame:
     """One row per page with nested stats, head, headings, links, images, scripts, stylesheets, social and JSON-LD.
 
-    Lists are whole here and their counters uncapped; `top_n` applies the report's list lengths.
+    Lists are whole here and their counters uncapped; the report's list lengths are applied where lists are shown.
     """
-    anchors = F.transform(
-        M.spans(F.col("marks"), ["a"], ["a", "/a"]),
-        lambda s: F.struct(s.pos.alias("pos"), M.parse_attrs(s.raw).alias("attrs"),
-                           F.substr(squish(M.inner_text(F.col("tokens"), s)), F.lit(1), F.lit(TEXT_CAP)).alias("text")))
-    scripts = F.transform(
-        F.filter("els", lambda e: e.tag == "script"),
-        lambda e: F.struct(e.pos.alias("pos"), F.lower(strip(F.coalesce(M.attr(e.attrs, "type"), F.lit("")))).alias("type"),
-                           F.lower(M.attr(e.attrs, "type")).alias("written_type"),
-                           present(M.attr(e.attrs, "src")).alias("src"), M.raw_body(e.raw).alias("body")))
-    base_cols = ["page_id", "url", "base", "html", "tokens", "marks", "els"]
-    found = lexed(pages).select(
-        *base_cols,
-        F.filter(
-            F.transform(anchors, lambda a: F.struct(
-                a.pos.alias("pos"), strip(M.attr(a.attrs, "href")).alias("href"),
-                strip(F.coalesce(M.attr(a.attrs, "rel"), F.lit(""))).alias("rel"), a.text.alias("text"))),
-            lambda a: (a.href != "") & ~a.href.startswith("#") & ~a.href.startswith("javascript:")).alias("anchors"),
-        scripts.alias("scripts"),
-        F.transform(F.filter("els", _is_stylesheet), lambda e: F.struct(
-            e.pos.alias("pos"), present(M.attr(e.attrs, "href")).alias("href"))).alias("sheets"),
-    ).withColumns({
-        "code": F.filter("scripts", lambda s: ~s.type.isin(DATA_SCRIPT_TYPES)),
-        "sheet_files": F.filter("sheets", lambda s: s.href.isNotNull()),
-    }).withColumn("code_files", F.filter("code", lambda s: s.src.isNotNull())
-    ).withColumns({
-        "anchor_urls": U.resolve_urls(F.transform("anchors", lambda a: a.href), F.col("base")),
-        "code_urls": U.resolve_urls(F.transform("code_files", lambda s: s.src), F.col("base")),
-        "sheet_urls": U.resolve_urls(F.transform("sheet_files", lambda s: s.href), F.col("base")),
-    })
-
-    def link(a: Column, r: Column) -> Column:
-        internal = (
-            F.when(F.col("base.url").isNull(), ~a.href.rlike("^https?://"))
-            .when(r.url.isNull(), ~a.href.startswith("http"))
-            .otherwise(r.host == F.col("base.host")))
-        return F.struct(
-            a.pos.alias("pos"), F.coalesce(r.url, a.href).alias("url"), a.href.alias("raw_href"), a.text.alias("text"),
-            F.when(internal, F.lit("Internal")).otherwise(F.lit("External")).alias("type"),
-            F.when(a.rel == "", F.lit(NO_REL)).otherwise(a.rel).alias("rel"),
-            a.rel.rlike("(?i)nofollow").alias("is_nofollow"))
-
-    def image(e: Column) -> Column:
-        alt = strip(F.coalesce(M.attr(e.attrs, "alt"), F.lit("")))
-        lazy = (F.lower(M.attr(e.attrs, "loading")).eqNullSafe(F.lit("lazy"))) | M.attr(e.attrs, "data-lazy").isNotNull()
-        return F.struct(
-            e.pos.alias("pos"),
-            F.coalesce(present(M.attr(e.attrs, "src")), present(M.attr(e.attrs, "data-src"))).alias("src"),
-            F.when(alt == "", F.lit(MISSING_ALT)).otherwise(alt).alias("alt"), (alt != "").alias("has_alt"),
-            F.when(lazy, F.lit("lazy")).otherwise(F.lit("eager")).alias("loading"))
-
-    icon = F.coalesce(_link("icon"), _link("shortcut icon"), _link("apple-touch-icon"))
-    charset = _first(F.col("els"), lambda e: (e.tag == "meta") & M.attr(e.attrs, "charset").isNotNull())
-    ld_blocks = F.filter("scripts", lambda s: (s.written_type == "application/ld+json") & (s.body != ""))
-    return found.select(
+    anchors = (
+        f"filter(transform(transform({M.spans('marks', ['a'], ['a', '/a'])},"
+        f" an -> named_struct('pos', an.pos, 'attrs', {M.parse_attrs('an.raw')},"
+        f" 'text', substr({squish(M.inner_text('tokens', 'an'))}, 1, {TEXT_CAP}))),"
+        f" aa -> named_struct('pos', aa.pos, 'href', {strip(M.attr('aa.attrs', 'href'))},"
+        f" 'rel', {strip('coalesce(' + M.attr('aa.attrs', 'rel') + ', ' + q('') + ')')}, 'text', aa.text)),"
+        f" ah -> ah.href <> '' AND NOT startswith(ah.href, '#') AND NOT startswith(ah.href, 'javascript:'))")
+    scripts = (
+        f"transform(filter(els, xs -> xs.tag = 'script'), xs -> named_struct('pos', xs.pos,"
+        f" 'type', lower({strip('coalesce(' + M.attr('xs.attrs', 'type') + ', ' + q('') + ')')}),"
+        f" 'written_type', lower({M.attr('xs.attrs', 'type')}), 'src', {present(M.attr('xs.attrs', 'src'))},"
+        f" 'body', {M.raw_body('xs.raw')}))")
+    sheets = (
+        f"transform(filter(els, xl -> xl.tag = 'link' AND contains(lower({M.attr('xl.attrs', 'rel')}), 'stylesheet')),"
+        f" xl -> named_struct('pos', xl.pos, 'href', {present(M.attr('xl.attrs', 'href'))}))")
+    found = (
+        lexed(pages)
+        .withColumns({"anchors": F.expr(anchors), "scripts": F.expr(scripts), "sheets": F.expr(sheets),
+                      "og_pairs": F.expr(_pairs("property", "og:")), "tw_pairs": F.expr(_pairs("name", "twitter:"))})
+        .withColumns({
+            "code_files": F.expr(f"filter(scripts, xs -> xs.src IS NOT NULL AND xs.type NOT IN {q_list(DATA_SCRIPT_TYPES)})"),
+            "sheet_files": F.expr("filter(sheets, xl -> xl.href IS NOT NULL)")})
+        .withColumns({
+            "anchor_urls": F.expr(U.resolve_urls("transform(anchors, xa -> xa.href)", "base")),
+            "code_urls": F.expr(U.resolve_urls("transform(code_files, xs -> xs.src)", "base")),
+            "sheet_urls": F.expr(U.resolve_urls("transform(sheet_files, xl -> xl.href)", "base"))}))
+
+    internal = (
+        "CASE WHEN base.url IS NULL THEN NOT zl.href RLIKE '^https?://' WHEN zr.url IS NULL THEN NOT startswith(zl.href, 'http')"
+        " ELSE zr.host = base.host END")
+    links = (
+        f"zip_with(anchors, anchor_urls, (zl, zr) -> named_struct('pos', zl.pos, 'url', coalesce(zr.url, zl.href),"
+        f" 'raw_href', zl.href, 'text', zl.text, 'type', CASE WHEN {internal} THEN 'Internal' ELSE 'External' END,"
+        f" 'rel', CASE WHEN zl.rel = '' THEN '{NO_REL}' ELSE zl.rel END, 'is_nofollow', zl.rel RLIKE '(?i)nofollow'))")
+    alt = f"coalesce({strip(M.attr('xi.attrs', 'alt'))}, '')"
+    lazy = f"coalesce(lower({M.attr('xi.attrs', 'loading')}) = 'lazy', false) OR {M.attr('xi.attrs', 'data-lazy')} IS NOT NULL"
+    images = (
+        f"filter(transform(filter(els, xi -> xi.tag = 'img'), xi -> named_struct('pos', xi.pos,"
+        f" 'src', coalesce({present(M.attr('xi.attrs', 'src'))}, {present(M.attr('xi.attrs', 'data-src'))}),"
+        f" 'alt', CASE WHEN {alt} = '' THEN '{MISSING_ALT}' ELSE {alt} END, 'has_alt', {alt} <> '',"
+        f" 'loading', CASE WHEN {lazy} THEN 'lazy' ELSE 'eager' END)), xi -> xi.src IS NOT NULL)")
+    lang = M.attr(_first("els", "fe.tag = 'html'") + ".attrs", "lang")
+    charset = M.attr(_first("els", f"fe.tag = 'meta' AND {M.attr('fe.attrs', 'charset')} IS NOT NULL") + ".attrs", "charset")
+    ld = (
+        f"transform(filter(scripts, xs -> xs.written_type = 'application/ld+json' AND xs.body <> ''),"
+        f" xs -> named_struct('pos', xs.pos, 'json', {strip('xs.body')}))")
+    return found.selectExpr(
         "page_id", "url", "base", "html",
-        F.struct(
-            F.octet_length("html").cast("bigint").alias("total_size"),
-            F.size(F.filter("marks", M.is_open)).cast("bigint").alias("dom_elements"),
-            _count("a").alias("links"), _count("img").alias("images"), _count("script").alias("scripts"),
-            F.size("sheets").cast("bigint").alias("stylesheets"), _count("style").alias("inline_styles"),
-            _count("form").alias("forms")).alias("stats"),
-        F.struct(
-            _title().alias("title"),
-            F.coalesce(_meta("name", "description"), _meta("property", "og:description")).alias("description"),
-            _meta("name", "keywords").alias("keywords"), _meta("name", "robots").alias("robots"),
-            _link("canonical").alias("canonical"),
-            present(M.attr(_first(F.col("els"), lambda e: e.tag == "html").attrs, "lang")).alias("lang"),
-            F.coalesce(present(M.attr(charset.attrs, "charset")), _meta("http-equiv", "content-type")).alias("charset"),
-            _meta("name", "viewport").alias("viewport"), icon.alias("favicon")).alias("head"),
-        F.struct(_texts("h1").alias("h1"), _texts("h2").alias("h2"), _texts("h3").alias("h3")).alias("headings"),
-        F.zip_with("anchors", "anchor_urls", link).alias("links"),
-        F.filter(F.transform(F.filter("els", lambda e: e.tag == "img"), image), lambda i: i.src.isNotNull()).alias("images"),
-        F.zip_with("code_files", "code_urls", lambda s, r: F.struct(
-            s.pos.alias("pos"), F.coalesce(r.url, s.src).alias("url"))).alias("script_files"),
-        F.size(F.filter("code", lambda s: s.src.isNull())).cast("bigint").alias("inline_scripts"),
-        F.zip_with("sheet_files", "sheet_urls", lambda s, r: F.struct(
-            s.pos.alias("pos"), F.coalesce(r.url, s.href).alias("url"))).alias("stylesheet_files"),
-        _social("property", "og:").alias("open_graph"),
-        _social("name", "twitter:").alias("twitter"),
-        F.transform(ld_blocks, lambda s: F.struct(s.pos.alias("pos"), strip(s.body).alias("json"))).alias("json_ld"),
+        "named_struct('total_size', CAST(octet_length(html) AS bigint),"
+        " 'dom_elements', CAST(size(filter(marks, cm -> NOT startswith(cm.tag, '/'))) AS bigint),"
+        f" 'links', {_count('a')}, 'images', {_count('img')}, 'scripts', {_count('script')},"
+        f" 'stylesheets', CAST(size(sheets) AS bigint), 'inline_styles', {_count('style')}, 'forms', {_count('form')}) AS stats",
+        f"named_struct('title', {_title()},"
+        f" 'description', coalesce({_meta('name', 'description')}, {_meta('property', 'og:description')}),"
+        f" 'keywords', {_meta('name', 'keywords')}, 'robots', {_meta('name', 'robots')}, 'canonical', {_link('canonical')},"
+        f" 'lang', {present(lang)}, 'charset', coalesce({present(charset)}, {_meta('http-equiv', 'content-type')}),"
+        f" 'viewport', {_meta('name', 'viewport')},"
+        f" 'favicon', coalesce({_link('icon')}, {_link('shortcut icon')}, {_link('apple-touch-icon')})) AS head",
+        f"named_struct('h1', {_texts('h1')}, 'h2', {_texts('h2')}, 'h3', {_texts('h3')}) AS headings",
+        f"{links} AS links",
+        f"{images} AS images",
+        "zip_with(code_files, code_urls, (zs, zr) -> named_struct('pos', zs.pos, 'url', coalesce(zr.url, zs.src))) AS script_files",
+        f"CAST(size(filter(scripts, xs -> xs.src IS NULL AND xs.type NOT IN {q_list(DATA_SCRIPT_TYPES)})) AS bigint) AS inline_scripts",
+        "zip_with(sheet_files, sheet_urls, (zs, zr) -> named_struct('pos', zs.pos, 'url', coalesce(zr.url, zs.href))) AS stylesheet_files",
+        f"{_last_wins('og_pairs')} AS open_graph",
+        f"{_last_wins('tw_pairs')} AS twitter",
+        f"{ld} AS json_ld",
     )
 
 
@@ -214,8 +212,11 @@ def top_n(facts: DataFrame, column: str, n: int) -> DataFrame:
 
 
 def rows_of(facts: DataFrame, column: str) -> DataFrame:
-    """One row per entry of a page's list."""
-    return facts.select("page_id", F.col("url").alias("page_url"), F.inline(column))
+    """One row per entry of a page's list.
+
+    The outer form keeps the optimizer from inferring `size(list) > 0` below the projection, which would lex twice.
+    """
+    return facts.select("page_id", F.col("url").alias("page_url"), F.inline_outer(column)).where("pos IS NOT NULL")
 
 
 def links(facts: DataFrame) -> DataFrame:
@@ -223,15 +224,16 @@ def links(facts: DataFrame) -> DataFrame:
     return rows_of(facts, "links")
 
 
+def _n(array: str, cond: str) -> Column:
+    return F.expr(f"CAST(size(filter({array}, x -> {cond})) AS bigint)")
+
+
 def link_counts(facts: DataFrame) -> DataFrame:
     """Totals per page; total counts every anchor, the other counters only real targets."""
-    def n(cond) -> Column:
-        return F.size(F.filter("links", cond)).cast("bigint")
-
     return facts.select(
         "page_id", "url", F.col("base.host").alias("host"), F.col("stats.links").alias("total"),
-        n(lambda x: x.type == "Internal").alias("internal"), n(lambda x: x.type == "External").alias("external"),
-        n(lambda x: x.is_nofollow).alias("nofollow"))
+        _n("links", "x.type = 'Internal'").alias("internal"), _n("links", "x.type = 'External'").alias("external"),
+        _n("links", "x.is_nofollow").alias("nofollow"))
 
 
 def site_link_profile(facts: DataFrame) -> DataFrame:
@@ -243,20 +245,16 @@ def site_link_profile(facts: DataFrame) -> DataFrame:
 
 def image_audit(facts: DataFrame) -> DataFrame:
     """Image counters per page; total counts every img, the others only those with a source."""
-    def n(cond) -> Column:
-        return F.size(F.filter("images", cond)).cast("bigint")
-
     return facts.select(
-        "page_id", F.col("stats.images").alias("total"), n(lambda i: i.has_alt).alias("with_alt"),
-        n(lambda i: ~i.has_alt).alias("missing_alt"), n(lambda i: i.loading == "lazy").alias("lazy"))
+        "page_id", F.col("stats.images").alias("total"), _n("images", "x.has_alt").alias("with_alt"),
+        _n("images", "NOT x.has_alt").alias("missing_alt"), _n("images", "x.loading = 'lazy'").alias("lazy"))
 
 
 def script_breakdown(facts: DataFrame) -> DataFrame:
     """External and inline executable scripts per page, with the first files."""
     return facts.select(
         "page_id", F.col("stats.scripts").alias("total"), F.size("script_files").cast("bigint").alias("external_count"),
-        F.col("inline_scripts").alias("inline_count"),
-        F.slice(F.transform("script_files", lambda s: s.url), 1, SCRIPT_CAP).alias("files"))
+        F.col("inline_scripts").alias("inline_count"), F.slice("script_files.url", 1, SCRIPT_CAP).alias("files"))
 
 
 def stylesheet_breakdown(facts: DataFrame) -> DataFrame:
@@ -264,13 +262,12 @@ def stylesheet_breakdown(facts: DataFrame) -> DataFrame:
     return facts.select(
         "page_id", F.col("stats.stylesheets").alias("total"),
         F.size("stylesheet_files").cast("bigint").alias("external_count"),
-        F.col("stats.inline_styles").alias("inline_count"),
-        F.slice(F.transform("stylesheet_files", lambda s: s.url), 1, STYLESHEET_CAP).alias("files"))
+        F.col("stats.inline_styles").alias("inline_count"), F.slice("stylesheet_files.url", 1, STYLESHEET_CAP).alias("files"))
 
 
 def social_pairs(facts: DataFrame, column: str) -> DataFrame:
     """`open_graph` or `twitter` maps as rows."""
-    return facts.select("page_id", F.explode(column).alias("key", "content"))
+    return facts.select("page_id", F.explode_outer(column).alias("key", "content")).where("key IS NOT NULL")
 
 
 def json_ld(facts: DataFrame) -> DataFrame:
@@ -297,10 +294,9 @@ FRAMEWORKS = [
 
 def framework(pages: DataFrame) -> DataFrame:
     """Framework marker of each page, NULL when there is none."""
-    found = F.coalesce(*[
-        F.when(F.greatest(F.lit(False), *[F.contains("html", F.lit(m)) for m in needles]), F.lit(label))
-        for label, needles in FRAMEWORKS])
-    return scan(pages).select("page_id", "url", found.alias("framework"))
+    cases = " ".join(
+        "WHEN " + " OR ".join(f"contains(html, {q(n)})" for n in needles) + f" THEN {q(label)}" for label, needles in FRAMEWORKS)
+    return scan(pages).select("page_id", "url", F.expr(f"CASE {cases} END").alias("framework"))
 
 
 def framework_census(pages: DataFrame) -> DataFrame:
@@ -311,12 +307,12 @@ def framework_census(pages: DataFrame) -> DataFrame:
 
 def eligibility(responses: DataFrame) -> DataFrame:
     """Media type of each response and whether it can be analysed as HTML."""
-    kind = F.lower(strip(F.substring_index(F.coalesce("content_type", F.lit("")), ";", 1)))
+    kind = "lower(" + strip("substring_index(coalesce(content_type, ''), ';', 1)") + ")"
     is_html = F.col("media_type").isin(HTML_TYPES)
     notice = F.concat(
         F.lit("The server returned '"), F.coalesce(F.nullif(F.col("media_type"), F.lit("")), F.lit("unknown")),
         F.lit("'. HTML structure inspection is only available for HTML resources."))
-    return responses.withColumn("media_type", kind).withColumns(
+    return responses.withColumn("media_type", F.expr(kind)).withColumns(
         {"is_html": is_html, "notice": F.when(~is_html, notice)})
 
 
@@ -337,7 +333,7 @@ def search(pages: DataFrame, needle: str) -> DataFrame:
     """Source lines that contain the needle in any case, with line number and hit count."""
     query = needle.strip()
     lines = scan(pages).where(F.contains(F.lower("html"), F.lit(query.lower()))).select(
-        "page_id", F.posexplode(F.split("html", r"\r?\n")).alias("line0", "line"))
+        "page_id", F.posexplode_outer(F.split("html", r"\r?\n")).alias("line0", "line"))
     quoted = r"(?iu)\Q" + query.replace(r"\E", r"\E\\E\Q") + r"\E"
     return lines.where(F.contains(F.lower("line"), F.lit(query.lower()))).select(
         "page_id", (F.col("line0") + 1).cast("bigint").alias("line_no"), "line",
@@ -362,12 +358,6 @@ _LEAF = ["noscript", "iframe", "svg"]
 _HIDDEN = ["script", "style"]
 
 
-def _last(stack: Column, names: list[str]) -> Column:
-    """1-based place of the last of these names on the stack, 0 when there is none."""
-    back = [F.array_position(F.reverse(stack), n) for n in names]
-    return F.greatest(F.lit(0), *[F.when(b > 0, F.size(stack) - b + 1).otherwise(F.lit(0)) for b in back]).cast("int")
-
-
 def outline(pages: DataFrame, max_depth: int = 4) -> DataFrame:
     """Element tree down to `max_depth` as flat rows `(page_id, pos, depth, parent_pos, tag, id, class)`.
 
@@ -375,54 +365,43 @@ def outline(pages: DataFrame, max_depth: int = 4) -> DataFrame:
     or `<li>` do not shift what follows.
     """
     state = "struct<names:array<string>,places:array<int>,seen:array<struct<k:int,pos:int,depth:int,parent_pos:int>>>"
-    zero = F.struct(F.array().cast("array<string>").alias("names"), F.array().cast("array<int>").alias("places"),
-                    F.array().cast("array<struct<k:int,pos:int,depth:int,parent_pos:int>>").alias("seen")).cast(state)
-
-    def keep_after(acc: Column, m: Column) -> Column:
-        """How much of the stack stays open when this tag arrives."""
-        full = F.size(acc.names)
-        closing = F.substr(m.tag, F.lit(2))
-        back = F.array_position(F.reverse(acc.names), closing)
-        by_end = F.when((back > 0) & ~closing.isin("html", "body"), (full - back).cast("int")).otherwise(full)
-        by_start = full
-        for starts, targets, shields in _IMPLIED_END:
-            target = _last(acc.names, targets)
-            shield = _last(acc.names, shields) if shields else F.lit(0)
-            by_start = F.when(m.tag.isin(starts) & (target > shield), F.least(by_start, target - 1)).otherwise(by_start)
-        return F.when(m.tag.startswith("/"), by_end).otherwise(by_start)
-
-    def cut(acc: Column, m: Column) -> Column:
-        keep = keep_after(acc, m)
-        return F.struct(F.slice(acc.names, F.lit(1), keep).alias("names"), F.slice(acc.places, F.lit(1), keep).alias("places"),
-                        acc.seen.alias("seen"))
-
-    def push(acc: Column, m: Column) -> Column:
-        opens = ~m.tag.startswith("/") & ~m.tag.isin(_HIDDEN)
-        again = m.tag.isin("html", "head", "body") & (F.array_position(acc.names, m.tag) > 0)
-        leafy = F.greatest(F.lit(False), *[F.array_contains(acc.names, n) for n in _LEAF])
-        depth = F.size(acc.names) + 1
-        entry = F.struct(m.k.alias("k"), m.pos.alias("pos"), depth.alias("depth"), F.try_element_at(acc.places, F.lit(-1)).alias("parent_pos"))
-        holds = opens & ~again & ~m.tag.isin(M.VOID + M.RAW_TEXT)
-        return F.struct(
-            F.when(holds, F.array_append(acc.names, m.tag)).otherwise(acc.names).alias("names"),
-            F.when(holds, F.array_append(acc.places, m.pos)).otherwise(acc.places).alias("places"),
-            F.when(opens & ~again & ~leafy & (depth <= max_depth), F.array_append(acc.seen, entry))
-            .otherwise(acc.seen).alias("seen"))
-
-    # cutting and pushing are two steps of the fold: a tag is visited twice, first to close, then to open
-    steps = F.flatten(F.transform(
-        F.transform("marks", lambda m, k: F.struct(m.pos.alias("pos"), m.tag.alias("tag"), k.alias("k"))),
-        lambda m: F.array(
-            F.struct(F.lit(True).alias("closing"), m.pos.alias("pos"), m.tag.alias("tag"), m.k.alias("k")),
-            F.struct(F.lit(False).alias("closing"), m.pos.alias("pos"), m.tag.alias("tag"), m.k.alias("k")))))
-    tree = F.aggregate(
-        steps, zero, lambda acc, m: F.when(m.closing, cut(acc, m).cast(state)).otherwise(push(acc, m).cast(state)),
-        lambda acc: acc.seen)
-    rows = lexed(pages).select("page_id", "marks", tree.alias("tree")).select(
-        "page_id", F.inline(F.transform("tree", lambda t: F.struct(
-            t.pos.alias("pos"), t.depth.alias("depth"), t.parent_pos.alias("parent_pos"),
-            F.get(F.col("marks"), t.k).alias("m")))))
-    return rows.withColumn("attrs", M.parse_attrs(F.col("m.raw"))).select(
-        "page_id", "pos", "depth", "parent_pos", F.col("m.tag").alias("tag"),
-        F.nullif(M.attr(F.col("attrs"), "id"), F.lit("")).alias("id"),
-        F.nullif(M.attr(F.col("attrs"), "class"), F.lit("")).alias("class"))
+
+    def last(names: list[str]) -> str:
+        """1-based place of the last of these names on the stack, 0 when there is none."""
+        places = ", ".join(
+            f"if(array_contains(st.names, '{n}'), size(st.names) + 1 - array_position(reverse(st.names), '{n}'), 0)" for n in names)
+        return f"greatest(0, {places})" if names else "0"
+
+    # how much of the stack stays open when a tag arrives
+    by_start = "least(size(st.names), " + ", ".join(
+        f"CASE WHEN sg.tag IN {q_list(starts)} AND {last(targets)} > {last(shields)} THEN {last(targets)} - 1 ELSE size(st.names) END"
+        for starts, targets, shields in _IMPLIED_END) + ")"
+    by_end = (
+        "CASE WHEN sg.tag IN ('/html', '/body') OR NOT array_contains(st.names, substr(sg.tag, 2)) THEN size(st.names)"
+        " ELSE size(st.names) - array_position(reverse(st.names), substr(sg.tag, 2)) END")
+    keep = f"CAST(CASE WHEN startswith(sg.tag, '/') THEN {by_end} ELSE {by_start} END AS int)"
+    cut = f"named_struct('names', slice(st.names, 1, {keep}), 'places', slice(st.places, 1, {keep}), 'seen', st.seen)"
+    opens = (
+        f"NOT startswith(sg.tag, '/') AND sg.tag NOT IN {q_list(_HIDDEN)}"
+        f" AND NOT (sg.tag IN ('html', 'head', 'body') AND array_contains(st.names, sg.tag))")
+    holds = f"{opens} AND sg.tag NOT IN {q_list(M.VOID + M.RAW_TEXT)}"
+    shown = f"{opens} AND size(st.names) < {max_depth} AND NOT arrays_overlap(st.names, array{q_list(_LEAF)})"
+    entry = "named_struct('k', sg.k, 'pos', sg.pos, 'depth', size(st.names) + 1, 'parent_pos', try_element_at(st.places, -1))"
+    push = (
+        f"named_struct('names', CASE WHEN {holds} THEN array_append(st.names, sg.tag) ELSE st.names END,"
+        f" 'places', CASE WHEN {holds} THEN array_append(st.places, sg.pos) ELSE st.places END,"
+        f" 'seen', CASE WHEN {shown} THEN array_append(st.seen, {entry}) ELSE st.seen END)")
+    # a tag is visited twice: first to close what it ends, then to open
+    steps = (
+        "flatten(transform(marks, (om, ok) -> array("
+        "named_struct('closing', true, 'pos', om.pos, 'tag', om.tag, 'k', ok),"
+        " named_struct('closing', false, 'pos', om.pos, 'tag', om.tag, 'k', ok))))")
+    tree = (
+        f"aggregate({steps}, CAST(named_struct('names', array(), 'places', array(), 'seen', array()) AS {state}),"
+        f" (st, sg) -> CASE WHEN sg.closing THEN CAST({cut} AS {state}) ELSE CAST({push} AS {state}) END, st -> st.seen)")
+    rows = _mark_rows(pages).selectExpr("page_id", "marks", f"{tree} AS tree").selectExpr(
+        "page_id", "inline_outer(transform(tree, t -> named_struct('pos', t.pos, 'depth', t.depth, 'parent_pos', t.parent_pos,"
+        " 'm', get(marks, t.k))))").where("pos IS NOT NULL")
+    return rows.withColumn("attrs", F.expr(M.parse_attrs("m.raw"))).selectExpr(
+        "page_id", "pos", "depth", "parent_pos", "m.tag AS tag",
+        f"nullif({M.attr('attrs', 'id')}, '') AS id", f"nullif({M.attr('attrs', 'class')}, '') AS class")
