@@ -56,8 +56,8 @@ def header(name: str) -> str:
     return f"nullif(array_join({values}, ', '), '')"
 
 
-def checks(responses: DataFrame) -> DataFrame:
-    """One row per response and header check with presence, value, status and note."""
+def audit(responses: DataFrame) -> DataFrame:
+    """Responses with `checks`, the six header checks with presence, value, status and note."""
     n = {k: q(v) for k, v in NOTES.items()}
     named = responses.selectExpr(
         "*", *[f"{header(key)} AS h_{key.replace('-', '_')}" for key, _, _ in CHECKS]
@@ -95,14 +95,22 @@ def checks(responses: DataFrame) -> DataFrame:
         f"named_struct('header', {q(label)}, 'key', '{key}', 'present', {value} IS NOT NULL, 'value', {value},"
         f" 'status', {status}, 'note', {note}, 'description', {q(text)})"
         for (key, label, text), value, (status, note) in zip(CHECKS, [hsts, csp, sniff, frame, ref, perm], rules, strict=True))
-    return named.selectExpr("response_id", "host", f"inline(array({structs}))")
+    return named.selectExpr("response_id", "host", f"array({structs}) AS checks")
 
 
-def score(header_checks: DataFrame) -> DataFrame:
-    """Passed, warnings and missing per response."""
-    return header_checks.groupBy("response_id").agg(
-        F.count_if(F.col("status") == "pass").alias("passed"), F.count_if(F.col("status") == "warning").alias("warnings"),
-        F.count_if(F.col("status") == "fail").alias("missing"), F.count("*").alias("total"))
+def checks(audited: DataFrame) -> DataFrame:
+    """One row per response and header check."""
+    return audited.select("response_id", "host", F.inline_outer("checks"))
+
+
+def score(audited: DataFrame) -> DataFrame:
+    """Passed, warnings and missing per response, counted inside the row."""
+    def n(status: str) -> str:
+        return f"CAST(size(filter(checks, c -> c.status = '{status}')) AS bigint)"
+
+    return audited.selectExpr(
+        "response_id", f"{n('pass')} AS passed", f"{n('warning')} AS warnings", f"{n('fail')} AS missing",
+        "CAST(size(checks) AS bigint) AS total")
 
 
 def site_rollup(header_checks: DataFrame) -> DataFrame:

@@ -79,8 +79,8 @@ def _length_rule(text: str, low: int, high: int, kind: str, missing: str) -> tup
     return status, text, note
 
 
-def items(facts: DataFrame) -> DataFrame:
-    """One row per page and factor with status, value and note."""
+def audit(facts: DataFrame) -> DataFrame:
+    """Pages with `items`, the eleven factors with status, value and note."""
     scored = facts.selectExpr(
         "page_id", "url", "base", "head", "stats", "open_graph", "twitter", "headings.h1[0] AS first_h1",
         "size(headings.h1) AS h1", "size(headings.h2) AS h2", "size(headings.h3) AS h3",
@@ -128,7 +128,12 @@ def items(facts: DataFrame) -> DataFrame:
     structs = ", ".join(
         f"named_struct('factor', {q(factor)}, 'status', {status}, 'value', {value}, 'note', {note})"
         for factor, (status, value, note) in zip(FACTORS, rules, strict=True))
-    return scored.selectExpr("page_id", "base.host AS host", f"inline(array({structs}))")
+    return scored.selectExpr("page_id", "url", "base.host AS host", f"array({structs}) AS items")
+
+
+def items(audited: DataFrame) -> DataFrame:
+    """One row per page and factor."""
+    return audited.select("page_id", "host", F.inline_outer("items"))
 
 
 def _status_counts():
@@ -137,9 +142,14 @@ def _status_counts():
         F.count_if(F.col("status") == "warning").alias("warnings"), F.count_if(F.col("status") == "fail").alias("fails")]
 
 
-def summary(seo_items: DataFrame) -> DataFrame:
-    """Passes, warnings and fails per page; info counts in none of them."""
-    return seo_items.groupBy("page_id", "host").agg(*_status_counts())
+def summary(audited: DataFrame) -> DataFrame:
+    """Passes, warnings and fails per page, counted inside the row; info counts in none of them."""
+    def n(status: str) -> str:
+        return f"CAST(size(filter(items, i -> i.status = '{status}')) AS bigint)"
+
+    return audited.selectExpr(
+        "page_id", "host", "CAST(size(items) AS bigint) AS total", f"{n('pass')} AS passes",
+        f"{n('warning')} AS warnings", f"{n('fail')} AS fails")
 
 
 def rollup(seo_items: DataFrame) -> DataFrame:

@@ -156,24 +156,33 @@ def classify_ips(df: DataFrame, policy: DataFrame, col: str = "ip") -> DataFrame
     ).withColumn("blocked", F.col("rule").isNotNull())
 
 
-def admit_hosts(targets: DataFrame, dns_answers: DataFrame, policy: DataFrame) -> DataFrame:
-    """Hosts admitted only if they resolve and every address is public; otherwise the first offender.
+def admit_hosts(targets: DataFrame, dns_answers: DataFrame, cidrs: DataFrame, names: DataFrame) -> DataFrame:
+    """Hosts admitted only if they are not listed, resolve, and every address is public; else the first reason.
 
-    `targets(host)`, `dns_answers(host, ord, ip)`. Both sides shrink to distinct rows before the join, so a host that
-    holds a third of all targets is one row.
+    `targets(host)`, `dns_answers(host, ord, ip)`. An address literal is its own answer, with or without brackets.
+    Both sides shrink to distinct rows before the join, so a host that holds a third of all targets is one row.
     """
     hosts = targets.select(F.lower(F.trim("host")).alias("host")).where("host IS NOT NULL").distinct()
-    answers = dns_answers.groupBy(F.lower("host").alias("host"), "ip").agg(F.min("ord").alias("ord"))
-    judged = classify_ips(answers, policy)
+    screened = screen_hosts(hosts, names, "host").withColumnRenamed("blocked", "listed")
+    bare = F.regexp_replace("host", r"^\[|\]$", "")
+    literal = bare.rlike(_IPV4) | bare.rlike(_IPV6)
+    own = hosts.where(literal).select("host", bare.alias("ip"), F.lit(0).cast("int").alias("ord"))
+    answers = dns_answers.groupBy(F.lower("host").alias("host"), "ip").agg(F.min("ord").alias("ord")).where(~literal)
+    judged = classify_ips(answers.unionByName(own), cidrs)
     per_host = judged.groupBy("host").agg(
         F.count("*").alias("addresses"), F.count_if("blocked").alias("blocked_addresses"),
         F.expr("min_by(ip, ord) FILTER (WHERE blocked)").alias("first_offender"))
+    access = F.concat(F.lit("Access to '"), "host")
     reason = (
-        F.when(F.col("addresses").isNull(),
-               F.concat(F.lit("Could not resolve hostname '"), "host", F.lit("'. DNS lookup returned no records.")))
+        F.when(F.col("listed"), F.concat(access, F.lit("' is blocked for security reasons (SSRF Protection).")))
+        .when(literal & (F.col("blocked_addresses") > 0),
+              F.concat(F.lit("Access to IP address '"), "host",
+                       F.lit("' is restricted (SSRF Protection: private/internal IP).")))
+        .when(F.col("addresses").isNull(),
+              F.concat(F.lit("Could not resolve hostname '"), "host", F.lit("'. DNS lookup returned no records.")))
         .when(F.col("blocked_addresses") > 0,
-              F.concat(F.lit("Access to '"), "host", F.lit("' is blocked because it resolves to restricted IP "),
-                       "first_offender", F.lit(" (SSRF Protection)."))))
-    return hosts.join(per_host, "host", "left").select(
+              F.concat(access, F.lit("' is blocked because it resolves to restricted IP "), "first_offender",
+                       F.lit(" (SSRF Protection)."))))
+    return screened.join(per_host, "host", "left").select(
         "host", F.coalesce("addresses", F.lit(0)).cast("bigint").alias("addresses"), "first_offender",
         reason.isNull().alias("admitted"), reason.alias("error"))
