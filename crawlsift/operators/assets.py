@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from crawlsift.functions import markup as M
 from crawlsift.functions import urls as U
+from crawlsift.functions.plan import once
 from crawlsift.functions.text import q, strip
 from crawlsift.operators import html as H
 
@@ -45,12 +46,11 @@ def lists(pages: DataFrame) -> DataFrame:
     ordered = (
         f"slice(array_sort(transform({firsts}, a -> named_struct('ord', a.ord, 'pos', a.pos, 'original_src', a.src,"
         f" 'resolved_url', a.url, 'type', a.type, 'folder', a.folder, 'attr', a.attr, 'path', a.path))), 1, {MAX_ASSETS})")
-    return (
-        H.lexed(pages)
-        .withColumn("candidates", F.expr(f"filter(concat({found}), c -> NOT ({excluded}))"))
-        .withColumn("resolved", F.expr(U.resolve_urls("transform(candidates, c -> c.src)", "base")))
-        .withColumn("by_url", F.expr(by_url))
-        .select("page_id", "url", F.col("base.host").alias("host"), F.expr(ordered).alias("assets")))
+    listed = once(H.lexed(pages), candidates=f"filter(concat({found}), c -> NOT ({excluded}))").select(
+        "page_id", "url", "base", "candidates")
+    resolved = once(listed, resolved=U.resolve_urls("transform(candidates, c -> c.src)", "base"))
+    return once(once(resolved, by_url=by_url), assets=ordered).select(
+        "page_id", "url", F.col("base.host").alias("host"), "assets")
 
 
 def select(asset_lists: DataFrame, selection: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def assemble(answers: DataFrame) -> DataFrame:
 def record_pivot(answers: DataFrame) -> DataFrame:
     """Answers per host, one column per record type."""
     return answers.where("size(chunks) > 0").groupBy(F.lower(F.trim("host")).alias("host")).pivot(
-        "type", ["A", "AAAA", "CNAME", "MX", "TXT"]).agg(F.count("*")).na.fill(0)
+        "type", ["A", "AAAA", "CNAME", "MX", "TXT"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def validity(certs: DataFrame, as_of: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crawlsift.functions.plan import once
 from crawlsift.functions.text import q, q_list, strip
 
 # The checks with their wording.
@@ -95,7 +96,7 @@ def audit(responses: DataFrame) -> DataFrame:
         f"named_struct('header', {q(label)}, 'key', '{key}', 'present', {value} IS NOT NULL, 'value', {value},"
         f" 'status', {status}, 'note', {note}, 'description', {q(text)})"
         for (key, label, text), value, (status, note) in zip(CHECKS, [hsts, csp, sniff, frame, ref, perm], rules, strict=True))
-    return named.selectExpr("response_id", "host", f"array({structs}) AS checks")
+    return once(named, checks=f"array({structs})").select("response_id", "host", "checks")
 
 
 def checks(audited: DataFrame) -> DataFrame:
@@ -115,7 +116,7 @@ def score(audited: DataFrame) -> DataFrame:
 
 def site_rollup(header_checks: DataFrame) -> DataFrame:
     """Responses by host, header and status, one column per status."""
-    return header_checks.groupBy("host", "key").pivot("status", ["pass", "warning", "fail"]).agg(F.count("*")).na.fill(0)
+    return header_checks.groupBy("host", "key").pivot("status", ["pass", "warning", "fail"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def cookies(responses: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from crawlsift.functions import markup as M
 from crawlsift.functions import urls as U
+from crawlsift.functions.plan import once
 from crawlsift.functions.text import decode_entities, present, q, q_list, squish, strip
 
 # List lengths of a page report and of its shorter parts.
@@ -31,10 +32,7 @@ def scan(pages: DataFrame) -> DataFrame:
 
 
 def _mark_rows(pages: DataFrame) -> DataFrame:
-    return (
-        scan(pages)
-        .withColumns({"base": F.expr(U.parse_url("url")), "tokens": F.expr(M.tokens("html"))})
-        .withColumn("marks", F.expr(M.marks("tokens"))))
+    return once(scan(pages), base=U.parse_url("url"), tokens=M.tokens("html")).withColumn("marks", F.expr(M.marks("tokens")))
 
 
 def lexed(pages: DataFrame) -> DataFrame:
@@ -399,7 +397,7 @@ def outline(pages: DataFrame, max_depth: int = 4) -> DataFrame:
     tree = (
         f"aggregate({steps}, CAST(named_struct('names', array(), 'places', array(), 'seen', array()) AS {state}),"
         f" (st, sg) -> CASE WHEN sg.closing THEN CAST({cut} AS {state}) ELSE CAST({push} AS {state}) END, st -> st.seen)")
-    rows = _mark_rows(pages).selectExpr("page_id", "marks", f"{tree} AS tree").selectExpr(
+    rows = once(_mark_rows(pages).select("page_id", "marks"), tree=tree).selectExpr(
         "page_id", "inline_outer(transform(tree, t -> named_struct('pos', t.pos, 'depth', t.depth, 'parent_pos', t.parent_pos,"
         " 'm', get(marks, t.k))))").where("pos IS NOT NULL")
     return rows.withColumn("attrs", F.expr(M.parse_attrs("m.raw"))).selectExpr(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlsift.functions import urls as U
+from crawlsift.functions.plan import once
 from crawlsift.functions.text import q
 
 # Limits and redirect codes.
@@ -20,12 +21,9 @@ NO_RECORD = "No recorded response."
 def edges(hops: DataFrame) -> DataFrame:
     """Resolve each recorded response to its next hop. `hops` holds one row per URL."""
     redirect = f"status_code IN ({', '.join(map(str, REDIRECT_CODES))}) AND coalesce(location, '') <> ''"
-    return (
-        hops.withColumn("base", F.expr(U.parse_url("from_url")))
-        .withColumn("next_url", F.expr(U.resolve_url("location", "base") + ".url"))
-        .selectExpr(
-            "from_url", "status_code", "status_text", "location", "CAST(response_ms AS bigint) AS response_ms",
-            f"{redirect} AS is_redirect", f"CASE WHEN {redirect} THEN next_url END AS next_url"))
+    return once(once(hops, base=U.parse_url("from_url")), target=U.resolve_url("location", "base") + ".url").selectExpr(
+        "from_url", "status_code", "status_text", "location", "CAST(response_ms AS bigint) AS response_ms",
+        f"{redirect} AS is_redirect", f"CASE WHEN {redirect} THEN target END AS next_url")
 
 
 def chains(starts: DataFrame, hops: DataFrame, max_redirects: int = MAX_REDIRECTS) -> DataFrame:

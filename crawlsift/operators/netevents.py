@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlsift.functions import urls as U
+from crawlsift.functions.plan import once
 
 # Caps, text lengths, tabs.
 API_CAP, CONSOLE_CAP, CONSOLE_TEXT, QUERY_TEXT, NAME_TEXT = 50, 25, 200, 30, 40
@@ -78,8 +79,7 @@ def with_names(requests: DataFrame) -> DataFrame:
         f" ELSE concat(upper(substr(initiator.type, 1, 1)), substr(initiator.type, 2)) END").replace(
         "initiator.frames[0]", "get(initiator.frames, 0)")
     return (
-        requests.withColumn("parsed", F.expr(U.parse_url("url")))
-        .withColumn("script_url", F.expr(U.parse_url("get(initiator.frames, 0).url")))
+        once(requests, parsed=U.parse_url("url"), script_url=U.parse_url("get(initiator.frames, 0).url"))
         .withColumn("name", F.expr(request_name())).withColumn("initiator_label", F.expr(label))
         .drop("parsed", "script_url"))
 
@@ -101,7 +101,7 @@ def mark_dynamic(requests: DataFrame, ready: DataFrame) -> DataFrame:
 
 def ready_times(events: DataFrame) -> DataFrame:
     """Ready time of each session: the end of its first document request."""
-    docs = events.where("action = 'complete' AND resource_type = 'document'")
+    docs = events.where("action = 'complete' AND lower(resource_type) = 'document'")
     return docs.groupBy("session_id").agg(F.min("ts").alias("ready_ts"))
 
 
@@ -143,7 +143,7 @@ def status_band(status: str = "status", code: str = "status_code") -> str:
 def bands_by_type(requests: DataFrame) -> DataFrame:
     """Requests by resource type, one column per status band."""
     return requests.withColumn("band", F.expr(status_band())).groupBy("resource_type").pivot(
-        "band", ["2xx", "3xx", "4xx", "5xx", "pending"]).agg(F.count("*")).na.fill(0)
+        "band", ["2xx", "3xx", "4xx", "5xx", "pending"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def status_mix(requests: DataFrame, width: str = "1 hour") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlsift.functions import urls as U
+from crawlsift.functions.plan import once
 from crawlsift.functions.text import q
 
 # Thresholds and wording of the factors.
@@ -128,7 +129,7 @@ def audit(facts: DataFrame) -> DataFrame:
     structs = ", ".join(
         f"named_struct('factor', {q(factor)}, 'status', {status}, 'value', {value}, 'note', {note})"
         for factor, (status, value, note) in zip(FACTORS, rules, strict=True))
-    return scored.selectExpr("page_id", "url", "base.host AS host", f"array({structs}) AS items")
+    return once(scored, items=f"array({structs})").select("page_id", "url", F.col("base.host").alias("host"), "items")
 
 
 def items(audited: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlsift.functions import urls as U
+from crawlsift.functions.plan import once
 from crawlsift.functions.text import q, strip
 
 # Admission policy.
@@ -63,10 +64,7 @@ def normalize(df: DataFrame, col: str = "raw_url", ports: list[int] = DEFAULT_PO
         f" WHEN parsed.scheme NOT IN ('http', 'https') THEN concat({q(PROTOCOL_1)}, parsed.scheme, ':', {q(PROTOCOL_2)})"
         f" WHEN parsed.host = '' THEN {q(NO_HOST)}"
         f" WHEN parsed.port NOT IN ({allowed}) THEN concat({q(PORT_1)}, CAST(parsed.port AS string), {q(PORT_2 + allowed + '.')}) END")
-    step = (
-        df.withColumn("trimmed", F.expr(strip(col)))
-        .withColumn("parsed", F.expr(U.parse_url(full)))
-        .withColumn("error", F.expr(error)))
+    step = once(once(df.withColumn("trimmed", F.expr(strip(col))), parsed=U.parse_url(full)), error=error)
     ok = F.col("error").isNull()
     return step.select(
         *df.columns,
@@ -79,16 +77,15 @@ def normalize(df: DataFrame, col: str = "raw_url", ports: list[int] = DEFAULT_PO
 
 def decompose(df: DataFrame, col: str) -> DataFrame:
     """Add the parts of an absolute URL: `protocol, hostname, port, path, query, fragment`."""
-    return df.withColumn("parsed", F.expr(U.parse_url(col))).selectExpr(
+    return once(df, parsed=U.parse_url(col)).selectExpr(
         *df.columns, "concat(parsed.scheme, ':') AS protocol", "parsed.host AS hostname", "parsed.port AS port",
         "parsed.path AS path", "parsed.query AS query", "parsed.fragment AS fragment")
 
 
 def resolve(df: DataFrame, href_col: str, base_col: str) -> DataFrame:
     """Add `resolved_url` of a reference column against a base URL column; NULL when it is no valid URL."""
-    return (
-        df.withColumn("parsed_base", F.expr(U.parse_url(base_col)))
-        .withColumn("resolved_url", F.expr(U.resolve_url(href_col, "parsed_base") + ".url")).drop("parsed_base"))
+    parsed = once(df, parsed_base=U.parse_url(base_col))
+    return once(parsed, resolved_url=U.resolve_url(href_col, "parsed_base") + ".url").drop("parsed_base")
 
 
 def rejections(normalized: DataFrame) -> DataFrame:

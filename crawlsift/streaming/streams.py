@@ -10,13 +10,15 @@ from crawlsift.sources.io import shared_dir
 
 # Late events up to this delay are kept.
 DELAY = "10 minutes"
+# Recorded messages keep microseconds.
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def read(spark: SparkSession, folder: str, schema: str, fmt: str = "parquet", glob: str = "*", per_trigger: int = 1000) -> DataFrame:
     """Stream of files with a fixed schema; JSON for recorded messages, Parquet for tables."""
     return (
         spark.readStream.schema(schema).format(fmt).option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", per_trigger).load(folder))
+        .option("maxFilesPerTrigger", per_trigger).option("timestampFormat", TIME_FORMAT).load(folder))
 
 
 def lifecycle(events: DataFrame, gap: str = "5 minutes", delay: str = DELAY) -> DataFrame:
