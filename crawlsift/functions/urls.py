@@ -19,6 +19,7 @@ URL_RE = (
     r"(?s)^([a-zA-Z][a-zA-Z0-9+.-]*):/*(?:([^/?#]*)@)?(\[[^\]/?#]*\]|[^/?#:]*)(?::([^/?#]*))?"
     r"([^?#]*)(\?[^#]*)?(#.*)?$"
 )
+_FILE_RE = r"(?is)^(file):(?://)?()([^/?#:]*)()([^?#]*)(\?[^#]*)?(#.*)?$"
 _SEP = "\u0001"
 _GROUPS = _SEP.join(f"${i}" for i in range(1, 8))
 
@@ -84,7 +85,7 @@ def _parts(texts: str) -> str:
     return (
         f"transform({schemed}, us -> named_struct('t', us.t, 'scheme', us.scheme, 'special', us.scheme IN {q_list(SPECIAL)},"
         f" 'p', split(regexp_replace(CASE WHEN us.scheme IN {q_list(SPECIAL)} THEN {slashed} ELSE us.t END,"
-        f" {q(URL_RE)}, '{_GROUPS}'), '{_SEP}')))")
+        f" CASE us.scheme WHEN 'file' THEN {q(_FILE_RE)} ELSE {q(URL_RE)} END, '{_GROUPS}'), '{_SEP}')))")
 
 
 def parse_urls(texts: str) -> str:

@@ -18,7 +18,7 @@ def assemble(answers: DataFrame) -> DataFrame:
     so the lists hold what a host publishes, not how often it was seen.
     """
     seen = answers.groupBy(
-        F.lower(F.trim("host")).alias("host"), "type", F.array_join("chunks", "").alias("value"), "priority", "error"
+        F.lower(F.trim("host")).alias("host"), "type", F.expr("CASE WHEN size(chunks) > 0 THEN array_join(chunks, '') END").alias("value"), "priority", "error"
     ).agg(F.min("ord").alias("ord"))
 
     def values(kind: str, fields: str):

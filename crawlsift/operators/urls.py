@@ -25,8 +25,20 @@ PROTOCOL_1, PROTOCOL_2 = "Unsupported protocol '", "'. Only 'http:' and 'https:'
 NO_HOST = "URL must include a valid hostname."
 PORT_1, PORT_2 = "Port ", " is not permitted. Allowed ports: "
 
-_IPV4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])[.]){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])$"
-_IPV6 = r"^(?:[0-9a-f]{0,4}:){2,7}(?:[0-9a-f]{0,4}|[0-9]{1,3}(?:[.][0-9]{1,3}){3})(?:%.*)?$"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_QUAD = f"{_OCTET}(?:[.]{_OCTET}){{3}}"
+_IPV4 = f"^{_QUAD}$"
+_GROUPS6 = "[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*"
+
+
+def is_ipv6(ip: str) -> str:
+    """SQL text: whether a lowercase text is an IPv6 address, with or without zone and dotted tail."""
+    bare = f"regexp_replace(regexp_replace({ip}, '%.+$', ''), {q('(?<=:)' + _QUAD + '$')}, '0:0')"
+    groups = f"size(filter(split({bare}, ':'), g -> g <> ''))"
+    return (
+        f"(({bare} RLIKE '^{_GROUPS6}$' AND {groups} = 8)"
+        f" OR ({bare} RLIKE '^(?:{_GROUPS6})?::(?:{_GROUPS6})?$' AND {groups} <= 7))")
+
 
 
 def ip_number(ip: str) -> str:
@@ -142,7 +154,7 @@ def classify_ips(df: DataFrame, policy: DataFrame, col: str = "ip") -> DataFrame
     listed = shaped.where("v4 IS NOT NULL").join(nets, "octet").where("n BETWEEN net_lo AND net_hi").groupBy("addr").agg(
         F.min_by("cidr", "net_hi").alias("cidr"))
     textual = (
-        f"CASE WHEN v4 IS NOT NULL THEN NULL WHEN NOT ip RLIKE {q(_IPV6)} THEN 'invalid'"
+        f"CASE WHEN v4 IS NOT NULL THEN NULL WHEN NOT {is_ipv6('ip')} THEN 'invalid'"
         f" WHEN ip IN ('::1', '0:0:0:0:0:0:0:1') THEN 'loopback' WHEN ip IN ('::', '0:0:0:0:0:0:0:0') THEN 'unspecified'"
         f" WHEN ip RLIKE '^f[cd][0-9a-f]{{2}}:' THEN 'unique-local' WHEN ip RLIKE '^fe[89ab][0-9a-f]:' THEN 'link-local'"
         f" WHEN contains(ip, '::ffff:') THEN 'mapped' END")
@@ -162,7 +174,7 @@ def admit_hosts(targets: DataFrame, dns_answers: DataFrame, cidrs: DataFrame, na
     hosts = targets.select(F.lower(F.trim("host")).alias("host")).where("host IS NOT NULL").distinct()
     screened = screen_hosts(hosts, names, "host").withColumnRenamed("blocked", "listed")
     bare = F.regexp_replace("host", r"^\[|\]$", "")
-    literal = bare.rlike(_IPV4) | bare.rlike(_IPV6)
+    literal = bare.rlike(_IPV4) | F.expr(is_ipv6(r"regexp_replace(host, '^[\\[]|[\\]]$', '')"))
     own = hosts.where(literal).select("host", bare.alias("ip"), F.lit(0).cast("int").alias("ord"))
     answers = dns_answers.groupBy(F.lower("host").alias("host"), "ip").agg(F.min("ord").alias("ord")).where(~literal)
     judged = classify_ips(answers.unionByName(own), cidrs)

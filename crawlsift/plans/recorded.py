@@ -167,12 +167,12 @@ _NET = (
     " CASE event_id % 6 WHEN 1 THEN 'https://cdn.example.net/js/inject.js?v=2' WHEN 2 THEN 'https://cdn.example.net/' END AS i_url,"
     " CAST(CASE WHEN event_id % 6 = 1 THEN k ELSE 0 END AS INT) AS i_line,"
     " CAST(CASE k % 7 WHEN 0 THEN 404 WHEN 1 THEN 500 WHEN 2 THEN 302 WHEN 3 THEN 0 ELSE 200 END AS INT) AS status,"
-    " CAST(value * 1000 AS BIGINT) AS bytes, event_id % 2 = 0 AS canceled")
+    " CAST(floor(value * 1000) AS BIGINT) AS bytes, event_id % 2 = 0 AS canceled")
 _LAG_US = "us + CAST(k AS BIGINT) * 3600000000"
 NET_SQL = " UNION ALL ".join([
     "SELECT " + _NET.replace("{us}", "us").replace("{i}", "0").replace("{action}", "start") + " FROM {x} WHERE event_id % 13 <> 0",
     "SELECT " + _NET.replace("{us}", f"({_LAG_US})").replace("{i}", "1").replace("{action}", "response") + " FROM {x} WHERE event_id % 5 <> 0",
-    "SELECT " + _NET.replace("{us}", f"({_LAG_US} + CAST(value * 900 AS BIGINT))").replace("{i}", "2").replace("{action}", "complete")
+    "SELECT " + _NET.replace("{us}", f"({_LAG_US} + CAST(floor(value * 900) AS BIGINT))").replace("{i}", "2").replace("{action}", "complete")
     + " FROM {x} WHERE event_id % 7 > 1",
     "SELECT " + _NET.replace("{us}", f"({_LAG_US} + 5000000)").replace("{i}", "3").replace("{action}", "failed") + " FROM {x} WHERE event_id % 7 = 1",
 ])
