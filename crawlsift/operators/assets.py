@@ -31,8 +31,11 @@ SOURCES = [
 ]
 
 
-def lists(pages: DataFrame) -> DataFrame:
-    """Pages with `assets`: distinct by resolved URL, first wins in source and document order, capped."""
+def lists(pages: DataFrame, *keep: str) -> DataFrame:
+    """Pages with `assets`: distinct by resolved URL, first wins in source and document order, capped.
+
+    `keep` names lexed columns to carry along; `rewrite` needs `tokens` and `marks`.
+    """
     found = ", ".join(
         f"transform(filter(els, e -> e.tag = '{tag}' AND {cond} AND coalesce({M.attr('e.attrs', attr)}, '') <> ''),"
         f" e -> named_struct('ord', {i}, 'pos', e.pos, 'src', {strip(M.attr('e.attrs', attr))}, 'type', '{kind}',"
@@ -47,10 +50,10 @@ def lists(pages: DataFrame) -> DataFrame:
         f"slice(array_sort(transform({firsts}, a -> named_struct('ord', a.ord, 'pos', a.pos, 'original_src', a.src,"
         f" 'resolved_url', a.url, 'type', a.type, 'folder', a.folder, 'attr', a.attr, 'path', a.path))), 1, {MAX_ASSETS})")
     listed = once(H.lexed(pages), candidates=f"filter(concat({found}), c -> NOT ({excluded}))").select(
-        "page_id", "url", "base", "candidates")
+        "page_id", "url", "base", "candidates", *keep)
     resolved = once(listed, resolved=U.resolve_urls("transform(candidates, c -> c.src)", "base"))
     return once(once(resolved, by_url=by_url), assets=ordered).select(
-        "page_id", "url", F.col("base.host").alias("host"), "assets")
+        "page_id", "url", F.col("base.host").alias("host"), "assets", *keep)
 
 
 def select(asset_lists: DataFrame, selection: DataFrame) -> DataFrame:
@@ -116,14 +119,12 @@ def manifest_stats(asset_lists: DataFrame, budgeted: DataFrame) -> DataFrame:
         included, "page_id", "left").na.fill(0, ["included", "bytes"])
 
 
-def rewrite(pages: DataFrame, numbered: DataFrame, as_of: str) -> DataFrame:
+def rewrite(numbered: DataFrame, as_of: str) -> DataFrame:
     """Pages whose asset attributes point to local paths, with a provenance comment at the start of the head.
 
-    The document is rebuilt from its tokens, so only the element that was listed changes and the rest stays as it is.
+    The document is rebuilt from the tokens that the asset list was read from, in the same row: HTML is lexed once and
+    never shuffled, and only the element that was listed changes.
     """
-    paths = numbered.select(
-        "page_id", F.expr("transform(assets, a -> a.pos)").alias("places"),
-        F.expr("transform(assets, a -> named_struct('attr', a.attr, 'path', a.local_path))").alias("targets"))
     before = (
         r"^(?i)(<[a-z][^\s/>]*+(?:[\s/]++(?!ATTR[\s=/>])[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+"
         r"[\s/]++ATTR\s*+=\s*+)(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+)").replace('\\"', '"')
@@ -139,11 +140,10 @@ def rewrite(pages: DataFrame, numbered: DataFrame, as_of: str) -> DataFrame:
     body = (
         f"transform(tokens, (t, i) -> CASE WHEN {hit} AND {href} THEN {swap('href')} WHEN {hit} THEN {swap('src')}"
         f" WHEN i = head_pos THEN concat(t, {comment}) ELSE t END)")
-    return (
-        H._mark_rows(pages).selectExpr("page_id", "url", "tokens", "get(filter(marks, m -> m.tag = 'head'), 0).pos AS head_pos")
-        .join(paths, "page_id", "left")
-        .withColumn("places", F.expr("coalesce(places, CAST(array() AS array<int>))"))
-        .select("page_id", "url", F.expr(f"array_join({body}, '')").alias("html")))
+    ready = numbered.selectExpr(
+        "page_id", "url", "tokens", "get(filter(marks, m -> m.tag = 'head'), 0).pos AS head_pos",
+        "transform(assets, a -> a.pos) AS places", "transform(assets, a -> named_struct('attr', a.attr, 'path', a.local_path)) AS targets")
+    return ready.select("page_id", "url", F.expr(f"array_join({body}, '')").alias("html"))
 
 
 def inventory(facts: DataFrame) -> DataFrame:

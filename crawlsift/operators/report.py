@@ -14,10 +14,8 @@ def inspections(pages: DataFrame, responses: DataFrame, chains: DataFrame, dns:
     `responses` has one row per page with `page_id`, `chains` one row per `start_url`, `dns` and `certs` one per host.
     HTML is lexed once; everything joined to it is small per row.
     """
-    facts = html.analyse(pages)
-    audited = seo.audit(facts).select("page_id", "host", "items")
-    page_part = facts.select(
-        "page_id", "url", "stats", "head", "headings", F.slice("links", 1, html.LINK_CAP).alias("links"),
+    page_part = seo.audit(html.analyse(pages)).select(
+        "page_id", "url", "host", "items", "stats", "head", "headings", F.slice("links", 1, html.LINK_CAP).alias("links"),
         F.slice("images", 1, html.IMAGE_CAP).alias("images"), "open_graph", "twitter", "json_ld")
     checks = headers.audit(responses).select("response_id", "checks")
     cookies = headers.cookies(responses).groupBy("response_id").agg(
@@ -26,7 +24,7 @@ def inspections(pages: DataFrame, responses: DataFrame, chains: DataFrame, dns:
         "page_id", "response_id", "status_code", f"{http.status_category()} AS category", "response_ms", "media_type",
         "is_html", "notice")
     return (
-        page_part.join(audited, "page_id").join(status, "page_id", "left").join(checks, "response_id", "left")
+        page_part.join(status, "page_id", "left").join(checks, "response_id", "left")
         .join(cookies, "response_id", "left")
         .join(chains.selectExpr("start_url AS url", "final_url", "error", "hops AS redirects"), "url", "left")
         .join(dns.selectExpr("host", "struct(a, aaaa, cname, mx, txt, success) AS dns"), "host", "left")

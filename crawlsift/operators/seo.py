@@ -81,10 +81,9 @@ def _length_rule(text: str, low: int, high: int, kind: str, missing: str) -> tup
 
 
 def audit(facts: DataFrame) -> DataFrame:
-    """Pages with `items`, the eleven factors with status, value and note."""
+    """Facts with `host` and `items`, the eleven factors with status, value and note."""
     scored = facts.selectExpr(
-        "page_id", "url", "base", "head", "stats", "open_graph", "twitter", "headings.h1[0] AS first_h1",
-        "size(headings.h1) AS h1", "size(headings.h2) AS h2", "size(headings.h3) AS h3",
+        "*", "headings.h1[0] AS first_h1", "size(headings.h1) AS h1", "size(headings.h2) AS h2", "size(headings.h3) AS h3",
         "size(filter(images, i -> NOT i.has_alt)) AS no_alt",
         "size(filter(links, l -> l.type = 'Internal')) AS internal",
         "size(filter(links, l -> l.type = 'External')) AS external",
@@ -129,7 +128,7 @@ def audit(facts: DataFrame) -> DataFrame:
     structs = ", ".join(
         f"named_struct('factor', {q(factor)}, 'status', {status}, 'value', {value}, 'note', {note})"
         for factor, (status, value, note) in zip(FACTORS, rules, strict=True))
-    return once(scored, items=f"array({structs})").select("page_id", "url", F.col("base.host").alias("host"), "items")
+    return once(scored, items=f"array({structs})").select(*facts.columns, F.col("base.host").alias("host"), "items")
 
 
 def items(audited: DataFrame) -> DataFrame:
@@ -161,7 +160,8 @@ def rollup(seo_items: DataFrame) -> DataFrame:
 def worst_pages(page_summary: DataFrame, n: int = 3) -> DataFrame:
     """Pages of the `n` worst (fails, warnings) scores of each host.
 
-    Ranks are taken over the distinct scores of a host, a few dozen rows however many pages the host has.
+    Ranks are taken over the distinct scores of a host, a few dozen rows however many pages the host has. The summary is
+    read twice, so pass a stored one (`sources.io.store`).
     """
     scores = page_summary.groupBy("host", "fails", "warnings").agg(F.count("*").alias("pages"))
     rank = F.expr("dense_rank() OVER (PARTITION BY host ORDER BY fails DESC, warnings DESC)").cast("bigint")

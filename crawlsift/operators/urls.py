@@ -152,7 +152,7 @@ def classify_ips(df: DataFrame, policy: DataFrame, col: str = "ip") -> DataFrame
     nets = policy.select("cidr", "net_lo", "net_hi", F.explode(F.expr(
         "sequence(CAST(shiftright(net_lo, 24) AS int), CAST(shiftright(net_hi, 24) AS int))")).alias("octet"))
     listed = shaped.where("v4 IS NOT NULL").join(nets, "octet").where("n BETWEEN net_lo AND net_hi").groupBy("addr").agg(
-        F.min_by("cidr", "net_hi").alias("cidr"))
+        F.min_by("cidr", F.col("net_hi") - F.col("net_lo")).alias("cidr"))
     textual = (
         f"CASE WHEN v4 IS NOT NULL THEN NULL WHEN NOT {is_ipv6('ip')} THEN 'invalid'"
         f" WHEN ip IN ('::1', '0:0:0:0:0:0:0:1') THEN 'loopback' WHEN ip IN ('::', '0:0:0:0:0:0:0:0') THEN 'unspecified'"

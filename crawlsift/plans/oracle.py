@@ -363,7 +363,7 @@ _NORM = (
 
 
 def _cidr_cases(n: str) -> str:
-    rows = sorted((urls._bounds(c) for c in urls.BLOCKED_CIDRS), key=lambda b: b[2])
+    rows = sorted((urls._bounds(c) for c in urls.BLOCKED_CIDRS), key=lambda b: b[2] - b[1])
     return "CASE " + " ".join(f"WHEN {n} BETWEEN {lo} AND {hi} THEN '{c}'" for c, lo, hi in rows) + " END"
 
 

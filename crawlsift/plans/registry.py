@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from crawlsift.operators import assets, dns_tls, headers, html, http, limits, netevents, report, seo, trace, urls
 from crawlsift.plans import recorded as R
 from crawlsift.plans.recorded import Recorded
+from crawlsift.sources.io import shared_dir, store
 from crawlsift.streaming import streams
 
 NEEDLE, HEADER_NEEDLE, REQUEST_NEEDLE = "Section", "max-age", "LIST?page=1"
@@ -67,33 +68,40 @@ def _numbered(r: Recorded) -> DataFrame:
     return assets.with_paths(assets.lists(r.rich))
 
 
-def _sizes(r: Recorded) -> DataFrame:
-    found = assets.manifest(_numbered(r)).select("resolved_url").distinct()
-    return found.selectExpr(
+def _sizes(rows: DataFrame) -> DataFrame:
+    """Recorded sizes of all assets found."""
+    return rows.select("resolved_url").distinct().selectExpr(
         "resolved_url",
         "CASE length(resolved_url) % 6 WHEN 0 THEN 6000000L WHEN 1 THEN NULL ELSE 5242880L - length(resolved_url) * 4000L END AS bytes",
         "CASE WHEN length(resolved_url) % 11 = 0 THEN 404 ELSE 200 END AS status_code")
 
 
-def _selection(r: Recorded) -> DataFrame:
+def _selection(rows: DataFrame) -> DataFrame:
     """Ticked assets: every page whose id is even ticks its script by source text and its icon by resolved URL."""
-    rows = assets.manifest(assets.with_paths(assets.lists(r.rich))).where("page_id % 2 = 0")
-    return rows.where("type IN ('js', 'icon')").selectExpr(
+    return rows.where("page_id % 2 = 0").where("type IN ('js', 'icon')").selectExpr(
         "page_id", "CASE type WHEN 'js' THEN concat(' ', original_src) ELSE resolved_url END AS selected_url")
 
 
 def _budgeted(r: Recorded) -> DataFrame:
-    return assets.budget(assets.manifest(_numbered(r)), _sizes(r))
+    rows = store(assets.manifest(_numbered(r)))
+    return assets.budget(rows, _sizes(rows))
+
+
+def _manifest_stats(r: Recorded) -> DataFrame:
+    lists = store(assets.lists(r.rich))
+    rows = assets.manifest(assets.with_paths(lists))
+    return assets.manifest_stats(lists, assets.budget(rows, _sizes(rows)))
 
 
 def _selected_manifest(r: Recorded) -> DataFrame:
-    kept = assets.with_paths(assets.select(assets.lists(r.rich), _selection(r)))
+    lists = store(assets.lists(r.rich))
+    kept = assets.with_paths(assets.select(lists, _selection(assets.manifest(assets.with_paths(lists)))))
     return assets.manifest(kept).select(
         "page_id", "idx", "resolved_url", "original_src", "local_path", assets.bundle_name(F.col("host")).alias("bundle"))
 
 
 def _algebra(r: Recorded) -> DataFrame:
-    listing = assets.inventory(facts(r))
+    listing = store(assets.inventory(facts(r)))
     ticked = assets.remove(assets.select_all(listing), assets.of_category(listing, "image"))
     ticked = assets.add(ticked, assets.of_category(listing, "image").where("page_id % 3 = 0"))
     return assets.selected_counts(listing, ticked)
@@ -130,8 +138,6 @@ def _stream(r: Recorded, schema: str | None = None):
 
 def _net_stream(r: Recorded) -> DataFrame:
     """Messages recorded as JSON in the shared folder, read back as a stream."""
-    from crawlsift.sources.io import shared_dir
-
     folder = shared_dir(r.spark) + "/messages"
     r.net_events.write.option("timestampFormat", streams.TIME_FORMAT).json(folder)
     return streams.read(r.spark, folder, netevents.EVENT_TYPE, "json", "*.json")
@@ -178,7 +184,7 @@ QUERIES: dict[str, Callable[[Recorded], DataFrame]] = {
     "seo_items": lambda r: seo.items(seo.audit(facts(r))),
     "seo_summary": lambda r: seo.summary(seo.audit(facts(r))),
     "seo_site_rollup": lambda r: seo.rollup(seo.items(seo.audit(facts(r)))),
-    "seo_worst_pages": lambda r: seo.worst_pages(seo.summary(seo.audit(facts(r)))),
+    "seo_worst_pages": lambda r: seo.worst_pages(store(seo.summary(seo.audit(facts(r))))),
     # security headers and cookies
     "header_checks": lambda r: headers.checks(headers.audit(r.responses)),
     "header_score": lambda r: headers.score(headers.audit(r.responses)),
@@ -213,8 +219,8 @@ QUERIES: dict[str, Callable[[Recorded], DataFrame]] = {
     "asset_manifest": lambda r: assets.manifest(_numbered(r)).drop("attr", "host", "pos"),
     "asset_selection": _selected_manifest,
     "asset_budget": _budgeted,
-    "manifest_stats": lambda r: assets.manifest_stats(assets.lists(r.rich), _budgeted(r)),
-    "page_rewrite": lambda r: assets.rewrite(r.rich, _numbered(r), R.AS_OF),
+    "manifest_stats": _manifest_stats,
+    "page_rewrite": lambda r: assets.rewrite(assets.with_paths(assets.lists(r.rich, "tokens", "marks")), R.AS_OF),
     "asset_inventory": lambda r: assets.inventory(facts(r)),
     "selection_algebra": _algebra,
     "shared_assets": lambda r: assets.shared(assets.manifest(_numbered(r))),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +55,13 @@ def write_trace_text(lines: DataFrame, path: str) -> None:
         "overwrite").text(path)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back: computed once, and safe when executors die."""
+    path = shared_dir(df.sparkSession) + "/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the cluster's shared checkpoint folder; local sessions without one use a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -61,6 +69,4 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         return tempfile.mkdtemp(prefix="crawlsift-")
-    import uuid
-
     return f"{base.rstrip('/')}/crawlsift-{uuid.uuid4().hex}"
