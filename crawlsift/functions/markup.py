@@ -26,6 +26,7 @@ TOKEN_RE = (
 _NAME_RE = r"^<(/?[a-zA-Z][^\s/>]*)"
 _RAW_END = rf"(?i)</(?:{'|'.join(RAW_TEXT)})[^>]*>\z"
 OPEN_RE = rf"(?i)^<[a-z][^\s/>]*+{_ATTRS}>"
+_BODY_RE = rf"(?i)^<[a-z][^\s/>]*+({_ATTRS})>"
 _ATTR_RE = r"""[\s/]*+(=?[^\s/>=]++|=)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+[\s/]*+"""
 
 
@@ -43,9 +44,7 @@ def marks(toks: str) -> str:
 
 def parse_attrs(raw: str) -> str:
     """Attributes of one start tag as `array<struct<k, v>>`, names lowercased, in written order."""
-    opened = f"regexp_extract({raw}, {q(OPEN_RE)}, 0)"
-    body = f"regexp_replace(regexp_replace({opened}, '>$', ''), {q(r'^<[a-zA-Z][^\s/>]*')}, '')"
-    marked = f"regexp_replace({body}, {q(_ATTR_RE)}, '\u0001$1\u0002$2$3$4')"
+    marked = f"regexp_replace(regexp_extract({raw}, {q(_BODY_RE)}, 1), {q(_ATTR_RE)}, '\u0001$1\u0002$2$3$4')"
     kept = f"slice(split({marked}, '\u0001'), 2, length({raw}))"
     value = "substring_index(at, '\u0002', -1)"
     return (f"transform({kept}, at -> named_struct('k', lower(substring_index(at, '\u0002', 1)), 'v', {decode_entities(value)}))")
@@ -67,13 +66,12 @@ def raw_body(raw: str) -> str:
     return f"regexp_replace(regexp_replace({raw}, {q(OPEN_RE)}, ''), {q(_RAW_END)}, '')"
 
 
-def spans(all_marks: str, opens: list[str], bounds: list[str]) -> str:
-    """`{pos, stop, tag, raw}` of each start tag in `opens`, running to the next tag named in `bounds`."""
-    wanted = f"filter({all_marks}, sm -> sm.tag IN {q_list(bounds)})"
+def spans(bounds: str) -> str:
+    """`{pos, stop, tag, raw}` of each start tag among the marks `bounds`, running to the next of them."""
     return (
-        f"filter(zip_with({wanted}, slice({wanted}, 2, size({all_marks}) + 1),"
+        f"filter(zip_with({bounds}, slice({bounds}, 2, size({bounds}) + 1),"
         f" (s1, s2) -> named_struct('pos', s1.pos, 'stop', s2.pos, 'tag', s1.tag, 'raw', s1.raw)),"
-        f" sp -> sp.tag IN {q_list(opens)})")
+        f" sp -> sp.pos IS NOT NULL AND NOT startswith(sp.tag, '/'))")
 
 
 def inner_text(toks: str, span: str) -> str:

@@ -19,6 +19,11 @@ URL_RE = (
     r"(?s)^([a-zA-Z][a-zA-Z0-9+.-]*):/*(?:([^/?#]*)@)?(\[[^\]/?#]*\]|[^/?#:]*)(?::([^/?#]*))?"
     r"([^?#]*)(\?[^#]*)?(#.*)?$"
 )
+# control characters and blanks at the edges, line breaks and tabs anywhere
+EDGES_RE = r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]"
+# names that need no further look: no escapes, no address (also none in hexadecimal), nothing forbidden
+PLAIN_HOST_RE = r"^(?:[a-z0-9_-]++[.])*+(?!0x)[a-z0-9_-]*[a-z_-]$"
+NUMERIC_HOST_RE = r"(^|[.])(0x[0-9a-f]*|[0-9]+)[.]?$"
 _FILE_RE = r"(?is)^(file):(?://)?()([^/?#:]*)()([^?#]*)(\?[^#]*)?(#.*)?$"
 _SEP = "\u0001"
 _GROUPS = _SEP.join(f"${i}" for i in range(1, 8))
@@ -27,15 +32,14 @@ URL_TYPE = "struct<url:string,scheme:string,host:string,port:int,path:string,que
 
 
 def _clean(e: str) -> str:
-    edges = q(r"^[\x00-\x20]+|[\x00-\x20]+$")
-    return f"regexp_replace(regexp_replace({e}, {edges}, ''), {q('[' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r]')}, '')"
+    return f"regexp_replace({e}, {q(EDGES_RE)}, '')"
 
 
 def _encode(e: str, unsafe: str) -> str:
     """Percent-encode the characters of the class `unsafe`, and all non-ASCII, as UTF-8."""
     cls = q(rf"[\x00-\x20\x7f-\x{{10ffff}}{unsafe}]")
     chars = f"transform(split({e}, ''), ch -> CASE WHEN ch RLIKE {cls} THEN replace(url_encode(ch), '+', '%20') ELSE ch END)"
-    return f"CASE WHEN {e} RLIKE {cls} THEN array_join({chars}, '') ELSE {e} END"
+    return f"CASE WHEN {e} = '' THEN '' WHEN {e} RLIKE {cls} THEN array_join({chars}, '') ELSE {e} END"
 
 
 def _drop_dots(path: str) -> str:
@@ -45,7 +49,7 @@ def _drop_dots(path: str) -> str:
         f" WHEN seg RLIKE {q(r'^(?i)(?:[.]|%2e){2}$')} THEN regexp_replace(kept, '/[^/]*$', '')"
         f" WHEN seg RLIKE {q(r'^(?i)(?:[.]|%2e)$')} THEN kept ELSE concat(kept, '/', seg) END)")
     return (
-        f"CASE WHEN {path} RLIKE {q(r'(?i)/(?:[.]|%2e){1,2}(?:/|$)')}"
+        f"CASE WHEN (contains({path}, '/.') OR contains({path}, '%2')) AND {path} RLIKE {q(r'(?i)/(?:[.]|%2e){1,2}(?:/|$)')}"
         f" THEN concat({fold}, CASE WHEN {path} RLIKE {q(r'(?i)/(?:[.]|%2e){1,2}$')} THEN '/' ELSE '' END) ELSE {path} END")
 
 
@@ -72,38 +76,41 @@ def ipv4_value(host: str) -> str:
     return fold
 
 
-def _dotted(value: str) -> str:
-    return "concat_ws('.', " + ", ".join(f"pmod(shiftright({value}, {s}), 256)" for s in (24, 16, 8, 0)) + ")"
+def _dotted_host(host: str) -> str:
+    """Dotted quad of such a host."""
+    octets = ", ".join(f"pmod(shiftright(dv, {s}), 256)" for s in (24, 16, 8, 0))
+    return f"get(transform(array({ipv4_value(host)}), dv -> CASE WHEN dv IS NOT NULL THEN concat_ws('.', {octets}) END), 0)"
 
 
-def _parts(texts: str) -> str:
+def _parts(cleaned: str) -> str:
     """`{t, scheme, special, p}` of each text, where `p` holds the seven groups of URL_RE."""
     schemed = (
-        f"transform(transform({texts}, ut -> {_clean('ut')}),"
-        f" ut -> named_struct('t', ut, 'scheme', lower(regexp_extract(ut, {q('^([a-zA-Z][a-zA-Z0-9+.-]*):')}, 1))))")
+        f"transform({cleaned}, ut -> named_struct('t', ut,"
+        f" 'scheme', lower(regexp_extract(ut, {q('^([a-zA-Z][a-zA-Z0-9+.-]*):')}, 1))))")
     slashed = f"regexp_replace(us.t, {q(chr(92) + 'G([^?#' + chr(92) * 2 + ']*)' + chr(92) * 2)}, '$1/')"
     return (
         f"transform({schemed}, us -> named_struct('t', us.t, 'scheme', us.scheme, 'special', us.scheme IN {q_list(SPECIAL)},"
-        f" 'p', split(regexp_replace(CASE WHEN us.scheme IN {q_list(SPECIAL)} THEN {slashed} ELSE us.t END,"
+        f" 'p', split(regexp_replace(CASE WHEN us.scheme IN {q_list(SPECIAL)} AND contains(us.t, {q(chr(92))}) THEN {slashed} ELSE us.t END,"
         f" CASE us.scheme WHEN 'file' THEN {q(_FILE_RE)} ELSE {q(URL_RE)} END, '{_GROUPS}'), '{_SEP}')))")
 
 
-def parse_urls(texts: str) -> str:
+def parse_urls(texts: str, clean: bool = True) -> str:
     """Parse an array of absolute URL texts; an element that is no valid URL becomes NULL."""
+    cleaned = f"transform({texts}, uc -> {_clean('uc')})" if clean else texts
     named = (
-        f"transform({_parts(texts)}, up -> named_struct('t', up.t, 'scheme', up.scheme, 'special', up.special, 'p', up.p,"
+        f"transform({_parts(cleaned)}, up -> named_struct('t', up.t, 'scheme', up.scheme, 'special', up.special, 'p', up.p,"
         f" 'host', lower(CASE WHEN contains(get(up.p, 2), '%') THEN try_url_decode(replace(get(up.p, 2), '+', '%2B')) ELSE get(up.p, 2) END)))")
     forbidden = q(r"[\x00-\x20#/:<>?@\[\\\]^|%\x7f]")
     host = (
-        f"CASE WHEN NOT uh.special THEN get(uh.p, 2) WHEN uh.host RLIKE {q(r'^\[[0-9a-f:.]+\]$')} THEN uh.host"
+        f"CASE WHEN uh.host RLIKE {q(PLAIN_HOST_RE)} THEN CASE WHEN uh.special THEN uh.host ELSE get(uh.p, 2) END"
+        f" WHEN NOT uh.special THEN get(uh.p, 2) WHEN uh.host RLIKE {q(r'^\[[0-9a-f:.]+\]$')} THEN uh.host"
         f" WHEN uh.host RLIKE {forbidden} THEN NULL"
-        f" WHEN uh.host RLIKE '(^|[.])(0x[0-9a-f]*|[0-9]+)[.]?$' THEN CAST({ipv4_value('uh.host')} AS string)"
+        f" WHEN uh.host RLIKE {q(NUMERIC_HOST_RE)} THEN {_dotted_host('uh.host')}"
         f" ELSE uh.host END")
-    numeric = "uh.special AND uh.host RLIKE '(^|[.])(0x[0-9a-f]*|[0-9]+)[.]?$' AND NOT startswith(uh.host, '[')"
     raw_path = "concat(CASE WHEN get(uh.p, 4) = '' THEN '/' ELSE '' END, " + _encode("get(uh.p, 4)", '"<>`{}^') + ")"
     hosted = (
         f"transform({named}, uh -> named_struct('t', uh.t, 'scheme', uh.scheme, 'special', uh.special, 'p', uh.p,"
-        f" 'authority', uh.special OR uh.t RLIKE {q(SCHEME_RE + '//')}, 'host', {host}, 'numeric', {numeric},"
+        f" 'authority', uh.special OR uh.t RLIKE {q(SCHEME_RE + '//')}, 'host', {host},"
         f" 'port', CASE WHEN get(uh.p, 3) RLIKE '^[0-9]{{1,9}}$' THEN CAST(get(uh.p, 3) AS int) END,"
         f" 'raw_path', CASE WHEN uh.special THEN {raw_path} ELSE get(uh.p, 4) END,"
         f" 'query', CASE WHEN uh.special THEN {_encode('get(uh.p, 5)', chr(34) + '<>' + chr(39))} ELSE get(uh.p, 5) END,"
@@ -111,7 +118,7 @@ def parse_urls(texts: str) -> str:
     default = "CASE " + " ".join(f"WHEN ud.scheme = '{k}' THEN {v}" for k, v in DEFAULT_PORTS.items()) + " END"
     done = (
         f"transform({hosted}, ud -> named_struct('t', ud.t, 'scheme', ud.scheme, 'p', ud.p, 'authority', ud.authority,"
-        f" 'host', CASE WHEN ud.numeric THEN {_dotted('CAST(ud.host AS bigint)')} ELSE ud.host END,"
+        f" 'host', ud.host,"
         f" 'ok', size(ud.p) = 7 AND ud.host IS NOT NULL AND (ud.host <> '' OR ud.scheme = 'file')"
         f" AND (get(ud.p, 3) = '' OR ud.port <= 65535),"
         f" 'written_port', nullif(ud.port, {default}), 'port', coalesce(ud.port, {default}),"
@@ -139,8 +146,8 @@ def absolute_text(href: str, base: str) -> str:
     origin = f"regexp_extract({base}.url, '^[a-z][a-z0-9+.-]*://[^/?#]*', 0)"
     return (
         f"CASE WHEN {href} RLIKE {q(SCHEME_RE)} THEN {href}"
-        f" WHEN {href} RLIKE {q(r'^[/\\]{2}')} THEN concat({base}.scheme, ':', {href})"
-        f" WHEN {href} RLIKE {q(r'^[/\\]')} THEN concat({origin}, {href})"
+        f" WHEN substr(replace({href}, {q(chr(92))}, '/'), 1, 2) = '//' THEN concat({base}.scheme, ':', {href})"
+        f" WHEN startswith({href}, '/') OR startswith({href}, {q(chr(92))}) THEN concat({origin}, {href})"
         f" WHEN startswith({href}, '?') THEN concat({origin}, {base}.path, {href})"
         f" WHEN {href} = '' OR startswith({href}, '#') THEN concat({origin}, {base}.path, {base}.query, {href})"
         f" ELSE concat({origin}, regexp_replace({base}.path, '[^/]*$', ''), {href}) END")
@@ -150,12 +157,12 @@ def resolve_urls(hrefs: str, base: str) -> str:
     """Resolve an array of references against one parsed base URL."""
     # "https:page" next to an https base is a relative reference
     short = (
-        f"{base}.scheme IN {q_list(SPECIAL)} AND startswith(lower(rh), concat({base}.scheme, ':'))"
+        f"startswith(lower(rh), concat({base}.scheme, ':')) AND {base}.scheme IN {q_list(SPECIAL)}"
         f" AND NOT rh RLIKE {q(r'^[a-zA-Z]+:[/\\]')}")
     relative = (
         f"transform(transform({hrefs}, rh -> {_clean('rh')}),"
         f" rh -> CASE WHEN {short} THEN substr(rh, length({base}.scheme) + 2) ELSE rh END)")
-    return parse_urls(f"transform({relative}, rr -> {absolute_text('rr', base)})")
+    return parse_urls(f"transform({relative}, rr -> {absolute_text('rr', base)})", clean=False)
 
 
 def resolve_url(href: str, base: str) -> str:

@@ -69,25 +69,22 @@ def _first(source: str, cond: str) -> str:
 
 
 def _meta(key: str, value: str) -> str:
-    hit = _first("els", f"fe.tag = 'meta' AND lower({M.attr('fe.attrs', key)}) = '{value}'")
-    return present(M.attr(f"{hit}.attrs", "content"))
+    return present(_first("metas", f"fe.{key} = '{value}'") + ".content")
 
 
 def _link(rel: str) -> str:
-    hit = _first("els", f"fe.tag = 'link' AND lower({M.attr('fe.attrs', 'rel')}) = '{rel}'")
-    return present(M.attr(f"{hit}.attrs", "href"))
+    return present(_first("rels", f"fe.rel = '{rel}'") + ".href")
 
 
 def _count(tag: str) -> str:
-    return f"CAST(size(filter(marks, cm -> cm.tag = '{tag}')) AS bigint)"
+    return f"CAST(size(tags) - size(array_remove(tags, '{tag}')) AS bigint)"
 
 
 def _pairs(key: str, prefix: str) -> str:
     """Key and content of each `prefix*` meta in document order."""
-    name = f"lower({M.attr('oe.attrs', key)})"
     return (
-        f"filter(transform(filter(els, oe -> oe.tag = 'meta' AND startswith({name}, '{prefix}')),"
-        f" oe -> named_struct('k', substr({name}, {len(prefix) + 1}), 'v', {present(M.attr('oe.attrs', 'content'))})),"
+        f"filter(transform(filter(metas, oe -> startswith(oe.{key}, '{prefix}')),"
+        f" oe -> named_struct('k', substr(oe.{key}, {len(prefix) + 1}), 'v', {present('oe.content')})),"
         f" op -> op.k <> '' AND op.v IS NOT NULL)")
 
 
@@ -99,11 +96,8 @@ def _last_wins(pairs: str) -> str:
 
 
 def _texts(tag: str) -> str:
-    """Non-empty, whitespace-collapsed texts of one heading level."""
-    bounds = _HEADINGS + ["/" + h for h in _HEADINGS]
-    return (
-        f"filter(transform(filter({M.spans('marks', _HEADINGS, bounds)}, hs -> hs.tag = '{tag}'),"
-        f" hs -> {squish(M.inner_text('tokens', 'hs'))}), ht -> ht <> '')")
+    """Non-empty texts of one heading level."""
+    return f"transform(filter(titles, ht -> ht.tag = '{tag}' AND ht.text <> ''), ht -> ht.text)"
 
 
 def _title() -> str:
@@ -116,7 +110,7 @@ def analyse(pages: DataFrame) -> DataFrame:
     Lists are whole here and their counters uncapped; the report's list lengths are applied where lists are shown.
     """
     anchors = (
-        f"filter(transform(transform({M.spans('marks', ['a'], ['a', '/a'])},"
+        f"filter(transform(transform({M.spans('a_marks')},"
         f" an -> named_struct('pos', an.pos, 'attrs', {M.parse_attrs('an.raw')},"
         f" 'text', substr({squish(M.inner_text('tokens', 'an'))}, 1, {TEXT_CAP}))),"
         f" aa -> named_struct('pos', aa.pos, 'href', {strip(M.attr('aa.attrs', 'href'))},"
@@ -128,10 +122,23 @@ def analyse(pages: DataFrame) -> DataFrame:
         f" 'written_type', lower({M.attr('xs.attrs', 'type')}), 'src', {present(M.attr('xs.attrs', 'src'))},"
         f" 'body', {M.raw_body('xs.raw')}))")
     sheets = (
-        f"transform(filter(els, xl -> xl.tag = 'link' AND contains(lower({M.attr('xl.attrs', 'rel')}), 'stylesheet')),"
-        f" xl -> named_struct('pos', xl.pos, 'href', {present(M.attr('xl.attrs', 'href'))}))")
+        f"transform(filter(rels, xl -> contains(xl.rel, 'stylesheet')), xl -> named_struct('pos', xl.pos, 'href', {present('xl.href')}))")
+    metas = (
+        f"transform(filter(els, me -> me.tag = 'meta'), me -> named_struct('name', lower({M.attr('me.attrs', 'name')}),"
+        f" 'property', lower({M.attr('me.attrs', 'property')}), 'equiv', lower({M.attr('me.attrs', 'http-equiv')}),"
+        f" 'charset', {M.attr('me.attrs', 'charset')}, 'content', {M.attr('me.attrs', 'content')}))")
+    rels = (
+        f"transform(filter(els, re -> re.tag = 'link'), re -> named_struct('pos', re.pos, 'rel', lower({M.attr('re.attrs', 'rel')}),"
+        f" 'href', {M.attr('re.attrs', 'href')}))")
+    bounds = q_list(_HEADINGS + ["/" + h for h in _HEADINGS])
     found = (
         lexed(pages)
+        .withColumns({
+            "metas": F.expr(metas), "rels": F.expr(rels), "tags": F.expr("transform(marks, cm -> cm.tag)"),
+            "a_marks": F.expr("filter(marks, cm -> cm.tag IN ('a', '/a'))"),
+            "h_marks": F.expr(f"filter(marks, cm -> cm.tag IN {bounds})")})
+        .withColumn("titles", F.expr(
+            f"transform({M.spans('h_marks')}, hs -> named_struct('tag', hs.tag, 'text', {squish(M.inner_text('tokens', 'hs'))}))"))
         .withColumns({"anchors": F.expr(anchors), "scripts": F.expr(scripts), "sheets": F.expr(sheets),
                       "og_pairs": F.expr(_pairs("property", "og:")), "tw_pairs": F.expr(_pairs("name", "twitter:"))})
         .withColumns({
@@ -157,20 +164,20 @@ def analyse(pages: DataFrame) -> DataFrame:
         f" 'alt', CASE WHEN {alt} = '' THEN '{MISSING_ALT}' ELSE {alt} END, 'has_alt', {alt} <> '',"
         f" 'loading', CASE WHEN {lazy} THEN 'lazy' ELSE 'eager' END)), xi -> xi.src IS NOT NULL)")
     lang = M.attr(_first("els", "fe.tag = 'html'") + ".attrs", "lang")
-    charset = M.attr(_first("els", f"fe.tag = 'meta' AND {M.attr('fe.attrs', 'charset')} IS NOT NULL") + ".attrs", "charset")
+    charset = _first("metas", "fe.charset IS NOT NULL") + ".charset"
     ld = (
         f"transform(filter(scripts, xs -> xs.written_type = 'application/ld+json' AND xs.body <> ''),"
         f" xs -> named_struct('pos', xs.pos, 'json', {strip('xs.body')}))")
     return found.selectExpr(
         "page_id", "url", "base", "html",
         "named_struct('total_size', CAST(octet_length(html) AS bigint),"
-        " 'dom_elements', CAST(size(filter(marks, cm -> NOT startswith(cm.tag, '/'))) AS bigint),"
+        " 'dom_elements', CAST(size(filter(tags, ct -> NOT startswith(ct, '/'))) AS bigint),"
         f" 'links', {_count('a')}, 'images', {_count('img')}, 'scripts', {_count('script')},"
         f" 'stylesheets', CAST(size(sheets) AS bigint), 'inline_styles', {_count('style')}, 'forms', {_count('form')}) AS stats",
         f"named_struct('title', {_title()},"
         f" 'description', coalesce({_meta('name', 'description')}, {_meta('property', 'og:description')}),"
         f" 'keywords', {_meta('name', 'keywords')}, 'robots', {_meta('name', 'robots')}, 'canonical', {_link('canonical')},"
-        f" 'lang', {present(lang)}, 'charset', coalesce({present(charset)}, {_meta('http-equiv', 'content-type')}),"
+        f" 'lang', {present(lang)}, 'charset', coalesce({present(charset)}, {_meta('equiv', 'content-type')}),"
         f" 'viewport', {_meta('name', 'viewport')},"
         f" 'favicon', coalesce({_link('icon')}, {_link('shortcut icon')}, {_link('apple-touch-icon')})) AS head",
         f"named_struct('h1', {_texts('h1')}, 'h2', {_texts('h2')}, 'h3', {_texts('h3')}) AS headings",
@@ -371,9 +378,10 @@ def outline(pages: DataFrame, max_depth: int = 4) -> DataFrame:
         return f"greatest(0, {places})" if names else "0"
 
     # how much of the stack stays open when a tag arrives
-    by_start = "least(size(st.names), " + ", ".join(
+    closers = sorted({t for starts, _, _ in _IMPLIED_END for t in starts})
+    by_start = f"CASE WHEN sg.tag NOT IN {q_list(closers)} THEN size(st.names) ELSE least(size(st.names), " + ", ".join(
         f"CASE WHEN sg.tag IN {q_list(starts)} AND {last(targets)} > {last(shields)} THEN {last(targets)} - 1 ELSE size(st.names) END"
-        for starts, targets, shields in _IMPLIED_END) + ")"
+        for starts, targets, shields in _IMPLIED_END) + ") END"
     by_end = (
         "CASE WHEN sg.tag IN ('/html', '/body') OR NOT array_contains(st.names, substr(sg.tag, 2)) THEN size(st.names)"
         " ELSE size(st.names) - array_position(reverse(st.names), substr(sg.tag, 2)) END")

@@ -68,7 +68,7 @@ def request_name(url: str = "url", parsed: str = "parsed") -> str:
 
 def with_names(requests: DataFrame) -> DataFrame:
     """Add `name` and the initiator's label."""
-    frame = "initiator.frames[0]"
+    frame = "get(initiator.frames, 0)"
     script = (
         f"CASE WHEN coalesce({frame}.url, '') = '' THEN 'script' WHEN script_url.url IS NULL THEN element_at(split({frame}.url, '/'), -1)"
         f" ELSE coalesce(nullif(element_at(split(script_url.path, '/'), -1), ''), script_url.host) END")
@@ -76,8 +76,7 @@ def with_names(requests: DataFrame) -> DataFrame:
         f"CASE WHEN initiator IS NULL OR coalesce(initiator.type, '') = '' THEN 'Other' WHEN initiator.type = 'parser' THEN '(index)'"
         f" WHEN initiator.type = 'script' AND size(initiator.frames) > 0"
         f" THEN concat({script}, ':', coalesce(nullif({frame}.line, 0), 1)) WHEN initiator.type = 'script' THEN 'script'"
-        f" ELSE concat(upper(substr(initiator.type, 1, 1)), substr(initiator.type, 2)) END").replace(
-        "initiator.frames[0]", "get(initiator.frames, 0)")
+        f" ELSE concat(upper(substr(initiator.type, 1, 1)), substr(initiator.type, 2)) END")
     return (
         once(requests, parsed=U.parse_url("url"), script_url=U.parse_url("get(initiator.frames, 0).url"))
         .withColumn("name", F.expr(request_name())).withColumn("initiator_label", F.expr(label))

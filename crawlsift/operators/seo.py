@@ -83,7 +83,7 @@ def _length_rule(text: str, low: int, high: int, kind: str, missing: str) -> tup
 def audit(facts: DataFrame) -> DataFrame:
     """Facts with `host` and `items`, the eleven factors with status, value and note."""
     scored = facts.selectExpr(
-        "*", "headings.h1[0] AS first_h1", "size(headings.h1) AS h1", "size(headings.h2) AS h2", "size(headings.h3) AS h3",
+        "*", "get(headings.h1, 0) AS first_h1", "size(headings.h1) AS h1", "size(headings.h2) AS h2", "size(headings.h3) AS h3",
         "size(filter(images, i -> NOT i.has_alt)) AS no_alt",
         "size(filter(links, l -> l.type = 'Internal')) AS internal",
         "size(filter(links, l -> l.type = 'External')) AS external",
