@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crawlsift.sources.io import read_pages
+
 HOST = "split_part(split_part(split_part(url, '/', 3), '?', 1), '#', 1)"
 AS_OF = "2024-06-01 00:00:00"
 AS_OF_S = 1717200000
@@ -201,7 +203,7 @@ class Recorded:
 
     @property
     def pages(self) -> DataFrame:
-        return self._read("pages").select("page_id", "url", "html")
+        return read_pages(self.spark, f"{self.dir}/pages.parquet")
 
     @property
     def rich(self) -> DataFrame:

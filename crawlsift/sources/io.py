@@ -16,9 +16,24 @@ HOPS = "from_url string, status_code int, status_text string, location string, r
 TARGETS = "raw_url string"
 
 
+# At most this many input splits are spread again: with 64 MB splits a bound of 1 GB, whatever the cluster.
+SPREAD_SPLITS = 16
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small scan over all cores.
+
+    Lexing costs far more than reading, and a file with one row group is read by one task. Tables of any size have more
+    splits than `SPREAD_SPLITS` and are left alone: HTML is never shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits <= SPREAD_SPLITS and splits < cores else df
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Recorded pages; column pruning and filters reach the Parquet scan."""
-    return spark.read.schema(PAGES).parquet(path)
+    return spread(spark.read.schema(PAGES).parquet(path))
 
 
 def read_responses(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
