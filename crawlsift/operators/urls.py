@@ -138,31 +138,35 @@ def screen_hosts(df: DataFrame, policy: DataFrame, col: str = "hostname") -> Dat
         *df.columns, F.coalesce("hit", F.lit(False)).alias("blocked"))
 
 
+# A policy of at most this many networks is broadcast: some 10 MB.
+BROADCAST_NETS = 100_000
+
+
 def classify_ips(df: DataFrame, policy: DataFrame, col: str = "ip") -> DataFrame:
-    """Add `blocked` and the matching `cidr` (or textual rule) of an address column.
+    """Add the `rule` that blocks an address, the most specific network or a textual rule, and `blocked`.
 
-    Addresses are classified once each. The policy range join is an equi join on the first octet, with every network
-    listed under each first octet it covers, so a larger policy table needs no nested loop.
+    The policy becomes one row per first octet with its networks, at most 256 rows, so the range join is an equi join
+    that matches each address at most once: no nested loop, no regrouping. Its size is checked before it is broadcast,
+    which keeps the addresses where they are however unevenly they spread over the octets.
     """
-    known = df.select(F.col(col).alias("addr")).where("addr IS NOT NULL").distinct()
-    shaped = known.withColumn("ip", F.lower(F.trim("addr"))).withColumn(
-        "v4", F.expr(f"CASE WHEN startswith(ip, '::ffff:') AND substr(ip, 8) RLIKE {q(_IPV4)} THEN substr(ip, 8)"
-                     f" WHEN ip RLIKE {q(_IPV4)} THEN ip END")
-    ).withColumn("n", F.expr(ip_number("v4"))).withColumn("octet", F.expr("CAST(shiftright(n, 24) AS int)"))
     nets = policy.select("cidr", "net_lo", "net_hi", F.explode(F.expr(
         "sequence(CAST(shiftright(net_lo, 24) AS int), CAST(shiftright(net_hi, 24) AS int))")).alias("octet"))
-    listed = shaped.where("v4 IS NOT NULL").join(nets, "octet").where("n BETWEEN net_lo AND net_hi").groupBy("addr").agg(
-        F.min_by("cidr", F.col("net_hi") - F.col("net_lo")).alias("cidr"))
+    by_octet = nets.groupBy("octet").agg(F.expr(
+        "array_sort(collect_list(named_struct('width', net_hi - net_lo, 'lo', net_lo, 'hi', net_hi, 'cidr', cidr))) AS nets"))
+    if policy.limit(BROADCAST_NETS + 1).count() <= BROADCAST_NETS:
+        by_octet = F.broadcast(by_octet)
+    shaped = once(df.withColumn("addr", F.lower(F.trim(F.col(col)))), v4=(
+        f"CASE WHEN addr RLIKE {q(_IPV4)} THEN addr"
+        f" WHEN startswith(addr, '::ffff:') AND substr(addr, 8) RLIKE {q(_IPV4)} THEN substr(addr, 8) END"))
+    numbered = once(shaped, n=ip_number("v4")).withColumn("octet", F.expr("CAST(shiftright(n, 24) AS int)"))
     textual = (
-        f"CASE WHEN v4 IS NOT NULL THEN NULL WHEN NOT {is_ipv6('ip')} THEN 'invalid'"
-        f" WHEN ip IN ('::1', '0:0:0:0:0:0:0:1') THEN 'loopback' WHEN ip IN ('::', '0:0:0:0:0:0:0:0') THEN 'unspecified'"
-        f" WHEN ip RLIKE '^f[cd][0-9a-f]{{2}}:' THEN 'unique-local' WHEN ip RLIKE '^fe[89ab][0-9a-f]:' THEN 'link-local'"
-        f" WHEN contains(ip, '::ffff:') THEN 'mapped' END")
-    rules = shaped.withColumn("textual", F.expr(textual)).join(listed, "addr", "left").select(
-        "addr", F.coalesce("cidr", "textual").alias("rule"))
-    return df.join(rules, F.col(col) == F.col("addr"), "left").select(
-        *df.columns, F.when(F.col(col).isNull(), F.lit("invalid")).otherwise(F.col("rule")).alias("rule")
-    ).withColumn("blocked", F.col("rule").isNotNull())
+        f"CASE WHEN addr IS NULL OR NOT {is_ipv6('addr')} THEN 'invalid'"
+        f" WHEN addr IN ('::1', '0:0:0:0:0:0:0:1') THEN 'loopback' WHEN addr IN ('::', '0:0:0:0:0:0:0:0') THEN 'unspecified'"
+        f" WHEN addr RLIKE '^f[cd][0-9a-f]{{2}}:' THEN 'unique-local' WHEN addr RLIKE '^fe[89ab][0-9a-f]:' THEN 'link-local'"
+        f" WHEN contains(addr, '::ffff:') THEN 'mapped' END")
+    rule = f"CASE WHEN v4 IS NOT NULL THEN get(filter(nets, r -> n BETWEEN r.lo AND r.hi), 0).cidr ELSE {textual} END"
+    return once(numbered.join(by_octet, "octet", "left"), rule=rule).select(*df.columns, "rule").withColumn(
+        "blocked", F.col("rule").isNotNull())
 
 
 def admit_hosts(targets: DataFrame, dns_answers: DataFrame, cidrs: DataFrame, names: DataFrame) -> DataFrame:

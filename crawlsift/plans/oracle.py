@@ -503,6 +503,12 @@ def oracle_sql() -> dict[str, str]:
         f"WITH {_NORM}, abso AS (SELECT * FROM named WHERE raw_url IS NOT NULL AND regexp_matches(trim(raw_url), '^[a-zA-Z][a-zA-Z0-9+.-]*:') AND NOT bad AND h <> '' AND p IS NOT NULL)"
         " SELECT s || ':' AS protocol, p AS port, p IN (80, 443, 8080, 8443) AS allowed, count(*) AS targets FROM abso GROUP BY 1, 2, 3")
     out["url_resolved"] = f"WITH {_links()} SELECT page_id, pos, raw_href AS href, url AS resolved_url FROM lnk"
+    out["url_decomposed"] = (
+        "SELECT page_id, url, split_part(url, '/', 1) AS protocol, regexp_extract(url, '^https?://([^/?#]*)', 1) AS hostname, CAST(CASE WHEN url LIKE 'https:%' THEN 443 ELSE 80 END AS BIGINT) AS port,"
+        " regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '[?][^#]*') AS query, regexp_extract(url, '#.*$') AS fragment FROM pages")
+    out["response_log"] = (
+        f"WITH {_RESP} SELECT response_id, url, CAST(status_code AS BIGINT) AS status_code, response_ms, content_length, hsts,"
+        " (" + " + ".join(f"CAST({c} IS NOT NULL AS INT)" for _, c in R._HEADER_NAMES) + " + CAST(coalesce(cookie1, cookie2, cookie3) IS NOT NULL AS INT))::BIGINT AS headers FROM resp")
     out["host_policy"] = (
         f"WITH {_NORM} SELECT page_id, hostname, hostname IN {_in(urls.BLOCKED_HOSTS)} OR hostname LIKE '%.localhost' OR hostname LIKE '%.local' AS blocked FROM norm WHERE valid")
     out["ip_blocked"] = (

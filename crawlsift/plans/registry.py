@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from crawlsift.operators import assets, dns_tls, headers, html, http, limits, netevents, report, seo, trace, urls
 from crawlsift.plans import recorded as R
 from crawlsift.plans.recorded import Recorded
-from crawlsift.sources.io import shared_dir, store
+from crawlsift.sources.io import read_responses, shared_dir, store
 from crawlsift.streaming import streams
 
 NEEDLE, HEADER_NEEDLE, REQUEST_NEEDLE = "Section", "max-age", "LIST?page=1"
@@ -126,6 +126,15 @@ def _report(r: Recorded) -> DataFrame:
         "final_url", "error")
 
 
+def _response_log(r: Recorded) -> DataFrame:
+    """Exchanges written as JSON lines and scanned again with the fixed nested schema."""
+    folder = shared_dir(r.spark) + "/responses"
+    r.responses.write.json(folder)
+    return read_responses(r.spark, folder).selectExpr(
+        "response_id", "url", "status_code", "response_ms", "content_length", "CAST(size(headers) AS bigint) AS headers",
+        "array_join(headers['Strict-Transport-Security'], ', ') AS hsts")
+
+
 def _chains(r: Recorded) -> DataFrame:
     return http.chains(r.starts, r.hops)
 
@@ -146,6 +155,7 @@ def _net_stream(r: Recorded) -> DataFrame:
 QUERIES: dict[str, Callable[[Recorded], DataFrame]] = {
     # URLs and admission
     "url_normalized": lambda r: urls.normalize(r.targets),
+    "url_decomposed": lambda r: urls.decompose(r.pages.select("page_id", "url"), "url"),
     "url_rejections": lambda r: urls.rejections(urls.normalize(r.targets)),
     "url_port_policy": _port_policy,
     "url_resolved": _resolved,
@@ -201,6 +211,7 @@ QUERIES: dict[str, Callable[[Recorded], DataFrame]] = {
     "failed_inspections": lambda r: report.failed(_chains(r)).selectExpr(
         "success", "url", "final_url", "error", "CAST(size(redirects) AS bigint) AS redirects", "response_time"),
     "status_categories": lambda r: http.status_categories(r.responses),
+    "response_log": _response_log,
     "status_labels": lambda r: http.status_labels(r.responses),
     "latency_by_host": lambda r: http.latency_by_host(r.responses),
     "response_guards": lambda r: http.guards(r.responses).select("response_id", "guard_error"),
