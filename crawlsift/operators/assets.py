@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from crawlsift.functions import markup as M
 from crawlsift.functions import urls as U
-from crawlsift.functions.plan import once
+from crawlsift.functions.plan import lookup, once
 from crawlsift.functions.text import q, strip
 from crawlsift.operators import html as H
 
@@ -94,7 +94,7 @@ def budget(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """Decide which assets fit: each at most 5 MB, none once 30 MB are reached.
 
     `rows` are at most 100 per page, so the running sum is over a bounded group. `sizes(resolved_url, bytes,
-    status_code)` holds one row per URL; a widely shared URL is split by AQE's skew join.
+    status_code)` holds one row per URL; URLs that very many pages share are looked up by broadcast.
     """
     fits = F.expr(f"coalesce(status_code BETWEEN 200 AND 299 AND bytes > 0 AND bytes <= {MAX_ASSET_BYTES}, false)")
     before = F.expr(
@@ -106,7 +106,7 @@ def budget(rows: DataFrame, sizes: DataFrame) -> DataFrame:
         .when(F.col("bytes") > MAX_ASSET_BYTES, F.lit("asset_limit"))
         .when(F.col("fits"), F.lit("included")).otherwise(F.lit("failed")))
     return (
-        rows.join(sizes.select("resolved_url", "bytes", "status_code"), "resolved_url", "left")
+        lookup(rows, sizes.select("resolved_url", "bytes", "status_code"), ["resolved_url"], ["page_id", "idx"])
         .withColumn("fits", fits).withColumn("before_bytes", before.cast("bigint"))
         .select("page_id", "idx", "resolved_url", "local_path", "bytes", "before_bytes", outcome.alias("outcome")))
 

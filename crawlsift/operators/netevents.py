@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlsift.functions import urls as U
-from crawlsift.functions.plan import once
+from crawlsift.functions.plan import lookup, once
 
 # Caps, text lengths, tabs.
 API_CAP, CONSOLE_CAP, CONSOLE_TEXT, QUERY_TEXT, NAME_TEXT = 50, 25, 200, 30, 40
@@ -92,9 +92,9 @@ def by_initiator(requests: DataFrame) -> DataFrame:
 def mark_dynamic(requests: DataFrame, ready: DataFrame) -> DataFrame:
     """Add `is_dynamic`: started more than a second after the session's document was ready.
 
-    `ready(session_id, ready_ts)` holds one row per session; a session with a third of all requests is split by AQE.
+    `ready(session_id, ready_ts)` holds one row per session.
     """
-    return requests.join(ready, "session_id", "left").withColumn(
+    return lookup(requests, ready, ["session_id"], ["session_id", "request_id"]).withColumn(
         "is_dynamic", F.expr("coalesce(start_ts > ready_ts + INTERVAL 1 SECOND, false)")).drop("ready_ts")
 
 
@@ -182,7 +182,7 @@ def pair_fifo(events: DataFrame, cap: int = API_CAP) -> DataFrame:
     answers = events.where(F.col("action").eqNullSafe("response") & F.lower("resource_type").isin(API_TYPES)).select(
         "session_id", "url", "seq", "status")
     opened = calls.groupBy("session_id", "url").agg(F.array_sort(F.collect_list("seq")).alias("opened"))
-    placed = answers.join(opened, ["session_id", "url"]).withColumn(
+    placed = lookup(answers, opened, ["session_id", "url"], ["session_id", "seq"], "inner").withColumn(
         "gap", F.expr("size(filter(opened, o -> o < seq))")).where("gap > 0").drop("opened")
     useful = _first_per(placed, "session_id, url, gap", cap).select("session_id", "url", "seq", "status", F.lit(-1).alias("step"))
     both = calls.select("session_id", "url", "seq", F.lit(None).cast("int").alias("status"), F.lit(1).alias("step")).unionByName(useful)

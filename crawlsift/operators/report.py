@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crawlsift.functions import urls as U
+from crawlsift.functions.plan import lookup, once
 from crawlsift.operators import headers, html, http, seo
 
 
@@ -23,12 +25,16 @@ def inspections(pages: DataFrame, responses: DataFrame, chains: DataFrame, dns:
     status = html.eligibility(responses).selectExpr(
         "page_id", "response_id", "status_code", f"{http.status_category()} AS category", "response_ms", "media_type",
         "is_html", "notice")
-    return (
-        page_part.join(status, "page_id", "left").join(checks, "response_id", "left")
-        .join(cookies, "response_id", "left")
+    # a host may hold a third of all pages, so what belongs to hosts is gathered per host and looked up
+    per_host = dns.selectExpr("host", "struct(a, aaaa, cname, mx, txt, success) AS dns").join(
+        certs.selectExpr("host", "struct(subject, issuer, status, days_remaining) AS tls"), "host", "full")
+    ids = once(pages.select("page_id", "url"), base=U.parse_url("url")).select("page_id", "url", F.col("base.host").alias("host"))
+    # everything else about a page is joined on slim rows, so the wide page rows are shuffled once
+    slim = (
+        lookup(ids, per_host, ["host"], ["page_id"])
         .join(chains.selectExpr("start_url AS url", "final_url", "error", "hops AS redirects"), "url", "left")
-        .join(dns.selectExpr("host", "struct(a, aaaa, cname, mx, txt, success) AS dns"), "host", "left")
-        .join(certs.selectExpr("host", "struct(subject, issuer, status, days_remaining) AS tls"), "host", "left"))
+        .join(status, "page_id", "left").join(checks, "response_id", "left").join(cookies, "response_id", "left"))
+    return page_part.join(slim.drop("url", "host"), "page_id", "left")
 
 
 def failed(chains: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlsift.functions import urls as U
-from crawlsift.functions.plan import once
+from crawlsift.functions.plan import lookup, once
 from crawlsift.functions.text import q
 
 # Thresholds and wording of the factors.
@@ -166,4 +166,5 @@ def worst_pages(page_summary: DataFrame, n: int = 3) -> DataFrame:
     scores = page_summary.groupBy("host", "fails", "warnings").agg(F.count("*").alias("pages"))
     rank = F.expr("dense_rank() OVER (PARTITION BY host ORDER BY fails DESC, warnings DESC)").cast("bigint")
     ranked = scores.withColumn("rank", rank).where(F.col("rank") <= n).drop("pages")
-    return page_summary.join(ranked, ["host", "fails", "warnings"]).select("host", "rank", "page_id", "fails", "warnings")
+    found = lookup(page_summary, ranked, ["host", "fails", "warnings"], ["page_id"], "inner")
+    return found.select("host", "rank", "page_id", "fails", "warnings")

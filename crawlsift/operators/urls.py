@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlsift.functions import urls as U
-from crawlsift.functions.plan import once
+from crawlsift.functions.plan import lookup, once
 from crawlsift.functions.text import q, strip
 
 # Admission policy.
@@ -121,7 +121,7 @@ def by_port_policy(parsed: DataFrame, allowed_ports: DataFrame) -> tuple[DataFra
     return parsed.join(ports, "port", "left_semi"), parsed.join(ports, "port", "left_anti")
 
 
-def screen_hosts(df: DataFrame, policy: DataFrame, col: str = "hostname") -> DataFrame:
+def screen_hosts(df: DataFrame, policy: DataFrame, col: str = "hostname", row_id: str = "page_id") -> DataFrame:
     """Add `blocked`: the host is on the exact list or under a blocked suffix.
 
     Exact names are an equi join. A suffix is an equi join too: a host is expanded into the few suffixes it has, so
@@ -134,7 +134,7 @@ def screen_hosts(df: DataFrame, policy: DataFrame, col: str = "hostname") -> Dat
         " i -> named_struct('kind', 'suffix', 'pattern', concat('.', array_join(slice(split(h, '[.]'), i + 1, 100), '.')))))")
     ).alias("key")).select("h", "key.*")
     hits = keys.join(policy, ["kind", "pattern"], "left_semi").select("h").distinct().withColumn("hit", F.lit(True))
-    return df.withColumn("h", host).join(hits, "h", "left").select(
+    return lookup(df.withColumn("h", host), hits, ["h"], [row_id]).select(
         *df.columns, F.coalesce("hit", F.lit(False)).alias("blocked"))
 
 
@@ -176,7 +176,7 @@ def admit_hosts(targets: DataFrame, dns_answers: DataFrame, cidrs: DataFrame, na
     Both sides shrink to distinct rows before the join, so a host that holds a third of all targets is one row.
     """
     hosts = targets.select(F.lower(F.trim("host")).alias("host")).where("host IS NOT NULL").distinct()
-    screened = screen_hosts(hosts, names, "host").withColumnRenamed("blocked", "listed")
+    screened = screen_hosts(hosts, names, "host", "host").withColumnRenamed("blocked", "listed")
     bare = F.regexp_replace("host", r"^\[|\]$", "")
     literal = bare.rlike(_IPV4) | F.expr(is_ipv6(r"regexp_replace(host, '^[\\[]|[\\]]$', '')"))
     own = hosts.where(literal).select("host", bare.alias("ip"), F.lit(0).cast("int").alias("ord"))
