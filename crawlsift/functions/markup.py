@@ -19,9 +19,10 @@ TOKEN_RE = (
     r"(?i)[^<]++"
     r"|<!--(?:-?>|(?s:.*?)(?:--!?>|\z))"
     rf"|<({'|'.join(RAW_TEXT)})(?=[\s/>]){_ATTRS}>(?:[^<]++|<(?!/\1[\s/>]))*+(?:</\1[^>]*+>)?+"
-    rf"|<[a-z][^\s/>]*+{_ATTRS}>"
-    r"|</[a-z][^>]*+>"
-    r"|<[!?/][^>]*+>|<"
+    # a tag that never ends takes the rest of the document, else every further "<" would scan it again
+    rf"|<[a-z][^\s/>]*+{_ATTRS}(?:>|\z)"
+    r"|</[a-z][^>]*+(?:>|\z)"
+    r"|<[!?/][^>]*+(?:>|\z)|<"
 )
 _NAME_RE = r"^<(/?[a-zA-Z][^\s/>]*)"
 _RAW_END = rf"(?i)</(?:{'|'.join(RAW_TEXT)})[^>]*>\z"
@@ -36,10 +37,11 @@ def tokens(html: str) -> str:
 
 
 def marks(toks: str) -> str:
-    """Start and end tags as `{pos, tag, raw}`; an end tag's name starts with `/`."""
+    """Start and end tags as `{pos, tag, raw}`; an end tag's name starts with `/`, an unfinished tag does not count."""
+    finished = f"(endswith(tm.raw, '>') OR (tm.tag IN {q_list(RAW_TEXT)} AND tm.raw RLIKE {q(OPEN_RE)}))"
     return (
         f"filter(transform({toks}, (tk, ti) -> named_struct('pos', ti, 'tag', lower(regexp_extract(tk, {q(_NAME_RE)}, 1)), 'raw', tk)),"
-        f" tm -> tm.tag <> '')")
+        f" tm -> tm.tag <> '' AND {finished})")
 
 
 def parse_attrs(raw: str) -> str:
@@ -55,10 +57,28 @@ def attr(attrs: str, name: str) -> str:
     return f"get(filter({attrs}, av -> av.k = '{name}'), 0).v"
 
 
-def attr_map(attrs: str) -> str:
-    """Attributes as a map, first duplicate wins."""
-    return (
-        f"map_from_entries(filter({attrs}, (am, an) -> an = array_position(transform({attrs}, ak -> ak.k), am.k) - 1))")
+def by_key(pairs: str) -> str:
+    """Pairs sorted by key, then by place; to be stored in a column, which `first_wins` and `last_wins` read."""
+    return f"array_sort(transform({pairs}, (bp, bi) -> named_struct('k', bp.k, 'i', bi, 'v', bp.v)))"
+
+
+def _entries(found: str) -> str:
+    """Map of `{i, k, v}` in the order of `i`."""
+    return f"map_from_entries(transform(array_sort({found}), fe -> named_struct('k', fe.k, 'v', fe.v)))"
+
+
+def first_wins(column: str) -> str:
+    """Map of sorted pairs in written order, first duplicate wins."""
+    firsts = f"filter({column}, (fp, fi) -> fi = 0 OR fp.k <> get({column}, fi - 1).k)"
+    return _entries(f"transform({firsts}, ft -> named_struct('i', ft.i, 'k', ft.k, 'v', ft.v))")
+
+
+def last_wins(column: str) -> str:
+    """Map of sorted pairs: last value wins, keys keep the order of their first appearance; NULL when empty."""
+    firsts = f"filter({column}, (fp, fi) -> fi = 0 OR fp.k <> get({column}, fi - 1).k)"
+    lasts = f"filter({column}, (lp, li) -> li = size({column}) - 1 OR lp.k <> get({column}, li + 1).k)"
+    merged = f"zip_with({firsts}, {lasts}, (f1, l1) -> named_struct('i', f1.i, 'k', f1.k, 'v', l1.v))"
+    return f"CASE WHEN size({column}) > 0 THEN {_entries(merged)} END"
 
 
 def raw_body(raw: str) -> str:

@@ -47,8 +47,8 @@ def elements(pages: DataFrame) -> DataFrame:
     """Every element in document order with its attributes."""
     opened = _mark_rows(pages).select("page_id", "url", F.expr("inline_outer(filter(marks, em -> NOT startswith(em.tag, '/')))"))
     opened = opened.where("pos IS NOT NULL")
-    return opened.select("page_id", "url", "pos", "tag", F.expr(M.parse_attrs("raw")).alias("attrs")).withColumn(
-        "attrs", F.expr(M.attr_map("attrs")))
+    sorted_pairs = once(opened, pairs=M.by_key(M.parse_attrs("raw")))
+    return sorted_pairs.select("page_id", "url", "pos", "tag", F.expr(M.first_wins("pairs")).alias("attrs"))
 
 
 def element_attributes(elems: DataFrame) -> DataFrame:
@@ -88,13 +88,6 @@ def _pairs(key: str, prefix: str) -> str:
         f" op -> op.k <> '' AND op.v IS NOT NULL)")
 
 
-def _last_wins(pairs: str) -> str:
-    """Map of pairs: last value wins, names keep the order of their first appearance; NULL when empty."""
-    names = f"array_distinct(transform({pairs}, wp -> wp.k))"
-    values = f"transform({names}, wn -> element_at(filter({pairs}, wf -> wf.k = wn), -1).v)"
-    return f"CASE WHEN size({pairs}) > 0 THEN map_from_arrays({names}, {values}) END"
-
-
 def _texts(tag: str) -> str:
     """Non-empty texts of one heading level."""
     return f"transform(filter(titles, ht -> ht.tag = '{tag}' AND ht.text <> ''), ht -> ht.text)"
@@ -140,7 +133,7 @@ def analyse(pages: DataFrame) -> DataFrame:
         .withColumn("titles", F.expr(
             f"transform({M.spans('h_marks')}, hs -> named_struct('tag', hs.tag, 'text', {squish(M.inner_text('tokens', 'hs'))}))"))
         .withColumns({"anchors": F.expr(anchors), "scripts": F.expr(scripts), "sheets": F.expr(sheets),
-                      "og_pairs": F.expr(_pairs("property", "og:")), "tw_pairs": F.expr(_pairs("name", "twitter:"))})
+                      "og_pairs": F.expr(M.by_key(_pairs("property", "og:"))), "tw_pairs": F.expr(M.by_key(_pairs("name", "twitter:")))})
         .withColumns({
             "code_files": F.expr(f"filter(scripts, xs -> xs.src IS NOT NULL AND xs.type NOT IN {q_list(DATA_SCRIPT_TYPES)})"),
             "sheet_files": F.expr("filter(sheets, xl -> xl.href IS NOT NULL)")})
@@ -186,8 +179,8 @@ def analyse(pages: DataFrame) -> DataFrame:
         "zip_with(code_files, code_urls, (zs, zr) -> named_struct('pos', zs.pos, 'url', coalesce(zr.url, zs.src))) AS script_files",
         f"CAST(size(filter(scripts, xs -> xs.src IS NULL AND xs.type NOT IN {q_list(DATA_SCRIPT_TYPES)})) AS bigint) AS inline_scripts",
         "zip_with(sheet_files, sheet_urls, (zs, zr) -> named_struct('pos', zs.pos, 'url', coalesce(zr.url, zs.href))) AS stylesheet_files",
-        f"{_last_wins('og_pairs')} AS open_graph",
-        f"{_last_wins('tw_pairs')} AS twitter",
+        f"{M.last_wins('og_pairs')} AS open_graph",
+        f"{M.last_wins('tw_pairs')} AS twitter",
         f"{ld} AS json_ld",
     )
 
