@@ -40,7 +40,8 @@ def marks(toks: str) -> str:
     """Start and end tags as `{pos, tag, raw}`; an end tag's name starts with `/`, an unfinished tag does not count."""
     finished = f"(endswith(tm.raw, '>') OR (tm.tag IN {q_list(RAW_TEXT)} AND tm.raw RLIKE {q(OPEN_RE)}))"
     return (
-        f"filter(transform({toks}, (tk, ti) -> named_struct('pos', ti, 'tag', lower(regexp_extract(tk, {q(_NAME_RE)}, 1)), 'raw', tk)),"
+        f"filter(transform({toks}, (tk, ti) -> named_struct('pos', ti, 'tag',"
+        f" CASE WHEN startswith(tk, '<') THEN lower(regexp_extract(tk, {q(_NAME_RE)}, 1)) ELSE '' END, 'raw', tk)),"
         f" tm -> tm.tag <> '' AND {finished})")
 
 

@@ -121,11 +121,11 @@ def by_port_policy(parsed: DataFrame, allowed_ports: DataFrame) -> tuple[DataFra
     return parsed.join(ports, "port", "left_semi"), parsed.join(ports, "port", "left_anti")
 
 
-def screen_hosts(df: DataFrame, policy: DataFrame, col: str = "hostname", row_id: str = "page_id") -> DataFrame:
+def screen_hosts(df: DataFrame, policy: DataFrame, col: str = "hostname", row_id: list[str] | None = None) -> DataFrame:
     """Add `blocked`: the host is on the exact list or under a blocked suffix.
 
     Exact names are an equi join. A suffix is an equi join too: a host is expanded into the few suffixes it has, so
-    the policy table may grow without a nested-loop join.
+    the policy table may grow without a nested-loop join. `row_id` names the columns that tell rows apart, all by default.
     """
     host = F.lower(F.trim(F.col(col)))
     hosts = df.select(host.alias("h")).where("h IS NOT NULL").distinct()
@@ -134,7 +134,7 @@ def screen_hosts(df: DataFrame, policy: DataFrame, col: str = "hostname", row_id
         " i -> named_struct('kind', 'suffix', 'pattern', concat('.', array_join(slice(split(h, '[.]'), i + 1, 100), '.')))))")
     ).alias("key")).select("h", "key.*")
     hits = keys.join(policy, ["kind", "pattern"], "left_semi").select("h").distinct().withColumn("hit", F.lit(True))
-    return lookup(df.withColumn("h", host), hits, ["h"], [row_id]).select(
+    return lookup(df.withColumn("h", host), hits, ["h"], row_id or df.columns).select(
         *df.columns, F.coalesce("hit", F.lit(False)).alias("blocked"))
 
 
@@ -147,18 +147,21 @@ def classify_ips(df: DataFrame, policy: DataFrame, col: str = "ip") -> DataFrame
 
     The policy becomes one row per first octet with its networks, at most 256 rows, so the range join is an equi join
     that matches each address at most once: no nested loop, no regrouping. Its size is checked before it is broadcast,
-    which keeps the addresses where they are however unevenly they spread over the octets.
+    which keeps the addresses where they are however unevenly they spread over the octets. A larger policy is cut by the
+    first two octets and shuffled.
     """
+    small = policy.limit(BROADCAST_NETS + 1).count() <= BROADCAST_NETS
+    cut = 24 if small else 16
     nets = policy.select("cidr", "net_lo", "net_hi", F.explode(F.expr(
-        "sequence(CAST(shiftright(net_lo, 24) AS int), CAST(shiftright(net_hi, 24) AS int))")).alias("octet"))
+        f"sequence(CAST(shiftright(net_lo, {cut}) AS int), CAST(shiftright(net_hi, {cut}) AS int))")).alias("octet"))
     by_octet = nets.groupBy("octet").agg(F.expr(
         "array_sort(collect_list(named_struct('width', net_hi - net_lo, 'lo', net_lo, 'hi', net_hi, 'cidr', cidr))) AS nets"))
-    if policy.limit(BROADCAST_NETS + 1).count() <= BROADCAST_NETS:
+    if small:
         by_octet = F.broadcast(by_octet)
     shaped = once(df.withColumn("addr", F.lower(F.trim(F.col(col)))), v4=(
         f"CASE WHEN addr RLIKE {q(_IPV4)} THEN addr"
         f" WHEN startswith(addr, '::ffff:') AND substr(addr, 8) RLIKE {q(_IPV4)} THEN substr(addr, 8) END"))
-    numbered = once(shaped, n=ip_number("v4")).withColumn("octet", F.expr("CAST(shiftright(n, 24) AS int)"))
+    numbered = once(shaped, n=ip_number("v4")).withColumn("octet", F.expr(f"CAST(shiftright(n, {cut}) AS int)"))
     textual = (
         f"CASE WHEN addr IS NULL OR NOT {is_ipv6('addr')} THEN 'invalid'"
         f" WHEN addr IN ('::1', '0:0:0:0:0:0:0:1') THEN 'loopback' WHEN addr IN ('::', '0:0:0:0:0:0:0:0') THEN 'unspecified'"
@@ -176,7 +179,7 @@ def admit_hosts(targets: DataFrame, dns_answers: DataFrame, cidrs: DataFrame, na
     Both sides shrink to distinct rows before the join, so a host that holds a third of all targets is one row.
     """
     hosts = targets.select(F.lower(F.trim("host")).alias("host")).where("host IS NOT NULL").distinct()
-    screened = screen_hosts(hosts, names, "host", "host").withColumnRenamed("blocked", "listed")
+    screened = screen_hosts(hosts, names, "host").withColumnRenamed("blocked", "listed")
     bare = F.regexp_replace("host", r"^\[|\]$", "")
     literal = bare.rlike(_IPV4) | F.expr(is_ipv6(r"regexp_replace(host, '^[\\[]|[\\]]$', '')"))
     own = hosts.where(literal).select("host", bare.alias("ip"), F.lit(0).cast("int").alias("ord"))

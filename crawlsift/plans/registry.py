@@ -47,7 +47,7 @@ def _admission(r: Recorded) -> DataFrame:
 
 def _screened(r: Recorded) -> DataFrame:
     norm = urls.normalize(r.targets).where("valid").select("page_id", "hostname")
-    return urls.screen_hosts(norm, urls.policy_hosts(r.spark))
+    return urls.screen_hosts(norm, urls.policy_hosts(r.spark), row_id=["page_id"])
 
 
 def _port_policy(r: Recorded) -> DataFrame:

@@ -86,7 +86,9 @@ def test_address_rules(spark):
     assert got == {**{ip: True for ip in BLOCKED}, **{ip: False for ip in ALLOWED}}
 
 
-def test_address_ranges_against_brute_force(spark):
+@pytest.mark.parametrize("broadcast_nets", [100_000, 3])
+def test_address_ranges_against_brute_force(spark, monkeypatch, broadcast_nets):
+    monkeypatch.setattr(urls, "BROADCAST_NETS", broadcast_nets)
     nets = [ipaddress.ip_network(c) for c in urls.BLOCKED_CIDRS]
     ips = sorted({str(ipaddress.ip_address(int(n[edge]) + d)) for n in nets for edge in (0, -1) for d in (-1, 0, 1)
                   if 0 <= int(n[edge]) + d < 2**32})
