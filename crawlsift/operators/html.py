@@ -7,6 +7,8 @@ here grows with a host or a corpus.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,10 +99,11 @@ def _title() -> str:
     return present(decode_entities(M.raw_body(_first("marks", "fe.tag = 'title'") + ".raw")))
 
 
-def analyse(pages: DataFrame) -> DataFrame:
+def analyse(pages: DataFrame, *parts: str) -> DataFrame:
     """One row per page with nested stats, head, headings, links, images, scripts, stylesheets, social and JSON-LD.
 
     Lists are whole here and their counters uncapped; the report's list lengths are applied where lists are shown.
+    Naming the `parts` needed saves planning time; what is not selected later is not computed either way.
     """
     anchors = (
         f"filter(transform(transform({M.spans('a_marks')},"
@@ -124,23 +127,18 @@ def analyse(pages: DataFrame) -> DataFrame:
         f"transform(filter(els, re -> re.tag = 'link'), re -> named_struct('pos', re.pos, 'rel', lower({M.attr('re.attrs', 'rel')}),"
         f" 'href', {M.attr('re.attrs', 'href')}))")
     bounds = q_list(_HEADINGS + ["/" + h for h in _HEADINGS])
-    found = (
-        lexed(pages)
-        .withColumns({
-            "metas": F.expr(metas), "rels": F.expr(rels), "tags": F.expr("transform(marks, cm -> cm.tag)"),
-            "a_marks": F.expr("filter(marks, cm -> cm.tag IN ('a', '/a'))"),
-            "h_marks": F.expr(f"filter(marks, cm -> cm.tag IN {bounds})")})
-        .withColumn("titles", F.expr(
-            f"transform({M.spans('h_marks')}, hs -> named_struct('tag', hs.tag, 'text', {squish(M.inner_text('tokens', 'hs'))}))"))
-        .withColumns({"anchors": F.expr(anchors), "scripts": F.expr(scripts), "sheets": F.expr(sheets),
-                      "og_pairs": F.expr(M.by_key(_pairs("property", "og:"))), "tw_pairs": F.expr(M.by_key(_pairs("name", "twitter:")))})
-        .withColumns({
-            "code_files": F.expr(f"filter(scripts, xs -> xs.src IS NOT NULL AND xs.type NOT IN {q_list(DATA_SCRIPT_TYPES)})"),
-            "sheet_files": F.expr("filter(sheets, xl -> xl.href IS NOT NULL)")})
-        .withColumns({
-            "anchor_urls": F.expr(U.resolve_urls("transform(anchors, xa -> xa.href)", "base")),
-            "code_urls": F.expr(U.resolve_urls("transform(code_files, xs -> xs.src)", "base")),
-            "sheet_urls": F.expr(U.resolve_urls("transform(sheet_files, xl -> xl.href)", "base"))}))
+    steps = [
+        {"metas": metas, "rels": rels, "tags": "transform(marks, cm -> cm.tag)",
+         "a_marks": "filter(marks, cm -> cm.tag IN ('a', '/a'))", "h_marks": f"filter(marks, cm -> cm.tag IN {bounds})"},
+        {"titles": f"transform({M.spans('h_marks')}, hs -> named_struct('tag', hs.tag, 'text', {squish(M.inner_text('tokens', 'hs'))}))"},
+        {"anchors": anchors, "scripts": scripts, "sheets": sheets, "og_pairs": M.by_key(_pairs("property", "og:")),
+         "tw_pairs": M.by_key(_pairs("name", "twitter:"))},
+        {"code_files": f"filter(scripts, xs -> xs.src IS NOT NULL AND xs.type NOT IN {q_list(DATA_SCRIPT_TYPES)})",
+         "sheet_files": "filter(sheets, xl -> xl.href IS NOT NULL)"},
+        {"anchor_urls": U.resolve_urls("transform(anchors, xa -> xa.href)", "base"),
+         "code_urls": U.resolve_urls("transform(code_files, xs -> xs.src)", "base"),
+         "sheet_urls": U.resolve_urls("transform(sheet_files, xl -> xl.href)", "base")},
+    ]
 
     internal = (
         "CASE WHEN base.url IS NULL THEN NOT zl.href RLIKE '^https?://' WHEN zr.url IS NULL THEN NOT startswith(zl.href, 'http')"
@@ -161,28 +159,41 @@ def analyse(pages: DataFrame) -> DataFrame:
     ld = (
         f"transform(filter(scripts, xs -> xs.written_type = 'application/ld+json' AND xs.body <> ''),"
         f" xs -> named_struct('pos', xs.pos, 'json', {strip('xs.body')}))")
-    return found.selectExpr(
-        "page_id", "url", "base", "html",
-        "named_struct('total_size', CAST(octet_length(html) AS bigint),"
-        " 'dom_elements', CAST(size(filter(tags, ct -> NOT startswith(ct, '/'))) AS bigint),"
-        f" 'links', {_count('a')}, 'images', {_count('img')}, 'scripts', {_count('script')},"
-        f" 'stylesheets', CAST(size(sheets) AS bigint), 'inline_styles', {_count('style')}, 'forms', {_count('form')}) AS stats",
-        f"named_struct('title', {_title()},"
-        f" 'description', coalesce({_meta('name', 'description')}, {_meta('property', 'og:description')}),"
-        f" 'keywords', {_meta('name', 'keywords')}, 'robots', {_meta('name', 'robots')}, 'canonical', {_link('canonical')},"
-        f" 'lang', {present(lang)}, 'charset', coalesce({present(charset)}, {_meta('equiv', 'content-type')}),"
-        f" 'viewport', {_meta('name', 'viewport')},"
-        f" 'favicon', coalesce({_link('icon')}, {_link('shortcut icon')}, {_link('apple-touch-icon')})) AS head",
-        f"named_struct('h1', {_texts('h1')}, 'h2', {_texts('h2')}, 'h3', {_texts('h3')}) AS headings",
-        f"{links} AS links",
-        f"{images} AS images",
-        "zip_with(code_files, code_urls, (zs, zr) -> named_struct('pos', zs.pos, 'url', coalesce(zr.url, zs.src))) AS script_files",
-        f"CAST(size(filter(scripts, xs -> xs.src IS NULL AND xs.type NOT IN {q_list(DATA_SCRIPT_TYPES)})) AS bigint) AS inline_scripts",
-        "zip_with(sheet_files, sheet_urls, (zs, zr) -> named_struct('pos', zs.pos, 'url', coalesce(zr.url, zs.href))) AS stylesheet_files",
-        f"{M.last_wins('og_pairs')} AS open_graph",
-        f"{M.last_wins('tw_pairs')} AS twitter",
-        f"{ld} AS json_ld",
-    )
+    outputs = {
+        "stats":
+            "named_struct('total_size', CAST(octet_length(html) AS bigint),"
+            " 'dom_elements', CAST(size(filter(tags, ct -> NOT startswith(ct, '/'))) AS bigint),"
+            f" 'links', {_count('a')}, 'images', {_count('img')}, 'scripts', {_count('script')},"
+            f" 'stylesheets', CAST(size(sheets) AS bigint), 'inline_styles', {_count('style')}, 'forms', {_count('form')})",
+        "head":
+            f"named_struct('title', {_title()},"
+            f" 'description', coalesce({_meta('name', 'description')}, {_meta('property', 'og:description')}),"
+            f" 'keywords', {_meta('name', 'keywords')}, 'robots', {_meta('name', 'robots')}, 'canonical', {_link('canonical')},"
+            f" 'lang', {present(lang)}, 'charset', coalesce({present(charset)}, {_meta('equiv', 'content-type')}),"
+            f" 'viewport', {_meta('name', 'viewport')},"
+            f" 'favicon', coalesce({_link('icon')}, {_link('shortcut icon')}, {_link('apple-touch-icon')}))",
+        "headings": f"named_struct('h1', {_texts('h1')}, 'h2', {_texts('h2')}, 'h3', {_texts('h3')})",
+        "links": links,
+        "images": images,
+        "script_files": "zip_with(code_files, code_urls, (zs, zr) -> named_struct('pos', zs.pos, 'url', coalesce(zr.url, zs.src)))",
+        "inline_scripts":
+            f"CAST(size(filter(scripts, xs -> xs.src IS NULL AND xs.type NOT IN {q_list(DATA_SCRIPT_TYPES)})) AS bigint)",
+        "stylesheet_files":
+            "zip_with(sheet_files, sheet_urls, (zs, zr) -> named_struct('pos', zs.pos, 'url', coalesce(zr.url, zs.href)))",
+        "open_graph": M.last_wins("og_pairs"),
+        "twitter": M.last_wins("tw_pairs"),
+        "json_ld": ld,
+    }
+    wanted = {name: sql for name, sql in outputs.items() if not parts or name in parts}
+    used, kept = list(wanted.values()), []
+    for step in reversed(steps):
+        named = {name: sql for name, sql in step.items() if any(re.search(rf"\b{name}\b", text) for text in used)}
+        used += named.values()
+        kept.insert(0, named)
+    found = lexed(pages)
+    for named in kept:
+        found = found.withColumns({name: F.expr(sql) for name, sql in named.items()}) if named else found
+    return found.select("page_id", "url", "base", "html", *[F.expr(sql).alias(name) for name, sql in wanted.items()])
 
 
 def page_stats(facts: DataFrame) -> DataFrame:

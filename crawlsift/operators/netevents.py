@@ -92,7 +92,7 @@ def by_initiator(requests: DataFrame) -> DataFrame:
 def mark_dynamic(requests: DataFrame, ready: DataFrame) -> DataFrame:
     """Add `is_dynamic`: started more than a second after the session's document was ready.
 
-    `ready(session_id, ready_ts)` holds one row per session.
+    `ready(session_id, ready_ts)` holds one row per session. The requests are read twice, so pass stored ones.
     """
     return lookup(requests, ready, ["session_id"], ["session_id", "request_id"]).withColumn(
         "is_dynamic", F.expr("coalesce(start_ts > ready_ts + INTERVAL 1 SECOND, false)")).drop("ready_ts")

@@ -16,7 +16,8 @@ def inspections(pages: DataFrame, responses: DataFrame, chains: DataFrame, dns:
     `responses` has one row per page with `page_id`, `chains` one row per `start_url`, `dns` and `certs` one per host.
     HTML is lexed once; everything joined to it is small per row.
     """
-    page_part = seo.audit(html.analyse(pages)).select(
+    page_part = seo.audit(html.analyse(
+        pages, "stats", "head", "headings", "links", "images", "open_graph", "twitter", "json_ld")).select(
         "page_id", "url", "host", "items", "stats", "head", "headings", F.slice("links", 1, html.LINK_CAP).alias("links"),
         F.slice("images", 1, html.IMAGE_CAP).alias("images"), "open_graph", "twitter", "json_ld")
     checks = headers.audit(responses).select("response_id", "checks")

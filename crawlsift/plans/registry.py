@@ -33,8 +33,12 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def facts(r: Recorded) -> DataFrame:
-    return html.analyse(r.rich)
+def facts(r: Recorded, *parts: str) -> DataFrame:
+    return html.analyse(r.rich, *parts)
+
+
+def audited(r: Recorded) -> DataFrame:
+    return seo.audit(facts(r, "stats", "head", "headings", "links", "images", "open_graph", "twitter", "json_ld"))
 
 
 def _admission(r: Recorded) -> DataFrame:
@@ -60,7 +64,7 @@ def _port_policy(r: Recorded) -> DataFrame:
 
 
 def _resolved(r: Recorded) -> DataFrame:
-    refs = html.links(facts(r)).select("page_id", "pos", F.col("raw_href").alias("href"), "page_url")
+    refs = html.links(facts(r, "links")).select("page_id", "pos", F.col("raw_href").alias("href"), "page_url")
     return urls.resolve(refs, "href", "page_url").select("page_id", "pos", "href", "resolved_url")
 
 
@@ -101,7 +105,7 @@ def _selected_manifest(r: Recorded) -> DataFrame:
 
 
 def _algebra(r: Recorded) -> DataFrame:
-    listing = store(assets.inventory(facts(r)))
+    listing = store(assets.inventory(facts(r, "script_files", "stylesheet_files", "images")))
     ticked = assets.remove(assets.select_all(listing), assets.of_category(listing, "image"))
     ticked = assets.add(ticked, assets.of_category(listing, "image").where("page_id % 3 = 0"))
     return assets.selected_counts(listing, ticked)
@@ -109,7 +113,7 @@ def _algebra(r: Recorded) -> DataFrame:
 
 def _requests(r: Recorded) -> DataFrame:
     events = r.net_events
-    return netevents.mark_dynamic(netevents.lifecycle(events), netevents.ready_times(events))
+    return netevents.mark_dynamic(store(netevents.lifecycle(events)), netevents.ready_times(events))
 
 
 def _report(r: Recorded) -> DataFrame:
@@ -166,35 +170,35 @@ QUERIES: dict[str, Callable[[Recorded], DataFrame]] = {
     "ip_blocked": lambda r: urls.classify_ips(r.ips, urls.policy_cidrs(r.spark)),
     "host_admission": _admission,
     # HTML
-    "site_link_profile": lambda r: html.site_link_profile(html.analyse(r.pages)),
+    "site_link_profile": lambda r: html.site_link_profile(html.analyse(r.pages, "stats", "links")),
     "tag_census": lambda r: html.tag_census(r.rich),
     "element_attributes": lambda r: html.element_attributes(html.elements(r.rich)),
-    "page_stats": lambda r: html.page_stats(facts(r)),
-    "head_meta": lambda r: html.head_meta(facts(r)),
-    "headings": lambda r: html.headings(facts(r)),
-    "links_classified": lambda r: html.links(facts(r)).drop("page_url"),
-    "link_counts": lambda r: html.link_counts(facts(r)),
-    "top_links_per_page": lambda r: html.links(html.top_n(facts(r), "links", 5)).select("page_id", "pos", "url"),
-    "image_audit": lambda r: html.image_audit(facts(r)),
-    "images_listed": lambda r: html.rows_of(html.top_n(facts(r), "images", html.IMAGE_CAP), "images").drop("page_url"),
-    "script_breakdown": lambda r: html.script_breakdown(facts(r)),
-    "stylesheet_breakdown": lambda r: html.stylesheet_breakdown(facts(r)),
-    "og_map": lambda r: html.social_pairs(facts(r), "open_graph"),
-    "twitter_map": lambda r: html.social_pairs(facts(r), "twitter"),
-    "jsonld_blocks": lambda r: html.json_ld(facts(r)).select(
+    "page_stats": lambda r: html.page_stats(facts(r, "stats")),
+    "head_meta": lambda r: html.head_meta(facts(r, "head")),
+    "headings": lambda r: html.headings(facts(r, "headings")),
+    "links_classified": lambda r: html.links(facts(r, "links")).drop("page_url"),
+    "link_counts": lambda r: html.link_counts(facts(r, "stats", "links")),
+    "top_links_per_page": lambda r: html.links(html.top_n(facts(r, "links"), "links", 5)).select("page_id", "pos", "url"),
+    "image_audit": lambda r: html.image_audit(facts(r, "stats", "images")),
+    "images_listed": lambda r: html.rows_of(html.top_n(facts(r, "images"), "images", html.IMAGE_CAP), "images").drop("page_url"),
+    "script_breakdown": lambda r: html.script_breakdown(facts(r, "stats", "script_files", "inline_scripts")),
+    "stylesheet_breakdown": lambda r: html.stylesheet_breakdown(facts(r, "stats", "stylesheet_files")),
+    "og_map": lambda r: html.social_pairs(facts(r, "open_graph"), "open_graph"),
+    "twitter_map": lambda r: html.social_pairs(facts(r, "twitter"), "twitter"),
+    "jsonld_blocks": lambda r: html.json_ld(facts(r, "json_ld")).select(
         "page_id", "pos", "is_malformed", F.try_variant_get("item", "$.name", "string").alias("name")),
-    "jsonld_census": lambda r: html.json_ld_census(html.json_ld(facts(r))),
+    "jsonld_census": lambda r: html.json_ld_census(html.json_ld(facts(r, "json_ld"))),
     "dom_outline": lambda r: html.outline(r.rich),
     "framework_census": lambda r: html.framework_census(r.rich),
     "html_eligibility": lambda r: html.eligibility(r.responses).select("response_id", "media_type", "is_html", "notice"),
     "source_choice": lambda r: html.choose_source(r.pages, r.rendered),
-    "link_search": lambda r: html.search_links(facts(r), "PARTNER.example").select("page_id", "pos", "url"),
+    "link_search": lambda r: html.search_links(facts(r, "links"), "PARTNER.example").select("page_id", "pos", "url"),
     "html_search": lambda r: html.search(r.rich, NEEDLE),
     # SEO
-    "seo_items": lambda r: seo.items(seo.audit(facts(r))),
-    "seo_summary": lambda r: seo.summary(seo.audit(facts(r))),
-    "seo_site_rollup": lambda r: seo.rollup(seo.items(seo.audit(facts(r)))),
-    "seo_worst_pages": lambda r: seo.worst_pages(store(seo.summary(seo.audit(facts(r))))),
+    "seo_items": lambda r: seo.items(audited(r)),
+    "seo_summary": lambda r: seo.summary(audited(r)),
+    "seo_site_rollup": lambda r: seo.rollup(seo.items(audited(r))),
+    "seo_worst_pages": lambda r: seo.worst_pages(store(seo.summary(audited(r)))),
     # security headers and cookies
     "header_checks": lambda r: headers.checks(headers.audit(r.responses)),
     "header_score": lambda r: headers.score(headers.audit(r.responses)),
@@ -232,7 +236,7 @@ QUERIES: dict[str, Callable[[Recorded], DataFrame]] = {
     "asset_budget": _budgeted,
     "manifest_stats": _manifest_stats,
     "page_rewrite": lambda r: assets.rewrite(assets.with_paths(assets.lists(r.rich, "tokens", "marks")), R.AS_OF),
-    "asset_inventory": lambda r: assets.inventory(facts(r)),
+    "asset_inventory": lambda r: assets.inventory(facts(r, "script_files", "stylesheet_files", "images")),
     "selection_algebra": _algebra,
     "shared_assets": lambda r: assets.shared(assets.manifest(_numbered(r))),
     # traces
