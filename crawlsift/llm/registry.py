@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlsift.llm import common, line_dedup, pieces, token_files, warc, winnowing
+from crawlsift.llm import common, decontamination, line_dedup, pieces, quality, scoring, token_files, toxicity, warc, winnowing
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,16 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(common.read(spark, sf_dir, "documents"), PIECES)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from toxic and unlabelled texts."""
+    return toxicity.report(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, and which."""
+    return decontamination.report(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that five documents repeat stay only in the last of them."""
     return line_dedup.report(common.read(spark, sf_dir, "documents"))
@@ -33,14 +43,27 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.report(common.read(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps, with their posterior."""
+    kept = quality.keep(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+    return kept.selectExpr("doc_id", "__quality AS quality", "true AS keep")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document through ORC files."""
     return token_files.report(common.read(spark, sf_dir, "documents"), WORDS)
 
 
+def op10_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and attention scores of every document."""
+    return scoring.report(common.read(spark, sf_dir, "documents"), PIECES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
-    return {f.__name__: f for f in (op1_warc, op2_pieces, op5_line_dedup, op6_winnowing, op9_token_files)}
+    return {f.__name__: f for f in (
+        op1_warc, op2_pieces, op3_toxicity, op4_decontamination, op5_line_dedup, op6_winnowing, op7_quality, op9_token_files,
+        op10_scoring)}
 
 
 WARC_SQL = """

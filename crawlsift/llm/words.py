@@ -8,6 +8,8 @@ import numpy as np
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+PUNCTUATION = SPACE.copy()
+PUNCTUATION[[x for x in range(128) if not chr(x).isalnum()]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 BASE = 0x9E3779B97F4A7C15
@@ -31,34 +33,42 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
-def _segment(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start positions and hashes of the words in one run of bytes: differences of a running polynomial sum."""
-    space = SPACE[data]
+def _segment(data: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words in one run of bytes: differences of a running polynomial sum."""
+    space = gap[data]
     edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
     start, end = edge[::2], edge[1::2]
     if not len(start):
-        return start, np.zeros(0, np.uint64)
+        return start, end, np.zeros(0, np.uint64)
     up, down = _powers(max(SEGMENT * 2, 1 << int(len(data)).bit_length()))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=total[1:])
-    return start, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    return start, end, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def hashed(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, and per document the offset of its first word (one more at the end)."""
+def located(docs: list[bytes], gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts, each closed by a newline; starts, ends and hashes (A-Z lower-cased) of their words, the runs without a
+    byte of `gap`; and per document the offset of its first word (one more at the end)."""
     data = np.frombuffer(b"\n".join(docs) + b"\n", np.uint8)
     begin = np.cumsum([0, *(len(x) + 1 for x in docs)])
-    starts, hashes, at = [], [], 0
+    starts, ends, hashes, at = [], [], [], 0
     while at < len(data):
         end = min(at + SEGMENT, len(data))
-        while end < len(data) and not SPACE[data[end - 1]]:  # a segment ends behind white space, however long a word is
-            found = np.flatnonzero(SPACE[data[end:end + SEGMENT]])
+        while end < len(data) and not gap[data[end - 1]]:  # a segment ends behind a gap, however long a word is
+            found = np.flatnonzero(gap[data[end:end + SEGMENT]])
             end = end + int(found[0]) + 1 if len(found) else min(end + SEGMENT, len(data))
-        start, value = _segment(data[at:end])
+        start, stop, value = _segment(data[at:end], gap)
         starts.append(start + at)
+        ends.append(stop + at)
         hashes.append(value)
         at = end
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), begin)
+    start = np.concatenate(starts)
+    return data, start, np.concatenate(ends), np.concatenate(hashes), np.searchsorted(start, begin)
+
+
+def hashed(docs: list[bytes], gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and the offsets of the documents' first words."""
+    return located(docs, gap)[3:]
 
 
 def shingles(words: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
