@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlsift.llm import common, decontamination, line_dedup, pieces, quality, scoring, token_files, toxicity, warc, winnowing
+from crawlsift.llm import common, decontamination, jaccard, line_dedup, pieces, quality, scoring, token_files, toxicity, warc, winnowing
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -49,6 +49,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.selectExpr("doc_id", "__quality AS quality", "true AS keep")
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingles are alike."""
+    return jaccard.report(common.read(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document through ORC files."""
     return token_files.report(common.read(spark, sf_dir, "documents"), WORDS)
@@ -62,8 +67,8 @@ def op10_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
     return {f.__name__: f for f in (
-        op1_warc, op2_pieces, op3_toxicity, op4_decontamination, op5_line_dedup, op6_winnowing, op7_quality, op9_token_files,
-        op10_scoring)}
+        op1_warc, op2_pieces, op3_toxicity, op4_decontamination, op5_line_dedup, op6_winnowing, op7_quality, op8_jaccard,
+        op9_token_files, op10_scoring)}
 
 
 WARC_SQL = """
