@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 # Texts are worked on in slices of about so many bytes, so that a task's memory doesn't follow the size of an Arrow batch.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,3 +47,56 @@ def sha256(data: bytes) -> str:
 def fold(doc_id: object, folds: int) -> int:
     """crc32 of the id as text, modulo the number of folds; a null id is the empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds
+
+
+class _Numbers(dict):
+    """Numbers for keys in order of their first use."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        self.new.append(key)
+        return number
+
+
+class IdTable:
+    """The ids of the distinct strings that a worker has met, each made once; anew beyond `entries`, so that its memory is bounded."""
+
+    def __init__(self, make: Callable[[list[str]], list[list[int]]], entries: int = 400_000) -> None:
+        self.make, self.entries = make, entries
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all strings."""
+        self.number = _Numbers()
+        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def rows(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all strings of all rows, in order, and how many each row has."""
+        if len(self.number) > self.entries:
+            self.clear()
+        lengths = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, lengths.sum())
+        if new := self.number.new:
+            made = self.make(new)
+            size = np.fromiter(map(len, made), np.int64, len(made))
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(made), np.int32, size.sum())])
+            self.number.new = []
+        size = self.size[at]
+        before = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.arange(before[-1]) + np.repeat(self.start[at] - before[:-1], size)]
+        return ids, np.diff(before[np.concatenate([[0], np.cumsum(lengths)])])
+
+
+def with_end(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same rows, each with one more id, as ids and offsets."""
+    offsets = np.concatenate([[0], np.cumsum(sizes + 1)])
+    out = np.full(offsets[-1], end, np.int32)
+    inner = np.ones(len(out), bool)
+    inner[offsets[1:] - 1] = False
+    out[inner] = ids
+    return out, offsets

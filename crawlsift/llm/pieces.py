@@ -6,6 +6,7 @@ import functools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -13,14 +14,19 @@ from pyspark.sql import DataFrame
 from crawlsift.llm import common
 
 MARK = "▁"
-# A task's table of chunks starts anew beyond so many entries: about 200 MB at most for words of usual length.
-TABLE_ENTRIES = 500_000
-# A chunk is a run of marks with what follows up to the next mark or newline, or a run of newlines.
-CHUNK = re.compile(f"\n+|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
+# A chunk is a run of marks with what follows, or a newline with what follows, up to the next mark or newline.
+CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
+
+
+def split(text: str) -> list[str]:
+    """Chunks of a text: words without their mark, or beginning with a newline where no mark stands before them."""
+    if "  " in text or MARK in text or text[:1] == " ":  # runs of marks stay together
+        return [x if x[0] == "\n" else x[1:] for x in CHUNK.findall(MARK + text.replace(" ", MARK))]
+    return text.replace("\n", " \n").split(" ") if text else []
 
 
 class Chunks:
-    """The distinct chunks seen by a task, each segmented once.
+    """The distinct chunks that a worker has met, each segmented once.
 
     No piece of the model holds a mark behind another character, nor a newline, so byte-pair merges never cross a chunk's
     ends: the ids of a text are the ids of its chunks in order. `check` proves that for the vocabulary at hand.
@@ -29,9 +35,7 @@ class Chunks:
     def __init__(self, model: str) -> None:
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
         self.check()
-        self.table: dict[str, tuple[int, ...]] = {}
-        # The model marks the start of what it encodes; ids of that mark and newline are cut off where a chunk has no mark.
-        self.head = len(self.model.encode("\n")) - len(self.newline())
+        self.table = common.IdTable(self.segment)
 
     def check(self) -> None:
         """Refuse a model whose pieces may cross chunks or whose normaliser changes text."""
@@ -41,28 +45,17 @@ class Chunks:
         if self.model.normalize("a  Ａ ") != f"{MARK}a{MARK}{MARK}Ａ{MARK}":
             raise ValueError("this model's normaliser isn't the identity")
 
-    def newline(self) -> list[int]:
-        """Ids of one newline without the mark that the model puts before a text."""
-        return self.model.encode("\n\n")[len(self.model.encode("\n")):]
-
-    def segment(self, chunks: set[str]) -> None:
-        """Add chunks to the table. One without a mark is encoded behind a newline, which no piece crosses, and that is cut off."""
-        marked = [x for x in chunks if x[0] == MARK]
-        bare = [x for x in chunks if x[0] != MARK]
-        self.table.update(zip(marked, map(tuple, self.model.encode([x[1:] for x in marked], num_threads=1)), strict=True))
-        cut = self.head + len(self.newline())
-        self.table.update(zip(bare, (tuple(x[cut:]) for x in self.model.encode(["\n" + x for x in bare], num_threads=1)), strict=True))
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text."""
-        split = [CHUNK.findall(MARK + x.replace(" ", MARK)) if x else [] for x in texts]
-        if len(self.table) > TABLE_ENTRIES:
-            self.table = {}
-        new = set().union(*split).difference(self.table)
-        if new:
-            self.segment(new)
-        table = self.table
-        return [[i for chunk in chunks for i in table[chunk]] for chunks in split]
+    def segment(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of chunks. The model puts a mark before what it encodes; before a newline that is a piece of its own and is cut off."""
+        return [x[1:] if chunk[:1] == "\n" else x for chunk, x in zip(chunks, self._encode(chunks), strict=True)]
+
+    def _encode(self, chunks: list[str]) -> list[list[int]]:
+        alone = self.model.piece_to_id(MARK)
+        return [x or [alone] for x in self.model.encode(chunks, num_threads=1)]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts with the end id behind each, and the offsets of the texts."""
+        return common.with_end(*self.table.rows([split(x) for x in texts]), self.model.eos_id())
 
 
 @functools.lru_cache(maxsize=2)
@@ -81,15 +74,12 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = chunks(model)
-        end = table.model.eos_id()
         for whole in batches:
             for batch in common.sliced(whole, 1):
-                ids = table.encode([x or "" for x in batch.column(1).to_pylist()])
-                for x in ids:
-                    x.append(end)
+                ids, offsets = table.encode([x or "" for x in batch.column(1).to_pylist()])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(table.model.decode(ids), pa.string())],
-                    ["id", "ids", "decoded"])
+                    [batch.column(0), lists, pa.array(table.model.decode(lists.to_pylist()), pa.string())], ["id", "ids", "decoded"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(doc_id, text).mapInArrow(run, f"id {kind}, ids array<int>, decoded string")

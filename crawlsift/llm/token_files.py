@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,8 +16,6 @@ from tokenizers import Tokenizer
 from crawlsift.llm import common
 from crawlsift.sources import io
 
-# A task's table of words starts anew beyond so many entries.
-TABLE_ENTRIES = 500_000
 # Settings of the files: small stripes for parallel reads, a row index every 1,000 documents, Bloom filters on ids. Integers are
 # written in run-length encoding version 2.
 ORC = {
@@ -28,26 +25,18 @@ COLUMNS = "place bigint, n_tokens bigint, ids array<int>"
 
 
 class Words:
-    """Ids of the distinct words a task has met.
+    """The distinct words that a worker has met, each encoded once.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its parts between blanks and newlines.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.table: dict[str, np.ndarray] = {}
+        self.table = common.IdTable(lambda new: [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        split = [[x for x in re.split("[ \n]+", text) if x] for text in texts]
-        if len(self.table) > TABLE_ENTRIES:
-            self.table = {}
-        new = list(set().union(*split).difference(self.table))
-        if new:
-            found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            self.table.update((word, x.ids) for word, x in zip(new, found, strict=True))
-        table = self.table
-        return [[i for word in words for i in table[word]] for words in split]
+    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts with the end id behind each, and the offsets of the texts."""
+        return common.with_end(*self.table.rows([x.replace("\n", " ").split(" ") for x in texts]), end)
 
 
 @functools.lru_cache(maxsize=2)
@@ -68,15 +57,11 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, doc_id: s
         table, total = words(tokenizer), 0
         for whole in batches:
             for batch in common.sliced(whole, 1):
-                ids = table.encode([x or "" for x in batch.column(1).to_pylist()])
-                for x in ids:
-                    x.append(end_id)
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-                place = total + np.cumsum(sizes) - sizes
-                total += int(sizes.sum())
+                ids, offsets = table.encode([x or "" for x in batch.column(1).to_pylist()], end_id)
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(place), pa.array(sizes), pa.array(ids, pa.list_(pa.int32()))],
-                    ["doc_id", "place", "n_tokens", "ids"])
+                    [batch.column(0), pa.array(total + offsets[:-1]), pa.array(np.diff(offsets)), lists], ["doc_id", "place", "n_tokens", "ids"])
+                total += int(offsets[-1])
 
     schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, {COLUMNS}"
     order = ["doc_id", F.xxhash64("text")]
