@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,19 +25,52 @@ ORC = {
 COLUMNS = "place bigint, n_tokens bigint, ids array<int>"
 
 
+# A stop or comma that closes a word is a token of its own.
+CLOSED = re.compile(r"([A-Za-z])([.,])(?=[ \n]|$)")
+# Words of these letters are one token of the tokenizer's first split, so their last piece is the only one with the word's end.
+PLAIN = re.compile("[a-zà-öø-ÿ]+")
+
+
 class Words:
     """The distinct words that a worker has met, each encoded once.
 
-    The tokenizer drops white space and no token spans it, so a text's ids are those of its parts between blanks and newlines.
+    The tokenizer lower-cases, drops white space and has no token that spans it, so a text's ids are those of its parts between
+    blanks and newlines. Plain words are encoded many at a time and told apart by the pieces that end a word.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.table = common.IdTable(lambda new: [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.table = common.IdTable(self.make)
+
+    def split(self, text: str) -> list[str]:
+        """Parts of a text, A-Z lower-cased unless a special token might arise from that."""
+        if "<|" not in text:
+            text = CLOSED.sub(r"\1 \2", text).encode().lower().decode()
+        return text.replace("\n", " ").split(" ")
+
+    def make(self, new: list[str]) -> list[list[int]]:
+        """Ids of words."""
+        plain = [i for i, x in enumerate(new) if PLAIN.fullmatch(x)]
+        out: list[list[int]] = [[]] * len(new)
+        for i in range(0, len(plain), 500):
+            part = plain[i:i + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new[j] for j in part)], add_special_tokens=False)[0].ids, np.int64)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):
+                raise ValueError("this tokenizer doesn't end each word once")
+            for j, x in zip(part, np.split(ids, cuts[:-1]), strict=True):
+                out[j] = x.tolist()
+        other = sorted(set(range(len(new))).difference(plain))
+        for j, x in zip(other, self.tokenizer.encode_batch_fast([new[j] for j in other], add_special_tokens=False), strict=True):
+            out[j] = x.ids
+        return out
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts with the end id behind each, and the offsets of the texts."""
-        return common.with_end(*self.table.rows([x.replace("\n", " ").split(" ") for x in texts]), end)
+        return common.with_end(*self.table.rows([self.split(x) for x in texts]), end)
 
 
 @functools.lru_cache(maxsize=2)
