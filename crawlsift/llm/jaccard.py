@@ -15,7 +15,8 @@ from crawlsift.sources import io
 
 # Cells of the sketch that orders shingles from rare to frequent (4 bytes each). Any order that all documents share gives the
 # same links; a coarser one costs time.
-CELLS = 1 << 20
+CELLS = 1 << 22
+SHIFT = np.uint64(42)
 # Sets of a group meet the queries that open it in blocks of about so many shingles a side.
 BLOCK_SHINGLES = 400_000
 # Bits of the filter that keeps sets out of the shuffle that no candidate needs (16 MB at most). A full filter lets all sets pass.
@@ -65,7 +66,7 @@ def describe(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
             for batch in common.sliced(whole, 1):
                 sets = _sets(common.texts(batch.column(1)), k)
                 flat = np.concatenate([np.zeros(0, np.uint64), *sets])
-                sketch += np.bincount((flat >> np.uint64(44)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                sketch += np.bincount((flat >> SHIFT).astype(np.int64), minlength=CELLS).astype(np.uint32)
                 n = len(sets)
                 full = [len(x) > 0 for x in sets]
                 yield pa.RecordBatch.from_arrays([
@@ -103,7 +104,8 @@ def sketch_of(described: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, text: str, sketch: np.ndarray, k: int, similarity: int) -> DataFrame:
-    """The token-group matrix with its queries: (token, sid, grp) for the rarest shingles of every set, as many as a similar set must meet."""
+    """(token, sid, grp, n, rest): the rarest shingles of every set, as many as one must be in common with a similar set; `rest`
+    counts the set's shingles from this one on in the order of rarity."""
     held = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,23 +117,39 @@ def prefixes(docs: DataFrame, text: str, sketch: np.ndarray, k: int, similarity:
                 if not len(sizes):
                     continue
                 flat, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-                order = np.lexsort((flat, cells[flat >> np.uint64(44)], doc))
+                order = np.lexsort((flat, cells[flat >> SHIFT], doc))
                 rank = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 keep = rank < prefix_length(sizes, similarity)[doc]
                 sid, grp = np.array([_identity(x) for x in sets]), np.array([_group(x) for x in sets])
                 of = doc[keep]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat[order][keep].astype(np.int64)), pa.array(sid[of]), pa.array(grp[of])], ["token", "sid", "grp"])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(flat[order][keep].astype(np.int64)), pa.array(sid[of]), pa.array(grp[of]), pa.array(sizes[of].astype(np.int32)),
+                    pa.array((sizes[of] - rank[keep]).astype(np.int32))], ["token", "sid", "grp", "n", "rest"])
 
-    return docs.select(text).mapInArrow(run, "token bigint, sid bigint, grp bigint")
+    return docs.select(text).mapInArrow(run, "token bigint, sid bigint, grp bigint, n int, rest int")
 
 
-def openings(matrix: DataFrame) -> DataFrame:
-    """(sid, grp): the groups each query set opens, those that hold one of its rarest shingles in the prefix of another set."""
+def meetings(matrix: DataFrame) -> DataFrame:
+    """Rows of the matrix whose shingle stands in the prefixes of two sets or more, each once."""
     shared = matrix.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select(F.col("token").alias("t"))
-    met = io.store(matrix.join(shared, F.col("token") == F.col("t")).groupBy("token", "sid", "grp").agg(F.lit(1).alias("one")).drop("one"))
-    groups = met.select(F.col("token").alias("t"), F.col("grp").alias("opened")).distinct()
-    return met.join(groups, F.col("token") == F.col("t")).groupBy("sid", "opened").agg(F.first("grp").alias("grp"))
+    return matrix.join(shared, F.col("token") == F.col("t")).groupBy("token", "sid").agg(*[F.first(x).alias(x) for x in ("grp", "n", "rest")])
+
+
+def openings(met: DataFrame, similarity: int) -> DataFrame:
+    """(sid, opened, n): the groups each query set opens.
+
+    A set opens a group in which another set that is no larger has one of its rarest shingles, unless sizes and what is left
+    behind that shingle bound the overlap below what `similarity` percent asks for. The first shingle that two similar sets
+    have in common passes both tests, so the larger of them opens the other's group.
+    """
+    column = met.groupBy("token", "grp").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("left"), F.min("sid").alias("s1"), F.max("sid").alias("s2")).select(
+        F.col("token").alias("t"), F.col("grp").alias("opened"), "lo", "hi", "left", "s1", "s2")
+    least = F.greatest(100 * F.col("lo"), similarity * F.col("n"))
+    able = (
+        (F.col("lo") <= F.col("n")) & (100 * F.col("hi") >= similarity * F.col("n")) & ~((F.col("s1") == F.col("sid")) & (F.col("s2") == F.col("sid")))
+        & (100 * (100 + similarity) * F.least("rest", "left").cast("bigint") >= similarity * (100 * F.col("n").cast("bigint") + least)))
+    return met.join(column, F.col("token") == F.col("t")).where(able).groupBy("sid", "opened").agg(F.first("n").alias("n"))
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
@@ -221,16 +239,13 @@ def block_links(queries: list[tuple[int, np.ndarray]], members: list[tuple[int,
     return _forest(found)
 
 
-def links(opened: DataFrame, described: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+def links(opened: DataFrame, members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """(a, b): links that connect the same sets as all links do.
 
     Queries and members of a group are cut into blocks by hash, so a group of any size is many tasks, none of which holds more
     than two blocks. Only a block's spanning links leave its task.
     """
-    every = described.where("kind = 0 AND n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("grp").alias("grp"))
-    groups = opened.select(F.col("opened").alias("g")).distinct()
-    members = every.join(groups, F.col("grp") == F.col("g")).select("g", "sid", "n")
-    asks = opened.join(every.select(F.col("sid").alias("s"), "n"), F.col("sid") == F.col("s")).select(F.col("opened").alias("g"), "sid", "n")
+    asks = opened.select(F.col("opened").alias("g"), "sid", "n")
     parts = lambda x: F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias(x)
     cuts = members.groupBy("g").agg(parts("mb")).join(asks.groupBy(F.col("g").alias("h")).agg(parts("qb")), F.col("g") == F.col("h")).select(
         F.col("g").alias("of"), "mb", "qb")
@@ -301,11 +316,12 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5
     no rows. Other columns are ignored.
     """
     described = describe(docs, doc_id, text, k)
-    opened = io.store(openings(prefixes(docs, text, sketch_of(described), k, similarity)))
-    groups = opened.select(F.col("opened").alias("g")).distinct()
-    members = described.where("kind = 0 AND n > 0").select("sid", "grp").join(groups, F.col("grp") == F.col("g"), "left_semi").select("sid")
-    needed = io.store(opened.select("sid").union(members).distinct())
-    edges = links(opened, described, needed_sets(docs, text, needed, k), similarity)
+    met = io.store(meetings(prefixes(docs, text, sketch_of(described), k, similarity)))
+    opened = io.store(openings(met, similarity))
+    groups = opened.select(F.col("opened").alias("o")).distinct()
+    members = io.store(met.join(groups, F.col("grp") == F.col("o"), "left_semi").groupBy(F.col("grp").alias("g"), "sid").agg(F.first("n").alias("n")))
+    needed = io.store(opened.select("sid").union(members.select("sid")).distinct())
+    edges = links(opened, members, needed_sets(docs, text, needed, k), similarity)
     roots = components(edges)
     rows = described.where("kind = 0").select("id", "n", "sid")
     rooted = rows.join(roots.withColumnRenamed("sid", "of"), F.col("sid") == F.col("of"), "left").select(
