@@ -21,6 +21,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Let Arrow batches hold a thousand rows where the session has Spark's default of ten thousand: rows here are whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, "1000")
+    return df
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a text column; null becomes empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -64,7 +72,7 @@ class _Numbers(dict):
 class IdTable:
     """The ids of the distinct strings that a worker has met, each made once; anew beyond `entries`, so that its memory is bounded."""
 
-    def __init__(self, make: Callable[[list[str]], list[list[int]]], entries: int = 400_000) -> None:
+    def __init__(self, make: Callable[[list[str]], list[list[int]]], entries: int = 300_000) -> None:
         self.make, self.entries = make, entries
         self.clear()
 

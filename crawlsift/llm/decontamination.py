@@ -124,7 +124,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int =
     whole join. Documents are neither shuffled nor cut. Null and empty texts hold nothing; null ids and repeated items are
     reported as they are; an empty benchmark marks nothing.
     """
-    spark = docs.sparkSession
+    spark = common.small_batches(docs).sparkSession
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
     at = docs.columns.index(text)

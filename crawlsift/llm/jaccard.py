@@ -15,8 +15,8 @@ from crawlsift.sources import io
 
 # Cells of the sketch that orders shingles from rare to frequent (4 bytes each). Any order that all documents share gives the
 # same links; a coarser one costs time.
-CELLS = 1 << 22
-SHIFT = np.uint64(42)
+CELLS = 1 << 21
+SHIFT = np.uint64(43)
 # Sets of a group meet the queries that open it in blocks of about so many shingles a side.
 BLOCK_SHINGLES = 400_000
 # Bits of the filter that keeps sets out of the shuffle that no candidate needs (16 MB at most). A full filter lets all sets pass.
@@ -79,7 +79,7 @@ def describe(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
                 pa.array(np.ones(16, np.int32)), pa.nulls(16, ids), pa.nulls(16, pa.int64()), pa.nulls(16, pa.int64()), pa.nulls(16, pa.int64()),
                 pa.array(np.arange(16, dtype=np.int32)), pa.array([sketch[i * step:(i + 1) * step].tobytes() for i in range(16)], pa.binary())], names)
 
-    return io.store(docs.select(doc_id, text).mapInArrow(
+    return io.store(common.small_batches(docs).select(doc_id, text).mapInArrow(
         run, f"kind int, id {kind}, n bigint, sid bigint, grp bigint, slice int, cells binary"))
 
 

@@ -82,7 +82,7 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
                     [batch.column(0), lists, pa.array(table.model.decode(lists.to_pylist()), pa.string())], ["id", "ids", "decoded"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"id {kind}, ids array<int>, decoded string")
+    return common.small_batches(docs).select(doc_id, text).mapInArrow(run, f"id {kind}, ids array<int>, decoded string")
 
 
 def report(docs: DataFrame, model: str) -> DataFrame:

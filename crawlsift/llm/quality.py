@@ -94,7 +94,7 @@ def _add(docs: DataFrame, text: str, name: str, kind: T.DataType, make: object)
                 made = make(common.texts(batch.column(at)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, kind)]))
+    return common.small_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, kind)]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = 20_000) -> Model:

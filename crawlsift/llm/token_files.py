@@ -99,7 +99,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, doc_id: s
 
     schema = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, {COLUMNS}"
     order = ["doc_id", F.xxhash64("text")]
-    ordered = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = common.small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.mapInArrow(run, schema).write.options(**ORC).orc(path)
 
 

@@ -60,7 +60,7 @@ def sample(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int)
                 lists = [feature[a:b].astype(np.int32) for a, b in zip(cuts, cuts[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], ["kind", "features"])
 
-    found = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("picked")).select("kind", "text").mapInArrow(run, "kind int, features array<int>")
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("picked")).select("kind", "text").mapInArrow(run, "kind int, features array<int>")
     rows = found.toArrow()
     kinds, lists = rows.column("kind").to_pylist(), rows.column("features").to_pylist()
     pick = lambda kind: sorted((np.array(x, np.int64) for k, x in zip(kinds, lists, strict=True) if k == kind), key=lambda x: x.tobytes())
@@ -141,7 +141,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
                 total = np.bincount(doc, weights.value[feature], batch.num_rows) + bias
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(total))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return common.small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def report(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 8000) -> DataFrame:

@@ -50,7 +50,8 @@ VALUE = pa.schema([("value", pa.binary())])
 
 def _write_records(records: DataFrame, path: str) -> None:
     """Write binary rows one after another, each followed by a newline that belongs to its record; one gzip file per task."""
-    records.select(F.col("value").cast("string").alias("value")).write.option("compression", "gzip").text(path)
+    records.select(F.col("value").cast("string").alias("value")).write.options(
+        **{"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}).text(path)
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -112,7 +113,7 @@ def write_arc(pages: DataFrame, path: str, date: str = "19970101000000") -> None
 
         yield from _emit(rows(), VALUE)
 
-    _write_records(pages.select(F.col("page_id").cast("string"), "url", "html").mapInArrow(run, "value binary"), path)
+    _write_records(common.small_batches(pages).select(F.col("page_id").cast("string"), "url", "html").mapInArrow(run, "value binary"), path)
 
 
 def _body(block: bytes) -> tuple[dict[str, str], bytes]:
