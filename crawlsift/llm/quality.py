@@ -104,9 +104,10 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = 20_000) -> Model:
     found = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("picked")).select("y", "text")
     kind = T.ArrayType(T.DoubleType())
     rows = _add(found, "text", "x", kind, lambda docs: pa.array(list(measures(docs)), pa.list_(pa.float64()))).select("y", "x").toArrow()
-    x = np.array(rows.column("x").to_pylist(), np.float64).reshape(rows.num_rows, -1)
-    y = np.array(rows.column("y").to_pylist(), np.float64)
-    order = np.lexsort((*x.T, y)) if len(y) else slice(None)
+    if not rows.num_rows:
+        return Model(np.zeros((0, 0)), np.zeros(0))
+    x, y = np.array(rows.column("x").to_pylist(), np.float64), np.array(rows.column("y").to_pylist(), np.float64)
+    order = np.lexsort((*x.T, y))
     return Model(x[order], y[order])
 
 

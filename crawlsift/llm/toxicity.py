@@ -102,8 +102,8 @@ def train(
     The risk is prior * E_toxic[loss(f)] + max(0, E_other[loss(-f)] - prior * E_toxic[loss(-f)]) with the logistic loss: the
     unlabelled texts stand for non-toxic ones after the toxic share in them is taken off. Where that difference falls below
     zero, the model has begun to learn the sample by heart, and the step goes up its slope instead. Accelerated proximal steps
-    with an absolute penalty leave features that tell little without weight; those in under a hundredth of the toxic texts or in
-    over a fifth of the sample are not used. Without toxic examples every text scores the prior.
+    with an absolute penalty leave features that tell little without weight; those in under a hundredth of the toxic texts are not
+    used, nor those in over a fifth of all texts unless they are twice as common in toxic ones. Without toxic examples every text scores the prior.
     """
     prior = min(max(prior, 1e-3), 0.999)
     weights, bias = np.zeros(DIMENSIONS), float(np.log(prior / (1 - prior)))
@@ -111,7 +111,7 @@ def train(
         return weights.astype(np.float32), bias
     p, u = Sparse(toxic), Sparse(other)
     in_p, in_u = np.bincount(p.columns, minlength=DIMENSIONS), np.bincount(u.columns, minlength=DIMENSIONS)
-    used = (in_p >= max(3, support * p.n)) & (in_p + in_u <= max(3, 0.2 * (p.n + u.n)))
+    used = (in_p >= max(3, support * p.n)) & ((in_u <= 0.2 * u.n) | (in_u / u.n <= 0.5 * in_p / p.n))
     p.keep(used)
     u.keep(used)
     ahead, bias_ahead, pace = weights, bias, 1.0

@@ -153,9 +153,10 @@ def arc_records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         if len(values) != len(fields):
             raise ValueError(f"{file} has a header line of {len(values)} fields, not {len(fields)}")
         record = dict(zip(fields, values, strict=True))
-        block, rest = reader.take(int(record["Archive-length"]))
-        if rest != b"\n":
+        block, rest = reader.take(int(record["Archive-length"]) + 1)  # a newline closes the record
+        if rest or block[-1:] != b"\n":
             raise ValueError(f"{file} has a record of another length than declared")
+        block = block[:-1]
         headers, payload = _body(block)
         page = headers.get("x-page-id", NO_PAGE)
         kind = "response" if headers or record["URL"].startswith("dns:") else "resource"

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from crawlsift.llm import attention, common, decontamination, jaccard, quality, scoring, toxicity
@@ -144,7 +145,7 @@ def test_quality_shrinks_sparse_sites(spark):
     rows = [(i, "a b c d e" if i % 10 else "x", "big" if i < 400 else "bad" if i < 500 else None, "p") for i in range(500)]
     rows = [(i, "x" if s == "bad" else t, s, p) for i, t, s, p in rows] + [(900, "x", "new", None), (901, "a b c d e", "bad", "p"), (902, None, "big", "q")]
     table = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string").selectExpr("*", "1 AS place", "2 AS host")
-    got = {r.doc_id: r["__quality"] for r in quality.posterior(table, model, table["source"], table["lang"]).collect()}
+    got = {r.doc_id: r["__quality"] for r in quality.posterior(table, model, F.col("source"), F.col("lang")).collect()}
     assert len(got) == len(rows)
     assert got[1] > 0.8 and got[401] < 0.1  # evidence and site agree
     assert got[1] > got[901] and got[0] > got[401]  # the same text counts for more at a good site
