@@ -21,6 +21,15 @@ def redact(e: str) -> str:
     return f"regexp_replace(regexp_replace({e}, {q(BEARER)}, '{BEARER_MASK}'), {q(SECRET)}, '{SECRET_MASK}')"
 
 
+def _described(numbered: DataFrame) -> DataFrame:
+    """Offset from the session start, level and redacted message of numbered events."""
+    level = F.coalesce("level", F.expr("CASE upper(category) WHEN 'WARN' THEN 'warn' WHEN 'ERROR' THEN 'error' ELSE 'info' END"))
+    return numbered.select(
+        "session_id", F.col("id").cast("bigint").alias("id"), "seq", F.expr("unix_millis(ts)").alias("time"), "delta_ms",
+        F.expr("concat('+', delta_ms div 1000, '.', lpad(delta_ms % 1000, 3, '0'), 's')").alias("delta_str"),
+        F.upper("category").alias("category"), level.alias("level"), F.expr(redact("message")).alias("message"), "meta")
+
+
 def sequence(trace: DataFrame, cap: int = MAX_EVENTS) -> DataFrame:
     """First `cap` events of each session with running id, offset from the session start and level.
 
@@ -29,13 +38,23 @@ def sequence(trace: DataFrame, cap: int = MAX_EVENTS) -> DataFrame:
     """
     rank = F.expr("row_number() OVER (PARTITION BY session_id ORDER BY ts, seq)")
     kept = trace.withColumn("id", rank).where(F.col("id") <= cap)
-    level = F.coalesce("level", F.expr("CASE upper(category) WHEN 'WARN' THEN 'warn' WHEN 'ERROR' THEN 'error' ELSE 'info' END"))
-    return (
-        kept.withColumn("delta_ms", F.expr("unix_millis(ts) - min(unix_millis(ts)) OVER (PARTITION BY session_id)"))
-        .select(
-            "session_id", F.col("id").cast("bigint").alias("id"), "seq", F.expr("unix_millis(ts)").alias("time"), "delta_ms",
-            F.expr("concat('+', delta_ms div 1000, '.', lpad(delta_ms % 1000, 3, '0'), 's')").alias("delta_str"),
-            F.upper("category").alias("category"), level.alias("level"), F.expr(redact("message")).alias("message"), "meta"))
+    return _described(kept.withColumn("delta_ms", F.expr("unix_millis(ts) - min(unix_millis(ts)) OVER (PARTITION BY session_id)")))
+
+
+def whole_sequence(trace: DataFrame, slot_ms: int = 600_000) -> DataFrame:
+    """All events of each session, numbered and described like the first ones.
+
+    Events are numbered inside slots of a session's time, and the counts of the slots before are added: a session that holds a
+    third of all events is as many groups as it has slots.
+    """
+    slotted = trace.withColumn("slot", F.expr(f"unix_millis(ts) div {slot_ms}"))
+    slots = slotted.groupBy("session_id", "slot").agg(F.count("*").alias("n"), F.min(F.expr("unix_millis(ts)")).alias("first"))
+    over = "OVER (PARTITION BY session_id ORDER BY slot NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    starts = slots.selectExpr(
+        "session_id AS of_session", "slot AS of_slot", f"coalesce(sum(n) {over}, 0) AS before", "min(first) OVER (PARTITION BY session_id) AS start")
+    inside = slotted.withColumn("place", F.expr("row_number() OVER (PARTITION BY session_id, slot ORDER BY ts, seq)"))
+    joined = inside.join(starts, F.col("session_id").eqNullSafe(F.col("of_session")) & F.col("slot").eqNullSafe(F.col("of_slot")))
+    return _described(joined.withColumn("id", F.expr("before + place")).withColumn("delta_ms", F.expr("unix_millis(ts) - start")))
 
 
 def redacted(df: DataFrame, col: str) -> DataFrame:
@@ -44,8 +63,10 @@ def redacted(df: DataFrame, col: str) -> DataFrame:
 
 
 def sanitize_meta(trace: DataFrame) -> DataFrame:
-    """Metadata as rows: redacted strings, numbers, booleans and lists cut to ten; anything else is dropped."""
-    entries = trace.withColumn("m", F.expr("CAST(try_parse_json(meta) AS map<string, variant>)")).select(
+    """Metadata as rows: redacted strings, numbers, booleans and lists cut to ten; anything else is dropped, and so is
+    metadata that is no JSON object."""
+    entries = trace.withColumn("m", F.expr(
+        "CASE WHEN schema_of_variant(try_parse_json(meta)) LIKE 'OBJECT%' THEN CAST(try_parse_json(meta) AS map<string, variant>) END")).select(
         "session_id", "seq", F.explode_outer("m").alias("key", "v")
     ).where("v IS NOT NULL").withColumn("kind", F.expr("schema_of_variant(v)"))
     value = (

@@ -681,11 +681,12 @@ def oracle_sql() -> dict[str, str]:
         f"WITH {_TRACE} SELECT session_id, seq, 'user' AS key, json_extract_string(meta, '$.user') AS value FROM trace UNION ALL"
         " SELECT session_id, seq, 'auth', regexp_replace(json_extract_string(meta, '$.auth'), 'Bearer\\s+[A-Za-z0-9\\-._~+/]+=*', 'Bearer [REDACTED]', 'gi') FROM trace UNION ALL"
         " SELECT session_id, seq, 'ok', json_extract_string(meta, '$.ok') FROM trace UNION ALL SELECT session_id, seq, 'list', '[1,2,3,4,5,6,7,8,9,10]' FROM trace WHERE json_array_length(meta, '$.list') > 10")
+    whole = seq.replace(" WHERE id <= 200", "")
     out["trace_groups"] = (
-        f"{seq} SELECT session_id, count(*) AS \"all\", count(*) FILTER (WHERE category IN ('DNS', 'TLS', 'HTTP', 'NETWORK')) AS network, count(*) FILTER (WHERE category IN ('BROWSER', 'DOM')) AS browser,"
+        f"{whole} SELECT session_id, count(*) AS \"all\", count(*) FILTER (WHERE category IN ('DNS', 'TLS', 'HTTP', 'NETWORK')) AS network, count(*) FILTER (WHERE category IN ('BROWSER', 'DOM')) AS browser,"
         f" count(*) FILTER (WHERE category = 'API') AS api, count(*) FILTER (WHERE {_T_ERR}) AS error FROM seqd GROUP BY session_id")
-    out["trace_errors"] = f"{seq} SELECT session_id, id, category, level FROM seqd WHERE {_T_ERR}"
-    out["trace_text"] = f"{seq} SELECT session_id, id, {_DELTA} || ' [' || category || '] ' || message AS line FROM seqd"
+    out["trace_errors"] = f"{whole} SELECT session_id, id, category, level FROM seqd WHERE {_T_ERR}"
+    out["trace_text"] = f"{whole} SELECT session_id, id, {_DELTA} || ' [' || category || '] ' || message AS line FROM seqd"
     net = f"WITH {_NET}, {_LIFE}"
     req = f"{net}, {_READY}"
     out["net_lifecycle"] = f"{net} SELECT * REPLACE (CASE WHEN url IS NULL THEN NULL ELSE name END AS name) FROM named"

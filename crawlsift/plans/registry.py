@@ -244,9 +244,9 @@ QUERIES: dict[str, Callable[[Recorded], DataFrame]] = {
     "trace_redacted": lambda r: trace.redacted(r.documents, "text").groupBy("lang", "masked").agg(
         F.count("*").alias("documents"), F.sum(F.length("redacted")).alias("chars")),
     "trace_meta": lambda r: trace.sanitize_meta(r.trace),
-    "trace_groups": lambda r: trace.group_counts(trace.sequence(r.trace)),
-    "trace_errors": lambda r: trace.filter_group(trace.sequence(r.trace), "error").select("session_id", "id", "category", "level"),
-    "trace_text": lambda r: trace.text_lines(trace.sequence(r.trace)),
+    "trace_groups": lambda r: trace.group_counts(trace.whole_sequence(r.trace)),
+    "trace_errors": lambda r: trace.filter_group(trace.whole_sequence(r.trace), "error").select("session_id", "id", "category", "level"),
+    "trace_text": lambda r: trace.text_lines(trace.whole_sequence(r.trace)),
     # network events
     "net_lifecycle": lambda r: netevents.with_names(netevents.lifecycle(r.net_events)).drop("initiator"),
     "net_stats": lambda r: netevents.stats(_requests(r)),

@@ -32,6 +32,14 @@ def test_sequence_cap_and_delta(spark):
     assert trace.text_lines(trace.sequence(traces(spark, rows))).where("id = 4").first().line == "+1.500s [DNS] m3"
 
 
+@pytest.mark.parametrize("slot_ms", [700, 600_000])
+def test_whole_sequence_numbers_every_event(spark, slot_ms):
+    rows = [("s", i, at(i * 0.3 if i % 2 else 5), "dns", None, f"m{i}", None) for i in range(500)] + [("t", 1, at(9), "WARN", None, "x", None)]
+    got = trace.whole_sequence(traces(spark, rows), slot_ms).orderBy("session_id", "id").collect()
+    want = trace.sequence(traces(spark, rows), 10_000).orderBy("session_id", "id").collect()
+    assert len(got) == 501 and got == want
+
+
 @pytest.mark.parametrize("text,want", [
     ("Authorization: bearer abc.DEF-_~+/=== ok", "Authorization: Bearer [REDACTED] ok"),
     ("token=abc; SessionID=x,y session_id=q", "token=[MASKED]; SessionID=[MASKED],y session_id=[MASKED]"),
@@ -43,7 +51,8 @@ def test_redaction(spark, text, want):
 
 def test_meta_keeps_plain_values(spark):
     meta = '{"s":"token=1","n":1.5,"b":true,"l":[1,2,3,4,5,6,7,8,9,10,11],"o":{"a":1},"z":null}'
-    rows = trace.sanitize_meta(traces(spark, [("s", 1, at(0), "API", None, "m", meta), ("s", 2, at(0), "API", None, "m", "not json")])).collect()
+    rows = trace.sanitize_meta(traces(spark, [("s", 1, at(0), "API", None, "m", meta), *(
+        ("s", 2 + i, at(0), "API", None, "m", odd) for i, odd in enumerate(["not json", "[1,2]", "5", '"x"', "null", "", "{}", None]))])).collect()
     assert {r.key: r.value for r in rows} == {"s": "token=[MASKED]", "n": "1.5", "b": "true", "l": "[1,2,3,4,5,6,7,8,9,10]"}
 
 
