@@ -183,8 +183,25 @@ def test_rare_words_are_joined(docs, monkeypatch):
     assert all(a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-9 for a, b in zip(plain, few, strict=True))
 
 
+def test_counted_shares_sum_to_one():
+    draw = np.random.default_rng(4)
+    counts = draw.integers(0, 50, 900)
+    kind = attention.classes(counts, np.arange(900) % 2, 2)
+    key, n = np.unique(draw.integers(0, (attention.CLASSES + 1) * 900, 5000), return_counts=True)
+    chance, inside = attention.shares(counts, kind, (key // 900, key % 900, n))
+    assert np.allclose(chance.sum(1), 1) and (chance > 0).all()
+    for row in inside:
+        assert np.allclose(np.bincount(kind, 10.0 ** row, attention.CLASSES)[np.unique(kind)], 1, atol=1e-4)
+
+
+def test_scores_follow_the_order_of_words(docs):
+    rows = [(i, "red cat sat on blue mat . " * 20) for i in range(400)] + [(1000, "red cat sat on blue mat ."), (1001, "mat on . red blue sat cat")]
+    got = {x.doc_id: x for x in scoring.report(docs(*rows), PIECES).collect()}
+    assert got[1000].score > got[1001].score + 5 and abs(got[1000].base_score - got[1001].base_score) < 1e-9
+
+
 def test_attention_sums_to_one_and_is_causal():
-    model = attention.start(np.ones(attention.CLASSES) / attention.CLASSES)
+    model = attention.start(np.ones((attention.CLASSES + 1, attention.CLASSES)) / attention.CLASSES)
     draw = np.random.default_rng(2)
     flat = draw.integers(0, attention.CLASSES, 150).astype(np.int16)
     inputs, target, _ = attention.windows(flat, np.array([100, 50]))
@@ -200,18 +217,18 @@ def test_attention_sums_to_one_and_is_causal():
 
 
 def test_attention_gradient_and_training():
-    model = {k: v.astype(np.float64) for k, v in attention.start(np.ones(attention.CLASSES) / attention.CLASSES).items()}
+    model = {k: v.astype(np.float64) for k, v in attention.start(np.ones((attention.CLASSES + 1, attention.CLASSES)) / attention.CLASSES).items()}
     flat = np.random.default_rng(3).integers(0, 20, 90).astype(np.int16)
     inputs, target, _ = attention.windows(flat, np.array([90]))
     goal, held = flat[np.maximum(target, 0)].astype(np.int64), target >= 0
     loss = lambda m: -(attention.log_shares(attention.forward(m, inputs)[-1], goal) * held).sum() / held.sum()
     slopes = attention.gradient(model, inputs, goal, held)
-    for name, at in [("q", (1, 2)), ("k", (3, 4)), ("v", (5, 6)), ("o", (7, 8)), ("out", (9, 3)), ("embed", (int(flat[5]), 3)), ("place", (30, 2)), ("bias", (4,))]:
+    for name, at in [("q", (1, 2)), ("k", (3, 4)), ("v", (5, 6)), ("o", (7, 8)), ("out", (9, 3)), ("embed", (int(flat[5]), 3)), ("place", (30, 2)), ("bias", (int(flat[5]), 4)), ("second", (int(flat[5]), 4))]:
         up, down = ({k: v.copy() for k, v in model.items()} for _ in range(2))
         up[name][at] += 1e-2
         down[name][at] -= 1e-2
         assert abs((loss(up) - loss(down)) / 2e-2 - slopes[name][at]) < 2e-4 + 0.05 * abs(slopes[name][at]), name
-    small = attention.start(np.ones(attention.CLASSES) / attention.CLASSES)
+    small = attention.start(np.ones((attention.CLASSES + 1, attention.CLASSES)) / attention.CLASSES)
     text = [np.array([1, 2, 3, 4, 5] * 40, np.int16)]
     score = lambda m: attention.score(m, text[0], np.array([200]))[0]
     assert score(attention.train(small, text)) > score(small) / 4
