@@ -32,7 +32,7 @@ SOURCES = [
 
 
 def lists(pages: DataFrame, *keep: str) -> DataFrame:
-    """Pages with `assets`: distinct by resolved URL, first wins in source and document order, capped.
+    """Pages with `assets`, all of them: distinct by resolved URL, first wins in source and document order.
 
     `keep` names lexed columns to carry along; `rewrite` needs `tokens` and `marks`.
     """
@@ -47,8 +47,8 @@ def lists(pages: DataFrame, *keep: str) -> DataFrame:
         " 'src', c.src, 'type', c.type, 'folder', c.folder, 'attr', c.attr, 'path', r.path)), a -> a.url IS NOT NULL))")
     firsts = "filter(by_url, (a, i) -> i = 0 OR a.url <> get(by_url, i - 1).url)"
     ordered = (
-        f"slice(array_sort(transform({firsts}, a -> named_struct('ord', a.ord, 'pos', a.pos, 'original_src', a.src,"
-        f" 'resolved_url', a.url, 'type', a.type, 'folder', a.folder, 'attr', a.attr, 'path', a.path))), 1, {MAX_ASSETS})")
+        f"array_sort(transform({firsts}, a -> named_struct('ord', a.ord, 'pos', a.pos, 'original_src', a.src,"
+        f" 'resolved_url', a.url, 'type', a.type, 'folder', a.folder, 'attr', a.attr, 'path', a.path)))")
     listed = once(H.lexed(pages), candidates=f"filter(concat({found}), c -> NOT ({excluded}))").select(
         "page_id", "url", "base", "candidates", *keep)
     resolved = once(listed, resolved=U.resolve_urls("transform(candidates, c -> c.src)", "base"))
@@ -56,6 +56,11 @@ def lists(pages: DataFrame, *keep: str) -> DataFrame:
         "page_id", "url", F.col("base.host").alias("host"), "assets", *keep)
 
 
+def first(asset_lists: DataFrame, n: int = MAX_ASSETS) -> DataFrame:
+    """Keep the first `n` assets of each page, as a bundle lists them."""
+    return asset_lists.withColumn("assets", F.slice("assets", 1, n))
+
+
 def select(asset_lists: DataFrame, selection: DataFrame) -> DataFrame:
     """Keep the assets a page's selection names by resolved or original URL; a page without selection keeps all.
 
@@ -93,7 +98,7 @@ def manifest(numbered: DataFrame) -> DataFrame:
 def budget(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """Decide which assets fit: each at most 5 MB, none once 30 MB are reached.
 
-    `rows` are at most 100 per page, so the running sum is over a bounded group. `sizes(resolved_url, bytes,
+    `rows` are those of `first`, so the running sum is over a bounded group. `sizes(resolved_url, bytes,
     status_code)` holds one row per URL; URLs that very many pages share are looked up by broadcast.
     """
     fits = F.expr(f"coalesce(status_code BETWEEN 200 AND 299 AND bytes > 0 AND bytes <= {MAX_ASSET_BYTES}, false)")
@@ -112,7 +117,7 @@ def budget(rows: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def manifest_stats(asset_lists: DataFrame, budgeted: DataFrame) -> DataFrame:
-    """Assets found, included and their bytes per page."""
+    """Assets found (pass whole lists), included and their bytes per page."""
     included = budgeted.where("outcome = 'included'").groupBy("page_id").agg(
         F.count("*").alias("included"), F.sum("bytes").alias("bytes"))
     return asset_lists.select("page_id", "url", F.size("assets").cast("bigint").alias("found")).join(
@@ -120,7 +125,8 @@ def manifest_stats(asset_lists: DataFrame, budgeted: DataFrame) -> DataFrame:
 
 
 def rewrite(numbered: DataFrame, as_of: str) -> DataFrame:
-    """Pages whose asset attributes point to local paths, with a provenance comment at the start of the head.
+    """Pages whose asset attributes point to local paths, with a provenance comment at the start of the head, else after
+    `<html>`, else in front.
 
     The document is rebuilt from the tokens that the asset list was read from, in the same row: HTML is lexed once and
     never shuffled, and only the element that was listed changes.
@@ -141,16 +147,15 @@ def rewrite(numbered: DataFrame, as_of: str) -> DataFrame:
         f"transform(tokens, (t, i) -> CASE WHEN {hit} AND {href} THEN {swap('href')} WHEN {hit} THEN {swap('src')}"
         f" WHEN i = head_pos THEN concat(t, {comment}) ELSE t END)")
     ready = numbered.selectExpr(
-        "page_id", "url", "tokens", "get(filter(marks, m -> m.tag = 'head'), 0).pos AS head_pos",
+        "page_id", "url", "tokens", "coalesce(get(filter(marks, m -> m.tag = 'head'), 0).pos, get(filter(marks, m -> m.tag = 'html'), 0).pos) AS head_pos",
         "transform(assets, a -> a.pos) AS places", "transform(assets, a -> named_struct('attr', a.attr, 'path', a.local_path)) AS targets")
-    return ready.select("page_id", "url", F.expr(f"array_join({body}, '')").alias("html"))
+    return ready.select("page_id", "url", F.expr(
+        f"concat(CASE WHEN head_pos IS NULL THEN {comment} ELSE '' END, array_join({body}, ''))").alias("html"))
 
 
 def inventory(facts: DataFrame) -> DataFrame:
-    """Selectable files of each page: listed scripts, stylesheets and image sources, distinct per category."""
-    parts = [
-        ("script", f"slice(script_files.url, 1, {H.SCRIPT_CAP})"), ("stylesheet", f"slice(stylesheet_files.url, 1, {H.STYLESHEET_CAP})"),
-        ("image", f"slice(images.src, 1, {H.IMAGE_CAP})")]
+    """Selectable files of each page: scripts, stylesheets and image sources, distinct per category."""
+    parts = [("script", "script_files.url"), ("stylesheet", "stylesheet_files.url"), ("image", "images.src")]
     rows = ", ".join(f"transform(array_distinct({files}), u -> named_struct('category', '{kind}', 'selected_url', u))" for kind, files in parts)
     return facts.select("page_id", F.inline_outer(F.expr(f"concat({rows})"))).where("selected_url IS NOT NULL")
 

@@ -45,8 +45,9 @@ def record_pivot(answers: DataFrame) -> DataFrame:
         "type", ["A", "AAAA", "CNAME", "MX", "TXT"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
-def validity(certs: DataFrame, as_of: str) -> DataFrame:
-    """Days remaining, status, names and alternative names of each certificate as of a given UTC time."""
+def validity(certs: DataFrame, as_of: str, listed: int = SAN_CAP) -> DataFrame:
+    """Days remaining, status, names and the first `listed` alternative names of each certificate as of a
+    given UTC time; `total_sans` counts all."""
     now = f"unix_micros(TIMESTAMP '{as_of} UTC')"
     sans = "filter(transform(split(san, ','), s -> regexp_replace(btrim(s, ' \\t\\r\\n'), '(?i)^DNS:', '')), s -> s <> '')"
     return (
@@ -59,7 +60,7 @@ def validity(certs: DataFrame, as_of: str) -> DataFrame:
             "valid_from", "valid_to", "CAST(floor(left_us / 86400000000D) AS bigint) AS days_remaining",
             "coalesce(left_us < 0, false) AS is_expired",
             "CASE WHEN authorized THEN 'Valid' WHEN left_us < 0 THEN 'Expired' ELSE 'Untrusted / Invalid' END AS status",
-            f"slice(names, 1, {SAN_CAP}) AS sans", "CAST(size(names) AS bigint) AS total_sans"))
+            f"slice(names, 1, {listed}) AS sans", "CAST(size(names) AS bigint) AS total_sans"))
 
 
 def sans(valid: DataFrame) -> DataFrame:

@@ -19,11 +19,16 @@ NO_RECORD = "No recorded response."
 
 
 def edges(hops: DataFrame) -> DataFrame:
-    """Resolve each recorded response to its next hop. `hops` holds one row per URL."""
+    """Resolve each recorded response to its next hop, one row per normalised URL.
+
+    Of several records of a URL the one with the highest status code counts, then the last by location, text and time.
+    """
     redirect = f"status_code IN ({', '.join(map(str, REDIRECT_CODES))}) AND coalesce(location, '') <> ''"
-    return once(once(hops, base=U.parse_url("from_url")), target=U.resolve_url("location", "base") + ".url").selectExpr(
-        "from_url", "status_code", "status_text", "location", "CAST(response_ms AS bigint) AS response_ms",
-        f"{redirect} AS is_redirect", f"CASE WHEN {redirect} THEN target END AS next_url")
+    found = once(once(hops, base=U.parse_url("from_url")), target=U.resolve_url("location", "base") + ".url").selectExpr(
+        "coalesce(base.url, from_url) AS from_url",
+        "named_struct('status_code', status_code, 'location', location, 'status_text', status_text,"
+        f" 'response_ms', CAST(response_ms AS bigint), 'is_redirect', {redirect}, 'next_url', CASE WHEN {redirect} THEN target END) AS hop")
+    return found.groupBy("from_url").agg(F.max("hop").alias("hop")).selectExpr("from_url", "hop.*")
 
 
 def chains(starts: DataFrame, hops: DataFrame, max_redirects: int = MAX_REDIRECTS) -> DataFrame:
@@ -31,14 +36,15 @@ def chains(starts: DataFrame, hops: DataFrame, max_redirects: int = MAX_REDIRECT
 
     One join per hop, unrolled so that AQE sees each and can split a URL that a third of all chains run into. A chain
     that has ended gets a join key of its own, which matches nothing and spreads evenly. The edges are shuffled once
-    and reused. A looping hop is listed, the hop beyond the limit is not.
+    and reused. A looping hop is listed, the hop beyond the limit is not. Start URLs are reported as given and followed in
+    their normalised form.
     """
     step = edges(hops)
     hop_type = (
         "array<struct<hop:int,from_url:string,to_url:string,status_code:int,status_text:string,location:string,"
         "response_ms:bigint>>")
-    state = starts.select("start_url").distinct().selectExpr(
-        "start_url", "start_url AS cur", "array(start_url) AS visited", f"CAST(array() AS {hop_type}) AS hops",
+    state = once(starts.select("start_url").distinct(), first=f"coalesce({U.parse_url('start_url')}.url, start_url)").selectExpr(
+        "start_url", "first AS cur", "array(first) AS visited", f"CAST(array() AS {hop_type}) AS hops",
         "0L AS total_ms", "CAST(NULL AS int) AS status_code", "CAST(NULL AS string) AS error", "false AS done")
     for hop in range(max_redirects + 1):
         keyed = state.withColumn("key", F.expr("CASE WHEN done THEN concat(' ', start_url) ELSE cur END"))

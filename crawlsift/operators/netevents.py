@@ -171,32 +171,47 @@ def api_calls(events: DataFrame, cap: int = API_CAP) -> DataFrame:
     return _first_per(calls, "session_id", cap).select("session_id", "n", "seq", "request_id", "url", "method", "resource_type")
 
 
-def pair_fifo(events: DataFrame, cap: int = API_CAP) -> DataFrame:
-    """Captured calls with the status of their response: a response answers the oldest open call of its URL.
+# The messages of all sessions are cut into so many spans of `seq`, so that no URL's messages are ordered in one task.
+SPANS = 4096
 
-    A session has at most `cap` captured calls, so between two of them at most `cap` responses of a URL can find an
-    open call; later ones are dropped before the pairing. A URL polled by a third of all events therefore reaches the
-    pairing as a bounded group, with the same result.
+
+def pair_fifo(events: DataFrame, cap: int | None = None) -> DataFrame:
+    """Calls with the status of their response: a response answers the oldest open call of its URL in its session.
+
+    All xhr and fetch calls take part, with `cap` the first of each session. Calls are +1 and responses -1: a response that
+    met no open call pushes the running balance to a new minimum below zero, the others answer the calls in order. Balances
+    are taken inside spans first and the spans of a URL are summed up, at most `SPANS` + 1 rows: a URL polled by a third of
+    all events is as many groups as it has spans. Of messages with one `seq` calls come first. Calls without session or URL
+    stay unanswered.
     """
-    calls = api_calls(events, cap)
-    answers = events.where(F.col("action").eqNullSafe("response") & F.lower("resource_type").isin(API_TYPES)).select(
-        "session_id", "url", "seq", "status")
-    opened = calls.groupBy("session_id", "url").agg(F.array_sort(F.collect_list("seq")).alias("opened"))
-    placed = lookup(answers, opened, ["session_id", "url"], ["session_id", "seq"], "inner").withColumn(
-        "gap", F.expr("size(filter(opened, o -> o < seq))")).where("gap > 0").drop("opened")
-    useful = _first_per(placed, "session_id, url, gap", cap).select("session_id", "url", "seq", "status", F.lit(-1).alias("step"))
-    both = calls.select("session_id", "url", "seq", F.lit(None).cast("int").alias("status"), F.lit(1).alias("step")).unionByName(useful)
-    over = "OVER (PARTITION BY session_id, url ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    # responses that met no open call are those that push the running balance to a new minimum below zero
-    run = both.withColumn("balance", F.expr(f"sum(step) {over}")).withColumn(
-        "answers", F.expr(f"count_if(step = -1) {over}")
-    ).withColumn("lost", F.expr(f"greatest(0, -min(balance) {over})")).withColumn(
-        "lost_before", F.expr("coalesce(lag(lost) OVER (PARTITION BY session_id, url ORDER BY seq), 0)"))
-    matched = run.where("step = -1 AND lost = lost_before").select(
-        "session_id", "url", F.expr("CAST(answers - lost AS int)").alias("k"), "status", F.col("seq").alias("answer_seq"))
-    numbered = calls.withColumn("k", F.expr("row_number() OVER (PARTITION BY session_id, url ORDER BY seq)"))
-    return numbered.join(matched, ["session_id", "url", "k"], "left").select(
-        "session_id", "n", "request_id", "url", "method", "status", "answer_seq")
+    is_call = F.col("action").eqNullSafe("start") & F.lower("resource_type").isin(API_TYPES)
+    calls = (events.where(is_call) if cap is None else api_calls(events, cap)).select("session_id", "url", "seq", "request_id", "method")
+    answers = events.where(F.col("action").eqNullSafe("response") & F.lower("resource_type").isin(API_TYPES))
+    both = calls.withColumns({"status": F.lit(None).cast("int"), "step": F.lit(1)}).unionByName(
+        answers.selectExpr("session_id", "url", "seq", "request_id", "method", "status", "-1 AS step"))
+    low, high = (events.agg(f("seq")).scalar() for f in (F.min, F.max))
+    span = (F.col("seq") - low) / F.greatest(F.lit(1), (high - low) / SPANS)
+    keys = ["session_id", "url", "span"]
+    inside = "OVER (PARTITION BY session_id, url, span ORDER BY seq, step DESC, request_id)"
+    sofar = inside[:-1] + " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    rows = both.where("session_id IS NOT NULL AND url IS NOT NULL").withColumn("span", F.floor(span)).selectExpr(
+        "*", f"sum(step) {sofar} AS balance", f"count_if(step = 1) {sofar} AS calls", f"count_if(step = -1) {sofar} AS answers"
+    ).withColumn("least", F.expr(f"min(balance) {sofar}")).withColumn("least_before", F.expr(f"lag(least) {inside}"))
+    earlier = "OVER (PARTITION BY session_id, url ORDER BY span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    spans = rows.groupBy(*keys).agg(
+        F.sum("step").alias("net"), F.min("balance").alias("dip"), F.max("calls").alias("n_calls"), F.max("answers").alias("n_answers")
+    ).selectExpr(
+        *keys, "dip", f"coalesce(sum(net) {earlier}, 0) AS base", f"coalesce(sum(n_calls) {earlier}, 0) AS calls0",
+        f"coalesce(sum(n_answers) {earlier}, 0) AS answers0"
+    ).withColumn("floor0", F.expr(f"coalesce(min(base + dip) {earlier}, 0)"))
+    placed = rows.join(spans.drop("dip"), keys).selectExpr(
+        "*", "greatest(0, -least(floor0, base + least)) AS lost", "greatest(0, -least(floor0, coalesce(base + least_before, 0))) AS lost_before")
+    matched = placed.where("step = -1 AND lost = lost_before").selectExpr(
+        "session_id", "url", "answers0 + answers - lost AS k", "status", "seq AS answer_seq")
+    numbered = placed.where("step = 1").selectExpr("session_id", "url", "seq", "request_id", "method", "calls0 + calls AS k")
+    paired = numbered.join(matched, ["session_id", "url", "k"], "left")
+    alone = calls.where("session_id IS NULL OR url IS NULL").selectExpr("*", "CAST(NULL AS int) AS status", "CAST(NULL AS bigint) AS answer_seq")
+    return paired.drop("k").unionByName(alone).select("session_id", "seq", "request_id", "url", "method", "status", "answer_seq")
 
 
 def console(messages: DataFrame, cap: int = CONSOLE_CAP) -> DataFrame:

@@ -653,7 +653,7 @@ def oracle_sql() -> dict[str, str]:
     budget = f"{listed}, {_SIZES}, {_BUDGET}"
     out["asset_budget"] = f"WITH {budget} SELECT * FROM budget"
     out["manifest_stats"] = (
-        f"WITH {budget} SELECT p.page_id, p.url, (SELECT count(*) FROM numbered n WHERE n.page_id = p.page_id) AS found, count(b.page_id) AS included, coalesce(sum(b.bytes), 0)::BIGINT AS bytes"
+        f"WITH {budget} SELECT p.page_id, p.url, (SELECT count(*) FROM ranked n WHERE n.page_id = p.page_id) AS found, count(b.page_id) AS included, coalesce(sum(b.bytes), 0)::BIGINT AS bytes"
         " FROM page p LEFT JOIN (SELECT * FROM budget WHERE outcome = 'included') b USING (page_id) GROUP BY p.page_id, p.url")
     attr_value = r"""(?is)^(<[^>]*\s{0}\s*=\s*)("[^"]*"|'[^']*'|[^\s>]*)"""
     src_value = _q(attr_value.format("src"))
@@ -671,7 +671,7 @@ def oracle_sql() -> dict[str, str]:
         f"WITH {inv}, u AS (SELECT page_id, selected_url, bool_or(category = 'image') AS is_image FROM inv GROUP BY page_id, selected_url)"
         " SELECT page_id, count(*) FILTER (WHERE NOT is_image OR page_id % 3 = 0) AS selected, count(*) AS total FROM u GROUP BY page_id")
     out["shared_assets"] = (
-        f"WITH {listed} SELECT n.r_url AS resolved_url, n.type, count(*) AS pages, count(DISTINCT p.host) AS hosts FROM numbered n JOIN page p USING (page_id) GROUP BY n.r_url, n.type")
+        f"WITH {listed} SELECT n.r_url AS resolved_url, n.type, count(*) AS pages, count(DISTINCT p.host) AS hosts FROM ranked n JOIN page p USING (page_id) GROUP BY n.r_url, n.type")
     seq = f"WITH {_TRACE}, {_SEQ}"
     out["trace_sequence"] = f"{seq} SELECT session_id, id, seq, time, delta_ms, {_DELTA} AS delta_str, category, level, message FROM seqd"
     out["trace_redacted"] = (
@@ -709,7 +709,7 @@ def oracle_sql() -> dict[str, str]:
     calls = (
         f"{_NET}, calls AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n FROM net WHERE action = 'start' AND lower(resource_type) IN ('xhr', 'fetch') QUALIFY n <= 50)")
     out["net_api_capture"] = f"WITH {calls} SELECT session_id, n, request_id, url, method, resource_type FROM calls"
-    out["net_fifo_pairing"] = _fifo(calls)
+    out["net_fifo_pairing"] = _fifo(calls.replace(" QUALIFY n <= 50", ""))
     out["net_console"] = (
         f"WITH {_X}, con AS (SELECT {_body(R.CONSOLE)} FROM x), k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n FROM con WHERE type IN {_in(netevents.CONSOLE_TYPES)})"
         " SELECT session_id, n, type, substr(text, 1, 200) AS text FROM k WHERE n <= 25")
@@ -750,4 +750,4 @@ def _fifo(calls: str) -> str:
         " play AS (SELECT session_id, url, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS open_calls, CAST(NULL AS VARCHAR) AS hit, CAST(NULL AS INT) AS status, CAST(NULL AS BIGINT) AS answer_seq FROM (SELECT DISTINCT session_id, url FROM calls) z"
         " UNION ALL SELECT p.session_id, p.url, o.k, CASE WHEN o.step = 1 THEN list_append(p.open_calls, o.request_id) ELSE p.open_calls[2:] END,"
         " CASE WHEN o.step = -1 THEN p.open_calls[1] END, o.status, o.seq FROM play p JOIN ord o ON o.session_id = p.session_id AND o.url = p.url AND o.k = p.k + 1)"
-        " SELECT c.session_id, c.n, c.request_id, c.url, c.method, CAST(h.status AS BIGINT) AS status, h.answer_seq FROM calls c LEFT JOIN play h ON h.session_id = c.session_id AND h.hit = c.request_id")
+        " SELECT c.session_id, c.seq, c.request_id, c.url, c.method, CAST(h.status AS BIGINT) AS status, h.answer_seq FROM calls c LEFT JOIN play h ON h.session_id = c.session_id AND h.hit = c.request_id")

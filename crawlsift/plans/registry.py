@@ -69,7 +69,7 @@ def _resolved(r: Recorded) -> DataFrame:
 
 
 def _numbered(r: Recorded) -> DataFrame:
-    return assets.with_paths(assets.lists(r.rich))
+    return assets.with_paths(assets.first(assets.lists(r.rich)))
 
 
 def _sizes(rows: DataFrame) -> DataFrame:
@@ -93,12 +93,12 @@ def _budgeted(r: Recorded) -> DataFrame:
 
 def _manifest_stats(r: Recorded) -> DataFrame:
     lists = store(assets.lists(r.rich))
-    rows = assets.manifest(assets.with_paths(lists))
+    rows = assets.manifest(assets.with_paths(assets.first(lists)))
     return assets.manifest_stats(lists, assets.budget(rows, _sizes(rows)))
 
 
 def _selected_manifest(r: Recorded) -> DataFrame:
-    lists = store(assets.lists(r.rich))
+    lists = store(assets.first(assets.lists(r.rich)))
     kept = assets.with_paths(assets.select(lists, _selection(assets.manifest(assets.with_paths(lists)))))
     return assets.manifest(kept).select(
         "page_id", "idx", "resolved_url", "original_src", "local_path", assets.bundle_name(F.col("host")).alias("bundle"))
@@ -235,10 +235,10 @@ QUERIES: dict[str, Callable[[Recorded], DataFrame]] = {
     "asset_selection": _selected_manifest,
     "asset_budget": _budgeted,
     "manifest_stats": _manifest_stats,
-    "page_rewrite": lambda r: assets.rewrite(assets.with_paths(assets.lists(r.rich, "tokens", "marks")), R.AS_OF),
+    "page_rewrite": lambda r: assets.rewrite(assets.with_paths(assets.first(assets.lists(r.rich, "tokens", "marks"))), R.AS_OF),
     "asset_inventory": lambda r: assets.inventory(facts(r, "script_files", "stylesheet_files", "images")),
     "selection_algebra": _algebra,
-    "shared_assets": lambda r: assets.shared(assets.manifest(_numbered(r))),
+    "shared_assets": lambda r: assets.shared(assets.manifest(assets.with_paths(assets.lists(r.rich)))),
     # traces
     "trace_sequence": lambda r: trace.sequence(r.trace).drop("meta"),
     "trace_redacted": lambda r: trace.redacted(r.documents, "text").groupBy("lang", "masked").agg(

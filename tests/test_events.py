@@ -118,7 +118,7 @@ def replay(rows, cap):
     """Calls and responses one by one: a response answers the first open call of its URL."""
     calls, counts, result = defaultdict(deque), defaultdict(int), {}
     for s, r, q, a, u, st in sorted(rows, key=lambda x: x[2]):
-        if a == "start" and counts[s] < cap:
+        if a == "start" and (cap is None or counts[s] < cap):
             counts[s] += 1
             calls[s, u].append(r)
             result[s, r] = None
@@ -127,7 +127,7 @@ def replay(rows, cap):
     return result
 
 
-@pytest.mark.parametrize("seed,cap", [(1, 50), (2, 5), (3, 3)])
+@pytest.mark.parametrize("seed,cap", [(1, 50), (2, 5), (3, 3), (4, None)])
 def test_fifo_pairing_against_replay(spark, seed, cap):
     rng = random.Random(seed)
     rows = []
@@ -140,6 +140,19 @@ def test_fifo_pairing_against_replay(spark, seed, cap):
     assert got == replay(rows, cap)
 
 
+def test_fifo_pairing_spans_and_missing_keys(spark, monkeypatch):
+    rows = [("hot", f"r{q}", q, "start" if q < 300 else "response", "https://u/", 200 + q) for q in range(700)]
+    df = spark.createDataFrame(
+        [(s, r, q, a, at(q), u, "GET", "XHR", None, st if a == "response" else None, None, None) for s, r, q, a, u, st in rows]
+        + [("hot", "x", 5, "start", at(5), None, "GET", "XHR", None, None, None, None), (None, "y", 6, "start", at(6), "https://u/", "GET", "XHR", None, None, None, None)],
+        netevents.EVENT_TYPE)
+    for spans in (4096, 3, 1):
+        monkeypatch.setattr(netevents, "SPANS", spans)
+        got = {(r.session_id, r.request_id): r.status for r in netevents.pair_fifo(df).collect()}
+        assert got == replay(rows, None) | {("hot", "x"): None, (None, "y"): None}
+    assert netevents.pair_fifo(df.limit(0)).count() == 0
+
+
 def test_console_and_api_caps(spark):
     rows = [("s", i, ["error", "log", "warning", "runtime_error"][i % 4], "x" * 300) for i in range(60)]
     got = netevents.console(spark.createDataFrame(rows, "session_id string, seq bigint, type string, text string")).collect()

@@ -76,6 +76,16 @@ def test_redirect_chains(spark):
     assert {r.url for r in report.failed(http.chains(starts, table)).collect()} == {base + u for u in ("/loop", "/a", "/bad", "/out", "/n0")}
 
 
+def test_chains_normalise_and_count_each_url_once(spark):
+    hops = [("http://ex.com/b", 301, "/c"), ("HTTP://EX.com:80/c", 302, "/d"), ("http://ex.com/d", 200, None)] * 3
+    table = spark.createDataFrame([(u, c, None, loc, 10) for u, c, loc in hops], io.HOPS)
+    starts = spark.createDataFrame([("http://EX.com/b",), ("http://ex.com",), (None,)], "start_url string")
+    got = {r.start_url: (r.final_url, len(r.hops), r.total_ms, r.error) for r in http.chains(starts, table).collect()}
+    assert got == {
+        "http://EX.com/b": ("http://ex.com/d", 2, 30, None), "http://ex.com": ("http://ex.com/", 0, 0, http.NO_RECORD),
+        None: (None, 0, 0, http.NO_RECORD)}
+
+
 def test_status_guards_and_failures(spark):
     df = spark.createDataFrame([(c,) for c in (None, 0, 200, 299, 302, 404, 503, 600, 101)], "status_code int")
     got = {r.status_code: r.c for r in df.selectExpr("status_code", f"{http.status_category()} AS c").collect()}
