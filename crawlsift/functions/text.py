@@ -44,7 +44,7 @@ def present(e: str) -> str:
 def decode_entities(e: str) -> str:
     """Decode numeric and HTML 4 named character references; text without `&` is passed through."""
     names = q(_NAMED)
-    ref_re = q(r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);")
+    ref_re = q(r"^(#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);")
     refs = (
         f"transform(slice(split({e}, '&'), 2, length({e})),"
         f" dp -> named_struct('piece', dp, 'ref', regexp_extract(dp, {ref_re}, 1)))")

@@ -56,8 +56,8 @@ def _drop_dots(path: str) -> str:
 def _ipv4_number(part: str) -> str:
     """One dotted part as a number: decimal, octal with a leading 0, or hexadecimal."""
     return (
-        f"CASE WHEN {part} RLIKE '^0[xX][0-9a-fA-F]{{0,10}}$' THEN try_cast(conv(concat('0', substr({part}, 3)), 16, 10) AS bigint)"
-        f" WHEN {part} RLIKE '^0[0-7]{{1,13}}$' THEN try_cast(conv({part}, 8, 10) AS bigint)"
+        f"CASE WHEN {part} RLIKE '^0[xX]0*[0-9a-fA-F]{{0,10}}$' THEN try_cast(conv(concat('0', substr({part}, 3)), 16, 10) AS bigint)"
+        f" WHEN {part} RLIKE '^00*[0-7]{{1,13}}$' THEN try_cast(conv({part}, 8, 10) AS bigint)"
         f" WHEN {part} RLIKE '^(0|[1-9][0-9]{{0,11}})$' THEN try_cast({part} AS bigint) END")
 
 
@@ -111,7 +111,7 @@ def parse_urls(texts: str, clean: bool = True) -> str:
     hosted = (
         f"transform({named}, uh -> named_struct('t', uh.t, 'scheme', uh.scheme, 'special', uh.special, 'p', uh.p,"
         f" 'authority', uh.special OR uh.t RLIKE {q(SCHEME_RE + '//')}, 'host', {host},"
-        f" 'port', CASE WHEN get(uh.p, 3) RLIKE '^[0-9]{{1,9}}$' THEN CAST(get(uh.p, 3) AS int) END,"
+        f" 'port', CASE WHEN get(uh.p, 3) RLIKE '^0*[0-9]{{1,9}}$' THEN CAST(get(uh.p, 3) AS int) END,"
         f" 'raw_path', CASE WHEN uh.special THEN {raw_path} ELSE get(uh.p, 4) END,"
         f" 'query', CASE WHEN uh.special THEN {_encode('get(uh.p, 5)', chr(34) + '<>' + chr(39))} ELSE get(uh.p, 5) END,"
         f" 'fragment', {_encode('get(uh.p, 6)', chr(34) + '<>`')}))")

@@ -131,7 +131,7 @@ def screen_hosts(df: DataFrame, policy: DataFrame, col: str = "hostname", row_id
     hosts = df.select(host.alias("h")).where("h IS NOT NULL").distinct()
     keys = hosts.select("h", F.explode(F.expr(
         "concat(array(named_struct('kind', 'exact', 'pattern', h)), transform(sequence(1, size(split(h, '[.]'))),"
-        " i -> named_struct('kind', 'suffix', 'pattern', concat('.', array_join(slice(split(h, '[.]'), i + 1, 100), '.')))))")
+        " i -> named_struct('kind', 'suffix', 'pattern', concat('.', array_join(slice(split(h, '[.]'), i + 1, size(split(h, '[.]'))), '.')))))")
     ).alias("key")).select("h", "key.*")
     hits = keys.join(policy, ["kind", "pattern"], "left_semi").select("h").distinct().withColumn("hit", F.lit(True))
     return lookup(df.withColumn("h", host), hits, ["h"], row_id or df.columns).select(

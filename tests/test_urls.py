@@ -110,3 +110,14 @@ def test_host_screening_and_admission(spark):
     assert rows["mixed.com"].first_offender == "10.0.0.9" and "restricted IP 10.0.0.9" in rows["mixed.com"].error
     assert "no records" in rows["gone.com"].error and "private/internal" in rows["[::1]"].error
     assert "security reasons" in rows["x.local"].error
+
+
+def test_leading_zeros_and_long_names(spark):
+    hosts = spark.createDataFrame([("0x0000000000000007f.1",), ("000000000000000000177.0.0.1",), ("127.1",)], "h string")
+    assert {r.v for r in hosts.selectExpr(f"{U.ipv4_value('h')} AS v").collect()} == {0x7F000001}
+    got = spark.createDataFrame([("http://h.com:0000000008080/x",)], "u string").selectExpr(f"{U.parse_url('u')} AS p").first().p
+    assert got.port == 8080 and got.url == "http://h.com:8080/x"
+    deep = ".".join(["l"] * 150)
+    names = spark.createDataFrame([(1, deep + ".bad.test"), (2, deep + ".good.test"), (3, "bad.test.other")], "page_id bigint, hostname string")
+    policy = spark.createDataFrame([(".bad.test", "suffix"), (".l.bad", "suffix")], "pattern string, kind string")
+    assert {r.page_id: r.blocked for r in urls.screen_hosts(names, policy).collect()} == {1: True, 2: False, 3: False}
