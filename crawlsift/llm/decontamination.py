@@ -52,35 +52,69 @@ def template(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.select([number, unit, name], [NUMBER, UNIT, NAME], plain), plain, offsets
 
 
-def windows(tokens: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first token of every window of `width` tokens within a text, at least half of them no placeholders; a shorter text
-    of four tokens or more is one window."""
-    value, doc = words.shingles(tokens, offsets, width)
-    counts = np.diff(offsets)
-    long = counts >= width
-    runs = np.where(long, counts - width + 1, 0)
-    at = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs) + np.repeat(offsets[:-1], runs)
-    short = np.flatnonzero((counts > 0) & ~long)
-    place = np.concatenate([at, offsets[short]])
-    held = np.where(long[doc], width, counts[doc])
-    slots = np.concatenate([[0], np.cumsum(np.isin(tokens, [NUMBER, NAME, UNIT]))])
-    good = (held >= 4) & (2 * (slots[place + held] - slots[place]) <= held)
-    return value[good], place[good]
+def windows(tokens: np.ndarray, offsets: np.ndarray, widths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per width, in rising order: hash and first token of every window of so many tokens within a text. A wider window's sum
+    goes on from the narrower one's, so all widths cost little more than the widest."""
+    weights = words.mix(np.arange(1, max(widths, default=0) + 1, dtype=np.uint64) * np.uint64(words.BASE)) | np.uint64(1)
+    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(tokens))  # tokens from here to the text's end
+    total, held = np.zeros(len(tokens), np.uint64), 0
+    for width in sorted(widths):
+        for i in range(held, width):
+            total[:max(len(tokens) - i, 0)] += tokens[i:] * weights[i]
+        held = width
+        place = np.flatnonzero(left >= width)
+        yield width, total[place], place
+
+
+def slots(tokens: np.ndarray) -> np.ndarray:
+    """How many placeholders stand before each token, and in all."""
+    return np.concatenate([[0], np.cumsum(np.isin(tokens, [NUMBER, NAME, UNIT]))])
+
+
+class Table:
+    """First tokens of windows, sorted by the windows' hash."""
+
+    def __init__(self, value: np.ndarray, place: np.ndarray) -> None:
+        order = np.argsort(value, kind="stable")
+        self.hash, self.place = value[order], place[order]
+
+    def meet(self, value: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First tokens of the given windows and of those here that have the same hash, for all pairs of such windows."""
+        if not len(self.hash):
+            return place[:0], place[:0]
+        low = np.searchsorted(self.hash, value, "left")
+        hit = np.flatnonzero(self.hash[np.minimum(low, len(self.hash) - 1)] == value)
+        times = np.searchsorted(self.hash, value[hit], "right") - low[hit]
+        at = np.repeat(low[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        return np.repeat(place[hit], times), self.place[at]
 
 
 class Block:
-    """Template windows of some benchmark items, sorted by hash."""
+    """Windows of some benchmark items, by width: of an item of `width` tokens or more all windows of so many, of a shorter one
+    the whole item.
+
+    Windows with placeholders in at most half of their tokens, and of four tokens or more, are held by their template. The
+    others say too little without what fills their slots and are held by their plain tokens.
+    """
 
     def __init__(self, items: list[tuple[int | None, str | None]], width: int) -> None:
         self.width, self.ids = width, [x for x, _ in items]
         self.tokens, self.plain, self.offsets = template([(x or "").encode() for _, x in items])
-        value, place = windows(self.tokens, self.offsets, width)
-        order = np.argsort(value, kind="stable")
-        self.hash, self.place = value[order], place[order]
-        self.item = np.searchsorted(self.offsets, self.place, "right") - 1
+        sizes = np.diff(self.offsets)
+        self.held = np.minimum(sizes, width)
+        self.widths = [int(x) for x in np.unique(self.held[sizes > 0])]
+        before = slots(self.tokens)
+        item = np.repeat(np.arange(len(items)), sizes)
+        self.loose, self.exact = {}, {}
+        for (w, value, place), (_, plain, _) in zip(
+                windows(self.tokens, self.offsets, self.widths), windows(self.plain, self.offsets, self.widths), strict=True):
+            mine = self.held[item[place]] == w
+            loose = mine & (w >= 4) & (2 * (before[place + w] - before[place]) <= w)
+            self.loose[w] = Table(value[loose], place[loose])
+            self.exact[w] = Table(plain[mine & ~loose], place[mine & ~loose])
 
     def leaks(self, docs: list[bytes]) -> list[list[dict]]:
-        """Items of which each text holds a window whose slots are filled consistently.
+        """Items of which each text holds a window with the same plain tokens, or one whose slots are filled consistently.
 
         Windows that meet are joined by hash and gathered by text, item and alignment. Within one alignment every slot value of
         the item must stand for one value of the text, and the other way round: a re-parameterised question passes, a chance
@@ -88,22 +122,23 @@ class Block:
         """
         found: list[list[dict]] = [[] for _ in docs]
         tokens, plain, offsets = template(docs)
-        value, place = windows(tokens, offsets, self.width)
-        low, high = np.searchsorted(self.hash, value, "left"), np.searchsorted(self.hash, value, "right")
-        hit = np.flatnonzero(high > low)
-        if not len(hit):
+        before = slots(tokens)
+        met = []
+        for (w, value, place), (_, exact, _) in zip(
+                windows(tokens, offsets, self.widths), windows(plain, offsets, self.widths), strict=True):
+            loose = 2 * (before[place + w] - before[place]) <= w
+            met += [self.loose[w].meet(value[loose], place[loose]), self.exact[w].meet(exact, place)]
+        mine, theirs = (np.concatenate(x) for x in zip(*met, strict=True)) if met else (offsets[:0], offsets[:0])
+        if not len(mine):
             return found
-        times = (high - low)[hit]
-        at = np.repeat(low[hit], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        mine, theirs, item = np.repeat(place[hit], times), self.place[at], self.item[at]
-        doc = np.searchsorted(offsets, mine, "right") - 1
+        doc, item = np.searchsorted(offsets, mine, "right") - 1, np.searchsorted(self.offsets, theirs, "right") - 1
         order = np.lexsort((theirs, mine - theirs, item, doc))
         mine, theirs, item, doc = mine[order], theirs[order], item[order], doc[order]
         key = np.stack([doc, item, mine - theirs])
         cut = np.flatnonzero(np.any(key[:, 1:] != key[:, :-1], axis=0)) + 1
         for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(doc)]]), strict=True):
             i, d = int(item[a]), int(doc[a])
-            held = min(self.width, int(self.offsets[i + 1] - self.offsets[i]))
+            held = int(self.held[i])
             cover = np.unique(theirs[a:b, None] + np.arange(held))
             slot = cover[np.isin(self.tokens[cover], [NUMBER, NAME, UNIT])]
             ours, other = plain[slot + mine[a] - theirs[a]], self.plain[slot]

@@ -100,6 +100,22 @@ def test_decontamination_in_blocks(docs, spark, monkeypatch):
     assert got == {(i, i) for i, _ in items}
 
 
+def leaks(docs, spark, items, *texts):
+    """Items found in each text, with whether slots were changed."""
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    found = decontamination.report(docs(*enumerate(texts)), bench).collect()
+    return [sorted((r.item_id, r.n_changed > 0) for r in found if r.doc_id == i) for i in range(len(texts))]
+
+
+def test_decontamination_finds_short_items_and_dense_ones(docs, spark):
+    items = ["which river runs through the capital city", "blue whale", "yes", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16", "Add 5"]
+    rest = "so much for a start of the page and then some more words that nobody asked for at all"
+    got = leaks(
+        docs, spark, items, rest + ": " + items[0] + "? " + rest, rest + ", a blue whale " + rest, rest + " Yes " + rest,
+        rest + " " + items[3] + " " + rest, rest + " 2 3 4 5 6 7 8 9 10 11 12 13 14 16 " + rest, rest + " whale blue, add 7 " + rest, "", "which river runs")
+    assert got == [[(0, False)], [(1, False)], [(2, False)], [(3, False)], [(3, False)], [], [], []]
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in queries()["op3_toxicity"](spark, sf).collect()}
