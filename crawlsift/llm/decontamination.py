@@ -116,9 +116,9 @@ class Block:
     def leaks(self, docs: list[bytes]) -> list[list[dict]]:
         """Items of which each text holds a window with the same plain tokens, or one whose slots are filled consistently.
 
-        Windows that meet are joined by hash and gathered by text, item and alignment. Within one alignment every slot value of
-        the item must stand for one value of the text, and the other way round: a re-parameterised question passes, a chance
-        meeting of templates doesn't.
+        Windows that meet are joined by hash and checked one by one: where slots are filled otherwise, a value of the item must
+        stand for one value of the text throughout the window. A re-parameterised question passes, also where two of its
+        values become equal; a chance meeting of templates doesn't, and spoils no other window.
         """
         found: list[list[dict]] = [[] for _ in docs]
         tokens, plain, offsets = template(docs)
@@ -132,24 +132,47 @@ class Block:
         if not len(mine):
             return found
         doc, item = np.searchsorted(offsets, mine, "right") - 1, np.searchsorted(self.offsets, theirs, "right") - 1
-        order = np.lexsort((theirs, mine - theirs, item, doc))
-        mine, theirs, item, doc = mine[order], theirs[order], item[order], doc[order]
-        key = np.stack([doc, item, mine - theirs])
-        cut = np.flatnonzero(np.any(key[:, 1:] != key[:, :-1], axis=0)) + 1
-        for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(doc)]]), strict=True):
-            i, d = int(item[a]), int(doc[a])
-            held = int(self.held[i])
-            cover = np.unique(theirs[a:b, None] + np.arange(held))
-            slot = cover[np.isin(self.tokens[cover], [NUMBER, NAME, UNIT])]
-            ours, other = plain[slot + mine[a] - theirs[a]], self.plain[slot]
-            pairs = len(np.unique(np.stack([ours, other]), axis=1).T) if len(slot) else 0
-            if pairs == len(np.unique(ours)) == len(np.unique(other)):
-                first = int(mine[a] - offsets[d])
-                found[d].append({
-                    "item": self.ids[i], "windows": int(b - a), "first": first, "last": int(mine[b - 1] - offsets[d]) + held - 1,
-                    "changed": int((ours != other).sum())})
+        good, changed = self.consistent(tokens, plain, mine, theirs, self.held[item])
+        mine, theirs, item, doc = mine[good], theirs[good], item[good], doc[good]
+        if not len(mine):
+            return found
+        # tokens of the text that were filled otherwise, by alignment: each counts once, however many windows cover it
+        at = np.stack([doc, item, mine - theirs])
+        order = np.lexsort((mine, *at[::-1]))
+        at, mine = at[:, order], mine[order]
+        first = np.flatnonzero(np.concatenate([[True], np.any(at[:, 1:] != at[:, :-1], axis=0)]))
+        pair = np.flatnonzero(np.concatenate([[True], np.any(at[:2, 1:] != at[:2, :-1], axis=0)]))
+        new = np.zeros(len(mine), np.int64)
+        before = np.concatenate([[0], mine[:-1]])
+        before[first] = -1 << 40
+        for j, differs in enumerate(changed[good][order].T):
+            new += differs & (mine + j >= before + self.held[at[1]])
+        new = np.minimum.reduceat(np.repeat(np.add.reduceat(new, first), np.diff(np.append(first, len(mine)))), pair)
+        count, low, high = np.diff(np.append(pair, len(mine))), np.minimum.reduceat(mine, pair), np.maximum.reduceat(mine, pair)
+        for d, i, n, a, b, c in zip(*(x.tolist() for x in (*at[:2, pair], count, low, high, new)), strict=True):
+            found[d].append({
+                "item": self.ids[i], "windows": n, "first": a - int(offsets[d]), "last": b - int(offsets[d]) + int(self.held[i]) - 1, "changed": c})
         return found
 
+    def consistent(self, tokens: np.ndarray, plain: np.ndarray, mine: np.ndarray, theirs: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the windows that met are filled consistently, each by itself: a value of the item stands for one value of the
+        text, while two may stand for the same. And per token of the window whether it is filled otherwise."""
+        good, changed = np.ones(len(mine), bool), np.zeros((len(mine), self.width), bool)
+        for a in range(0, len(mine), 1 << 16):
+            part = slice(a, a + (1 << 16))
+            step = np.arange(self.width)
+            inside = step < held[part, None]
+            ours = plain[np.minimum(mine[part, None] + step, len(plain) - 1)]
+            other = self.plain[np.minimum(theirs[part, None] + step, len(self.plain) - 1)]
+            differs = changed[part] = (ours != other) & inside
+            some = np.flatnonzero(differs.any(1))
+            ours, other, inside, bad = ours[some], other[some], inside[some], np.zeros(len(some), bool)
+            inside &= np.isin(self.tokens[np.minimum(theirs[part][some, None] + step, len(self.plain) - 1)], [NUMBER, NAME, UNIT])
+            for i in range(1, self.width):
+                bad |= ((other[:, i:] == other[:, :-i]) & (ours[:, i:] != ours[:, :-i]) & inside[:, i:] & inside[:, :-i]).any(1)
+            good[a + some] = ~bad
+        return good, changed
+
 
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = 13) -> DataFrame:
     """All columns and `__leaks`: per benchmark item that a text holds, the windows found, the tokens they span and how many

@@ -116,6 +116,13 @@ def test_decontamination_finds_short_items_and_dense_ones(docs, spark):
     assert got == [[(0, False)], [(1, False)], [(2, False)], [(3, False)], [(3, False)], [], [], []]
 
 
+def test_decontamination_checks_each_window(docs, spark):
+    tail = " and then the crew went on a long and slow trip home over the dark and quiet sea until the very end"
+    items = ["The ship with 4 sails met 4 boats" + tail, "A farmer had 3 cows and 5 sheep in the field behind the old red barn"]
+    got = leaks(docs, spark, items, items[0].replace("4 boats", "5 boats"), items[1].replace("3", "4").replace("5", "4"), "a 4 b " * 30)
+    assert got == [[(0, True)], [(1, True)], []]
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in queries()["op3_toxicity"](spark, sf).collect()}
