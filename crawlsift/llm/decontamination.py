@@ -71,6 +71,12 @@ def slots(tokens: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(np.isin(tokens, [NUMBER, NAME, UNIT]))])
 
 
+def _loose(before: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
+    """Whether windows hold a placeholder, but no more of them than other tokens."""
+    held = before[place + width] - before[place]
+    return (held > 0) & (2 * held <= width)
+
+
 class Table:
     """First tokens of windows, sorted by the windows' hash."""
 
@@ -93,8 +99,9 @@ class Block:
     """Windows of some benchmark items, by width: of an item of `width` tokens or more all windows of so many, of a shorter one
     the whole item.
 
-    Windows with placeholders in at most half of their tokens, and of four tokens or more, are held by their template. The
-    others say too little without what fills their slots and are held by their plain tokens.
+    All are held by their plain tokens, so that equal runs of tokens meet whatever their capitals and line ends. Windows of four
+    tokens or more with placeholders in some, but at most half of them are held by their template as well; the others have
+    no slots, or say too little without what fills them.
     """
 
     def __init__(self, items: list[tuple[int | None, str | None]], width: int) -> None:
@@ -109,9 +116,9 @@ class Block:
         for (w, value, place), (_, plain, _) in zip(
                 windows(self.tokens, self.offsets, self.widths), windows(self.plain, self.offsets, self.widths), strict=True):
             mine = self.held[item[place]] == w
-            loose = mine & (w >= 4) & (2 * (before[place + w] - before[place]) <= w)
+            loose = mine & (w >= 4) & _loose(before, place, w)
             self.loose[w] = Table(value[loose], place[loose])
-            self.exact[w] = Table(plain[mine & ~loose], place[mine & ~loose])
+            self.exact[w] = Table(plain[mine], place[mine])
 
     def leaks(self, docs: list[bytes]) -> list[list[dict]]:
         """Items of which each text holds a window with the same plain tokens, or one whose slots are filled consistently.
@@ -126,13 +133,15 @@ class Block:
         met = []
         for (w, value, place), (_, exact, _) in zip(
                 windows(tokens, offsets, self.widths), windows(plain, offsets, self.widths), strict=True):
-            loose = 2 * (before[place + w] - before[place]) <= w
-            met += [self.loose[w].meet(value[loose], place[loose]), self.exact[w].meet(exact, place)]
-        mine, theirs = (np.concatenate(x) for x in zip(*met, strict=True)) if met else (offsets[:0], offsets[:0])
+            loose = _loose(before, place, w)
+            met += [(*self.loose[w].meet(value[loose], place[loose]), True), (*self.exact[w].meet(exact, place), False)]
+        mine, theirs = (np.concatenate(x) for x in zip(*(x[:2] for x in met), strict=True)) if met else (offsets[:0], offsets[:0])
+        by_slots = np.repeat([x[2] for x in met], [len(x[0]) for x in met])
         if not len(mine):
             return found
         doc, item = np.searchsorted(offsets, mine, "right") - 1, np.searchsorted(self.offsets, theirs, "right") - 1
         good, changed = self.consistent(tokens, plain, mine, theirs, self.held[item])
+        good &= ~by_slots | changed.any(1)  # unchanged windows met by their plain tokens already
         mine, theirs, item, doc = mine[good], theirs[good], item[good], doc[good]
         if not len(mine):
             return found

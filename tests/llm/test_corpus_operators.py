@@ -123,6 +123,14 @@ def test_decontamination_checks_each_window(docs, spark):
     assert got == [[(0, True)], [(1, True)], []]
 
 
+def test_decontamination_finds_equal_tokens_in_other_spellings(docs, spark):
+    items = ["Maria and Peter took the old road to Vienna with Oskar and Helen", "Long ago in Rome the sculptor Paolo met his friend Carla near Milan"]
+    got = leaks(
+        docs, spark, items, "they say that " + items[0] + " today", items[1].lower(), items[1].upper(), items[1].replace(" Carla", "\nCarla"),
+        "once, long ago in Rome the sculptor Paolo met his friend Carla near Milan")
+    assert got == [[(0, False)], *[[(1, False)]] * 4]
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in queries()["op3_toxicity"](spark, sf).collect()}
