@@ -206,6 +206,22 @@ def test_scores(docs):
     assert scoring.report(docs((1, "x")).limit(0), PIECES).count() == 0
 
 
+def fitted(prepared):
+    table = scoring.pieces.chunks(PIECES)
+    size = table.model.get_piece_size()
+    found = scoring.counts(prepared, scoring.PIECE).toPandas()
+    seen = np.bincount(found["key"].to_numpy(np.int64), found["c"].to_numpy(np.int64), size)
+    return scoring.fit(prepared, seen, np.zeros(size, np.int64), table.model.eos_id())[0]
+
+
+def test_every_training_document_trains(docs):
+    texts = ["the cat sat on the mat and slept", "a red bird flew over the old house", "nobody asked what the river knew"]
+    ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 10][:3]
+    for i, text in zip(ids, texts, strict=True):  # the weights of the class before last start at zero
+        assert fitted(scoring.prepare(docs((i, text)), PIECES))["second"].any()
+    assert attention.CLASSES == 256
+
+
 def test_rare_words_are_joined(docs, monkeypatch):
     rows = [(i, "a%d b%d" % (i, i % 9)) for i in range(60)]
     plain = sorted(tuple(r)[:6] for r in scoring.report(docs(*rows), PIECES).collect())
