@@ -222,6 +222,15 @@ def test_every_training_document_trains(docs):
     assert attention.CLASSES == 256
 
 
+def test_copies_spread_over_groups(docs, monkeypatch):
+    copy = "one and the same text on many pages " * 4
+    prepared = scoring.prepare(docs(*((i, "page %d has a text of its own about the number %d" % (i, i * i) * 3 if i % 3 else copy) for i in range(1500)), *[(1, copy)] * 300), PIECES)
+    monkeypatch.setattr(scoring, "GROUP_TOKENS", 5000)
+    got = scoring.dealt(prepared).groupBy("group").agg(F.count("*").alias("n"), F.sum(F.octet_length("ids") / 2).alias("size")).collect()
+    train = prepared.where((F.col("kind") == scoring.DOCUMENT) & ~F.col("held_out")).count()
+    assert len(got) > 5 and sum(r.n for r in got) == train and max(r["size"] for r in got) < 7500
+
+
 def test_rare_words_are_joined(docs, monkeypatch):
     rows = [(i, "a%d b%d" % (i, i % 9)) for i in range(60)]
     plain = sorted(tuple(r)[:6] for r in scoring.report(docs(*rows), PIECES).collect())
