@@ -14,11 +14,12 @@ def inspections(pages: DataFrame, responses: DataFrame, chains: DataFrame, dns:
     """One nested report per page: status, redirects, security, cookies, HTML facts, SEO, DNS and certificate.
 
     `responses` has one row per page with `page_id`, `chains` one row per `start_url`, `dns` and `certs` one per host.
-    HTML is lexed once; everything joined to it is small per row.
+    HTML is lexed once; everything joined to it is small per row. `n_links` and `n_images` count all, the lists are capped.
     """
     page_part = seo.audit(html.analyse(
         pages, "stats", "head", "headings", "links", "images", "open_graph", "twitter", "json_ld")).select(
-        "page_id", "url", "host", "items", "stats", "head", "headings", F.slice("links", 1, html.LINK_CAP).alias("links"),
+        "page_id", "url", "host", "items", "stats", "head", "headings", F.size("links").cast("bigint").alias("n_links"),
+        F.size("images").cast("bigint").alias("n_images"), F.slice("links", 1, html.LINK_CAP).alias("links"),
         F.slice("images", 1, html.IMAGE_CAP).alias("images"), "open_graph", "twitter", "json_ld")
     checks = headers.audit(responses).select("response_id", "checks")
     cookies = headers.cookies(responses).groupBy("response_id").agg(

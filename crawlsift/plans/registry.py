@@ -123,7 +123,7 @@ def _report(r: Recorded) -> DataFrame:
         dns_tls.validity(r.certs, R.AS_OF))
     return full.selectExpr(
         "page_id", "url", "category", "response_ms", "is_html", "head.title AS title", "stats.dom_elements AS dom_elements",
-        "CAST(size(links) AS bigint) AS links", "CAST(size(images) AS bigint) AS images",
+        "n_links AS links", "n_images AS images",
         "CAST(size(filter(items, i -> i.status = 'pass')) AS bigint) AS seo_passes",
         "CAST(size(filter(checks, c -> c.status = 'pass')) AS bigint) AS headers_passed",
         "CAST(coalesce(size(cookies), 0) AS bigint) AS cookies", "dns.success AS dns_success", "tls.status AS tls_status",
