@@ -95,3 +95,21 @@ def shingles(words: np.ndarray, offsets: np.ndarray, k: int = 5) -> tuple[np.nda
             total[has] += words[offsets[short[has]] + i] * weights[i]
         doc, value = np.concatenate([doc, short]), np.concatenate([value, mix(total)])
     return value, doc
+
+
+def sets(docs: list[bytes], k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct shingles of all texts, one after the other; per text the place of its first one and their number."""
+    value, offsets = hashed(docs)
+    gram, doc = shingles(value, offsets, k)
+    order = np.lexsort((gram, doc))
+    gram, doc = gram[order], doc[order]
+    new = np.ones(len(gram), bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])
+    gram, sizes = gram[new], np.bincount(doc[new], minlength=len(docs))
+    return gram, np.cumsum(sizes) - sizes, sizes
+
+
+def identities(gram: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit identities of sets, equal for equal ones."""
+    total = np.add.reduceat(mix(gram + np.uint64(BASE)), starts) + sizes.astype(np.uint64)
+    return mix(total).view(np.int64)
