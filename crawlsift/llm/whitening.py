@@ -138,17 +138,29 @@ def above(band: tuple[np.ndarray, np.ndarray], shift: float) -> int:
 
 
 def intervals(band: tuple[np.ndarray, np.ndarray], top: float, want: int) -> list[tuple[float, float, int]]:
-    """(low, high, eigenvalues inside): intervals that hold the `want` largest eigenvalues, cut where counts change."""
+    """(low, high, eigenvalues inside): intervals that hold the `want` largest eigenvalues at least.
+
+    Cuts are found by bisection of the counts and moved down until no eigenvalue is within `gap` of them, so that no cluster is
+    cut; one at the border comes as a whole, and one larger than `PER_INTERVAL` stays in one interval.
+    """
+    gap = 32 * len(band[0]) * EPS * top
+
+    def clear(at: float) -> float:
+        while above(band, at - gap) != above(band, at + gap):
+            at -= 2 * gap
+        return at
+
     low, high = 0.0, top
-    while above(band, low) > want and high - low > 8 * EPS * top:
+    while above(band, low) > want and high - low > gap:
         middle = (low + high) / 2
         low, high = (middle, high) if above(band, middle) >= want else (low, middle)
-    out, todo = [], [(low, top)]
+    out, todo = [], [(clear(low), top)]
     while todo:
         a, b = todo.pop()
         inside = above(band, a) - above(band, b)
-        if inside > PER_INTERVAL and b - a > 8 * EPS * top:
-            todo += [(a, (a + b) / 2), ((a + b) / 2, b)]
+        middle = clear((a + b) / 2)
+        if inside > PER_INTERVAL and middle > a + gap and b - a > 4 * gap:
+            todo += [(a, middle), (middle, b)]
         elif inside:
             out.append((a, b, inside))
     return out
