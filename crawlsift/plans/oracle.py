@@ -718,15 +718,13 @@ def oracle_sql() -> dict[str, str]:
     out["rate_limit_windows"] = (
         f"WITH {win}, r AS (SELECT *, row_number() OVER (PARTITION BY client, window_start ORDER BY us, event_id) AS rn FROM w) SELECT event_id, client, window_start, rn <= 2 AS allowed, greatest(0, 2 - rn) AS remaining, window_start + 3600000000 AS reset_at FROM r")
     out["rate_limit_offenders"] = f"WITH {win} SELECT client, window_start, count(*) AS requests, count(*) - 2 AS refused FROM w GROUP BY 1, 2 HAVING count(*) > 2"
-    out["rate_limit_stream"] = (
-        f"WITH {win} SELECT client, window_start, count(*) AS requests, greatest(0, count(*) - 2) AS refused FROM w GROUP BY 1, 2 HAVING window_start + 3600000000 <= (SELECT max(us) FROM w) - {_DELAY_US}")
-    out["inactivity_stream"] = f"WITH {_SESS} SELECT * FROM sess WHERE last_ts + 300000000 <= (SELECT max(us) FROM ev) - {_DELAY_US}"
+    out["rate_limit_stream"] = f"WITH {win} SELECT client, window_start, count(*) AS requests, greatest(0, count(*) - 2) AS refused FROM w GROUP BY 1, 2"
+    out["inactivity_stream"] = f"WITH {_SESS} SELECT * FROM sess"
     out["net_status_mix_stream"] = (
-        f"WITH {_NET} SELECT us // 3600000000 * 3600000000 AS window_start, {_BAND.format('status', 'CAST(status AS VARCHAR)')} AS band, count(*) AS responses FROM net WHERE action = 'response' GROUP BY 1, 2"
-        f" HAVING window_start + 3600000000 <= (SELECT max(us) FROM net WHERE action = 'response') - {_DELAY_US}")
-    out["net_lifecycle_stream"] = (
-        f"{net}, ends AS (SELECT session_id, request_id, max(us) AS last_us FROM net GROUP BY 1, 2) SELECT session_id, request_id, start_ts, url, method, resource_type, status, status_code, bytes, duration_ms FROM named"
-        f" JOIN ends USING (session_id, request_id) WHERE last_us + 360000000000 <= (SELECT max(us) FROM net) - {_DELAY_US}")
+        f"WITH {_NET} SELECT us // 3600000000 * 3600000000 AS window_start, {_BAND.format('status', 'CAST(status AS VARCHAR)')} AS band, count(*) AS responses FROM net WHERE action = 'response' GROUP BY 1, 2")
+    out["net_lifecycle_stream"] = f"{net} SELECT session_id, request_id, start_ts, url, method, resource_type, status, status_code, bytes, duration_ms FROM named"
+    out["net_fifo_stream"] = out["net_fifo_pairing"]
+    out["net_dynamic_stream"] = f"{req} SELECT session_id, request_id, is_dynamic FROM req WHERE start_ts IS NOT NULL"
     out["inspection_report"] = (
         f"WITH {items}, {checks}, {found}, {_DNS}, {cert},"
         " dn AS (SELECT host, count(c1) > 0 AS dns_success FROM dns GROUP BY host),"

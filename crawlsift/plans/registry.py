@@ -143,19 +143,6 @@ def _chains(r: Recorded) -> DataFrame:
     return http.chains(r.starts, r.hops)
 
 
-def _stream(r: Recorded, schema: str | None = None):
-    """The events table as a file stream."""
-    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-    return streams.read(r.spark, r.dir, schema, glob="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-
-
-def _net_stream(r: Recorded) -> DataFrame:
-    """Messages recorded as JSON in the shared folder, read back as a stream."""
-    folder = shared_dir(r.spark) + "/messages"
-    r.net_events.write.option("timestampFormat", streams.TIME_FORMAT).json(folder)
-    return streams.read(r.spark, folder, netevents.EVENT_TYPE, "json", "*.json")
-
-
 QUERIES: dict[str, Callable[[Recorded], DataFrame]] = {
     # URLs and admission
     "url_normalized": lambda r: urls.normalize(r.targets),
@@ -267,12 +254,14 @@ QUERIES: dict[str, Callable[[Recorded], DataFrame]] = {
     "rate_limit_windows": lambda r: limits.windows(r.requests_log, 2, "1 hour"),
     "rate_limit_offenders": lambda r: limits.offenders(r.requests_log, 2, "1 hour"),
     # streams
-    "rate_limit_stream": lambda r: streams.run_to_table(streams.rate_limit(
-        _stream(r).selectExpr("concat('c', CAST(user_id % 12 AS STRING)) AS client", "ts"), 2, "1 hour")),
-    "inactivity_stream": lambda r: streams.run_to_table(streams.sessions(_stream(r).select("user_id", "ts"), "user_id")),
-    "net_status_mix_stream": lambda r: streams.run_to_table(streams.status_mix(_net_stream(r))),
-    "net_lifecycle_stream": lambda r: streams.run_to_table(streams.lifecycle(_net_stream(r), "100 hours")).drop(
-        "initiator", "closed_at"),
+    "rate_limit_stream": lambda r: streams.replay(
+        r.requests_log.select("client", "ts", "event_id"), lambda s: streams.rate_limit(s, 2, "1 hour"), order="event_id"),
+    "inactivity_stream": lambda r: streams.replay(
+        r.events.select("user_id", "ts", "event_id"), lambda s: streams.sessions(s, "user_id"), order="event_id"),
+    "net_status_mix_stream": lambda r: streams.replay(r.net_events, streams.status_mix),
+    "net_lifecycle_stream": lambda r: streams.replay(r.net_events, streams.lifecycle).drop("initiator"),
+    "net_fifo_stream": lambda r: streams.replay(r.net_events, streams.pair_fifo),
+    "net_dynamic_stream": lambda r: streams.replay(r.net_events, lambda s: streams.dynamic_requests(s, s)),
     # everything together
     "inspection_report": _report,
 }

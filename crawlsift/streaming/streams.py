@@ -1,12 +1,24 @@
-"""Structured Streaming forms of the event operators. All of them append and drop state by watermark."""
+"""Structured Streaming forms of the event operators. All of them append and drop state by watermark.
+
+A stream that has come to its end is closed by an end mark (`close`): a row later than all others, which moves the watermark past
+every window, session and timer that is still open and takes no part itself.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+from typing import Any
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from crawlsift.operators import limits, netevents
-from crawlsift.sources.io import shared_dir
+from crawlsift.sources.io import shared_dir, store
+
+# Rows from this time on are end marks.
+END = "9000-01-01 00:00:00"
 
 # Late events up to this delay are kept.
 DELAY = "10 minutes"
@@ -21,31 +33,238 @@ def read(spark: SparkSession, folder: str, schema: str, fmt: str = "parquet", gl
         .option("maxFilesPerTrigger", per_trigger).option("timestampFormat", TIME_FORMAT).load(folder))
 
 
-def lifecycle(events: DataFrame, gap: str = "5 minutes", delay: str = DELAY) -> DataFrame:
-    """Requests merged from their messages; a request closes when nothing came for `gap`."""
-    merged = events.withWatermark("ts", delay).groupBy(
-        "session_id", "request_id", F.session_window("ts", gap).alias("open")).agg(*[F.expr(e) for e in netevents.LIFECYCLE])
-    return netevents.shape(merged, "session_id", "request_id", "open.end AS closed_at")
+def only(cond: str, ts: str = "ts") -> str:
+    """A condition on messages that lets end marks through to the watermark."""
+    return f"({cond}) OR {ts} >= TIMESTAMP '{END}'"
+
+
+def watched(events: DataFrame, delay: str = DELAY, ts: str = "ts") -> DataFrame:
+    """Set the watermark, and keep end marks out of what follows. The filter reads the event time, so it stays behind the watermark."""
+    return events.withWatermark(ts, delay).where(F.col(ts) < F.lit(END).cast("timestamp"))
+
+
+# What is known of a request: the newest message of each kind.
+KNOWN = {
+    "start_seq": "bigint", "start_ts": "timestamp", "url": "string", "method": "string", "start_type": "string",
+    "initiator": "string", "answer_seq": "bigint", "status": "int",
+    "answer_type": "string", "end_seq": "bigint", "end_ts": "timestamp", "end_action": "string", "bytes": "bigint", "canceled": "boolean"}
+STATE = KNOWN | {"last_ms": "bigint", "timer_ms": "bigint"}
+
+
+def _ddl(columns: dict[str, str]) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in columns.items())
+
+
+class Requests(StatefulProcessor):
+    """One state per request: the latest start, response and end message; published when the request is over.
+
+    A request is over when the watermark passes its end message, so that earlier messages that come late are still heard, or
+    `idle_ms` after its last message if no end came.
+    """
+
+    # message column -> state column, per action
+    PARTS = {
+        "start": ("start_seq", {"ts": "start_ts", "url": "url", "method": "method", "resource_type": "start_type", "initiator": "initiator"}),
+        "response": ("answer_seq", {"status": "status", "resource_type": "answer_type"}),
+        "complete": ("end_seq", {"ts": "end_ts", "action": "end_action", "bytes": "bytes", "canceled": "canceled"})}
+    PARTS["failed"] = PARTS["complete"]
+
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", _ddl(STATE))
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        held = self.open.get()
+        state = dict(zip(STATE, held, strict=True)) if held is not None else dict.fromkeys(STATE)
+        for row in rows:
+            state["last_ms"] = max(state["last_ms"] or 0, _ms(row.ts))
+            if row.action not in self.PARTS:
+                continue
+            seq, columns = self.PARTS[row.action]
+            if state[seq] is None or row.seq > state[seq]:
+                state[seq] = row.seq
+                for source, target in columns.items():
+                    state[target] = row[source]
+        due = _ms(state["end_ts"]) if state["end_ts"] is not None else state["last_ms"] + self.idle_ms
+        if due != state["timer_ms"]:
+            if state["timer_ms"] is not None:
+                self.handle.deleteTimer(state["timer_ms"])
+            self.handle.registerTimer(due)
+            state["timer_ms"] = due
+        self.open.update(tuple(state.values()))
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        held = self.open.get()
+        if held is not None:
+            self.open.clear()
+            yield Row(session_id=key[0], request_id=key[1], **dict(zip(KNOWN, held, strict=False)))
+
+
+class FifoCalls(StatefulProcessor):
+    """One queue per session and URL: responses answer the oldest open call, in the order of `seq` whatever the order of arrival.
+
+    Messages wait in a list until the watermark has passed them. Calls then join the queue, responses take its head or are lost
+    if it is empty; a call that nothing answers for `wait_ms` is evicted unanswered.
+    """
+
+    CALL = "seq bigint, ms bigint, request_id string, method string"
+    MESSAGE = "seq bigint, ms bigint, request_id string, method string, status int, is_call boolean"
+
+    def __init__(self, wait_ms: int) -> None:
+        self.wait_ms = wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.MESSAGE)
+        self.queue = handle.getListState("queue", self.CALL)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        new = [(r.seq, _ms(r.ts), r.request_id, r.method, r.status, r.action == "start") for r in rows]
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(max(x[1] for x in new))
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs()
+        messages = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
+        ripe = sorted((m for m in messages if m[1] <= now), key=lambda m: (m[0], not m[5], m[2] or ""))
+        queue = [tuple(x) for x in self.queue.get()] if self.queue.exists() else []
+        at = 0
+        for seq, ms, request, method, status, is_call in ripe:
+            while at < len(queue) and queue[at][1] + self.wait_ms < ms:
+                yield self._row(key, queue[at], None, None)
+                at += 1
+            if is_call:
+                queue.append((seq, ms, request, method))
+            elif at < len(queue):
+                yield self._row(key, queue[at], status, seq)
+                at += 1
+        while at < len(queue) and queue[at][1] + self.wait_ms <= now:
+            yield self._row(key, queue[at], None, None)
+            at += 1
+        self._put(self.waiting, [m for m in messages if m[1] > now])
+        self._put(self.queue, queue[at:])
+        if at < len(queue):
+            self.handle.registerTimer(queue[at][1] + self.wait_ms)
+
+    @staticmethod
+    def _put(state: Any, rows: list) -> None:
+        if rows:
+            state.put(rows)
+        else:
+            state.clear()
+
+    @staticmethod
+    def _row(key: Any, call: tuple, status: int | None, answer: int | None) -> Row:
+        seq, _, request, method = call
+        return Row(session_id=key[0], seq=seq, request_id=request, url=key[1], method=method, status=status, answer_seq=answer)
+
+
+class FirstReady(StatefulProcessor):
+    """The first of a session's times, published once the watermark rules out an earlier one."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", "ready_ts timestamp, done boolean")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        held = self.first.get()
+        least = min(r.ready_ts for r in rows)
+        if held is None or (not held[1] and least < held[0]):
+            self.first.update((least, False))
+            self.handle.registerTimer(_ms(least))
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        held = self.first.get()
+        if held is not None and not held[1] and _ms(held[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.first.update((held[0], True))
+            yield Row(ready_session=key[0], ready_ts=held[0])
+
+
+def _ms(ts: Any) -> int:
+    """Milliseconds of a time, rounded up, so that a timer doesn't fire before it."""
+    return -int(-(ts.timestamp() * 1_000_000) // 1000)
+
+
+def stateful(grouped: Any, processor: StatefulProcessor, schema: str, event_time: str = "") -> DataFrame:
+    """Apply a stateful processor with event-time timers; its state is kept in RocksDB."""
+    df = grouped._df
+    df.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return grouped.transformWithState(processor, schema, "append", "eventTime", eventTimeColumnName=event_time)
+
+
+def lifecycle(events: DataFrame, idle_hours: int = 100, delay: str = DELAY) -> DataFrame:
+    """Requests merged from their messages, each published when it is over (see `Requests`).
+
+    The latest message of a kind wins, by `seq`. Messages of one request that come after it was published start a row of their own.
+    """
+    plain = events.withColumn("initiator", F.to_json("initiator"))
+    grouped = watched(plain, delay).groupBy("session_id", "request_id")
+    done = stateful(grouped, Requests(idle_hours * 3_600_000), "session_id string, request_id string, " + _ddl(KNOWN))
+    merged = done.selectExpr(
+        "session_id", "request_id",
+        "CASE WHEN start_seq IS NOT NULL THEN named_struct('ts', start_ts, 'url', url, 'method', method, 'type', lower(start_type),"
+        " 'initiator', from_json(initiator, 'type string, frames array<struct<url:string,line:int>>')) END AS started",
+        "CASE WHEN answer_seq IS NOT NULL THEN named_struct('status', status, 'type', lower(answer_type)) END AS answered",
+        "CASE WHEN end_seq IS NOT NULL THEN named_struct('ts', end_ts, 'action', end_action, 'bytes', bytes, 'canceled', canceled) END AS finished")
+    return netevents.shape(merged, "session_id", "request_id")
+
+
+def pair_fifo(events: DataFrame, wait_hours: int = 1000, delay: str = DELAY) -> DataFrame:
+    """Calls with the status of their response as `netevents.pair_fifo` gives them; a call left alone for `wait_hours` is unanswered.
+
+    Messages of one session and URL share a state and are replayed in one task; a call that has neither forms a group with others
+    like it, whose responses are unknown, so it stays unanswered.
+    """
+    wanted = only(
+        "lower(resource_type) IN ('xhr', 'fetch') AND (action = 'start' OR action = 'response' AND session_id IS NOT NULL AND url IS NOT NULL)")
+    grouped = watched(events.where(wanted), delay).groupBy("session_id", "url")
+    return stateful(
+        grouped, FifoCalls(wait_hours * 3_600_000),
+        "session_id string, seq bigint, request_id string, url string, method string, status int, answer_seq bigint")
+
+
+def dynamic_requests(starts: DataFrame, messages: DataFrame, horizon: str = "60 days", delay: str = DELAY) -> DataFrame:
+    """Stream-stream form of the dynamic-only tag: start messages joined to when their session's document was ready.
+
+    Both sides are watermarked. A start waits until no earlier ready time can come; without one in the `horizon` before it, it
+    is not dynamic (the outer result).
+    """
+    docs = messages.where(only("action = 'complete' AND lower(resource_type) = 'document'"))
+    ready = stateful(
+        watched(docs.withColumnRenamed("ts", "ready_ts").select("session_id", "ready_ts"), delay, "ready_ts").groupBy("session_id"),
+        FirstReady(), "ready_session string, ready_ts timestamp", "ready_ts")
+    begun = watched(starts.where(only("action = 'start'")), delay)
+    return begun.join(ready, F.expr(
+        f"session_id = ready_session AND ready_ts < ts - INTERVAL 1 SECOND AND ready_ts >= ts - INTERVAL {horizon}"), "left").selectExpr(
+        "session_id", "request_id", "ready_ts IS NOT NULL AS is_dynamic")
 
 
 def status_mix(responses: DataFrame, width: str = "1 hour", delay: str = DELAY) -> DataFrame:
     """Responses per interval and status band from response messages, which carry the status."""
     band = netevents.status_band("CAST(status AS string)", "status")
-    return responses.where("action = 'response'").withWatermark("ts", delay).groupBy(
+    return watched(responses.where(only("action = 'response'")), delay).groupBy(
         F.window("ts", width).alias("w"), F.expr(band).alias("band")).agg(F.count("*").alias("responses")).select(
         F.col("w.start").alias("window_start"), "band", "responses")
 
 
 def sessions(events: DataFrame, key: str, gap: str = "5 minutes", delay: str = DELAY) -> DataFrame:
     """Inactivity sessions per key."""
-    return events.withWatermark("ts", delay).groupBy(key, F.session_window("ts", gap).alias("s")).agg(
+    return watched(events, delay).groupBy(key, F.session_window("ts", gap).alias("s")).agg(
         F.min("ts").alias("start_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("events")).select(
         key, "start_ts", "last_ts", "events")
 
 
 def rate_limit(events: DataFrame, max_requests: int = limits.MAX_REQUESTS, width: str = limits.WINDOW, delay: str = DELAY) -> DataFrame:
     """Requests per client and window with the number over the limit; late rows beyond the watermark are dropped."""
-    return events.withWatermark("ts", delay).groupBy("client", F.window("ts", width).alias("w")).agg(
+    return watched(events, delay).groupBy("client", F.window("ts", width).alias("w")).agg(
         F.count("*").alias("requests")).select(
         "client", F.col("w.start").alias("window_start"), "requests",
         F.greatest(F.lit(0), F.col("requests") - max_requests).alias("refused"))
@@ -53,10 +272,37 @@ def rate_limit(events: DataFrame, max_requests: int = limits.MAX_REQUESTS, width
 
 def mark_dynamic(starts: DataFrame, ready: DataFrame, delay: str = DELAY) -> DataFrame:
     """Stream-static form of the dynamic-only tag over start messages."""
-    return starts.where("action = 'start'").withWatermark("ts", delay).join(ready, "session_id", "left").withColumn(
+    return watched(starts.where(only("action = 'start'")), delay).join(ready, "session_id", "left").withColumn(
         "is_dynamic", F.expr("coalesce(ts > ready_ts + INTERVAL 1 SECOND, false)"))
 
 
+def close(spark: SparkSession, folder: str, schema: str, ts: str = "ts") -> None:
+    """Add an end mark to a folder of JSON messages: what is open is published by the next run. Later messages are late."""
+    marks = spark.sql(f"SELECT TIMESTAMP '{END}' AS {ts}").select(*[
+        F.col(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)])
+    marks.select(ts).write.mode("append").option("timestampFormat", TIME_FORMAT).json(folder)
+
+
+def replay(messages: DataFrame, build: Callable[[DataFrame], DataFrame], slices: int = 2, jitter_s: int = 480, order: str = "seq") -> DataFrame:
+    """Feed recorded messages to a stream as they came: slice after slice of time, each run from the checkpoint of the one before.
+
+    `jitter_s` seconds at most, by a hash of the row, let messages arrive after later ones, within the watermark's delay. An end mark closes the stream.
+    """
+    spark, schema = messages.sparkSession, messages.schema
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    folder, out = shared_dir(spark) + "/messages", shared_dir(spark)
+    low, high = messages.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    arrival = F.unix_micros("ts") + F.pmod(F.xxhash64(order, "ts"), F.lit(jitter_s * 1_000_000 + 1))
+    width = ((high or 0) + jitter_s * 1_000_000 - (low or 0)) // slices + 1
+    kept = store(messages.withColumn("slice", F.floor((arrival - F.lit(low or 0)) / width).cast("int")))
+    for i in range(slices):
+        kept.where(F.col("slice") == i).drop("slice").write.mode("append").option("timestampFormat", TIME_FORMAT).json(folder)
+        if i + 1 == slices:
+            close(spark, folder, ddl)
+        found = run_to_table(build(read(spark, folder, ddl, "json", "*.json")), out)
+    return found
+
+
 def run_to_table(stream: DataFrame, out: str | None = None) -> DataFrame:
     """Process everything available into a Parquet table in the shared folder and read it back."""
     spark = stream.sparkSession

@@ -14,7 +14,7 @@ ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-TYPES = {"bigint": {"BIGINT"}, "string": {"VARCHAR"}, "boolean": {"BOOLEAN"}, "double": {"DOUBLE"}}
+TYPES = {"bigint": {"BIGINT"}, "int": {"INTEGER"}, "string": {"VARCHAR"}, "boolean": {"BOOLEAN"}, "double": {"DOUBLE"}}
 
 
 def connect(folder: str):

@@ -232,7 +232,7 @@ def test_lifecycle_stream_matches_batch(spark, tmp_path):
     out = streams.run_to_table(streams.lifecycle(streams.read(spark, folder, netevents.EVENT_TYPE, "json", "*.json")), str(tmp_path / "out"))
     want = netevents.lifecycle(batch).where("request_id <> 'end'").drop("initiator")
     key = ["request_id"]
-    assert out.drop("initiator", "closed_at").orderBy(key).collect() == want.orderBy(key).collect()
+    assert out.drop("initiator").orderBy(key).collect() == want.orderBy(key).collect()
 
 
 def test_dynamic_tag_stream(spark, tmp_path):

@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from crawlsift.plans import oracle, registry
 from tests.compare import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
