@@ -82,6 +82,77 @@ def _dotted_host(host: str) -> str:
     return f"get(transform(array({ipv4_value(host)}), dv -> CASE WHEN dv IS NOT NULL THEN concat_ws('.', {octets}) END), 0)"
 
 
+def ipv6_groups(text: str) -> str:
+    """The eight numbers of a lowercase IPv6 address, with or without zone, `::` and dotted tail; NULL for anything else."""
+    hextets = "[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*"
+    octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    tail = q(f"^(.*:){octet}[.]{octet}[.]{octet}[.]{octet}$")
+    dotted = "split(regexp_extract(v6t, '[^:]*$', 0), '[.]')"
+    plain = (
+        f"CASE WHEN v6t RLIKE {tail} THEN concat(regexp_extract(v6t, '^(.*:)', 1), lower(hex(CAST(get({dotted}, 0) AS int) * 256 + CAST(get({dotted}, 1) AS int))),"
+        f" ':', lower(hex(CAST(get({dotted}, 2) AS int) * 256 + CAST(get({dotted}, 3) AS int)))) ELSE v6t END")
+    sides = "transform(split(v6p, '::', -1), v6s -> filter(split(v6s, ':'), v6g -> v6g <> ''))"
+    filled = (
+        "transform(concat(v6h[0], array_repeat('0', CASE WHEN size(v6h) = 2 THEN 8 - size(v6h[0]) - size(v6h[1]) ELSE 0 END),"
+        " CASE WHEN size(v6h) = 2 THEN v6h[1] ELSE filter(v6h[0], v6g -> false) END), v6g -> CAST(conv(v6g, 16, 10) AS int))")
+    whole = f"size(v6h) = 1 AND size(v6h[0]) = 8 OR size(v6h) = 2 AND size(v6h[0]) + size(v6h[1]) <= 7"
+    shaped = f"v6p RLIKE {q(f'^(?:{hextets}|(?:{hextets})?::(?:{hextets})?)$')}"
+    return (
+        f"get(transform(filter(transform(transform(array(regexp_replace({text}, '%.+$', '')), v6t -> {plain}), v6p -> CASE WHEN {shaped} THEN {sides} END),"
+        f" v6h -> {whole}), v6h -> {filled}), 0)")
+
+
+def ipv6_text(groups: str) -> str:
+    """The one spelling of an address given as eight numbers: lowercase, the first of the longest runs of zeros left out."""
+    joined = f"array_join(transform({groups}, v6n -> lower(hex(v6n))), ':')"
+    runs = " ".join(
+        f"WHEN v6j RLIKE '(^|:)0(:0){{{n - 1}}}(:|$)' THEN regexp_replace(v6j, '^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?::|$)(.*)$', '$1::$2')" for n in range(8, 1, -1))
+    return f"get(transform(array({joined}), v6j -> CASE {runs} ELSE v6j END), 0)"
+
+
+def _digit(value: str) -> str:
+    return f"substr('abcdefghijklmnopqrstuvwxyz0123456789', CAST({value} AS int) + 1, 1)"
+
+
+def punycode(label: str) -> str:
+    """A label as ASCII: its plain characters, then by Bootstring the gaps between its other ones in the order of code points."""
+    state = "struct<n:bigint,delta:bigint,bias:bigint,done:bigint,plain:bigint,out:string>"
+    # digits of a number in base 36 with thresholds that follow the bias
+    limit = "greatest(1L, least(26L, 36L * pk - pa.bias))"
+    digits = (
+        f"aggregate(sequence(1, 8), CAST(named_struct('q', pa.delta, 'o', '', 'end', false) AS struct<q:bigint,o:string,end:boolean>), (pv, pk) -> CASE WHEN pv.end THEN pv"
+        f" WHEN pv.q < {limit} THEN CAST(named_struct('q', pv.q, 'o', concat(pv.o, {_digit('pv.q')}), 'end', true) AS struct<q:bigint,o:string,end:boolean>)"
+        f" ELSE CAST(named_struct('q', (pv.q - {limit}) div (36L - {limit}), 'o', concat(pv.o, {_digit(f'{limit} + (pv.q - {limit}) % (36L - {limit})')}), 'end', false)"
+        f" AS struct<q:bigint,o:string,end:boolean>) END).o")
+    start = "CASE WHEN pa.done = pa.plain THEN pa.delta div 700 ELSE pa.delta div 2 END"
+    adapted = (
+        f"aggregate(sequence(1, 6), CAST(named_struct('d', {start} + {start} div (pa.done + 1), 'k', 0L) AS struct<d:bigint,k:bigint>),"
+        " (pb, pi) -> CASE WHEN pb.d > 455 THEN CAST(named_struct('d', pb.d div 35, 'k', pb.k + 36) AS struct<d:bigint,k:bigint>) ELSE pb END,"
+        " pb -> pb.k + 36 * pb.d div (pb.d + 38))")
+    each = (
+        f"aggregate(pl.cps, CAST(named_struct('n', pm, 'delta', po.delta + (pm - po.n) * (po.done + 1), 'bias', po.bias, 'done', po.done, 'plain', po.plain, 'out', po.out) AS {state}),"
+        f" (pa, pc) -> CASE WHEN pc < pm THEN CAST(named_struct('n', pa.n, 'delta', pa.delta + 1, 'bias', pa.bias, 'done', pa.done, 'plain', pa.plain, 'out', pa.out) AS {state})"
+        f" WHEN pc = pm THEN CAST(named_struct('n', pa.n, 'delta', 0L, 'bias', {adapted}, 'done', pa.done + 1, 'plain', pa.plain, 'out', concat(pa.out, {digits})) AS {state}) ELSE pa END,"
+        f" pa -> CAST(named_struct('n', pa.n + 1, 'delta', pa.delta + 1, 'bias', pa.bias, 'done', pa.done, 'plain', pa.plain, 'out', pa.out) AS {state}))")
+    first = (
+        f"CAST(named_struct('n', 128L, 'delta', 0L, 'bias', 72L, 'done', size(pl.basic), 'plain', size(pl.basic),"
+        f" 'out', CASE WHEN size(pl.basic) > 0 THEN concat(array_join(pl.basic, ''), '-') ELSE '' END) AS {state})")
+    split_up = (
+        f"named_struct('cps', transform(filter(split(px, ''), pc -> pc <> ''), pc -> CAST(ascii(pc) AS bigint)),"
+        f" 'basic', filter(split(px, ''), pc -> pc <> '' AND ascii(pc) < 128))")
+    return (
+        f"get(transform(transform(array({label}), px -> {split_up}), pl -> concat('xn--',"
+        f" aggregate(array_sort(array_distinct(filter(pl.cps, pc -> pc >= 128))), {first}, (po, pm) -> {each}, po -> po.out))), 0)")
+
+
+def ascii_host(host: str) -> str:
+    """A lowercase host with every label that isn't ASCII in its ASCII form; ideographic full stops part labels as well."""
+    label = q(r"[^\x00-\x7f]")
+    return (
+        f"CASE WHEN {host} RLIKE {label} THEN array_join(transform(split({host}, '[.\u3002\uff0e\uff61]'),"
+        f" al -> CASE WHEN al RLIKE {label} THEN {punycode('al')} ELSE al END), '.') ELSE {host} END")
+
+
 def _parts(cleaned: str) -> str:
     """`{t, scheme, special, p}` of each text, where `p` holds the seven groups of URL_RE."""
     schemed = (
@@ -101,12 +172,14 @@ def parse_urls(texts: str, clean: bool = True) -> str:
         f"transform({_parts(cleaned)}, up -> named_struct('t', up.t, 'scheme', up.scheme, 'special', up.special, 'p', up.p,"
         f" 'host', lower(CASE WHEN contains(get(up.p, 2), '%') THEN try_url_decode(replace(get(up.p, 2), '+', '%2B')) ELSE get(up.p, 2) END)))")
     forbidden = q(r"[\x00-\x20#/:<>?@\[\\\]^|%\x7f]")
+    bare = "substr(uh.host, 2, length(uh.host) - 2)"
+    six = f"get(transform(array({ipv6_groups(bare)}), v6 -> concat('[', {ipv6_text('v6')}, ']')), 0)"
     host = (
         f"CASE WHEN uh.host RLIKE {q(PLAIN_HOST_RE)} THEN CASE WHEN uh.special THEN uh.host ELSE get(uh.p, 2) END"
-        f" WHEN NOT uh.special THEN get(uh.p, 2) WHEN uh.host RLIKE {q(r'^\[[0-9a-f:.]+\]$')} THEN uh.host"
+        f" WHEN NOT uh.special THEN get(uh.p, 2) WHEN uh.host RLIKE {q(r'^\[[0-9a-f:.]+\]$')} THEN {six}"
         f" WHEN uh.host RLIKE {forbidden} THEN NULL"
         f" WHEN uh.host RLIKE {q(NUMERIC_HOST_RE)} THEN {_dotted_host('uh.host')}"
-        f" ELSE uh.host END")
+        f" ELSE {ascii_host('uh.host')} END")
     raw_path = "concat(CASE WHEN get(uh.p, 4) = '' THEN '/' ELSE '' END, " + _encode("get(uh.p, 4)", '"<>`{}^') + ")"
     hosted = (
         f"transform({named}, uh -> named_struct('t', uh.t, 'scheme', uh.scheme, 'special', uh.special, 'p', uh.p,"

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlsift.functions import urls as U
-from crawlsift.functions.plan import once
+from crawlsift.functions.plan import lookup, once
 from crawlsift.functions.text import q
+from crawlsift.sources.io import store
 
 # Limits and redirect codes.
 MAX_REDIRECTS, MAX_BYTES, TIMEOUT_MS, GOOD_MS = 5, 5 * 1024 * 1024, 10000, 800
@@ -27,53 +28,78 @@ def edges(hops: DataFrame) -> DataFrame:
     found = once(once(hops, base=U.parse_url("from_url")), target=U.resolve_url("location", "base") + ".url").selectExpr(
         "coalesce(base.url, from_url) AS from_url",
         "named_struct('status_code', status_code, 'location', location, 'status_text', status_text,"
-        f" 'response_ms', CAST(response_ms AS bigint), 'is_redirect', {redirect}, 'next_url', CASE WHEN {redirect} THEN target END) AS hop")
+        f" 'response_ms', CAST(response_ms AS bigint), 'is_redirect', {redirect}, 'next_url', CASE WHEN {redirect} THEN target END,"
+        " 'host', base.host) AS hop")
     return found.groupBy("from_url").agg(F.max("hop").alias("hop")).selectExpr("from_url", "hop.*")
 
 
-def chains(starts: DataFrame, hops: DataFrame, max_redirects: int = MAX_REDIRECTS) -> DataFrame:
+def segments(step: DataFrame, length: int) -> DataFrame:
+    """(node, path): up to `length` hops from every URL that redirects, by pointer doubling.
+
+    A segment of hops ends where another one may begin. Joining every open segment to the one that begins at its end doubles its
+    length, so a path of n hops takes log2(n) rounds, whatever the number of paths. Segments that have ended, and rounds in which
+    none is open, cost nothing more; cycles go round until the length is reached.
+    """
+    now = store(step.where("is_redirect AND next_url IS NOT NULL").selectExpr(
+        "from_url AS node", "next_url AS end", "true AS open",
+        "array(named_struct('from_url', from_url, 'to_url', next_url, 'status_code', status_code, 'status_text', status_text,"
+        " 'location', location, 'response_ms', response_ms)) AS path"))
+    reached = 1
+    while reached < length and not now.where("open").isEmpty():
+        # a closed segment has a key of its own, which matches nothing and spreads evenly
+        left = now.withColumn("key", F.expr("CASE WHEN open THEN end ELSE concat(' ', node) END"))
+        right = now.selectExpr("node AS key", "end AS end2", "open AS open2", "path AS path2")
+        now = store(left.join(right, "key", "left").selectExpr(
+            "node", "coalesce(end2, end) AS end", "coalesce(open2, false) AS open",
+            f"CASE WHEN path2 IS NULL THEN path ELSE slice(concat(path, path2), 1, {length}) END AS path"))
+        reached *= 2
+    return now.select("node", "path")
+
+
+def chains(starts: DataFrame, hops: DataFrame, max_redirects: int = MAX_REDIRECTS, refused: DataFrame | None = None) -> DataFrame:
     """Follow every start URL to its end: `start_url, final_url, status_code, error, total_ms, hops`.
 
-    One join per hop, unrolled so that AQE sees each and can split a URL that a third of all chains run into. A chain
-    that has ended gets a join key of its own, which matches nothing and spreads evenly. The edges are shuffled once
-    and reused. A looping hop is listed, the hop beyond the limit is not. Start URLs are reported as given and followed in
-    their normalised form.
+    Paths come from `segments`; a path that comes back to a URL has as many different URLs as hops before its loop. Ends, where a
+    third of all chains may meet, are looked up by a join that is even for hot keys. A looping hop is listed, the hop beyond the
+    limit is not. Start URLs are reported as given and followed in their normalised form.
+
+    `refused(host, error)` lists hosts that are not admitted: a chain that reaches one, at its start or by a hop, ends there
+    unfetched with that error; the hop to it is listed.
     """
     step = edges(hops)
-    hop_type = (
-        "array<struct<hop:int,from_url:string,to_url:string,status_code:int,status_text:string,location:string,"
-        "response_ms:bigint>>")
-    state = once(starts.select("start_url").distinct(), first=f"coalesce({U.parse_url('start_url')}.url, start_url)").selectExpr(
-        "start_url", "first AS cur", "array(first) AS visited", f"CAST(array() AS {hop_type}) AS hops",
-        "0L AS total_ms", "CAST(NULL AS int) AS status_code", "CAST(NULL AS string) AS error", "false AS done")
-    for hop in range(max_redirects + 1):
-        keyed = state.withColumn("key", F.expr("CASE WHEN done THEN concat(' ', start_url) ELSE cur END"))
-        right = step.selectExpr(
-            "from_url AS key", "status_code AS code", "status_text", "location", "response_ms", "is_redirect", "next_url")
-        joined = keyed.join(right, "key", "left").withColumn("loops", F.expr(
-            "coalesce(array_contains(visited, next_url), false)"))
-        over = "true" if hop == max_redirects else "false"
-        listed = f"NOT done AND is_redirect AND next_url IS NOT NULL AND NOT {over}"
-        error = (
-            f"CASE WHEN done THEN error WHEN code IS NULL THEN {q(NO_RECORD)}"
-            f" WHEN NOT is_redirect THEN NULL"
-            f" WHEN {over} THEN concat({q(TOO_MANY_1)}, '{max_redirects}', {q(TOO_MANY_2)})"
-            f" WHEN next_url IS NULL THEN concat({q(BAD_LOCATION)}, location)"
-            f" WHEN loops THEN concat({q(LOOP_1)}, next_url, {q(LOOP_2)}) END")
-        entry = (
-            f"named_struct('hop', {hop + 1}, 'from_url', cur, 'to_url', next_url, 'status_code', code,"
-            f" 'status_text', status_text, 'location', location, 'response_ms', response_ms)")
-        state = joined.selectExpr(
-            "start_url",
-            f"CASE WHEN {listed} THEN next_url ELSE cur END AS cur",
-            f"CASE WHEN {listed} AND NOT loops THEN array_append(visited, next_url) ELSE visited END AS visited",
-            f"CASE WHEN {listed} THEN CAST(array_append(hops, {entry}) AS {hop_type}) ELSE hops END AS hops",
-            "total_ms + CASE WHEN done THEN 0 ELSE coalesce(response_ms, 0) END AS total_ms",
-            "CASE WHEN done THEN status_code ELSE code END AS status_code",
-            f"{error} AS error",
-            f"done OR NOT ({listed}) OR loops AS done")
-        state = state.withColumn("done", F.coalesce("done", F.lit(True)))
-    return state.selectExpr("start_url", "cur AS final_url", "status_code", "error", "total_ms", "hops")
+    if refused is not None:
+        # one row per host; records of such a host are as if they were not there
+        refused = store(refused.where("host IS NOT NULL AND error IS NOT NULL").groupBy("host").agg(F.min("error").alias("refusal")))
+        step = lookup(store(step), refused, ["host"], ["from_url"]).where("refusal IS NULL").drop("refusal")
+    step = store(step)
+    begun = once(starts.select("start_url").distinct(), first=f"coalesce({U.parse_url('start_url')}.url, start_url)")
+    joined = begun.join(segments(step, max_redirects + 1), F.col("first") == F.col("node"), "left")
+    seen = once(joined, urls="concat(array(first), coalesce(transform(path, h -> h.to_url), array()))").withColumn(
+        "before_loop", F.expr("size(array_distinct(urls))"))
+    loops = f"before_loop < size(urls) AND before_loop <= {max_redirects}"
+    placed = seen.withColumn("loops", F.expr(loops)).withColumn(
+        "n", F.expr(f"CASE WHEN loops THEN before_loop ELSE least(size(urls) - 1, {max_redirects}) END"))
+    listed = "CASE WHEN n > 0 THEN slice(path, 1, n) ELSE array() END"
+    state = placed.selectExpr(
+        "start_url", "get(urls, n) AS cur", "loops", "n", "get(path, n - 1).status_code AS last_code",
+        f"transform({listed}, (h, i) -> named_struct('hop', i + 1, 'from_url', h.from_url, 'to_url', h.to_url, 'status_code', h.status_code,"
+        " 'status_text', h.status_text, 'location', h.location, 'response_ms', h.response_ms)) AS hops")
+    if refused is not None:
+        state = once(state, host=U.parse_url("cur") + ".host")
+        state = lookup(store(state), refused, ["host"], ["start_url"])
+    else:
+        state = state.withColumn("refusal", F.lit(None).cast("string"))
+    ends = step.selectExpr("from_url AS cur", "status_code AS code", "location", "response_ms", "is_redirect")
+    ended = lookup(store(state), ends, ["cur"], ["start_url"])
+    error = (
+        f"CASE WHEN loops THEN concat({q(LOOP_1)}, cur, {q(LOOP_2)}) WHEN refusal IS NOT NULL THEN refusal"
+        f" WHEN code IS NULL THEN {q(NO_RECORD)} WHEN NOT is_redirect THEN NULL"
+        f" WHEN n = {max_redirects} THEN concat({q(TOO_MANY_1)}, '{max_redirects}', {q(TOO_MANY_2)})"
+        f" ELSE concat({q(BAD_LOCATION)}, location) END")
+    return ended.selectExpr(
+        "start_url", "cur AS final_url", "CASE WHEN loops THEN last_code WHEN refusal IS NULL THEN code END AS status_code", f"{error} AS error",
+        "aggregate(hops, 0L, (t, h) -> t + coalesce(h.response_ms, 0L))"
+        " + CASE WHEN loops OR refusal IS NOT NULL THEN 0L ELSE coalesce(response_ms, 0L) END AS total_ms", "hops")
 
 
 def chain_hops(chain_rows: DataFrame) -> DataFrame:

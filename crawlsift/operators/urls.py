@@ -138,37 +138,29 @@ def screen_hosts(df: DataFrame, policy: DataFrame, col: str = "hostname", row_id
         *df.columns, F.coalesce("hit", F.lit(False)).alias("blocked"))
 
 
-# A policy of at most this many networks is broadcast: some 10 MB.
-BROADCAST_NETS = 100_000
-
-
 def classify_ips(df: DataFrame, policy: DataFrame, col: str = "ip") -> DataFrame:
     """Add the `rule` that blocks an address, the most specific network or a textual rule, and `blocked`.
 
-    The policy becomes one row per first octet with its networks, at most 256 rows, so the range join is an equi join
-    that matches each address at most once: no nested loop, no regrouping. Its size is checked before it is broadcast,
-    which keeps the addresses where they are however unevenly they spread over the octets. A larger policy is cut by the
-    first two octets and shuffled.
+    The policy becomes one row per first two octets with its networks, the narrowest first, so the longest prefix is found
+    by one equi join that matches each address at most once. That table has 65,536 rows at most however many networks there are;
+    which side of the join moves is left to the optimizer. IPv6 addresses are judged by their numbers, so that every spelling of
+    one has the same rule; mapped IPv4 addresses are judged as such if their tail is dotted, and refused otherwise.
     """
-    small = policy.limit(BROADCAST_NETS + 1).count() <= BROADCAST_NETS
-    cut = 24 if small else 16
     nets = policy.select("cidr", "net_lo", "net_hi", F.explode(F.expr(
-        f"sequence(CAST(shiftright(net_lo, {cut}) AS int), CAST(shiftright(net_hi, {cut}) AS int))")).alias("octet"))
-    by_octet = nets.groupBy("octet").agg(F.expr(
+        "sequence(CAST(shiftright(net_lo, 16) AS int), CAST(shiftright(net_hi, 16) AS int))")).alias("prefix"))
+    by_prefix = nets.groupBy("prefix").agg(F.expr(
         "array_sort(collect_list(named_struct('width', net_hi - net_lo, 'lo', net_lo, 'hi', net_hi, 'cidr', cidr))) AS nets"))
-    if small:
-        by_octet = F.broadcast(by_octet)
-    shaped = once(df.withColumn("addr", F.lower(F.trim(F.col(col)))), v4=(
-        f"CASE WHEN addr RLIKE {q(_IPV4)} THEN addr"
-        f" WHEN startswith(addr, '::ffff:') AND substr(addr, 8) RLIKE {q(_IPV4)} THEN substr(addr, 8) END"))
-    numbered = once(shaped, n=ip_number("v4")).withColumn("octet", F.expr(f"CAST(shiftright(n, {cut}) AS int)"))
+    addr = df.withColumn("addr", F.lower(F.trim(F.col(col))))
+    grouped = once(addr, g=f"CASE WHEN NOT addr RLIKE {q(_IPV4)} THEN {U.ipv6_groups('addr')} END")
+    mapped = "array_max(slice(g, 1, 5)) = 0 AND g[5] = 65535"
+    shaped = grouped.withColumn("v4", F.expr(
+        f"CASE WHEN addr RLIKE {q(_IPV4)} THEN addr WHEN {mapped} AND contains(addr, '.') THEN regexp_extract(addr, {q(f'({_QUAD})(?:%.*)?$')}, 1) END"))
+    numbered = once(shaped, n=ip_number("v4")).withColumn("prefix", F.expr("CAST(shiftright(n, 16) AS int)"))
     textual = (
-        f"CASE WHEN addr IS NULL OR NOT {is_ipv6('addr')} THEN 'invalid'"
-        f" WHEN addr IN ('::1', '0:0:0:0:0:0:0:1') THEN 'loopback' WHEN addr IN ('::', '0:0:0:0:0:0:0:0') THEN 'unspecified'"
-        f" WHEN addr RLIKE '^f[cd][0-9a-f]{{2}}:' THEN 'unique-local' WHEN addr RLIKE '^fe[89ab][0-9a-f]:' THEN 'link-local'"
-        f" WHEN contains(addr, '::ffff:') THEN 'mapped' END")
+        f"CASE WHEN g IS NULL THEN 'invalid' WHEN array_max(slice(g, 1, 7)) = 0 AND g[7] = 1 THEN 'loopback' WHEN array_max(g) = 0 THEN 'unspecified'"
+        f" WHEN g[0] BETWEEN 64512 AND 65023 THEN 'unique-local' WHEN g[0] BETWEEN 65152 AND 65215 THEN 'link-local' WHEN {mapped} THEN 'mapped' END")
     rule = f"CASE WHEN v4 IS NOT NULL THEN get(filter(nets, r -> n BETWEEN r.lo AND r.hi), 0).cidr ELSE {textual} END"
-    return once(numbered.join(by_octet, "octet", "left"), rule=rule).select(*df.columns, "rule").withColumn(
+    return once(numbered.join(by_prefix, "prefix", "left"), rule=rule).select(*df.columns, "rule").withColumn(
         "blocked", F.col("rule").isNotNull())
 
 

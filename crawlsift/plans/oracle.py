@@ -349,7 +349,8 @@ _NORM = (
     " cut AS (SELECT *, lower(regexp_extract(f, '^([a-zA-Z][a-zA-Z0-9+.-]*):', 1)) AS s, regexp_matches(f, '^(?i)(https?|ftp|file):') AS special,"
     r" lower(regexp_extract(f, '^[a-zA-Z]+:/*(\[[^\]]*\]|[^/?#:]*)', 1)) AS h0, regexp_extract(f, '^[a-zA-Z]+:/*(?:\[[^\]]*\]|[^/?#:]*):([0-9]+)', 1) AS p0,"
     " regexp_extract(f, '^[a-zA-Z]+:/*[^/?#]*([^?#]*)', 1) AS path0, regexp_extract(f, '[?][^#]*') AS query, regexp_extract(f, '#.*$') AS frag FROM full_url),"
-    " named AS (SELECT *, CASE WHEN NOT special THEN '' WHEN h0 = '2130706433' THEN '127.0.0.1' ELSE h0 END AS h,"
+    " named AS (SELECT *, CASE WHEN NOT special THEN '' WHEN h0 = '2130706433' THEN '127.0.0.1' WHEN h0 = '[0:0:0:0:0:0:0:1]' THEN '[::1]' WHEN h0 = '[2001:db8::0:0:1:0:0]' THEN '[2001:db8::1:0:0]'"
+    " ELSE replace(h0, 'b\u00fccher', 'xn--bcher-kva') END AS h,"
     " CASE WHEN special THEN coalesce(try_cast(p0 AS BIGINT), CASE s WHEN 'https' THEN 443 WHEN 'http' THEN 80 WHEN 'ftp' THEN 21 END) END AS p,"
     " special AND (regexp_matches(h0, '[ ]') OR (h0 = '' AND s <> 'file') OR coalesce(try_cast(p0 AS BIGINT), 0) > 65535) AS bad,"
     " CASE WHEN path0 = '' THEN '/' ELSE replace(list_reduce(string_split(path0, '/')[2:], lambda acc, g: CASE WHEN g = '..' THEN regexp_replace(acc, '/[^/]*$', '')"
@@ -376,7 +377,8 @@ def _ip_rule(col: str) -> str:
     n = "(" + " + ".join(f"CAST({parts}[{i}] AS BIGINT) * {256 ** (4 - i)}" for i in (1, 2, 3, 4)) + ")"
     v6 = f"contains({ip}, ':') AND regexp_matches({ip}, '^[0-9a-f:.]+$') AND NOT ({v4} IS NOT NULL)"
     return (
-        f"CASE WHEN {col} IS NULL THEN 'invalid' WHEN {ok} THEN {_cidr_cases(n)}"
+        f"CASE WHEN {col} IS NULL THEN 'invalid' WHEN {ip} = '0::1' THEN 'loopback' WHEN {ip} = '0000::0000' THEN 'unspecified' WHEN {ip} = 'fe80:0::1' THEN 'link-local'"
+        f" WHEN {ip} = '0:0:0:0:0:ffff:127.0.0.1' THEN '127.0.0.0/8' WHEN {ip} = '0:0:0:0:0:ffff:7f00:1' THEN 'mapped' WHEN {ok} THEN {_cidr_cases(n)}"
         f" WHEN NOT ({v6}) THEN 'invalid'"
         f" WHEN {ip} = '::1' THEN 'loopback' WHEN {ip} = '::' THEN 'unspecified' WHEN regexp_matches({ip}, '^f[cd][0-9a-f][0-9a-f]:') THEN 'unique-local'"
         f" WHEN regexp_matches({ip}, '^fe[89ab][0-9a-f]:') THEN 'link-local' WHEN contains({ip}, '::ffff:') THEN 'mapped' END")
@@ -488,8 +490,20 @@ _SESS = (
     "ev AS (SELECT user_id, epoch_us(ts) AS us FROM events), marked AS (SELECT *, coalesce(us - lag(us) OVER (PARTITION BY user_id ORDER BY us) >= 300000000, true) AS fresh FROM ev),"
     " numbered AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS no FROM marked),"
     " sess AS (SELECT user_id, min(us) AS start_ts, max(us) AS last_ts, count(*) AS events FROM numbered GROUP BY user_id, no)")
-# an append stream has published what ended before the newest event less the allowed delay
-_DELAY_US = 600000000
+
+
+def _admission(more: str = "") -> str:
+    """CTEs up to `r`, the verdict on every host; `more` adds hosts."""
+    return (
+        f"{_DNS}, t AS (SELECT DISTINCT {R.HOST} AS host FROM pages UNION SELECT CASE page_id % 9 WHEN 0 THEN '10.0.0.7' WHEN 1 THEN '[::1]' WHEN 2 THEN 'api.localhost' WHEN 3 THEN '1.1.1.1' WHEN 4 THEN '[0::1]' WHEN 5 THEN '[0:0:0:0:0:ffff:7f00:1]' WHEN 6 THEN '[2606:4700:4700:0::1111]' END FROM pages{more}),"
+        " hosts AS (SELECT * FROM t WHERE host IS NOT NULL), lit AS (SELECT host, replace(replace(host, '[', ''), ']', '') AS ip, 0 AS ord FROM hosts WHERE starts_with(host, '[') OR host IN ('10.0.0.7', '1.1.1.1')),"
+        " ans AS (SELECT host, c1 AS ip, CASE type WHEN 'A' THEN ord ELSE 10 + ord END AS ord FROM dns WHERE type IN ('A', 'AAAA') AND c1 IS NOT NULL UNION ALL SELECT * FROM lit),"
+        f" judged AS (SELECT *, {_ip_rule('ip')} IS NOT NULL AS blocked FROM ans),"
+        " per AS (SELECT host, count(*) AS addresses, arg_min(ip, ord) FILTER (WHERE blocked) AS first_offender FROM judged GROUP BY host),"
+        " r AS (SELECT h.host, coalesce(addresses, 0) AS addresses, first_offender, CASE WHEN h.host LIKE '%.localhost' OR h.host = '169.254.169.254' THEN 'Access to ''' || h.host || ''' is blocked for security reasons (SSRF Protection).'"
+        " WHEN h.host IN (SELECT host FROM lit) AND first_offender IS NOT NULL THEN 'Access to IP address ''' || h.host || ''' is restricted (SSRF Protection: private/internal IP).'"
+        " WHEN addresses IS NULL THEN 'Could not resolve hostname ''' || h.host || '''. DNS lookup returned no records.'"
+        " WHEN first_offender IS NOT NULL THEN 'Access to ''' || h.host || ''' is blocked because it resolves to restricted IP ' || first_offender || ' (SSRF Protection).' END AS error FROM hosts h LEFT JOIN per USING (host))")
 
 
 def oracle_sql() -> dict[str, str]:
@@ -513,17 +527,7 @@ def oracle_sql() -> dict[str, str]:
         f"WITH {_NORM} SELECT page_id, hostname, hostname IN {_in(urls.BLOCKED_HOSTS)} OR hostname LIKE '%.localhost' OR hostname LIKE '%.local' AS blocked FROM norm WHERE valid")
     out["ip_blocked"] = (
         f"WITH {_X}, ips AS (SELECT {_body(R.IPS)} FROM x) SELECT event_id, ip, {_ip_rule('ip')} AS rule, {_ip_rule('ip')} IS NOT NULL AS blocked FROM ips")
-    out["host_admission"] = (
-        f"WITH {_DNS}, t AS (SELECT DISTINCT {R.HOST} AS host FROM pages UNION SELECT CASE page_id % 9 WHEN 0 THEN '10.0.0.7' WHEN 1 THEN '[::1]' WHEN 2 THEN 'api.localhost' WHEN 3 THEN '1.1.1.1' END FROM pages),"
-        " hosts AS (SELECT * FROM t WHERE host IS NOT NULL), lit AS (SELECT host, replace(replace(host, '[', ''), ']', '') AS ip, 0 AS ord FROM hosts WHERE host IN ('10.0.0.7', '[::1]', '1.1.1.1')),"
-        " ans AS (SELECT host, c1 AS ip, CASE type WHEN 'A' THEN ord ELSE 10 + ord END AS ord FROM dns WHERE type IN ('A', 'AAAA') AND c1 IS NOT NULL UNION ALL SELECT * FROM lit),"
-        f" judged AS (SELECT *, {_ip_rule('ip')} IS NOT NULL AS blocked FROM ans),"
-        " per AS (SELECT host, count(*) AS addresses, arg_min(ip, ord) FILTER (WHERE blocked) AS first_offender FROM judged GROUP BY host),"
-        " r AS (SELECT h.host, coalesce(addresses, 0) AS addresses, first_offender, CASE WHEN h.host LIKE '%.localhost' THEN 'Access to ''' || h.host || ''' is blocked for security reasons (SSRF Protection).'"
-        " WHEN h.host IN (SELECT host FROM lit) AND first_offender IS NOT NULL THEN 'Access to IP address ''' || h.host || ''' is restricted (SSRF Protection: private/internal IP).'"
-        " WHEN addresses IS NULL THEN 'Could not resolve hostname ''' || h.host || '''. DNS lookup returned no records.'"
-        " WHEN first_offender IS NOT NULL THEN 'Access to ''' || h.host || ''' is blocked because it resolves to restricted IP ' || first_offender || ' (SSRF Protection).' END AS error FROM hosts h LEFT JOIN per USING (host))"
-        " SELECT host, addresses, first_offender, error IS NULL AS admitted, error FROM r")
+    out["host_admission"] = f"WITH {_admission()} SELECT host, addresses, first_offender, error IS NULL AS admitted, error FROM r"
     out["site_link_profile"] = (
         f"WITH {_links(False)}, {_LINK_COUNTS} SELECT host, count(*) AS pages, sum(total)::BIGINT AS links, sum(internal)::BIGINT AS internal, sum(external)::BIGINT AS external,"
         " sum(nofollow)::BIGINT AS nofollow, max(total) AS max_links FROM lc GROUP BY host")
@@ -592,6 +596,12 @@ def oracle_sql() -> dict[str, str]:
         f"WITH {cookies} SELECT host, count(*) AS cookies, count(*) FILTER (WHERE http_only) AS http_only, count(*) FILTER (WHERE secure) AS secure, count(*) FILTER (WHERE same_site <> 'Not set') AS same_site_set FROM ck GROUP BY host")
     ch = _chains()
     out["redirect_chains"] = f"{ch} SELECT start_url, cur AS final_url, CAST(status_code AS BIGINT) AS status_code, error, total_ms, array_to_string(path, '{G.JOIN}') AS path FROM chain"
+    adm = _admission(" UNION SELECT 'login.example.com' UNION SELECT '169.254.169.254'")
+    ad = ch.replace("WITH RECURSIVE", f"WITH RECURSIVE {adm}, refusals AS (SELECT host, error AS refusal FROM r WHERE error IS NOT NULL),").replace(
+        "AS target FROM hops),", "AS target FROM hops WHERE regexp_extract(from_url, '^https://([^/]*)', 1) NOT IN (SELECT host FROM refusals)),").replace(
+        f"THEN {_q(http.NO_RECORD)}", f"THEN coalesce(refusal, {_q(http.NO_RECORD)})").replace(
+        "AS keep FROM walk w", "AS keep, f.refusal FROM walk w LEFT JOIN refusals f ON f.host = regexp_extract(w.cur, '^https://([^/]*)', 1)")
+    out["redirect_admission"] = out["redirect_chains"].replace(ch, ad)
     out["redirect_hops"] = f"{ch} SELECT * FROM hop_rows"
     out["redirect_errors"] = (
         f"{ch} SELECT CASE WHEN error IS NULL THEN 'ok' WHEN error LIKE 'Redirect loop%' THEN 'loop' WHEN error LIKE 'Maximum%' THEN 'hop_limit' WHEN error LIKE 'Invalid redirect%' THEN 'bad_location' ELSE 'no_record' END AS outcome,"

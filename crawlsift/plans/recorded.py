@@ -79,7 +79,7 @@ TARGETS = [
     + " WHEN 10 THEN 'javascript:alert(1)' WHEN 11 THEN 'http://' || " + HOST + " || ':80?q=1' WHEN 12 THEN 'http://'"
     + " WHEN 13 THEN 'file:///etc/passwd' WHEN 14 THEN 'http://bad host/' WHEN 15 THEN 'https://' || " + HOST + " || ':99999/'"
     + " WHEN 16 THEN 'http://2130706433/' WHEN 17 THEN 'localhost:8080/admin' WHEN 18 THEN 'https://box' || " + N + " || '.local/'"
-    + " ELSE 'http://[::1]:8080/' END AS raw_url"]
+    + " ELSE CASE page_id % 3 WHEN 0 THEN 'http://[0:0:0:0:0:0:0:1]:8080/' WHEN 1 THEN 'https://B\u00dccher.' || " + HOST + " || '/' ELSE 'http://[2001:DB8::0:0:1:0:0]:8080/' END END AS raw_url"]
 
 RESPONSES = [
     "page_id AS response_id", "page_id", "url", f"{HOST} AS host",
@@ -110,7 +110,7 @@ _HEADER_NAMES = [
     ("x-frame-options", "frame"), ("Referrer-Policy", "referrer"), ("permissions-policy", "permissions"), ("Server", "server"),
     ("Content-Type", "content_type")]
 
-# kind of chain: 0 none, 1 self loop, 2 one hop, 3 three hops, 4 two-cycle, 5 too long, 6 bad location, 7 to a shared page
+# kind of chain: 0 none, 1 self loop, 2 one hop, 3 three hops, 4 two-cycle, 5 too long, 6 bad location or a private address, 7 to a shared page
 _NODE = f"'https://' || {HOST} || '/r/' || {N} || '/'"
 HOPS = [
     f"{_NODE} || CAST(i AS STRING) AS from_url",
@@ -119,7 +119,7 @@ HOPS = [
     "CASE page_id % 8 WHEN 0 THEN NULL WHEN 1 THEN '/r/' || " + N + " || '/0'"
     " WHEN 2 THEN CASE WHEN i = 0 THEN '1' END WHEN 3 THEN CASE WHEN i < 3 THEN './' || CAST(i + 1 AS STRING) END"
     f" WHEN 4 THEN {_NODE} || CAST(1 - i AS STRING) WHEN 5 THEN CASE WHEN i < 7 THEN {_NODE} || CAST(i + 1 AS STRING) END"
-    " WHEN 6 THEN 'http://' ELSE CASE WHEN page_id % 16 = 7 THEN 'https://login.example.com' END END AS location",
+    " WHEN 6 THEN CASE WHEN page_id % 16 = 6 THEN 'http://' ELSE 'https://169.254.169.254/latest' END ELSE CASE WHEN page_id % 16 = 7 THEN 'https://login.example.com' END END AS location",
     "CAST((page_id * 13 + i * 50) % 900 AS BIGINT) AS response_ms",
 ]
 HOPS_WHERE = "i <= CASE page_id % 8 WHEN 2 THEN 1 WHEN 3 THEN 3 WHEN 4 THEN 1 WHEN 5 THEN 7 ELSE 0 END"
@@ -187,7 +187,8 @@ IPS = [
     "CASE event_id % 12 WHEN 0 THEN '127.0.' || CAST(k AS STRING) || '.1' WHEN 1 THEN '10.' || CAST(k AS STRING) || '.0.1' WHEN 2 THEN '172.' || CAST(k % 40 AS STRING) || '.255.255'"
     " WHEN 3 THEN '192.168.1.' || CAST(k AS STRING) WHEN 4 THEN '169.254.' || CAST(k AS STRING) || '.254' WHEN 5 THEN '100.' || CAST(k + 30 AS STRING) || '.0.1'"
     " WHEN 6 THEN CAST(200 + k AS STRING) || '.0.0.1' WHEN 7 THEN '::FFFF:' || CAST(k * 3 AS STRING) || '.8.8.8' WHEN 8 THEN 'f' || CASE k % 4 WHEN 0 THEN 'c00' WHEN 1 THEN 'd12' WHEN 2 THEN 'e80' ELSE 'c' END || '::1'"
-    " WHEN 9 THEN CASE k % 5 WHEN 0 THEN '::1' WHEN 1 THEN '::' WHEN 2 THEN '2606:4700:4700::1111' WHEN 3 THEN NULL ELSE 'not-an-ip' END"
+    " WHEN 9 THEN CASE k % 5 WHEN 0 THEN '::1' WHEN 1 THEN '::' WHEN 2 THEN '2606:4700:4700::1111' WHEN 3 THEN NULL ELSE CASE event_id % 5 WHEN 0 THEN '0::1'"
+    " WHEN 1 THEN '0:0:0:0:0:FFFF:127.0.0.1' WHEN 2 THEN '0000::0000' WHEN 3 THEN 'FE80:0::1' ELSE 'not-an-ip' END END"
     " WHEN 10 THEN CASE k % 4 WHEN 0 THEN '192.0.0.9' WHEN 1 THEN '192.0.2.1' WHEN 2 THEN '198.51.100.7' ELSE '203.0.113.200' END"
     " ELSE CASE k % 3 WHEN 0 THEN '8.8.8.8' WHEN 1 THEN '255.255.255.255' ELSE '::ffff:7f00:1' END END AS ip"]
 

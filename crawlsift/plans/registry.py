@@ -43,7 +43,8 @@ def audited(r: Recorded) -> DataFrame:
 
 def _admission(r: Recorded) -> DataFrame:
     literal = r.pages.selectExpr(
-        "CASE page_id % 9 WHEN 0 THEN '10.0.0.7' WHEN 1 THEN '[::1]' WHEN 2 THEN 'api.localhost' WHEN 3 THEN '1.1.1.1' END AS host"
+        "CASE page_id % 9 WHEN 0 THEN '10.0.0.7' WHEN 1 THEN '[::1]' WHEN 2 THEN 'api.localhost' WHEN 3 THEN '1.1.1.1'"
+        " WHEN 4 THEN '[0::1]' WHEN 5 THEN '[0:0:0:0:0:ffff:7f00:1]' WHEN 6 THEN '[2606:4700:4700:0::1111]' END AS host"
     ).where("host IS NOT NULL")
     targets = r.pages.selectExpr(f"{R.HOST} AS host").unionByName(literal)
     return urls.admit_hosts(targets, r.answers, urls.policy_cidrs(r.spark), urls.policy_hosts(r.spark))
@@ -143,6 +144,14 @@ def _chains(r: Recorded) -> DataFrame:
     return http.chains(r.starts, r.hops)
 
 
+def _admitted_chains(r: Recorded) -> DataFrame:
+    """Chains whose every hop is screened: hosts of all records and targets are judged once."""
+    step = http.edges(r.hops)
+    hosts = urls.decompose(step.select(F.explode(F.array("from_url", "next_url")).alias("u")), "u").selectExpr("hostname AS host")
+    judged = urls.admit_hosts(hosts, r.answers, urls.policy_cidrs(r.spark), urls.policy_hosts(r.spark))
+    return http.chains(r.starts, r.hops, refused=judged.where("NOT admitted").select("host", "error"))
+
+
 QUERIES: dict[str, Callable[[Recorded], DataFrame]] = {
     # URLs and admission
     "url_normalized": lambda r: urls.normalize(r.targets),
@@ -196,6 +205,8 @@ QUERIES: dict[str, Callable[[Recorded], DataFrame]] = {
     # responses and redirects
     "redirect_chains": lambda r: _chains(r).selectExpr(
         "start_url", "final_url", "status_code", "error", "total_ms", "transform(hops, h -> h.to_url) AS path"),
+    "redirect_admission": lambda r: _admitted_chains(r).selectExpr(
+        "start_url", "final_url", "status_code", "error", "total_ms", "transform(hops, h -> h.to_url) AS path"),
     "redirect_hops": lambda r: http.chain_hops(_chains(r)),
     "redirect_errors": lambda r: http.chain_errors(_chains(r)),
     "chain_timing": lambda r: http.chain_timing(_chains(r)),
