@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import hashlib
 import zlib
 from collections.abc import Callable, Iterator
@@ -34,8 +36,25 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+@functools.cache
+def _libc() -> ctypes.CDLL | None:
+    try:
+        found = ctypes.CDLL("libc.so.6")
+        found.malloc_trim  # noqa: B018
+    except (OSError, AttributeError):
+        return None
+    return found
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers live on after their task, and what they keep adds up over an executor."""
+    pa.default_memory_pool().release_unused()
+    if libc := _libc():
+        libc.malloc_trim(0)
+
+
 def sliced(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows of about `SLICE_BYTES` of text; a longer text is a run of its own."""
+    """Cut a batch into runs of rows of about `SLICE_BYTES` of text; a longer text is a run of its own. Trims memory behind each batch."""
     sizes = [x or 0 for x in pc.binary_length(batch.column(text)).to_pylist()]
     start = total = 0
     for i, size in enumerate(sizes):
@@ -45,6 +64,7 @@ def sliced(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
         total += size
     if start < len(sizes):
         yield batch.slice(start)
+    trim()
 
 
 def sha256(data: bytes) -> str:
@@ -70,24 +90,29 @@ class _Numbers(dict):
 
 
 class IdTable:
-    """The ids of the distinct strings that a worker has met, each made once; anew beyond `entries`, so that its memory is bounded."""
+    """The ids of the distinct strings that a task has met, each made once; anew beyond `limit` bytes, so that its memory is bounded."""
+
+    # What an entry takes beside its characters: string, dictionary slot, three numbers.
+    ENTRY = 180
 
-    def __init__(self, make: Callable[[list[str]], list[list[int]]], entries: int = 300_000) -> None:
-        self.make, self.entries = make, entries
+    def __init__(self, make: Callable[[list[str]], list[list[int]]], limit: int = 24 << 20) -> None:
+        self.make, self.limit = make, limit
         self.clear()
 
     def clear(self) -> None:
         """Forget all strings."""
         self.number = _Numbers()
         self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.bytes = 0
 
     def rows(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all strings of all rows, in order, and how many each row has."""
-        if len(self.number) > self.entries:
+        if self.bytes > self.limit:
             self.clear()
         lengths = np.fromiter(map(len, split), np.int64, len(split))
         at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, lengths.sum())
         if new := self.number.new:
+            self.bytes += self.ENTRY * len(new) + sum(map(len, new))
             made = self.make(new)
             size = np.fromiter(map(len, made), np.int64, len(made))
             self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])

@@ -60,7 +60,7 @@ class Chunks:
 
 @functools.lru_cache(maxsize=2)
 def chunks(model: str) -> Chunks:
-    """A worker's table for a model."""
+    """A table for a model that a worker keeps from task to task."""
     return Chunks(model)
 
 
@@ -73,7 +73,7 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
     empty table gives no rows, other columns are ignored.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = chunks(model)
+        table = Chunks(model)  # dropped with the task
         for whole in batches:
             for batch in common.sliced(whole, 1):
                 ids, offsets = table.encode([x or "" for x in batch.column(1).to_pylist()])

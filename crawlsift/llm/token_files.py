@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from crawlsift.llm import common
+from crawlsift.llm import common, words
 from crawlsift.sources import io
 
 # Settings of the files: small stripes for parallel reads, a row index every 1,000 documents, Bloom filters on ids. Integers are
@@ -25,31 +25,36 @@ ORC = {
 COLUMNS = "place bigint, n_tokens bigint, ids array<int>"
 
 
-# A stop or comma that closes a word is a token of its own.
-CLOSED = re.compile(r"([A-Za-z])([.,])(?=[ \n]|$)")
 # Words of these letters are one token of the tokenizer's first split, so their last piece is the only one with the word's end.
 PLAIN = re.compile("[a-zà-öø-ÿ]+")
+GAP, LETTER, CLOSER = np.zeros((3, 256), bool)
+GAP[[0x20, 0x0A]] = True
+LETTER[[x for x in range(128) if chr(x).isalpha()]] = True
+CLOSER[[ord("."), ord(",")]] = True
 
 
 class Words:
-    """The distinct words that a worker has met, each encoded once.
+    """The distinct words that a task has met, each encoded once.
 
     The tokenizer lower-cases, drops white space and has no token that spans it, so a text's ids are those of its parts between
-    blanks and newlines. Plain words are encoded many at a time and told apart by the pieces that end a word.
+    blanks and newlines. Parts are found and hashed in the bytes of many texts at once, with A-Z lower-cased; a part whose hash is
+    known takes the ids kept with it, after its bytes were compared with those kept. Only new ones become strings for the
+    tokenizer: plain words many at a time, told apart by the pieces that end a word. Texts in which lower-casing might make a
+    special token go to the tokenizer whole. The table starts anew beyond `limit` bytes.
     """
 
-    def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, path: str, limit: int = 40 << 20) -> None:
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.table = common.IdTable(self.make)
+        self.clear()
 
-    def split(self, text: str) -> list[str]:
-        """Parts of a text, A-Z lower-cased unless a special token might arise from that."""
-        if "<|" not in text:
-            text = CLOSED.sub(r"\1 \2", text).encode().lower().decode()
-        return text.replace("\n", " ").split(" ")
+    def clear(self) -> None:
+        """Forget all words."""
+        self.hash = np.zeros(0, np.uint64)  # sorted, and for each: its bytes and its ids as (first, number)
+        self.place = np.zeros((4, 0), np.int64)
+        self.bytes, self.ids = np.zeros(0, np.uint8), np.zeros(0, np.int32)
 
     def make(self, new: list[str]) -> list[list[int]]:
         """Ids of words."""
@@ -57,26 +62,75 @@ class Words:
         out: list[list[int]] = [[]] * len(new)
         for i in range(0, len(plain), 500):
             part = plain[i:i + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new[j] for j in part)], add_special_tokens=False)[0].ids, np.int64)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+            ids = self.tokenizer.encode_batch_fast([" ".join([new[j] for j in part])], add_special_tokens=False)[0].ids
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cuts) != len(part):
                 raise ValueError("this tokenizer doesn't end each word once")
-            for j, x in zip(part, np.split(ids, cuts[:-1]), strict=True):
-                out[j] = x.tolist()
+            for j, a, b in zip(part, [0, *cuts], cuts, strict=False):
+                out[j] = ids[a:b]
         other = sorted(set(range(len(new))).difference(plain))
         for j, x in zip(other, self.tokenizer.encode_batch_fast([new[j] for j in other], add_special_tokens=False), strict=True):
             out[j] = x.ids
         return out
 
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+    def learn(self, value: np.ndarray, found: list[bytes]) -> None:
+        """Add words with these hashes, none of them known."""
+        made = self.make([x.decode() for x in found])
+        size, count = (np.fromiter(map(len, x), np.int64, len(x)) for x in (found, made))
+        place = np.stack([len(self.bytes) + np.cumsum(size) - size, size, len(self.ids) + np.cumsum(count) - count, count])
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(found), np.uint8)])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(made), np.int32, count.sum())])
+        value, place = np.concatenate([self.hash, value]), np.concatenate([self.place, place], axis=1)
+        order = np.argsort(value, kind="stable")
+        self.hash, self.place = value[order], place[:, order]
+
+    def encode(self, docs: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts with the end id behind each, and the offsets of the texts."""
-        return common.with_end(*self.table.rows([self.split(x) for x in texts]), end)
-
-
-@functools.lru_cache(maxsize=2)
-def words(path: str) -> Words:
-    """A worker's table for a tokenizer."""
-    return Words(path)
+        if self.hash.nbytes + self.place.nbytes + self.bytes.nbytes + self.ids.nbytes > self.limit:
+            self.clear()
+        odd = [i for i, x in enumerate(docs) if b"<|" in x]
+        whole = {i: self.tokenizer.encode(docs[i].decode(), add_special_tokens=False).ids for i in odd}
+        data, begin = words.joined([b"" if i in whole else x for i, x in enumerate(docs)])
+        # a stop or comma that closes a word is a token of its own: parted from it, words are known with and without
+        close = np.flatnonzero(CLOSER[data])
+        close = close[(close > 0) & LETTER[data[close - 1]] & GAP[data[close + 1]]]
+        data, start, stop, value, offsets = words.located_in(np.insert(data, close, 0x20), begin + np.searchsorted(close, begin), GAP)
+        unique, first, of = np.unique(value, return_index=True, return_inverse=True)
+        lower = words.LOWER[data]
+        new = np.flatnonzero(~np.isin(unique, self.hash, assume_unique=True))
+        if len(new):
+            self.learn(unique[new], [lower[a:b].tobytes() for a, b in zip(start[first[new]], stop[first[new]], strict=True)])
+        begin, size, begun, count = self.place[:, np.searchsorted(self.hash, unique)][:, of]
+        same = size == stop - start
+        same[same] = _equal(lower, start[same], self.bytes, begin[same], size[same])
+        ids = self.ids[_spread(begun, count)]
+        if not same.all():  # other words of the same hash
+            parts = np.split(ids, np.cumsum(count)[:-1])
+            for i in np.flatnonzero(~same):
+                parts[i] = np.array(self.make([lower[start[i]:stop[i]].tobytes().decode()])[0], np.int32)
+                count[i] = len(parts[i])
+            ids = np.concatenate(parts)
+        sizes = np.diff(np.concatenate([[0], np.cumsum(count)])[offsets])
+        if whole:
+            rows = np.split(ids, np.cumsum(sizes)[:-1])
+            for i, x in whole.items():
+                rows[i], sizes[i] = np.array(x, np.int32), len(x)
+            ids = np.concatenate(rows)
+        return common.with_end(ids, sizes, end)
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """All places of runs that begin at `first`."""
+    before = np.cumsum(count) - count
+    return np.arange(count.sum()) + np.repeat(first - before, count)
+
+
+def _equal(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which runs of bytes are equal."""
+    if not len(size):
+        return np.zeros(0, bool)
+    differs = a[_spread(at, size)] != b[_spread(bt, size)]
+    return np.add.reduceat(differs, np.cumsum(size) - size) == 0
 
 
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -88,10 +142,10 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, doc_id: s
     end id; null ids come first; rows with equal ids are ordered by the hash of their text. Other columns are ignored.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, total = words(tokenizer), 0
+        table, total = Words(tokenizer), 0  # dropped with the task
         for whole in batches:
             for batch in common.sliced(whole, 1):
-                ids, offsets = table.encode([x or "" for x in batch.column(1).to_pylist()], end_id)
+                ids, offsets = table.encode(common.texts(batch.column(1)), end_id)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(total + offsets[:-1]), pa.array(np.diff(offsets)), lists], ["doc_id", "place", "n_tokens", "ids"])

@@ -25,9 +25,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=2)
+@functools.cache
+def _usual_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _make_powers(SEGMENT * 2)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
+    """As many powers of the base and of its inverse modulo 2^64; kept only at the usual length."""
+    return _usual_powers() if n <= SEGMENT * 2 else _make_powers(n)
+
+
+def _make_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
@@ -40,7 +48,7 @@ def _segment(data: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     start, end = edge[::2], edge[1::2]
     if not len(start):
         return start, end, np.zeros(0, np.uint64)
-    up, down = _powers(max(SEGMENT * 2, 1 << int(len(data)).bit_length()))
+    up, down = _powers(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=total[1:])
     return start, end, mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
@@ -49,8 +57,16 @@ def _segment(data: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def located(docs: list[bytes], gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all texts, each closed by a newline; starts, ends and hashes (A-Z lower-cased) of their words, the runs without a
     byte of `gap`; and per document the offset of its first word (one more at the end)."""
-    data = np.frombuffer(b"\n".join(docs) + b"\n", np.uint8)
-    begin = np.cumsum([0, *(len(x) + 1 for x in docs)])
+    return located_in(*joined(docs), gap)
+
+
+def joined(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts, each closed by a newline, and where each begins (one more at the end)."""
+    return np.frombuffer(b"\n".join(docs) + b"\n", np.uint8), np.cumsum([0, *(len(x) + 1 for x in docs)])
+
+
+def located_in(data: np.ndarray, begin: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same for texts that are joined already."""
     starts, ends, hashes, at = [], [], [], 0
     while at < len(data):
         end = min(at + SEGMENT, len(data))
