@@ -365,15 +365,20 @@ _IMPLIED_END = [
 ]
 _LEAF = ["noscript", "iframe", "svg"]
 _HIDDEN = ["script", "style"]
+# Steps of the outline's fold that share one list of results.
+OUTLINE_BLOCK = 256
 
 
 def outline(pages: DataFrame, max_depth: int = 4) -> DataFrame:
     """Element tree down to `max_depth` as flat rows `(page_id, pos, depth, parent_pos, tag, id, class)`.
 
     A fold over the page's tags keeps the stack of open elements, with the usual implied end tags, so unclosed `<p>`
-    or `<li>` do not shift what follows.
+    or `<li>` do not shift what follows. Tags are folded in blocks of `OUTLINE_BLOCK`: what a block finds is laid by before the
+    next one, so no array grows with the page while tags are added to it, and the work is in proportion to the tags.
     """
-    state = "struct<names:array<string>,places:array<int>,seen:array<struct<k:int,pos:int,depth:int,parent_pos:int>>>"
+    row = "struct<k:int,pos:int,depth:int,parent_pos:int>"
+    state = f"struct<names:array<string>,places:array<int>,seen:array<{row}>>"
+    whole = f"struct<names:array<string>,places:array<int>,blocks:array<array<{row}>>>"
 
     def last(names: list[str]) -> str:
         """1-based place of the last of these names on the stack, 0 when there is none."""
@@ -406,9 +411,16 @@ def outline(pages: DataFrame, max_depth: int = 4) -> DataFrame:
         "flatten(transform(marks, (om, ok) -> array("
         "named_struct('closing', true, 'pos', om.pos, 'tag', om.tag, 'k', ok),"
         " named_struct('closing', false, 'pos', om.pos, 'tag', om.tag, 'k', ok))))")
+    blocks = (
+        f"get(transform(array({steps}), os -> transform(sequence(0, greatest(size(os) - 1, 0) div {OUTLINE_BLOCK}),"
+        f" ob -> slice(os, ob * {OUTLINE_BLOCK} + 1, {OUTLINE_BLOCK}))), 0)")
+    block = (
+        f"aggregate(sb, CAST(named_struct('names', so.names, 'places', so.places, 'seen', array()) AS {state}),"
+        f" (st, sg) -> CASE WHEN sg.closing THEN CAST({cut} AS {state}) ELSE CAST({push} AS {state}) END,"
+        f" st -> CAST(named_struct('names', st.names, 'places', st.places, 'blocks', array_append(so.blocks, st.seen)) AS {whole}))")
     tree = (
-        f"aggregate({steps}, CAST(named_struct('names', array(), 'places', array(), 'seen', array()) AS {state}),"
-        f" (st, sg) -> CASE WHEN sg.closing THEN CAST({cut} AS {state}) ELSE CAST({push} AS {state}) END, st -> st.seen)")
+        f"aggregate({blocks}, CAST(named_struct('names', array(), 'places', array(), 'blocks', array()) AS {whole}),"
+        f" (so, sb) -> {block}, so -> flatten(so.blocks))")
     rows = once(_mark_rows(pages).select("page_id", "marks"), tree=tree).selectExpr(
         "page_id", "inline_outer(transform(tree, t -> named_struct('pos', t.pos, 'depth', t.depth, 'parent_pos', t.parent_pos,"
         " 'm', get(marks, t.k))))").where("pos IS NOT NULL")
