@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,8 +34,12 @@ LETTER[[x for x in range(128) if chr(x).isalpha()]] = True
 CLOSER[[ord("."), ord(",")]] = True
 
 
+# Texts are looked at in runs of about so many bytes, whose arrays stay in a core's cache; a longer text is a run of its own.
+RUN_BYTES = 1 << 19
+
+
 class Words:
-    """The distinct words that a task has met, each encoded once.
+    """The distinct words that a worker has met, each encoded once.
 
     The tokenizer lower-cases, drops white space and has no token that spans it, so a text's ids are those of its parts between
     blanks and newlines. Parts are found and hashed in the bytes of many texts at once, with A-Z lower-cased; a part whose hash is
@@ -43,7 +48,7 @@ class Words:
     special token go to the tokenizer whole. The table starts anew beyond `limit` bytes.
     """
 
-    def __init__(self, path: str, limit: int = 40 << 20) -> None:
+    def __init__(self, path: str, limit: int = 24 << 20) -> None:
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -86,6 +91,19 @@ class Words:
 
     def encode(self, docs: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts with the end id behind each, and the offsets of the texts."""
+        done, at = [], 0
+        while at < len(docs):
+            stop, size = at, 0
+            while stop < len(docs) and (stop == at or size + len(docs[stop]) <= RUN_BYTES):
+                size += len(docs[stop])
+                stop += 1
+            done.append(self.run(docs[at:stop]))
+            at = stop
+        ids, sizes = (np.concatenate([np.zeros(0, x), *(y[i] for y in done)]) for i, x in enumerate((np.int32, np.int64)))
+        return common.with_end(ids, sizes, end)
+
+    def run(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has."""
         if self.hash.nbytes + self.place.nbytes + self.bytes.nbytes + self.ids.nbytes > self.limit:
             self.clear()
         odd = [i for i, x in enumerate(docs) if b"<|" in x]
@@ -116,7 +134,13 @@ class Words:
             for i, x in whole.items():
                 rows[i], sizes[i] = np.array(x, np.int32), len(x)
             ids = np.concatenate(rows)
-        return common.with_end(ids, sizes, end)
+        return ids, sizes
+
+
+@functools.lru_cache(maxsize=2)
+def word_table(path: str) -> Words:
+    """A worker's table for a tokenizer, kept from task to task: no larger than its limit."""
+    return Words(path)
 
 
 def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -142,7 +166,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, doc_id: s
     end id; null ids come first; rows with equal ids are ordered by the hash of their text. Other columns are ignored.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, total = Words(tokenizer), 0  # dropped with the task
+        table, total = word_table(tokenizer), 0
         for whole in batches:
             for batch in common.sliced(whole, 1):
                 ids, offsets = table.encode(common.texts(batch.column(1)), end_id)
