@@ -735,16 +735,26 @@ def oracle_sql() -> dict[str, str]:
     out["net_lifecycle_stream"] = f"{net} SELECT session_id, request_id, start_ts, url, method, resource_type, status, status_code, bytes, duration_ms FROM named"
     out["net_fifo_stream"] = out["net_fifo_pairing"]
     out["net_dynamic_stream"] = f"{req} SELECT session_id, request_id, is_dynamic FROM req WHERE start_ts IS NOT NULL"
+    shown = "(st.is_html OR p.page_id % 6 = 3)"
     out["inspection_report"] = (
-        f"WITH {items}, {checks}, {found}, {_DNS}, {cert},"
+        f"{ch}, {items}, {checks}, {found}, {_DNS}, {cert},"
         " dn AS (SELECT host, count(c1) > 0 AS dns_success FROM dns GROUP BY host),"
         " el AS (SELECT page_id, count(*) AS n FROM mark WHERE NOT starts_with(tag, '/') GROUP BY 1),"
-        f" st AS (SELECT page_id, {cat} AS category, response_ms, lower(trim(split_part(coalesce(content_type, ''), ';', 1))) IN {_in(html.HTML_TYPES)} AS is_html FROM resp)"
-        " SELECT p.page_id, p.url, st.category, st.response_ms, st.is_html, h.title, el.n AS dom_elements, (SELECT count(*) FROM lnk l WHERE l.page_id = p.page_id) AS links,"
-        " (SELECT count(*) FROM img i WHERE i.page_id = p.page_id) AS images, (SELECT count(*) FROM items i WHERE i.page_id = p.page_id AND status = 'pass') AS seo_passes,"
+        f" ps AS (SELECT page_id, {_body(R.STARTS)}, len(string_split(html, '<article>')) - 1 AS articles FROM pages),"
+        f" st AS (SELECT page_id, {cat} AS category, CAST(status_code AS BIGINT) AS status_code, 'HTTP/' || coalesce(http_version, '1.1') AS http_version, content_length, response_ms,"
+        " CASE WHEN port = 443 THEN 'HTTPS' ELSE 'HTTP' END AS protocol, CASE WHEN coalesce(server, '') = '' THEN 'Not disclosed' ELSE server END AS server,"
+        f" lower(trim(split_part(coalesce(content_type, ''), ';', 1))) AS media, media IN {_in(html.HTML_TYPES)} AS is_html FROM resp)"
+        " SELECT p.page_id, p.url, CASE WHEN p.page_id % 6 = 3 THEN 'dynamic' ELSE 'fast' END AS mode, st.status_code, 'OK' AS status_text, st.category, st.protocol, st.http_version, st.server,"
+        " st.content_length, st.response_ms, st.is_html,"
+        f" CASE WHEN NOT {shown} THEN 'The server returned ''' || CASE WHEN media = '' THEN 'unknown' ELSE media END || '''. HTML structure inspection is only available for HTML resources.' END AS notice,"
+        f" CASE WHEN {shown} THEN h.title END AS title, CASE WHEN {shown} THEN el.n + CASE WHEN p.page_id % 6 = 3 THEN ps.articles ELSE 0 END END AS dom_elements,"
+        f" CASE WHEN {shown} THEN (SELECT count(*) FROM lnk l WHERE l.page_id = p.page_id) END AS links,"
+        f" CASE WHEN {shown} THEN (SELECT count(*) FROM img i WHERE i.page_id = p.page_id) END AS images,"
+        f" CASE WHEN {shown} THEN (SELECT count(*) FROM items i WHERE i.page_id = p.page_id AND status = 'pass') END AS seo_passes,"
         " (SELECT count(*) FROM checks k WHERE k.response_id = p.page_id AND status = 'pass') AS headers_passed, (SELECT count(*) FROM ck k WHERE k.response_id = p.page_id) AS cookies,"
-        f" dn.dns_success, v.status AS tls_status, p.url AS final_url, {_q(http.NO_RECORD)} AS error"
-        " FROM page p JOIN head h USING (page_id) JOIN st USING (page_id) JOIN el USING (page_id) LEFT JOIN dn ON dn.host = p.host LEFT JOIN v ON v.host = p.host")
+        " dn.dns_success, v.status AS tls_status, CAST(len(c.path) AS BIGINT) AS redirects, c.cur AS final_url, c.error, c.total_ms"
+        " FROM page p JOIN head h USING (page_id) JOIN st USING (page_id) JOIN el USING (page_id) JOIN ps USING (page_id) JOIN chain c ON c.start_url = ps.start_url"
+        " LEFT JOIN dn ON dn.host = p.host LEFT JOIN v ON v.host = p.host")
     return out
 
 

@@ -233,6 +233,12 @@ class Recorded:
         return self.pages.where("page_id % 3 = 0").selectExpr(
             "page_id", "CASE WHEN page_id % 6 = 0 THEN '' ELSE replace(html, '<article>', '<article><p>hydrated</p>') END AS rendered_html")
 
+    @property
+    def rendered_rich(self) -> DataFrame:
+        """What a browser made of some of the enriched pages; an empty document where it failed."""
+        return self.rich.where("page_id % 3 = 0").selectExpr(
+            "page_id", "CASE WHEN page_id % 6 = 0 THEN '' ELSE replace(html, '<article>', '<article><p>hydrated</p>') END AS rendered_html")
+
     @property
     def hops(self) -> DataFrame:
         nodes = self.pages.select("page_id", "url", F.explode(F.expr("sequence(0, 7)")).alias("i")).where(HOPS_WHERE)

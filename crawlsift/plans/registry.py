@@ -118,17 +118,17 @@ def _requests(r: Recorded) -> DataFrame:
 
 
 def _report(r: Recorded) -> DataFrame:
-    pages = r.rich
+    starts = r.pages.selectExpr("page_id", *R.STARTS)
     full = report.inspections(
-        pages, r.responses, http.chains(pages.selectExpr("url AS start_url"), r.hops), dns_tls.assemble(r.dns),
-        dns_tls.validity(r.certs, R.AS_OF))
+        html.choose_source(r.rich, r.rendered_rich), r.responses, http.chains(starts, r.hops), dns_tls.assemble(r.dns),
+        dns_tls.validity(r.certs, R.AS_OF), starts)
     return full.selectExpr(
-        "page_id", "url", "category", "response_ms", "is_html", "head.title AS title", "stats.dom_elements AS dom_elements",
-        "n_links AS links", "n_images AS images",
+        "page_id", "url", "mode", "status_code", "status_text", "category", "protocol", "http_version", "server", "content_length", "response_ms",
+        "is_html", "notice", "head.title AS title", "stats.dom_elements AS dom_elements", "n_links AS links", "n_images AS images",
         "CAST(size(filter(items, i -> i.status = 'pass')) AS bigint) AS seo_passes",
         "CAST(size(filter(checks, c -> c.status = 'pass')) AS bigint) AS headers_passed",
         "CAST(coalesce(size(cookies), 0) AS bigint) AS cookies", "dns.success AS dns_success", "tls.status AS tls_status",
-        "final_url", "error")
+        "CAST(size(redirects) AS bigint) AS redirects", "final_url", "error", "total_ms")
 
 
 def _response_log(r: Recorded) -> DataFrame:
