@@ -23,6 +23,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """A column name that `df` does not have in any spelling: `name`, with underscores before it where that is taken."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """Let Arrow batches hold a thousand rows where the session has Spark's default of ten thousand: rows here are whole texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

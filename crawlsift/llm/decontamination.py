@@ -189,13 +189,15 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int =
 
     The benchmark is read in blocks of bounded text, whose windows are broadcast; as many passes as there are blocks make the
     whole join. Documents are neither shuffled nor cut. Null and empty texts hold nothing; null ids and repeated items are
-    reported as they are; an empty benchmark marks nothing.
+    reported as they are; an empty benchmark marks nothing. Where `docs` has a column `__leaks`, that one stays and the new one
+    takes further underscores (`common.fresh`).
     """
+    leaks = common.fresh("__leaks", docs)
     spark = common.small_batches(docs).sparkSession
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
     at = docs.columns.index(text)
-    marked = docs.withColumn("__leaks", F.expr(f"CAST(array() AS {LEAK})"))
+    marked = docs.withColumn(leaks, F.expr(f"CAST(array() AS {LEAK})"))
     kind = pa.list_(pa.struct([("item", pa.int64()), *((x, pa.int32()) for x in ("windows", "first", "last", "changed"))]))
     for i in range(blocks):
         share = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
@@ -209,10 +211,15 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int =
                     held = [a + b for a, b in zip(batch.column(len(batch.columns) - 1).to_pylist(), made, strict=True)]
                     yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(held, kind)], batch.schema.names)
 
-        marked = marked.mapInArrow(run, T.StructType([*docs.schema.fields, marked.schema["__leaks"]]))
+        marked = marked.mapInArrow(run, T.StructType([*docs.schema.fields, marked.schema[leaks]]))
     return marked
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Rows that hold no benchmark item, with all columns."""
+    return mark(docs, benchmark).where(F.size(common.fresh("__leaks", docs)) == 0).select(*docs.columns)
+
+
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and benchmark item found in it."""
     found = mark(docs.select("doc_id", "text"), benchmark).select("doc_id", F.explode("__leaks").alias("x"))

@@ -339,5 +339,6 @@ def report(docs: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """Rows of the smallest id of each component, with all columns; rows that repeat that id all stay, and rows without an id."""
     found = join(docs)
-    first = found.where("id = component").select(F.col("id").alias("__first")).distinct()
-    return docs.join(first, F.col("doc_id") == F.col("__first"), "left_semi").union(docs.where("doc_id IS NULL"))
+    name = common.fresh("__first", docs)
+    first = found.where("id = component").select(F.col("id").alias(name)).distinct()
+    return docs.join(first, F.col("doc_id") == F.col(name), "left_semi").union(docs.where("doc_id IS NULL"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crawlsift.llm import common
+
 BLANK = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = "struct<word:int,bits:bigint>"
@@ -58,23 +60,27 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
 def apply(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of `docs`, the text without its dropped lines, and `__lines`, `__dropped`: counts before and of the drop.
 
-    Kept lines come from the slices between dropped positions, so the work is linear in the text.
+    Kept lines come from the slices between dropped positions, so the work is linear in the text. Where `docs` has a column of
+    the name of a count, that one stays and the count takes further underscores (`common.fresh`).
     """
-    marks = bitmaps.select(F.col("doc").alias("__doc"), F.col("body").alias("__body"), F.col("drops").alias("__drops"))
-    whole = docs.withColumn("__digest", _digest(F.coalesce(text, F.lit(""))))
-    joined = whole.join(marks, F.col(doc_id).eqNullSafe(F.col("__doc")) & (F.col("__digest") == F.col("__body")), "left")
+    t_doc, t_body, t_drops, t_digest, t_all, t_gone, t_kept, lines, dropped = (
+        common.fresh(f"__{x}", docs) for x in ("doc", "body", "drops", "digest", "all", "gone", "kept", "lines", "dropped"))
+    marks = bitmaps.select(F.col("doc").alias(t_doc), F.col("body").alias(t_body), F.col("drops").alias(t_drops))
+    whole = docs.withColumn(t_digest, _digest(F.coalesce(text, F.lit(""))))
+    joined = whole.join(marks, F.col(doc_id).eqNullSafe(F.col(t_doc)) & (F.col(t_digest) == F.col(t_body)), "left")
     gone = F.expr(
-        "flatten(transform(__drops, w -> transform(filter(sequence(0, 63), b -> shiftrightunsigned(w.bits, b) & 1 = 1), b -> w.word * 64 + b)))")
-    split = joined.withColumn("__all", _lines(F.col(text))).withColumn("__gone", F.when(F.col("__drops").isNotNull(), gone))
-    kept = F.expr("""
-        array_join(flatten(transform(sequence(0, size(__gone)), j ->
-            slice(__all, if(j = 0, 0, __gone[greatest(j - 1, 0)] + 1) + 1,
-                  if(j = size(__gone), size(__all), __gone[least(j, size(__gone) - 1)]) - if(j = 0, 0, __gone[greatest(j - 1, 0)] + 1)))), '\n')""")
-    done = split.withColumn("__kept", F.when(F.col("__gone").isNull(), F.coalesce(text, F.lit(""))).otherwise(kept))
+        f"flatten(transform({t_drops}, w -> transform(filter(sequence(0, 63), b -> shiftrightunsigned(w.bits, b) & 1 = 1), b -> w.word * 64 + b)))")
+    split = joined.withColumn(t_all, _lines(F.col(text))).withColumn(t_gone, F.when(F.col(t_drops).isNotNull(), gone))
+    kept = F.expr(f"""
+        array_join(flatten(transform(sequence(0, size({t_gone})), j ->
+            slice({t_all}, if(j = 0, 0, {t_gone}[greatest(j - 1, 0)] + 1) + 1,
+                  if(j = size({t_gone}), size({t_all}), {t_gone}[least(j, size({t_gone}) - 1)])
+                  - if(j = 0, 0, {t_gone}[greatest(j - 1, 0)] + 1)))), '\n')""")
+    done = split.withColumn(t_kept, F.when(F.col(t_gone).isNull(), F.coalesce(text, F.lit(""))).otherwise(kept))
     return done.select(
-        *[F.col("__kept").alias(c) if c == text else F.col(c) for c in docs.columns],
-        F.size("__all").cast("bigint").alias("__lines"),
-        F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("bigint").alias("__dropped"))
+        *[F.col(t_kept).alias(c) if c == text else F.col(c) for c in docs.columns],
+        F.size(t_all).cast("bigint").alias(lines),
+        F.when(F.col(t_gone).isNull(), F.lit(0)).otherwise(F.size(t_gone)).cast("bigint").alias(dropped))
 
 
 def report(docs: DataFrame, **params: int) -> DataFrame:

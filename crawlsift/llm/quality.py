@@ -111,9 +111,9 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = 20_000) -> Model:
     return Model(x[order], y[order])
 
 
-def evidence(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns and `__p`, the chance that a document is good by its form."""
-    return _add(docs, text, "__p", T.DoubleType(), lambda texts: pa.array(model.probability(measures(texts))))
+def evidence(docs: DataFrame, model: Model, text: str = "text", name: str = "__p") -> DataFrame:
+    """All columns and `name`, the chance that a document is good by its form."""
+    return _add(docs, text, name, T.DoubleType(), lambda texts: pa.array(model.probability(measures(texts))))
 
 
 def _logit(x: Column) -> Column:
@@ -122,7 +122,8 @@ def _logit(x: Column) -> Column:
 
 
 def posterior(docs: DataFrame, model: Model, host: Column, path: Column) -> DataFrame:
-    """All columns and `__quality`, the posterior chance that a document is good.
+    """All columns and `__quality`, the posterior chance that a document is good; where `docs` has a column of that name, the new
+    one takes further underscores (`common.fresh`).
 
     The expected numbers of good documents of every host and path are sums over all documents (combined before the shuffle, so
     a host with a third of them is a few rows). A host's rate shrinks toward the global one and a path's toward its host's;
@@ -148,14 +149,16 @@ def posterior(docs: DataFrame, model: Model, host: Column, path: Column) -> Data
     table = paths.join(hosts.withColumnRenamed("host", "of"), F.col("place.host").eqNullSafe(F.col("of"))).select("place", "sp", "np", "sh", "nh")
     rate_host = (F.lit(pull_host * mean) + F.col("sh")) / (pull_host + F.col("nh"))
     pull_path = strength(table, F.col("sp") / F.col("np"), F.col("np"), rate_host)
-    table = io.store(table.select(F.col("place").alias("__place"), "sp", "np", "sh", "nh").toDF("__place", "__sp", "__np", "__sh", "__nh"))
-    joined = evidence(docs, model).withColumn("__at", place).join(table, F.col("__at").eqNullSafe(F.col("__place")), "left")
-    p = F.col("__p")
-    of_host = (F.lit(pull_host * mean) + F.col("__sh") - p) / (pull_host + F.col("__nh") - 1)
-    of_path = (F.lit(pull_path) * of_host + F.col("__sp") - p) / (pull_path + F.col("__np") - 1)
+    names = [common.fresh(f"__{x}", docs) for x in ("place", "sp", "np", "sh", "nh", "at", "p")]
+    table = io.store(table.select("place", "sp", "np", "sh", "nh").toDF(*names[:5]))
+    at, sp, np_, sh, nh = (F.col(x) for x in names[:5])
+    here, p = F.col(names[5]), F.col(names[6])
+    joined = evidence(docs, model, name=names[6]).withColumn(names[5], place).join(table, here.eqNullSafe(at), "left")
+    of_host = (F.lit(pull_host * mean) + sh - p) / (pull_host + nh - 1)
+    of_path = (F.lit(pull_path) * of_host + sp - p) / (pull_path + np_ - 1)
     base = float(np.log(model.prior / (1 - model.prior)))
     odds = _logit(p) - F.lit(base) + _logit(of_path)
-    return joined.select(*docs.columns, (1 / (1 + F.exp(-odds))).alias("__quality"))
+    return joined.select(*docs.columns, (1 / (1 + F.exp(-odds))).alias(common.fresh("__quality", docs)))
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -165,4 +168,4 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFram
     measures of an empty text; rows without labels train nothing; without any labels every document has even odds and stays;
     an empty table gives no rows; repeated rows are judged alike.
     """
-    return posterior(docs, fit(docs, labels), F.col("source"), F.col("lang")).where(F.col("__quality") >= threshold)
+    return posterior(docs, fit(docs, labels), F.col("source"), F.col("lang")).where(F.col(common.fresh("__quality", docs)) >= threshold)

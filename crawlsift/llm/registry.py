@@ -48,8 +48,9 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps, with their posterior."""
-    kept = quality.keep(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
-    return kept.selectExpr("doc_id", "__quality AS quality", "true AS keep")
+    docs = common.read(spark, sf_dir, "documents")
+    kept = quality.keep(docs, common.read(spark, sf_dir, "labels"))
+    return kept.selectExpr("doc_id", f"`{common.fresh('__quality', docs)}` AS quality", "true AS keep")
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
