@@ -11,7 +11,7 @@ from crawlsift.llm import common, decontamination, jaccard, line_dedup, pieces,
 from crawlsift.llm.registry import PIECES
 from crawlsift.sources import io
 
-# Classifiers, sketches and tokenizer libraries are beyond SQL; the whole run is tested against a brute-force version.
+# Classifiers and tokenizer libraries are beyond SQL; tests/llm compares the whole run with plain Python.
 ORACLE_SQL = None
 
 
@@ -34,7 +34,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontamination.mark(docs, common.read(spark, sf_dir, "benchmark")).where(F.size("__leaks") == 0).select(*docs.columns)
+    return decontamination.clean(docs, common.read(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
