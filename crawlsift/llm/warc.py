@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 from urllib.parse import quote
@@ -23,8 +24,14 @@ FIELDS = {
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 NO_PAGE = "-"
 OUT_BATCH = 4 << 20
+# An HTTP message's headers end at its first empty line; old servers and crawlers also wrote bare newlines.
+HEAD_END = re.compile(rb"\r?\n\r?\n")
+# An address, the digits of a date, and what follows: tells where the URL ends if it holds blanks.
+BEHIND_URL = re.compile(r" (\S+) (\d{4,17}) ")
+# Addresses that say nothing of where a record came from.
+NO_IP = ("", "-", "0.0.0.0")
 # Records of an archive, as the conversion sees them. `block` is the HTTP message.
-RECORD = "page string, uri string, date string, mime string, kind string, block binary, digest string, payload_bytes bigint"
+RECORD = "page string, uri string, ip string, date string, mime string, kind string, block binary, digest string, payload_bytes bigint"
 
 
 def base32_sha1(data: bytes) -> str:
@@ -120,9 +127,24 @@ def _body(block: bytes) -> tuple[dict[str, str], bytes]:
     """Headers and payload of an HTTP message; a block of another kind is its own payload."""
     if not block.startswith(b"HTTP/"):
         return {}, block
-    head, _, payload = block.partition(b"\r\n\r\n")
-    pairs = (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])
-    return {name.strip().lower(): value.strip() for name, _, value in pairs}, payload
+    end = _head_size(block)
+    pairs = (x.partition(":") for x in block[:end].decode("utf-8", "replace").split("\n")[1:] if x.strip())
+    return {name.strip().lower(): value.strip() for name, _, value in pairs}, block[end:]
+
+
+def _head_size(block: bytes) -> int:
+    """Bytes of an HTTP message up to its payload; all of them where no empty line follows the headers."""
+    found = HEAD_END.search(block)
+    return found.end() if found else len(block)
+
+
+def header_values(line: str, fields: list[str]) -> list[str]:
+    """Values of an ARC header line. Only the URL, its first, may hold blanks, and the media type where the rest is unambiguous."""
+    values = line.rsplit(" ", len(fields) - 1)
+    if fields == FIELDS[1].split(" ") and not (len(values) == 5 and values[2].isdigit()) and (found := BEHIND_URL.search(line)):
+        mime, _, length = line[found.end():].rpartition(" ")
+        values = [line[:found.start()], *found.groups(), mime, length]
+    return values
 
 
 def iso_date(date: str) -> str:
@@ -149,7 +171,7 @@ def arc_records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
                 raise ValueError(f"{file} has unknown version {version}")
             fields = block.split(b"\n")[1].decode().split(" ")
             continue
-        values = line.decode("utf-8", "replace").split(" ")
+        values = header_values(line.decode("utf-8", "replace").rstrip("\r"), fields)
         if len(values) != len(fields):
             raise ValueError(f"{file} has a header line of {len(values)} fields, not {len(fields)}")
         record = dict(zip(fields, values, strict=True))
@@ -160,14 +182,14 @@ def arc_records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         headers, payload = _body(block)
         page = headers.get("x-page-id", NO_PAGE)
         kind = "response" if headers or record["URL"].startswith("dns:") else "resource"
-        yield (None if page == NO_PAGE else page, record["URL"], iso_date(record["Archive-date"]), record["Content-type"], kind, block,
+        yield (None if page == NO_PAGE else page, record["URL"], record["IP-address"], iso_date(record["Archive-date"]), record["Content-type"], kind, block,
                base32_sha1(payload), len(payload))
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
     """One row per ARC record, with the identity a WARC record needs."""
     schema = pa.schema([
-        ("page", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("mime", pa.string()), ("kind", pa.string()), ("block", pa.binary()),
+        ("page", pa.string()), ("uri", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("mime", pa.string()), ("kind", pa.string()), ("block", pa.binary()),
         ("digest", pa.string()), ("payload_bytes", pa.int64())])
     return _lines(spark, path).mapInArrow(lambda batches: _emit(arc_records(batches), schema), RECORD)
 
@@ -221,9 +243,11 @@ def _warc_rows(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[b
                 ("WARC-Type", "revisit" if revisit else x["kind"]), ("WARC-Record-ID", record_id(x["page"], x["uri"], x["date"], x["digest"])),
                 ("WARC-Date", x["date"]), ("WARC-Target-URI", x["uri"]), ("WARC-Payload-Digest", f"sha1:{x['digest']}"),
                 ("Content-Type", "application/http; msgtype=response" if x["block"].startswith(b"HTTP/") else x["mime"])]
+            if x["ip"] not in NO_IP:
+                headers.insert(3, ("WARC-IP-Address", x["ip"]))
             block = x["block"]
             if revisit:
-                block = block[:block.index(b"\r\n\r\n") + 4] if block.startswith(b"HTTP/") else b""
+                block = block[:_head_size(block)] if block.startswith(b"HTTP/") else b""
                 headers += [
                     ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
                     ("WARC-Refers-To", record_id(str(x["first"]), x["first_uri"], x["first_date"], x["digest"])),

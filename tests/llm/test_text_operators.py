@@ -158,6 +158,31 @@ def test_arc_becomes_warc(pages, spark):
     assert warc.report(pages.limit(0)).count() == 0
 
 
+def test_arc_of_old_crawlers(spark, tmp_path):
+    body = "1 0 Old\nURL IP-address Archive-date Content-type Archive-length\n"
+    head = f"filedesc://old.arc 0.0.0.0 19960101 text/plain {len(body)}\n{body}"
+    bare = "HTTP/1.0 200 OK\nServer: x\nX-Page-Id: 4\n\n<p>a</p>\r\n\r\nb"
+    mixed = "HTTP/1.0 200 OK\r\nX-Page-Id: 5\n\r\nsame"
+    same = "HTTP/1.0 200 OK\nX-Page-Id: 6\n\nsame"
+    none = "HTTP/1.0 304 Not Modified\nX-Page-Id: 7\n"
+    records = [
+        ("http://h/a b  c", "1.2.3.4", "19960102030405", "text/html", bare), ("http://h/", "5.6.7.8", "19960102", "text/html; charset=x y", mixed),
+        ("http://i/", "0.0.0.0", "19960103", "text/html", same), ("http://j/", "-", "19960103", "no-type", none)]
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "old.txt").write_bytes((head + "".join(
+        f"\n{u} {ip} {d} {m} {len(b)}\n{b}\n" for u, ip, d, m, b in records)).encode())
+    got = {r.page: r for r in warc.read_arc(spark, str(tmp_path / "arc")).collect()}
+    assert {k: (r.uri, r.ip, r.mime, r.kind) for k, r in got.items()} == {
+        str(4 + i): (u, ip, m, "response") for i, (u, ip, _, m, _) in enumerate(records)}
+    payloads = {"4": b"<p>a</p>\r\n\r\nb", "5": b"same", "6": b"same", "7": b""}
+    assert {k: (r.payload_bytes, r.digest) for k, r in got.items()} == {k: (len(x), warc.base32_sha1(x)) for k, x in payloads.items()}
+    warc.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    found = {r.page: (r.record_type, r.payload_bytes, r.refers_to) for r in warc.read_warc(spark, str(tmp_path / "warc")).collect()}
+    assert found == {"4": ("response", len(payloads["4"]), None), "5": ("response", 4, None), "6": ("revisit", 4, "5"), "7": ("response", 0, None)}
+    lines = {r.value.strip() for r in spark.read.text(str(tmp_path / "warc")).collect()}
+    assert {x for x in lines if x.startswith("WARC-IP")} == {"WARC-IP-Address: 1.2.3.4", "WARC-IP-Address: 5.6.7.8"}
+
+
 def test_arc_versions_and_broken_archives(spark, tmp_path):
     assert [warc.iso_date(x) for x in ("19960923142103", "199609231421", "19960923", "junk", "")] == [
         "1996-09-23T14:21:03Z", "1996-09-23T14:21:00Z", "1996-09-23T00:00:00Z", "0000-01-01T00:00:00Z", "0000-01-01T00:00:00Z"]
