@@ -682,6 +682,10 @@ def oracle_sql() -> dict[str, str]:
         " SELECT page_id, count(*) FILTER (WHERE NOT is_image OR page_id % 3 = 0) AS selected, count(*) AS total FROM u GROUP BY page_id")
     out["shared_assets"] = (
         f"WITH {listed} SELECT n.r_url AS resolved_url, n.type, count(*) AS pages, count(DISTINCT p.host) AS hosts FROM ranked n JOIN page p USING (page_id) GROUP BY n.r_url, n.type")
+    out["asset_overlap"] = (
+        f"WITH {listed}, th AS (SELECT DISTINCT n.type, p.host FROM ranked n JOIN page p USING (page_id) WHERE p.host IS NOT NULL), t AS (SELECT type, count(*) AS c FROM th GROUP BY type)"
+        " SELECT x.type AS a, y.type AS b, x.c AS items_a, y.c AS items_b, count(u.host) AS \"both\", x.c + y.c - count(u.host) AS either FROM t x JOIN t y ON x.type < y.type"
+        " LEFT JOIN (SELECT v.host, v.type AS vt, w.type AS wt FROM th v JOIN th w ON v.host = w.host) u ON u.vt = x.type AND u.wt = y.type GROUP BY 1, 2, 3, 4")
     seq = f"WITH {_TRACE}, {_SEQ}"
     out["trace_sequence"] = f"{seq} SELECT session_id, id, seq, time, delta_ms, {_DELTA} AS delta_str, category, level, message FROM seqd"
     out["trace_redacted"] = (
@@ -716,6 +720,9 @@ def oracle_sql() -> dict[str, str]:
     out["net_status_mix"] = f"{net} SELECT start_ts // 3600000000 * 3600000000 AS window_start, {band} AS band, count(*) AS requests FROM named WHERE start_ts IS NOT NULL GROUP BY 1, 2"
     out["net_durations"] = (
         f"{net} SELECT resource_type, count(*) AS requests, min(duration_ms) AS fastest_ms, max(duration_ms) AS slowest_ms, sum(duration_ms)::BIGINT AS total_ms FROM named WHERE duration_ms IS NOT NULL GROUP BY 1")
+    near = "count(*) AS n, true AS p50_near, true AS p95_near, true AS p99_near"  # what a sketch must reach for every key
+    out["net_duration_quantiles"] = f"{net} SELECT resource_type, {near} FROM named WHERE duration_ms IS NOT NULL GROUP BY 1"
+    out["latency_quantiles"] = f"WITH {_RESP} SELECT host, {near} FROM resp WHERE response_ms IS NOT NULL GROUP BY 1"
     calls = (
         f"{_NET}, calls AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n FROM net WHERE action = 'start' AND lower(resource_type) IN ('xhr', 'fetch') QUALIFY n <= 50)")
     out["net_api_capture"] = f"WITH {calls} SELECT session_id, n, request_id, url, method, resource_type FROM calls"

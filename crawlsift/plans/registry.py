@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crawlsift.operators import assets, dns_tls, headers, html, http, limits, netevents, report, seo, trace, urls
+from crawlsift.operators import assets, dns_tls, headers, html, http, limits, netevents, report, seo, sketches, trace, urls
 from crawlsift.plans import recorded as R
 from crawlsift.plans.recorded import Recorded
 from crawlsift.sources.io import read_responses, shared_dir, store
@@ -16,6 +16,7 @@ from crawlsift.streaming import streams
 
 NEEDLE, HEADER_NEEDLE, REQUEST_NEEDLE = "Section", "max-age", "LIST?page=1"
 JOIN = " | "
+RANKS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -152,6 +153,24 @@ def _admitted_chains(r: Recorded) -> DataFrame:
     return http.chains(r.starts, r.hops, refused=judged.where("NOT admitted").select("host", "error"))
 
 
+def _quantiles(rows: DataFrame, key: str, part: str, value: str) -> DataFrame:
+    """Quantiles per key merged from stored sketches of its parts, each held against an exact count: whether it stands within the
+    rank error."""
+    rows = store(rows.selectExpr(key, f"{part} AS part", value))
+    kept = store(sketches.quantile_sketches(rows, [key, "part"], value))
+    found = sketches.quantiles(sketches.merged(kept, [key]), RANKS)
+    return sketches.judged(rows, key, value, found, RANKS).select(key, "n", *[F.col(x).alias(f"{x}_near") for x in RANKS])
+
+
+def _asset_overlap(r: Recorded) -> DataFrame:
+    """Hosts that use assets of one type, of another, of both and of either, from one sketch of hosts per type."""
+    rows = assets.manifest(assets.with_paths(assets.lists(r.rich))).select("type", "host")
+    kept = store(sketches.distinct_sketches(rows, ["type"], "host", 16))
+    kinds = ", ".join(f"'{x[3]}'" for x in assets.SOURCES)
+    pairs = r.spark.sql(f"SELECT explode(array({kinds})) AS a").select("a", F.expr(f"explode(array({kinds})) AS b")).where("a < b")
+    return sketches.overlap(kept, "type", pairs)
+
+
 QUERIES: dict[str, Callable[[Recorded], DataFrame]] = {
     # URLs and admission
     "url_normalized": lambda r: urls.normalize(r.targets),
@@ -216,6 +235,7 @@ QUERIES: dict[str, Callable[[Recorded], DataFrame]] = {
     "response_log": _response_log,
     "status_labels": lambda r: http.status_labels(r.responses),
     "latency_by_host": lambda r: http.latency_by_host(r.responses),
+    "latency_quantiles": lambda r: _quantiles(r.responses, "host", http.status_category(), "response_ms"),
     "response_guards": lambda r: http.guards(r.responses).select("response_id", "guard_error"),
     "failure_classes": lambda r: http.failure_classes(r.responses),
     "failure_messages": lambda r: http.failures(r.responses).select("response_id", "class", "message"),
@@ -237,6 +257,7 @@ QUERIES: dict[str, Callable[[Recorded], DataFrame]] = {
     "asset_inventory": lambda r: assets.inventory(facts(r, "script_files", "stylesheet_files", "images")),
     "selection_algebra": _algebra,
     "shared_assets": lambda r: assets.shared(assets.manifest(assets.with_paths(assets.lists(r.rich)))),
+    "asset_overlap": _asset_overlap,
     # traces
     "trace_sequence": lambda r: trace.sequence(r.trace).drop("meta"),
     "trace_redacted": lambda r: trace.redacted(r.documents, "text").groupBy("lang", "masked").agg(
@@ -257,6 +278,7 @@ QUERIES: dict[str, Callable[[Recorded], DataFrame]] = {
     "net_status_bands": lambda r: netevents.bands_by_type(netevents.lifecycle(r.net_events)),
     "net_status_mix": lambda r: netevents.status_mix(netevents.lifecycle(r.net_events)),
     "net_durations": lambda r: netevents.durations(netevents.lifecycle(r.net_events)),
+    "net_duration_quantiles": lambda r: _quantiles(netevents.lifecycle(r.net_events), "resource_type", "date_trunc('hour', start_ts)", "duration_ms"),
     "net_api_capture": lambda r: netevents.api_calls(r.net_events).drop("seq"),
     "net_fifo_pairing": lambda r: netevents.pair_fifo(r.net_events),
     "net_console": lambda r: netevents.console(r.console),
