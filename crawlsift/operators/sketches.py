@@ -65,13 +65,13 @@ def distinct_sketches(rows: DataFrame, keys: list[str], item: str, lg_entries: i
     return rows.groupBy(*keys).agg(F.theta_sketch_agg(item, lg_entries).alias("sketch"))
 
 
-def distinct(sketches: DataFrame, keys: list[str], name: str = "items") -> DataFrame:
+def distinct(sketches: DataFrame, keys: list[str], name: str = "items", lg_entries: int = LG_ENTRIES) -> DataFrame:
     """Estimated distinct items per key, sketches of finer keys merged. The standard error is 1 / sqrt(2 ** LG_ENTRIES) beyond
     2 ** LG_ENTRIES items; below that the count is exact."""
-    return sketches.groupBy(*keys).agg(F.theta_sketch_estimate(F.theta_union_agg("sketch")).alias(name))
+    return sketches.groupBy(*keys).agg(F.theta_sketch_estimate(F.theta_union_agg("sketch", lg_entries)).alias(name))
 
 
-def overlap(sketches: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
+def overlap(sketches: DataFrame, key: str, pairs: DataFrame, lg_entries: int = LG_ENTRIES) -> DataFrame:
     """For the listed pairs (a, b) of keys: estimated items of each, of both and of either. Two lookups per pair; only pairs that
     are asked for are met."""
     left = sketches.select(F.col(key).alias("ka"), F.col("sketch").alias("sa"))
@@ -80,4 +80,4 @@ def overlap(sketches: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
     size = F.theta_sketch_estimate
     return met.select(
         "a", "b", size("sa").alias("items_a"), size("sb").alias("items_b"),
-        size(F.theta_intersection("sa", "sb")).alias("both"), size(F.theta_union("sa", "sb")).alias("either"))
+        size(F.theta_intersection("sa", "sb")).alias("both"), size(F.theta_union("sa", "sb", lg_entries)).alias("either"))

@@ -168,7 +168,7 @@ def _asset_overlap(r: Recorded) -> DataFrame:
     kept = store(sketches.distinct_sketches(rows, ["type"], "host", 16))
     kinds = ", ".join(f"'{x[3]}'" for x in assets.SOURCES)
     pairs = r.spark.sql(f"SELECT explode(array({kinds})) AS a").select("a", F.expr(f"explode(array({kinds})) AS b")).where("a < b")
-    return sketches.overlap(kept, "type", pairs)
+    return sketches.overlap(kept, "type", pairs, 16)
 
 
 QUERIES: dict[str, Callable[[Recorded], DataFrame]] = {

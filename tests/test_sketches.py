@@ -59,7 +59,7 @@ def test_distinct_and_overlap(spark, rows):
     assert got["small"] == 1000 and got["none"] == 0  # exact below the number of entries
     assert all(abs(got[x] - want[x]) <= 4 / 2 ** 6 * want[x] for x in want)
     pairs = spark.createDataFrame([("a", "b"), ("small", "a"), ("none", "a"), ("small", "small"), ("gone", "a")], "a string, b string")
-    found = {(r.a, r.b): (r.items_a, r.both, r.either) for r in sketches.overlap(sketches.distinct_sketches(seen, ["asset"], "host", 16), "asset", pairs).collect()}
+    found = {(r.a, r.b): (r.items_a, r.both, r.either) for r in sketches.overlap(sketches.distinct_sketches(seen, ["asset"], "host", 16), "asset", pairs, 16).collect()}
     hosts = {}
     for r in seen.where("host IS NOT NULL").collect():
         hosts.setdefault(r.asset, set()).add(r.host)
