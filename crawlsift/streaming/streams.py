@@ -48,7 +48,10 @@ KNOWN = {
     "start_seq": "bigint", "start_ts": "timestamp", "url": "string", "method": "string", "start_type": "string",
     "initiator": "string", "answer_seq": "bigint", "status": "int",
     "answer_type": "string", "end_seq": "bigint", "end_ts": "timestamp", "end_action": "string", "bytes": "bigint", "canceled": "boolean"}
-STATE = KNOWN | {"last_ms": "bigint", "timer_ms": "bigint"}
+# An open request is its ids, what is known of it, the time of its last message and when it is over.
+OPEN = {"session_id": "string", "request_id": "string"} | KNOWN | {"last_ms": "bigint", "due_ms": "bigint"}
+# Open requests are kept in so many groups by a hash of their ids.
+GROUPS = 256
 
 
 def _ddl(columns: dict[str, str]) -> str:
@@ -56,10 +59,14 @@ def _ddl(columns: dict[str, str]) -> str:
 
 
 class Requests(StatefulProcessor):
-    """One state per request: the latest start, response and end message; published when the request is over.
+    """Open requests with the latest start, response and end message of each; published when the request is over.
 
     A request is over when the watermark passes its end message, so that earlier messages that come late are still heard, or
     `idle_ms` after its last message if no end came.
+
+    A state holds all open requests of one hash group as a list, and one timer for the first that is over: a handful of calls
+    between Python and the JVM per group and micro-batch, where a state per request takes five for each. A group is read and
+    written whole when a message for it comes, so choose `groups` such that open requests by groups are some thousands.
     """
 
     # message column -> state column, per action
@@ -74,34 +81,51 @@ class Requests(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", _ddl(STATE))
+        self.open = handle.getListState("open", _ddl(OPEN))
+        self.timer = handle.getValueState("timer", "ms bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        held = self.open.get()
-        state = dict(zip(STATE, held, strict=True)) if held is not None else dict.fromkeys(STATE)
+        requests = {(x[0], x[1]): dict(zip(OPEN, x, strict=True)) for x in self.open.get()} if self.open.exists() else {}
         for row in rows:
+            ids = row.session_id, row.request_id
+            state = requests.get(ids)
+            if state is None:
+                state = requests[ids] = dict.fromkeys(OPEN)
+                state["session_id"], state["request_id"] = ids
             state["last_ms"] = max(state["last_ms"] or 0, _ms(row.ts))
-            if row.action not in self.PARTS:
-                continue
-            seq, columns = self.PARTS[row.action]
-            if state[seq] is None or row.seq > state[seq]:
-                state[seq] = row.seq
-                for source, target in columns.items():
-                    state[target] = row[source]
-        due = _ms(state["end_ts"]) if state["end_ts"] is not None else state["last_ms"] + self.idle_ms
-        if due != state["timer_ms"]:
-            if state["timer_ms"] is not None:
-                self.handle.deleteTimer(state["timer_ms"])
-            self.handle.registerTimer(due)
-            state["timer_ms"] = due
-        self.open.update(tuple(state.values()))
+            if row.action in self.PARTS:
+                seq, columns = self.PARTS[row.action]
+                if state[seq] is None or row.seq > state[seq]:
+                    state[seq] = row.seq
+                    for source, target in columns.items():
+                        state[target] = row[source]
+            state["due_ms"] = _ms(state["end_ts"]) if state["end_ts"] is not None else state["last_ms"] + self.idle_ms
+        self._keep([tuple(x.values()) for x in requests.values()])
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        held = self.open.get()
-        if held is not None:
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        requests = [tuple(x) for x in self.open.get()] if self.open.exists() else []
+        self._keep([x for x in requests if x[-1] > now], fired=expiredTimerInfo.getExpiryTimeInMs())
+        for x in requests:
+            if x[-1] <= now:
+                yield Row(**dict(zip(OPEN, x[:-2], strict=False)))
+
+    def _keep(self, requests: list[tuple], fired: int | None = None) -> None:
+        """Store what is open and have the timer stand at the first that is over."""
+        held = self.timer.get()
+        old = held[0] if held is not None else None
+        if not requests:
             self.open.clear()
-            yield Row(session_id=key[0], request_id=key[1], **dict(zip(KNOWN, held, strict=False)))
+            self.timer.clear()
+        else:
+            self.open.put(requests)
+            due = min(x[-1] for x in requests)
+            if due != old:
+                self.handle.registerTimer(due)
+                self.timer.update((due,))
+        if old is not None and old != fired and (not requests or due != old):
+            self.handle.deleteTimer(old)
 
 
 class FifoCalls(StatefulProcessor):
@@ -200,14 +224,15 @@ def stateful(grouped: Any, processor: StatefulProcessor, schema: str, event_time
     return grouped.transformWithState(processor, schema, "append", "eventTime", eventTimeColumnName=event_time)
 
 
-def lifecycle(events: DataFrame, idle_hours: int = 100, delay: str = DELAY) -> DataFrame:
+def lifecycle(events: DataFrame, idle_hours: int = 100, delay: str = DELAY, groups: int = GROUPS) -> DataFrame:
     """Requests merged from their messages, each published when it is over (see `Requests`).
 
     The latest message of a kind wins, by `seq`. Messages of one request that come after it was published start a row of their own.
     """
-    plain = events.withColumn("initiator", F.to_json("initiator"))
-    grouped = watched(plain, delay).groupBy("session_id", "request_id")
-    done = stateful(grouped, Requests(idle_hours * 3_600_000), "session_id string, request_id string, " + _ddl(KNOWN))
+    plain = events.withColumn("initiator", F.to_json("initiator")).withColumn(
+        "group", F.pmod(F.xxhash64("session_id", "request_id"), F.lit(groups)).cast("int"))
+    done = stateful(
+        watched(plain, delay).groupBy("group"), Requests(idle_hours * 3_600_000), "session_id string, request_id string, " + _ddl(KNOWN))
     merged = done.selectExpr(
         "session_id", "request_id",
         "CASE WHEN start_seq IS NOT NULL THEN named_struct('ts', start_ts, 'url', url, 'method', method, 'type', lower(start_type),"
