@@ -6,10 +6,15 @@ every window, session and timer that is still open and takes no part itself.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -43,229 +48,273 @@ def watched(events: DataFrame, delay: str = DELAY, ts: str = "ts") -> DataFrame:
     return events.withWatermark(ts, delay).where(F.col(ts) < F.lit(END).cast("timestamp"))
 
 
-# What is known of a request: the newest message of each kind.
-KNOWN = {
-    "start_seq": "bigint", "start_ts": "timestamp", "url": "string", "method": "string", "start_type": "string",
-    "initiator": "string", "answer_seq": "bigint", "status": "int",
-    "answer_type": "string", "end_seq": "bigint", "end_ts": "timestamp", "end_action": "string", "bytes": "bigint", "canceled": "boolean"}
-# An open request is its ids, what is known of it, the time of its last message and when it is over.
-OPEN = {"session_id": "string", "request_id": "string"} | KNOWN | {"last_ms": "bigint", "due_ms": "bigint"}
-# Open requests are kept in so many groups by a hash of their ids.
+# The stateful operators keep their keys in so many groups by a hash: state goes to Python and back once per group and micro-batch.
 GROUPS = 256
+KINDS = {"start": 0, "response": 1, "complete": 2, "failed": 2}
+STARTED = (
+    "ts bigint, url string, method string, type string, initiator struct<type:string,frames:array<struct<url:string,line:int>>>")
+ANSWERED = "status int, type string"
+FINISHED = "ts bigint, action string, bytes bigint, canceled boolean"
+CALL, ANSWER = "seq bigint, request_id string, method string", "seq bigint, status int"
+IDS, QUEUE = "session_id string, request_id string", "session_id string, url string"
 
 
-def _ddl(columns: dict[str, str]) -> str:
-    return ", ".join(f"{name} {kind}" for name, kind in columns.items())
+class Grouped(StatefulProcessor):
+    """Rows of all keys of one hash group as Arrow tables in a list, and one timer for the first that is due.
 
-
-class Requests(StatefulProcessor):
-    """Open requests with the latest start, response and end message of each; published when the request is over.
-
-    A request is over when the watermark passes its end message, so that earlier messages that come late are still heard, or
-    `idle_ms` after its last message if no end came.
-
-    A state holds all open requests of one hash group as a list, and one timer for the first that is over: a handful of calls
-    between Python and the JVM per group and micro-batch, where a state per request takes five for each. A group is read and
-    written whole when a message for it comes, so choose `groups` such that open requests by groups are some thousands.
+    What arrives in a micro-batch is added to the list as one more table, and a timer that fires takes the list as a whole: per
+    group and micro-batch a handful of calls between Python and the JVM, whatever the number of keys and rows. `due` says when a
+    table wants to be looked at, `settle` what of it is published and what stays.
     """
 
-    # message column -> state column, per action
-    PARTS = {
-        "start": ("start_seq", {"ts": "start_ts", "url": "url", "method": "method", "resource_type": "start_type", "initiator": "initiator"}),
-        "response": ("answer_seq", {"status": "status", "resource_type": "answer_type"}),
-        "complete": ("end_seq", {"ts": "end_ts", "action": "end_action", "bytes": "bytes", "canceled": "canceled"})}
-    PARTS["failed"] = PARTS["complete"]
-
-    def __init__(self, idle_ms: int) -> None:
-        self.idle_ms = idle_ms
+    COLUMNS: dict[str, pa.DataType] = {}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", _ddl(OPEN))
+        self.held = handle.getListState("held", "rows binary")
         self.timer = handle.getValueState("timer", "ms bigint")
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        requests = {(x[0], x[1]): dict(zip(OPEN, x, strict=True)) for x in self.open.get()} if self.open.exists() else {}
-        for row in rows:
-            ids = row.session_id, row.request_id
-            state = requests.get(ids)
-            if state is None:
-                state = requests[ids] = dict.fromkeys(OPEN)
-                state["session_id"], state["request_id"] = ids
-            state["last_ms"] = max(state["last_ms"] or 0, _ms(row.ts))
-            if row.action in self.PARTS:
-                seq, columns = self.PARTS[row.action]
-                if state[seq] is None or row.seq > state[seq]:
-                    state[seq] = row.seq
-                    for source, target in columns.items():
-                        state[target] = row[source]
-            state["due_ms"] = _ms(state["end_ts"]) if state["end_ts"] is not None else state["last_ms"] + self.idle_ms
-        self._keep([tuple(x.values()) for x in requests.values()])
+    def arrived(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """New rows as they are kept."""
+        raise NotImplementedError
+
+    def due(self, rows: pd.DataFrame) -> pd.Series:
+        """When each row is due, no later than with other tables beside it, in milliseconds."""
+        raise NotImplementedError
+
+    def settle(self, rows: pd.DataFrame, now: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """What is published and what is kept at a watermark; older rows come first."""
+        raise NotImplementedError
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        new = self.arrived(pd.concat(list(rows), ignore_index=True))
+        if len(new):
+            self.held.appendList([(self._packed(new),)])
+            held, due = self.timer.get(), int(self.due(new).min())
+            if held is None or due < held[0]:
+                if held is not None:
+                    self.handle.deleteTimer(held[0])
+                self._wait(due)
         return iter(())
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        requests = [tuple(x) for x in self.open.get()] if self.open.exists() else []
-        self._keep([x for x in requests if x[-1] > now], fired=expiredTimerInfo.getExpiryTimeInMs())
-        for x in requests:
-            if x[-1] <= now:
-                yield Row(**dict(zip(OPEN, x[:-2], strict=False)))
-
-    def _keep(self, requests: list[tuple], fired: int | None = None) -> None:
-        """Store what is open and have the timer stand at the first that is over."""
-        held = self.timer.get()
-        old = held[0] if held is not None else None
-        if not requests:
-            self.open.clear()
-            self.timer.clear()
-        else:
-            self.open.put(requests)
-            due = min(x[-1] for x in requests)
-            if due != old:
-                self.handle.registerTimer(due)
-                self.timer.update((due,))
-        if old is not None and old != fired and (not requests or due != old):
-            self.handle.deleteTimer(old)
-
-
-class FifoCalls(StatefulProcessor):
-    """One queue per session and URL: responses answer the oldest open call, in the order of `seq` whatever the order of arrival.
+        tables = [pa.ipc.open_stream(x[0]).read_all() for x in self.held.get()]
+        out, kept = self.settle(pa.concat_tables(tables).to_pandas(), now)
+        self.held.clear()
+        self.timer.clear()
+        if len(kept):
+            self.held.put([(self._packed(kept),)])
+            if (due := int(self.due(kept).min())) < NEVER:
+                self._wait(max(due, now + 1))
+        if len(out):
+            yield out
 
-    Messages wait in a list until the watermark has passed them. Calls then join the queue, responses take its head or are lost
-    if it is empty; a call that nothing answers for `wait_ms` is evicted unanswered.
-    """
+    def _wait(self, due: int) -> None:
+        self.handle.registerTimer(due)
+        self.timer.update((due,))
 
-    CALL = "seq bigint, ms bigint, request_id string, method string"
-    MESSAGE = "seq bigint, ms bigint, request_id string, method string, status int, is_call boolean"
+    def _packed(self, rows: pd.DataFrame) -> bytes:
+        table = pa.table({k: pa.array(rows[k], kind, from_pandas=True) for k, kind in self.COLUMNS.items()})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(table)
+        return sink.getvalue().to_pybytes()
 
-    def __init__(self, wait_ms: int) -> None:
-        self.wait_ms = wait_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", self.MESSAGE)
-        self.queue = handle.getListState("queue", self.CALL)
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        new = [(r.seq, _ms(r.ts), r.request_id, r.method, r.status, r.action == "start") for r in rows]
-        if new:
-            self.waiting.appendList(new)
-            self.handle.registerTimer(max(x[1] for x in new))
-        return iter(())
+# A row that waits for nothing.
+NEVER = (1 << 63) - 1
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs()
-        messages = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
-        ripe = sorted((m for m in messages if m[1] <= now), key=lambda m: (m[0], not m[5], m[2] or ""))
-        queue = [tuple(x) for x in self.queue.get()] if self.queue.exists() else []
-        at = 0
-        for seq, ms, request, method, status, is_call in ripe:
-            while at < len(queue) and queue[at][1] + self.wait_ms < ms:
-                yield self._row(key, queue[at], None, None)
-                at += 1
-            if is_call:
-                queue.append((seq, ms, request, method))
-            elif at < len(queue):
-                yield self._row(key, queue[at], status, seq)
-                at += 1
-        while at < len(queue) and queue[at][1] + self.wait_ms <= now:
-            yield self._row(key, queue[at], None, None)
-            at += 1
-        self._put(self.waiting, [m for m in messages if m[1] > now])
-        self._put(self.queue, queue[at:])
-        if at < len(queue):
-            self.handle.registerTimer(queue[at][1] + self.wait_ms)
 
-    @staticmethod
-    def _put(state: Any, rows: list) -> None:
-        if rows:
-            state.put(rows)
-        else:
-            state.clear()
+class Requests(Grouped):
+    """Open requests with the newest start, response and end message of each; published when the request is over.
 
-    @staticmethod
-    def _row(key: Any, call: tuple, status: int | None, answer: int | None) -> Row:
-        seq, _, request, method = call
-        return Row(session_id=key[0], seq=seq, request_id=request, url=key[1], method=method, status=status, answer_seq=answer)
+    A request is over when the watermark passes its end message, so that earlier messages that come late are still heard, or
+    `idle_ms` after its last message if no end came. A row is a message: `kind` is its place in the output, -1 for none, `last` the
+    time of the request's last message as far as it is known here.
+    """
 
+    COLUMNS = {"ids": pa.string(), "kind": pa.int8(), "seq": pa.int64(), "ms": pa.int64(), "last": pa.int64(), "body": pa.string()}
 
-class FirstReady(StatefulProcessor):
-    """The first of a session's times, published once the watermark rules out an earlier one."""
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.first = handle.getValueState("first", "ready_ts timestamp, done boolean")
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        held = self.first.get()
-        least = min(r.ready_ts for r in rows)
-        if held is None or (not held[1] and least < held[0]):
-            self.first.update((least, False))
-            self.handle.registerTimer(_ms(least))
-        return iter(())
+    def arrived(self, rows: pd.DataFrame) -> pd.DataFrame:
+        ms = -(-rows["us"].to_numpy(np.int64) // 1000)
+        return self.newest(rows[["ids", "kind", "seq", "body"]].assign(ms=ms, last=ms))
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        held = self.first.get()
-        if held is not None and not held[1] and _ms(held[0]) <= expiredTimerInfo.getExpiryTimeInMs():
-            self.first.update((held[0], True))
-            yield Row(ready_session=key[0], ready_ts=held[0])
+    @staticmethod
+    def newest(rows: pd.DataFrame) -> pd.DataFrame:
+        """One row per request and kind: the highest `seq`, of equal ones the first."""
+        code = pd.factorize(rows["ids"])[0]
+        last = np.full(code.max() + 1, np.iinfo(np.int64).min)
+        np.maximum.at(last, code, rows["last"].to_numpy())
+        kind, seq = rows["kind"].to_numpy(), rows["seq"].to_numpy()
+        order = np.lexsort((np.arange(len(rows)), ~seq, kind, code))
+        first = np.ones(len(rows), bool)
+        first[1:] = (np.diff(code[order]) != 0) | (np.diff(kind[order]) != 0)
+        order = order[first]
+        return rows.iloc[order].assign(last=last[code[order]])
+
+    def due(self, rows: pd.DataFrame) -> pd.Series:
+        return rows["ms"].where(rows["kind"] == 2, rows["last"] + self.idle_ms)
+
+    def settle(self, rows: pd.DataFrame, now: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+        rows = self.newest(rows)
+        # the end message is a request's last row and says when it is over
+        code, kind = pd.factorize(rows["ids"])[0], rows["kind"].to_numpy()
+        over = np.zeros(code.max() + 1, np.int64)
+        over[code] = self.due(rows)
+        done = over[code] <= now
+        out = pd.DataFrame({"ids": rows["ids"].to_numpy()[done & np.append(True, np.diff(code) != 0)]})
+        place = np.cumsum(np.append(True, np.diff(code[done]) != 0)) - 1 if done.any() else code[done]
+        for i, name in enumerate(("started", "answered", "finished")):
+            found, mine = np.full(len(out), None, object), kind[done] == i
+            found[place[mine]] = rows["body"].to_numpy(object)[done][mine]
+            out[name] = found
+        return out, rows[~done]
+
+
+class FifoCalls(Grouped):
+    """One queue per session and URL: responses answer the oldest open call, in the order of `seq` whatever the order of arrival.
 
+    Messages wait until the watermark has passed them. Calls then join the queue, responses take its head or are lost if it is
+    empty; a call that nothing answers for `wait_ms` is evicted unanswered. `queued` rows are open calls in their order; `until` is
+    when a row is looked at: with the last message of its key and micro-batch, or when a queue's head has waited long enough.
+    """
 
-def _ms(ts: Any) -> int:
-    """Milliseconds of a time, rounded up, so that a timer doesn't fire before it."""
-    return -int(-(ts.timestamp() * 1_000_000) // 1000)
+    COLUMNS = {
+        "ids": pa.string(), "queued": pa.bool_(), "seq": pa.int64(), "ms": pa.int64(), "until": pa.int64(), "is_call": pa.bool_(),
+        "request": pa.string(), "body": pa.string()}
 
+    def __init__(self, wait_ms: int) -> None:
+        self.wait_ms = wait_ms
 
-def stateful(grouped: Any, processor: StatefulProcessor, schema: str, event_time: str = "") -> DataFrame:
-    """Apply a stateful processor with event-time timers; its state is kept in RocksDB."""
-    df = grouped._df
-    df.sparkSession.conf.set(
+    def arrived(self, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(ms=-(-rows["us"].to_numpy(np.int64) // 1000), queued=False)
+        return rows.assign(until=rows.groupby("ids")["ms"].transform("max"))
+
+    def due(self, rows: pd.DataFrame) -> pd.Series:
+        return rows["until"]
+
+    def settle(self, rows: pd.DataFrame, now: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+        code = pd.factorize(rows["ids"])[0]
+        awake = np.zeros(code.max() + 1, bool)
+        awake[code[rows["until"].to_numpy() <= now]] = True
+        at = np.flatnonzero(awake[code] & (rows["queued"].to_numpy() | (rows["ms"].to_numpy() <= now)))
+        ids, queued, seq, ms, is_call, request, body = (
+            rows[x].iloc[at].to_list() for x in ("ids", "queued", "seq", "ms", "is_call", "request", "body"))
+        code = code[at].tolist()
+        order = sorted(range(len(at)), key=lambda i: (
+            (code[i], 0, i, False, "") if queued[i] else (code[i], 1, seq[i], not is_call[i], request[i] or "")))
+        out, left, heads = [], [], []
+        for _, mine in groupby(order, code.__getitem__):
+            queue: deque[int] = deque()
+            for i in mine:
+                if queued[i]:
+                    queue.append(i)
+                    continue
+                while queue and ms[queue[0]] + self.wait_ms < ms[i]:
+                    out.append((queue.popleft(), None))
+                if is_call[i]:
+                    queue.append(i)
+                elif queue:
+                    out.append((queue.popleft(), i))
+            while queue and ms[queue[0]] + self.wait_ms <= now:
+                out.append((queue.popleft(), None))
+            left += queue
+            heads += [n == 0 for n in range(len(queue))]
+        open_calls = rows.iloc[at[left]] if left else rows.iloc[:0]
+        until = np.where(heads, open_calls["ms"] + self.wait_ms, NEVER)
+        waiting = np.ones(len(rows), bool)
+        waiting[at] = False
+        kept = pd.concat([open_calls.assign(queued=True, until=until.astype(np.int64)), rows[waiting]])
+        return pd.DataFrame({
+            "ids": [ids[i] for i, _ in out], "call": [body[i] for i, _ in out],
+            "answer": [None if j is None else body[j] for _, j in out]}, dtype=object), kept
+
+
+class FirstReady(Grouped):
+    """The first of a session's times, published once the watermark rules out an earlier one; a session stays known from then on."""
+
+    COLUMNS = {"ids": pa.string(), "us": pa.int64(), "done": pa.bool_()}
+
+    def arrived(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.groupby("ids", as_index=False)["us"].min().assign(done=False)
+
+    def due(self, rows: pd.DataFrame) -> pd.Series:
+        return (-(-rows["us"] // 1000)).mask(rows["done"], NEVER)
+
+    def settle(self, rows: pd.DataFrame, now: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+        # published times come before all others of their session
+        rows = rows.sort_values(["done", "us"], ascending=[False, True], kind="stable").drop_duplicates("ids")
+        ready = ~rows["done"] & (-(-rows["us"] // 1000) <= now)
+        times = pd.to_datetime(rows.loc[ready, "us"], unit="us", utc=True)
+        return pd.DataFrame({"ready_session": rows.loc[ready, "ids"], "ready_ts": times}), rows.assign(done=rows["done"] | ready)
+
+
+def stateful(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, event_time: str = "", groups: int = GROUPS) -> DataFrame:
+    """Apply a processor of hash groups with event-time timers to rows with their `keys`; its state is kept in RocksDB."""
+    rows.sparkSession.conf.set(
         "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return grouped.transformWithState(processor, schema, "append", "eventTime", eventTimeColumnName=event_time)
+    group = F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int")
+    return rows.withColumn("group", group).groupBy("group").transformWithStateInPandas(
+        processor, schema, "append", "eventTime", eventTimeColumnName=event_time)
 
 
 def lifecycle(events: DataFrame, idle_hours: int = 100, delay: str = DELAY, groups: int = GROUPS) -> DataFrame:
     """Requests merged from their messages, each published when it is over (see `Requests`).
 
     The latest message of a kind wins, by `seq`. Messages of one request that come after it was published start a row of their own.
+    Ids and contents pass through the state as JSON, which Spark writes and reads.
     """
-    plain = events.withColumn("initiator", F.to_json("initiator")).withColumn(
-        "group", F.pmod(F.xxhash64("session_id", "request_id"), F.lit(groups)).cast("int"))
+    kind = "CASE WHEN seq IS NULL THEN -1 " + " ".join(f"WHEN action = '{x}' THEN {i}" for x, i in KINDS.items()) + " ELSE -1 END"
+    rows = watched(events, delay).selectExpr(
+        "ts", "unix_micros(ts) AS us", "to_json(named_struct('session_id', session_id, 'request_id', request_id)) AS ids",
+        f"CAST({kind} AS tinyint) AS kind", "coalesce(seq, 0) AS seq",
+        "CASE WHEN action = 'start' THEN to_json(named_struct('ts', unix_micros(ts), 'url', url, 'method', method, 'type',"
+        " lower(resource_type), 'initiator', initiator))"
+        " WHEN action = 'response' THEN to_json(named_struct('status', status, 'type', lower(resource_type)))"
+        " WHEN action IN ('complete', 'failed') THEN"
+        " to_json(named_struct('ts', unix_micros(ts), 'action', action, 'bytes', bytes, 'canceled', canceled)) END AS body")
     done = stateful(
-        watched(plain, delay).groupBy("group"), Requests(idle_hours * 3_600_000), "session_id string, request_id string, " + _ddl(KNOWN))
+        rows, ["ids"], Requests(idle_hours * 3_600_000), "ids string, started string, answered string, finished string", groups=groups)
     merged = done.selectExpr(
-        "session_id", "request_id",
-        "CASE WHEN start_seq IS NOT NULL THEN named_struct('ts', start_ts, 'url', url, 'method', method, 'type', lower(start_type),"
-        " 'initiator', from_json(initiator, 'type string, frames array<struct<url:string,line:int>>')) END AS started",
-        "CASE WHEN answer_seq IS NOT NULL THEN named_struct('status', status, 'type', lower(answer_type)) END AS answered",
-        "CASE WHEN end_seq IS NOT NULL THEN named_struct('ts', end_ts, 'action', end_action, 'bytes', bytes, 'canceled', canceled) END AS finished")
-    return netevents.shape(merged, "session_id", "request_id")
+        f"from_json(ids, '{IDS}') AS ids", f"from_json(started, '{STARTED}') AS started", f"from_json(answered, '{ANSWERED}') AS answered",
+        f"from_json(finished, '{FINISHED}') AS finished")
+    times = {x: F.col(x).withField("ts", F.timestamp_micros(f"{x}.ts")) for x in ("started", "finished")}
+    return netevents.shape(merged.withColumns(times).select("ids.*", "started", "answered", "finished"), "session_id", "request_id")
 
 
-def pair_fifo(events: DataFrame, wait_hours: int = 1000, delay: str = DELAY) -> DataFrame:
+def pair_fifo(events: DataFrame, wait_hours: int = 1000, delay: str = DELAY, groups: int = GROUPS) -> DataFrame:
     """Calls with the status of their response as `netevents.pair_fifo` gives them; a call left alone for `wait_hours` is unanswered.
 
-    Messages of one session and URL share a state and are replayed in one task; a call that has neither forms a group with others
+    Messages of one session and URL share a queue and are replayed in one task; a call that has neither forms a queue with others
     like it, whose responses are unknown, so it stays unanswered.
     """
     wanted = only(
         "lower(resource_type) IN ('xhr', 'fetch') AND (action = 'start' OR action = 'response' AND session_id IS NOT NULL AND url IS NOT NULL)")
-    grouped = watched(events.where(wanted), delay).groupBy("session_id", "url")
-    return stateful(
-        grouped, FifoCalls(wait_hours * 3_600_000),
-        "session_id string, seq bigint, request_id string, url string, method string, status int, answer_seq bigint")
-
-
-def dynamic_requests(starts: DataFrame, messages: DataFrame, horizon: str = "60 days", delay: str = DELAY) -> DataFrame:
+    rows = watched(events.where(wanted), delay).selectExpr(
+        "ts", "unix_micros(ts) AS us", "to_json(named_struct('session_id', session_id, 'url', url)) AS ids",
+        "coalesce(seq, -9223372036854775807L) AS seq", "action = 'start' AS is_call", "request_id AS request",
+        "CASE WHEN action = 'start' THEN to_json(named_struct('seq', seq, 'request_id', request_id, 'method', method))"
+        " ELSE to_json(named_struct('seq', seq, 'status', status)) END AS body")
+    done = stateful(rows, ["ids"], FifoCalls(wait_hours * 3_600_000), "ids string, call string, answer string", groups=groups)
+    return done.selectExpr(
+        f"from_json(ids, '{QUEUE}') AS ids", f"from_json(call, '{CALL}') AS call", f"from_json(answer, '{ANSWER}') AS answer").selectExpr(
+        "ids.session_id", "call.seq", "call.request_id", "ids.url", "call.method", "answer.status", "answer.seq AS answer_seq")
+
+
+def dynamic_requests(
+        starts: DataFrame, messages: DataFrame, horizon: str = "60 days", delay: str = DELAY, groups: int = GROUPS) -> DataFrame:
     """Stream-stream form of the dynamic-only tag: start messages joined to when their session's document was ready.
 
     Both sides are watermarked. A start waits until no earlier ready time can come; without one in the `horizon` before it, it
     is not dynamic (the outer result).
     """
     docs = messages.where(only("action = 'complete' AND lower(resource_type) = 'document'"))
-    ready = stateful(
-        watched(docs.withColumnRenamed("ts", "ready_ts").select("session_id", "ready_ts"), delay, "ready_ts").groupBy("session_id"),
-        FirstReady(), "ready_session string, ready_ts timestamp", "ready_ts")
+    seen = watched(docs, delay).where("session_id IS NOT NULL").selectExpr("ts", "unix_micros(ts) AS us", "session_id AS ids")
+    ready = stateful(seen, ["ids"], FirstReady(), "ready_session string, ready_ts timestamp", "ready_ts", groups)
     begun = watched(starts.where(only("action = 'start'")), delay)
     return begun.join(ready, F.expr(
         f"session_id = ready_session AND ready_ts < ts - INTERVAL 1 SECOND AND ready_ts >= ts - INTERVAL {horizon}"), "left").selectExpr(
