@@ -79,3 +79,15 @@ def test_requests_of_a_group_are_few_rows_of_state():
     assert handle.written < 20 and not handle.timers
     assert got[:500] and all(r[3] is not None for r in got[:500])  # at the first watermark only requests that ended
     assert sorted(got, key=repr) == sorted(((text(i), text(i, 3), None, text(i, "end") if i % 2 else None) for i in range(kept)), key=repr)
+
+
+def test_first_times_of_a_group_are_few_rows_of_state():
+    times = [(f"s{i % 900}", (5000 - i) * 1000 - 1) for i in range(2700)]
+    frame = lambda rows: pd.DataFrame(rows, columns=["ids", "us"])
+    later = [("s1", 9_000_000), ("new", 9_000_000)]
+    got, handle = fed(streams.FirstReady(), [(frame(times), 2400), (None, 6000), (frame(later), 6000), (None, 10_000)])
+    want = {}
+    for session, us in times + later:
+        want[session] = min(us, want.get(session, us))
+    assert sorted((s, t.value // 1000) for s, t in got) == sorted(want.items())
+    assert handle.written < 20 and not handle.timers
