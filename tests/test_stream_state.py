@@ -5,6 +5,7 @@ import random
 from types import SimpleNamespace
 
 import pandas as pd
+import pytest
 
 from crawlsift.streaming import streams
 
@@ -81,6 +82,32 @@ def test_requests_of_a_group_are_few_rows_of_state():
     assert sorted(got, key=repr) == sorted(((text(i), text(i, 3), None, text(i, "end") if i % 2 else None) for i in range(kept)), key=repr)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_queues_of_a_group_are_few_rows_of_state(seed):
+    draw, wait, messages = random.Random(seed), 900, []
+    for t in range(4000):
+        key, is_call = text(draw.randrange(200)), draw.random() < 0.6
+        messages.append((key, t, t * 1000, is_call, f"r{t}", text(t, is_call)))
+    columns = ["ids", "seq", "us", "is_call", "request", "body"]
+    batches, marks = [[], [], [], []], (1000, 2000, 3000, 1 << 60)
+    for m in messages:  # up to a thousand ms late, within what the watermark leaves
+        batches[min(3, (m[1] + draw.randrange(990)) // 1000)].append(m)
+    got, handle = fed(streams.FifoCalls(wait), [
+        (pd.DataFrame(draw.sample(b, len(b)), columns=columns), mark - 1000 if mark < 5000 else mark) for b, mark in zip(batches, marks, strict=True)])
+    want, queues = [], {}
+    for key, t, _, is_call, _, body in messages:
+        queue = queues.setdefault(key, [])
+        while queue and queue[0][0] + wait < t:
+            want.append((key, queue.pop(0)[1], None))
+        if is_call:
+            queue.append((t, body))
+        elif queue:
+            want.append((key, queue.pop(0)[1], body))
+    want += [(key, body, None) for key, queue in queues.items() for _, body in queue]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert handle.written < 40 and not handle.timers
+
+
 def test_first_times_of_a_group_are_few_rows_of_state():
     times = [(f"s{i % 900}", (5000 - i) * 1000 - 1) for i in range(2700)]
     frame = lambda rows: pd.DataFrame(rows, columns=["ids", "us"])
