@@ -6,7 +6,6 @@ import functools
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +27,13 @@ COLUMNS = "place bigint, n_tokens bigint, ids array<int>"
 
 # Words of these letters are one token of the tokenizer's first split, so their last piece is the only one with the word's end.
 PLAIN = re.compile("[a-zà-öø-ÿ]+")
-GAP, LETTER, CLOSER = np.zeros((3, 256), bool)
+GAP, LETTER, MARK, LATIN = np.zeros((4, 256), bool)
 GAP[[0x20, 0x0A]] = True
 LETTER[[x for x in range(128) if chr(x).isalpha()]] = True
-CLOSER[[ord("."), ord(",")]] = True
+# ASCII marks that the first split parts from a letter before them; not the apostrophe, which may stay with letters behind it.
+MARK[[x for x in range(0x21, 0x7F) if not chr(x).isalnum() and chr(x) != "'"]] = True
+# Second bytes of the letters À to ÿ, whose first is 0xC3.
+LATIN[[x.encode()[1] for x in map(chr, range(0xC0, 0x100)) if x.isalpha()]] = True
 
 
 # Texts are looked at in runs of about so many bytes, whose arrays stay in a core's cache; a longer text is a run of its own.
@@ -44,8 +46,8 @@ class Words:
     The tokenizer lower-cases, drops white space and has no token that spans it, so a text's ids are those of its parts between
     blanks and newlines. Parts are found and hashed in the bytes of many texts at once, with A-Z lower-cased; a part whose hash is
     known takes the ids kept with it, after its bytes were compared with those kept. Only new ones become strings for the
-    tokenizer: plain words many at a time, told apart by the pieces that end a word. Texts in which lower-casing might make a
-    special token go to the tokenizer whole. The table starts anew beyond `limit` bytes.
+    tokenizer: plain words many at a time, told apart by the pieces that end a word. Marks behind a letter are parts of their own.
+    Texts in which lower-casing might make a special token go to the tokenizer whole. The table starts anew beyond `limit` bytes.
     """
 
     def __init__(self, path: str, limit: int = 24 << 20) -> None:
@@ -61,30 +63,34 @@ class Words:
         self.place = np.zeros((4, 0), np.int64)
         self.bytes, self.ids = np.zeros(0, np.uint8), np.zeros(0, np.int32)
 
-    def make(self, new: list[str]) -> list[list[int]]:
-        """Ids of words."""
+    def make(self, new: list[str]) -> tuple[list[int], list[int], np.ndarray]:
+        """Words that are made together come together: their new order, all ids, how many each has."""
         plain = [i for i, x in enumerate(new) if PLAIN.fullmatch(x)]
-        out: list[list[int]] = [[]] * len(new)
+        other = sorted(set(range(len(new))).difference(plain))
+        ids: list[int] = []
+        counts = []
         for i in range(0, len(plain), 500):
             part = plain[i:i + 500]
-            ids = self.tokenizer.encode_batch_fast([" ".join([new[j] for j in part])], add_special_tokens=False)[0].ids
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            some = self.tokenizer.encode_batch_fast([" ".join([new[j] for j in part])], add_special_tokens=False)[0].ids
+            cuts = np.flatnonzero(self.ends[some])
             if len(cuts) != len(part):
                 raise ValueError("this tokenizer doesn't end each word once")
-            for j, a, b in zip(part, [0, *cuts], cuts, strict=False):
-                out[j] = ids[a:b]
-        other = sorted(set(range(len(new))).difference(plain))
-        for j, x in zip(other, self.tokenizer.encode_batch_fast([new[j] for j in other], add_special_tokens=False), strict=True):
-            out[j] = x.ids
-        return out
+            counts.append(np.diff(cuts, prepend=-1))
+            ids += some
+        for x in self.tokenizer.encode_batch_fast([new[j] for j in other], add_special_tokens=False):
+            some = x.ids
+            counts.append(np.array([len(some)]))
+            ids += some
+        return plain + other, ids, np.concatenate([np.zeros(0, np.int64), *counts])
 
     def learn(self, value: np.ndarray, found: list[bytes]) -> None:
         """Add words with these hashes, none of them known."""
-        made = self.make([x.decode() for x in found])
-        size, count = (np.fromiter(map(len, x), np.int64, len(x)) for x in (found, made))
+        order, made, count = self.make([x.decode() for x in found])
+        value, found = value[order], [found[i] for i in order]
+        size = np.fromiter(map(len, found), np.int64, len(found))
         place = np.stack([len(self.bytes) + np.cumsum(size) - size, size, len(self.ids) + np.cumsum(count) - count, count])
         self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(found), np.uint8)])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(made), np.int32, count.sum())])
+        self.ids = np.concatenate([self.ids, np.array(made, np.int32)])
         value, place = np.concatenate([self.hash, value]), np.concatenate([self.place, place], axis=1)
         order = np.argsort(value, kind="stable")
         self.hash, self.place = value[order], place[:, order]
@@ -109,23 +115,29 @@ class Words:
         odd = [i for i, x in enumerate(docs) if b"<|" in x]
         whole = {i: self.tokenizer.encode(docs[i].decode(), add_special_tokens=False).ids for i in odd}
         data, begin = words.joined([b"" if i in whole else x for i, x in enumerate(docs)])
-        # a stop or comma that closes a word is a token of its own: parted from it, words are known with and without
-        close = np.flatnonzero(CLOSER[data])
-        close = close[(close > 0) & LETTER[data[close - 1]] & GAP[data[close + 1]]]
+        # marks behind a letter are tokens of their own: parted from it, words are known with and without
+        close = np.flatnonzero(_mapped(data, MARK))
+        close = close[close > 1]
+        close = close[LETTER[data[close - 1]] | (data[close - 2] == 0xC3) & LATIN[data[close - 1]]]
         data, start, stop, value, offsets = words.located_in(np.insert(data, close, 0x20), begin + np.searchsorted(close, begin), GAP)
-        unique, first, of = np.unique(value, return_index=True, return_inverse=True)
-        lower = words.LOWER[data]
-        new = np.flatnonzero(~np.isin(unique, self.hash, assume_unique=True))
-        if len(new):
-            self.learn(unique[new], [lower[a:b].tobytes() for a, b in zip(start[first[new]], stop[first[new]], strict=True)])
-        begin, size, begun, count = self.place[:, np.searchsorted(self.hash, unique)][:, of]
+        unique, of = np.unique(value, return_inverse=True)
+        lower = _mapped(data, words.LOWER)
+        known = np.zeros(len(unique), bool)
+        if len(self.hash):
+            known = self.hash[np.minimum(np.searchsorted(self.hash, unique), len(self.hash) - 1)] == unique
+        if not known.all():
+            place = np.empty(len(unique), np.int64)
+            place[of] = np.arange(len(of))  # one of the places where each stands
+            place = place[~known]
+            self.learn(unique[~known], [lower[a:b].tobytes() for a, b in zip(start[place], stop[place], strict=True)])
+        begin, size, begun, count = self.place.take(np.searchsorted(self.hash, unique), 1).take(of, 1)
         same = size == stop - start
         same[same] = _equal(lower, start[same], self.bytes, begin[same], size[same])
         ids = self.ids[_spread(begun, count)]
         if not same.all():  # other words of the same hash
             parts = np.split(ids, np.cumsum(count)[:-1])
             for i in np.flatnonzero(~same):
-                parts[i] = np.array(self.make([lower[start[i]:stop[i]].tobytes().decode()])[0], np.int32)
+                parts[i] = np.array(self.make([lower[start[i]:stop[i]].tobytes().decode()])[1], np.int32)
                 count[i] = len(parts[i])
             ids = np.concatenate(parts)
         sizes = np.diff(np.concatenate([[0], np.cumsum(count)])[offsets])
@@ -149,12 +161,28 @@ def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(count.sum()) + np.repeat(first - before, count)
 
 
+def _mapped(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """What a table of 256 entries of one byte has for each byte."""
+    return np.frombuffer(data.tobytes().translate(table.tobytes()), table.dtype)
+
+
 def _equal(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Which runs of bytes are equal."""
+    """Which runs of bytes are equal; none is empty. Eight bytes are compared at a time."""
     if not len(size):
         return np.zeros(0, bool)
-    differs = a[_spread(at, size)] != b[_spread(bt, size)]
-    return np.add.reduceat(differs, np.cumsum(size) - size) == 0
+    count = (size + 7) >> 3
+    first = np.cumsum(count) - count
+    step = (np.arange(count.sum()) - np.repeat(first, count)) << 3
+    left = np.minimum(np.repeat(size, count) - step, 8).astype(np.uint64)
+    differs = _eights(a)[np.repeat(at, count) + step] ^ _eights(b)[np.repeat(bt, count) + step]
+    differs <<= np.uint64(64) - (left << np.uint64(3))  # bytes behind the run's end don't count
+    return np.add.reduceat(differs != 0, first) == 0
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one number; zeros follow the last."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data), "<u8", padded, strides=(1,))
 
 
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> None:

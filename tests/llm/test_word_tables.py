@@ -57,3 +57,17 @@ def test_powers_of_long_words_are_not_kept():
     long = b"x" * (words.SEGMENT * 3)
     value = words.hashed([long, b"a b", long])[0]
     assert value[0] == value[3] and len(words._usual_powers()[0]) == words.SEGMENT * 2
+
+
+def test_words_with_marks_behind_them_are_not_learnt_anew():
+    tokenizer, table = Tokenizer.from_file(WORDS), token_files.Words(WORDS)
+    marks = ["", "%%%", ".###", "...", "(a", "-Bé!", "'s", ".'s", "'.s", "!'re"]
+    texts = [f"{word}{mark} {word}" for word in ("plain", "MÉXICOñ", "×", "naïve÷", "é", "“", "日本") for mark in marks]
+    ids, offsets = table.encode([x.encode() for x in texts], 2)
+    want = [tokenizer.encode(x, add_special_tokens=False).ids + [2] for x in texts]
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == want
+    before = len(table.hash)
+    for mark in marks[1:4]:
+        table.encode([f"plain{mark} mÉxicoñ{mark}".replace("É", "é").encode()], 2)
+    known = {table.bytes[a:a + n].tobytes() for a, n in table.place[:2].T.tolist()}
+    assert b"plain" in known and not {b"plain%%%", b"plain.###", b"plain..."} & known and len(table.hash) - before <= 4
