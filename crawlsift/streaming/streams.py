@@ -50,6 +50,8 @@ def watched(events: DataFrame, delay: str = DELAY, ts: str = "ts") -> DataFrame:
 
 # The stateful operators keep their keys in so many groups by a hash: state goes to Python and back once per group and micro-batch.
 GROUPS = 256
+# Rows of one table of a group's list.
+TABLE_ROWS = 1 << 15
 KINDS = {"start": 0, "response": 1, "complete": 2, "failed": 2}
 STARTED = (
     "ts bigint, url string, method string, type string, initiator struct<type:string,frames:array<struct<url:string,line:int>>>")
@@ -89,7 +91,7 @@ class Grouped(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         new = self.arrived(pd.concat(list(rows), ignore_index=True))
         if len(new):
-            self.held.appendList([(self._packed(new),)])
+            self.held.appendList(self._packed(new))
             held, due = self.timer.get(), int(self.due(new).min())
             if held is None or due < held[0]:
                 if held is not None:
@@ -104,7 +106,7 @@ class Grouped(StatefulProcessor):
         self.held.clear()
         self.timer.clear()
         if len(kept):
-            self.held.put([(self._packed(kept),)])
+            self.held.put(self._packed(kept))
             if (due := int(self.due(kept).min())) < NEVER:
                 self._wait(max(due, now + 1))
         if len(out):
@@ -114,12 +116,14 @@ class Grouped(StatefulProcessor):
         self.handle.registerTimer(due)
         self.timer.update((due,))
 
-    def _packed(self, rows: pd.DataFrame) -> bytes:
-        table = pa.table({k: pa.array(rows[k], kind, from_pandas=True) for k, kind in self.COLUMNS.items()})
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-            writer.write_table(table)
-        return sink.getvalue().to_pybytes()
+    def _packed(self, rows: pd.DataFrame) -> list[tuple[bytes]]:
+        table, out = pa.table({k: pa.array(rows[k], kind, from_pandas=True) for k, kind in self.COLUMNS.items()}), []
+        for i in range(0, table.num_rows, TABLE_ROWS):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(table.slice(i, TABLE_ROWS))
+            out.append((sink.getvalue().to_pybytes(),))
+        return out
 
 
 # A row that waits for nothing.
