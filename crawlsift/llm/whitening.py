@@ -20,6 +20,7 @@ NODES, PER_INTERVAL, ROUNDS = 12, 8, 40
 # Entries that a task works on at once.
 SLICE_ENTRIES = 1 << 20
 EPS = float(np.finfo(np.float64).eps)
+HALF = np.uint64(2 ** 32 - 1)
 
 
 def _checked(bound: float, limit: float = 2.0 ** 62) -> None:
@@ -56,8 +57,24 @@ def gram(rows: np.ndarray) -> tuple[np.ndarray, float]:
     return rows.T @ rows, bound
 
 
-def sums(df: DataFrame, vector: str) -> tuple[int, list[int]]:
-    """Number of the longest vectors and the exact sum of each of their entries; shorter vectors lack entries and take no part."""
+def squares(off: np.ndarray, wide: bool) -> pa.Array:
+    """Exact sum of squares of each row of entries below 2^62: longs, or decimals of 38 digits, summed in limbs of 32 bits."""
+    if not wide:
+        return pa.array((off * off).sum(axis=1))
+    size = np.abs(off).astype(np.uint64)
+    high, low = size >> np.uint64(32), size & HALF
+    limbs = np.zeros((len(off), 4), np.uint64)
+    for i, part in enumerate((low * low, (high * low) << np.uint64(1), high * high)):
+        limbs[:, i] += (part & HALF).sum(axis=1)
+        limbs[:, i + 1] += (part >> np.uint64(32)).sum(axis=1)
+    for i in range(3):
+        limbs[:, i + 1] += limbs[:, i] >> np.uint64(32)
+    return pa.Array.from_buffers(pa.decimal128(38, 0), len(off), [None, pa.py_buffer(limbs.astype("<u4").tobytes())])
+
+
+def sums(df: DataFrame, vector: str) -> tuple[int, list[int], int]:
+    """Number of the longest vectors, the exact sum of each of their entries, and a bound of a vector's squared deviation
+    n^2 |x - mean|^2, from the least and the largest of each entry; shorter vectors lack entries and take no part."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, x in vectors(batch.column(0)):
@@ -65,13 +82,15 @@ def sums(df: DataFrame, vector: str) -> tuple[int, list[int]]:
                 d = x.shape[1]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(d, d, np.int32)), pa.array(np.arange(d, dtype=np.int32)), pa.array(np.full(d, len(x), np.int64)),
-                    pa.array(x.sum(axis=0))], ["d", "at", "n", "s"])
+                    pa.array(x.sum(axis=0)), pa.array(x.min(axis=0)), pa.array(x.max(axis=0))], ["d", "at", "n", "s", "low", "high"])
 
-    parts = df.select(vector).mapInArrow(run, "d int, at int, n bigint, s bigint")
-    found = io.store(parts.groupBy("d", "at").agg(F.sum("n").alias("n"), F.sum(F.col("s").cast("decimal(38,0)")).alias("s")))
+    parts = df.select(vector).mapInArrow(run, "d int, at int, n bigint, s bigint, low bigint, high bigint")
+    found = io.store(parts.groupBy("d", "at").agg(
+        F.sum("n").alias("n"), F.sum(F.col("s").cast("decimal(38,0)")).alias("s"), F.min("low").alias("low"), F.max("high").alias("high")))
     d = found.agg(F.max("d")).first()[0]
-    rows = sorted((r["at"], r["n"], int(r["s"])) for r in found.where(F.col("d") == d).collect()) if d else []
-    return (rows[0][1] if rows else 0), [s for _, _, s in rows]
+    rows = sorted((r["at"], r["n"], int(r["s"]), r["low"], r["high"]) for r in found.where(F.col("d") == d).collect()) if d else []
+    bound = sum(max(n * high - s, s - n * low) ** 2 for _, n, s, low, high in rows)
+    return (rows[0][1] if rows else 0), [r[2] for r in rows], bound
 
 
 def covariance(df: DataFrame, vector: str, n: int, total: list[int]) -> np.ndarray:
@@ -220,7 +239,7 @@ def principal(v: np.ndarray, want: int = COMPONENTS) -> tuple[np.ndarray, np.nda
 
 @dataclass
 class Whitened:
-    """`rows` (id, deviation, whitened: array<double>), and what was measured on the fit list."""
+    """`rows` (id, deviation: bigint or decimal(38,0), whitened: array<double>), and what was measured on the fit list."""
 
     rows: DataFrame
     n: int
@@ -239,15 +258,19 @@ def whiten(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", wan
     Rows with a null vector, a null or non-finite entry, or fewer entries than the longest vector are dropped. Null and repeated
     ids stay as rows of their own. Without variance (no rows, one row, equal rows, empty vectors) there are no components, and
     `rows` is empty. Entries too large for 64-bit sums raise ArithmeticError. Other columns are ignored.
+
+    A deviation, the sum of (n x - S)^2 over a row's entries, grows with the square of the number of rows: the column is a long
+    where one holds the deviation of any row (by the least and largest of each entry), and a decimal of 38 digits otherwise.
     """
     kind = df.schema[vec_id].dataType.simpleString()
     source = df.select(F.col(vec_id).alias("id"), F.col(vector).alias("v"))
-    n, total = sums(source, "v")
+    n, total, bound = sums(source, "v")
+    _checked(bound, 10.0 ** 38)
     v = covariance(source, "v", n, total) if n else np.zeros((0, 0))
     spread, axes = principal(v, want)
     if not len(spread):
         return Whitened(df.sparkSession.createDataFrame([], f"id {kind}, deviation bigint, whitened array<double>"), n, [], 0.0)
-    projected = io.store(project(source, kind, n, total, axes / np.sqrt(spread)))
+    projected = io.store(project(source, kind, n, total, axes / np.sqrt(spread), bound >= 2 ** 63))
     k = len(spread)
     cells = projected.where("kind = 1").select(F.posexplode("whitened")).groupBy("pos").agg(F.sum("col").alias("s")).collect()
     flat = np.array([r["s"] for r in sorted(cells, key=lambda r: r["pos"])]) / n
@@ -256,9 +279,11 @@ def whiten(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", wan
         projected.where("kind = 0").select("id", "deviation", "whitened"), n, [float(x) for x in spread / np.trace(v)], error)
 
 
-def project(source: DataFrame, kind: str, n: int, total: list[int], axes: np.ndarray) -> DataFrame:
-    """`kind` 0: id, squared deviation and whitened entries of a row; `kind` 1, per task: sums of whitened entries, then of their products."""
+def project(source: DataFrame, kind: str, n: int, total: list[int], axes: np.ndarray, wide: bool) -> DataFrame:
+    """`kind` 0: id, squared deviation (a decimal if `wide`) and whitened entries of a row; `kind` 1, per task: sums of whitened entries,
+    then of their products."""
     d, k = axes.shape
+    number = pa.decimal128(38, 0) if wide else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, ids = ["kind", "id", "deviation", "whitened"], pa.int64()
@@ -273,19 +298,18 @@ def project(source: DataFrame, kind: str, n: int, total: list[int], axes: np.nda
                 near = x - mean
                 _checked(n * (float(np.abs(near).max(initial=0)) + 1))
                 off = n * near - rest  # n x - S, exactly
-                _checked(d * float(np.abs(off).max(initial=0)) ** 2, 2.0 ** 63)
                 white = (off / n) @ axes
                 first += white.sum(axis=0)
                 second += white.T @ white
                 offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * k)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.zeros(len(rows), np.int32)), batch.column(0).take(pa.array(rows)), pa.array((off * off).sum(axis=1)),
+                    pa.array(np.zeros(len(rows), np.int32)), batch.column(0).take(pa.array(rows)), squares(off, wide),
                     pa.ListArray.from_arrays(offsets, pa.array(white.ravel()))], names)
         yield pa.RecordBatch.from_arrays([
-            pa.array([1], pa.int32()), pa.nulls(1, ids), pa.nulls(1, pa.int64()),
+            pa.array([1], pa.int32()), pa.nulls(1, ids), pa.nulls(1, number),
             pa.array([np.concatenate([first, second.ravel()])], pa.list_(pa.float64()))], names)
 
-    return source.mapInArrow(run, f"kind int, id {kind}, deviation bigint, whitened array<double>")
+    return source.mapInArrow(run, f"kind int, id {kind}, deviation {'decimal(38,0)' if wide else 'bigint'}, whitened array<double>")
 
 
 def report(df: DataFrame) -> DataFrame:

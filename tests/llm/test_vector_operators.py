@@ -69,6 +69,23 @@ def test_whitening_leaves_out_broken_rows(vectors):
     check_whitening(table, [stored[i] for i, _, _ in good], [i for i, _, _ in good])
 
 
+def test_deviations_beyond_a_long_are_whole(vectors):
+    draw = random.Random(8)
+    rows = [(i, [draw.gauss(0, 5000), draw.gauss(0, 50), draw.gauss(0, 2)], None) for i in range(600)]
+    table = vectors(*rows)
+    stored = [r.embedding for r in table.collect()]
+    assert max(expected_whitening(stored)[1]) > 2 ** 63
+    check_whitening(table, stored, [i for i, _, _ in rows])
+    assert dict(whitening.report(table).dtypes)["deviation"] == "decimal(38,0)"
+    assert dict(whitening.report(vectors(*rows[:20])).dtypes)["deviation"] == "bigint"
+
+
+def test_squares_in_limbs():
+    off = np.random.default_rng(2).integers(-(1 << 61), 1 << 61, (50, 3)) >> np.arange(0, 60, 20)
+    off = np.vstack([off, [[0, 0, 0], [1 - (1 << 62), (1 << 62) - 1, 0], [1 << 32, (1 << 32) - 1, -1]]])
+    assert [int(x) for x in whitening.squares(off, True).to_pylist()] == [sum(int(x) ** 2 for x in row) for row in off]
+
+
 def test_whitening_without_variance_has_no_components(vectors):
     for rows in ([(1, [1.0, 2.0], 0)], [(1, [1.0, 2.0], 0), (2, [1.0, 2.0], 0)], [(1, None, 0)], [(1, [], 0), (2, [], 0)]):
         assert whitening.report(vectors(*rows)).count() == 0
