@@ -1,6 +1,9 @@
 """Scores of whole texts against their word-count base."""
 
+import re
+
 import numpy as np
+import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
@@ -33,6 +36,41 @@ def test_words_are_known_by_their_leading_subword():
             assert lead == [x for x in model.encode(word) if model.id_to_piece(x) != "▁"][0]
 
 
+def test_every_subword_of_every_word_is_scored(docs):
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rows = [(i, "Incomprehensibilities %d  NOTWITHSTANDING\tüberÜber counterrevolutionary" % i) for i in range(40)]
+    rows += [(100, None), (101, "x" * 70 + "é" * 300 + " end"), (None, "notwithstanding ▁ a▁b")]
+    prepared = scoring.prepare(docs(*rows), PIECES)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u2") for r in prepared.where(F.col("kind") == scoring.DOCUMENT).collect()}
+    for i, text in rows:
+        found = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+        assert got[i].tolist() == [x for w in found for x in model.encode(w.lower().decode()) or [model.piece_to_id("▁")]] + [model.eos_id()]
+    seen = np.bincount(np.concatenate([got[r.doc_id] for r in prepared.where("kind = 0 AND NOT held_out").select("doc_id").collect()]), minlength=model.get_piece_size())
+    marked = np.array([model.id_to_piece(i).startswith("▁") for i in range(model.get_piece_size())], np.int64)
+    weights, kind, share = scoring.fit(prepared, seen, marked, model.eos_id())
+    for r in scoring.report(docs(*rows), PIECES).collect():
+        ids = got[r.doc_id]
+        want = attention.score(weights, kind[ids], np.array([len(ids)]))[0]
+        before = attention.START
+        for x in ids.tolist():
+            want, before = want + share[before, x], kind[x]
+        assert r.score == pytest.approx(want, rel=1e-4)
+
+
+def test_long_words_are_spelled_whole(monkeypatch):
+    monkeypatch.setattr(scoring, "RUN_BYTES", 7)
+    monkeypatch.setattr(scoring, "LEAD_BYTES", 5)
+    texts = ["short " + "Länge€" * 30 + " mid " + "a" * 20, "short " + "b" * 7]
+    data, start, stop, value, _ = scoring.words.located([x.encode() for x in texts])
+    distinct, first = np.unique(value, return_index=True)
+    leads = scoring.Leads(PIECES)
+    for _ in range(2):
+        flat, size = leads.spelled(distinct, data, start[first], stop[first])
+        for i, ids in zip(first, np.split(flat, np.cumsum(size)[:-1]), strict=True):
+            assert leads.model.decode(ids.tolist()).replace(" ", "") == data[start[i]:stop[i]].tobytes().lower().decode()
+    assert len(leads.keys) == 2  # the two of five bytes and less
+
+
 def test_scores_of_classes_equal_the_whole_output():
     draw = np.random.default_rng(6)
     chance = draw.random((attention.CLASSES + 1, attention.CLASSES))
